@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.distributions import two_sided_p
 from ..functions.ordered import first_by
-from ..functions.storage import small
+from ..functions.storage import reusable, small
 
 
 def aligned_z(z, gwas_effect, gwas_other, effect, other):
@@ -87,7 +87,8 @@ def gene_association(weights: DataFrame, ld_snps: DataFrame, ld_cov: DataFrame,
         return aligned_z(F.col(c), F.col("g_effect"), F.col("g_other"),
                          F.col("effect_allele"), F.col("non_effect_allele"))
 
-    model = model.withColumn("z", oriented("g_z")).withColumn("b", oriented("g_beta"))
+    model = reusable(model.select(*keys, "gene", "snp", "weight", "sd", oriented("g_z").alias("z"),
+                                  oriented("g_beta").alias("b"), "g_p"))
     used = F.col("z").isNotNull()
     sides = model.groupBy(*keys, "gene").agg(
         F.sum(F.when(used, F.col("weight") * F.col("z") * F.col("sd"))).alias("numerator"),

@@ -151,7 +151,7 @@ FROM lineitem GROUP BY ALL HAVING abs(sum(l_discount - 0.05)) >= 1e-12""")
 CTES["ld_snps"] = ("", """
 SELECT DISTINCT l_suppkey * 20 + l_partkey % 20 AS gene, l_partkey AS snp, 0.1 + (p_size % 10) / 20.0 AS sd,
        substr('ACGT', p_size % 4 + 1, 1) AS effect_allele, substr('ACGT', (p_size + 1) % 4 + 1, 1) AS non_effect_allele
-FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_partkey % 13 <> 0""")
+FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <> 13""")
 CTES["ld_cov"] = ("ld_snps", """
 SELECT gene, snp AS snp1, snp AS snp2, sd * sd AS value FROM ld_snps
 UNION ALL
@@ -186,7 +186,7 @@ def _allele(shift: int):
 
 def ld_snps(spark, sf_dir) -> DataFrame:
     used = table(spark, sf_dir, "lineitem").select(_gene20().alias("gene"), F.col("l_partkey").alias("snp")).distinct()
-    p = table(spark, sf_dir, "part").filter("p_partkey % 13 <> 0").select(
+    p = table(spark, sf_dir, "part").filter("p_size <> 13").select(
         F.col("p_partkey").alias("snp"), (0.1 + (F.col("p_size") % 10) / 20.0).alias("sd"),
         _allele(0).alias("effect_allele"), _allele(1).alias("non_effect_allele"))
     return used.join(p, "snp").select("gene", "snp", "sd", "effect_allele", "non_effect_allele")
