@@ -58,10 +58,10 @@ grid AS (SELECT g.donor, g.cell_type, u.gene, coalesce(s.sum_count, 0) AS c, n_c
 SELECT cell_type, gene FROM grid GROUP BY ALL
 HAVING count_if(c >= 10) >= ceil(0.2*(SELECT count(DISTINCT donor) FROM groups))
    AND count_if(c/lib*1e6 >= 500) >= ceil(0.2*(SELECT count(DISTINCT donor) FROM groups))
-   AND count(*) >= 2 AND var_pop(c/n_cells) > 0.1""", ctes="cells counts")
+   AND count(*) >= 2 AND var_pop(c/n_cells) > 0.04""", ctes="cells counts")
 def filter_by_expression(spark, sf):
     return E.filter_by_expression(*bulk(spark, sf), min_cells=20, min_reads=10, min_cpm=500, min_prop=0.2,
-                                  min_variance=0.1)
+                                  min_variance=0.04)
 
 
 @query("expressed_genes", "F7", """
@@ -241,13 +241,13 @@ def population_moments(spark, sf):
 
 
 @query("fill_with_mean", "A31 U4", """
-WITH p AS (SELECT donor, cell_type, ln(1 + value) AS v FROM population WHERE value < 20),
+WITH p AS (SELECT donor, cell_type, ln(1 + value) AS v FROM population WHERE value < 50),
 m AS (SELECT cell_type, avg(v) AS mean FROM p GROUP BY ALL)
 SELECT d.donor, m.cell_type, coalesce(p.v, m.mean) AS value, p.v IS NOT NULL AS observed
 FROM (SELECT DISTINCT donor FROM p) d JOIN m ON true LEFT JOIN p ON p.donor = d.donor AND p.cell_type = m.cell_type""",
        ctes="population", floats="value")
 def fill_with_mean(spark, sf):
-    rows = T.population(spark, sf).filter("value < 20")
+    rows = T.population(spark, sf).filter("value < 50")
     return E.fill_with_mean(rows, ["cell_type"])
 
 
