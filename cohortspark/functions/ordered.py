@@ -27,15 +27,17 @@ def _slices(df: DataFrame) -> int:
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
             sums: dict[str, Column] | None = None,
             suffix_mins: dict[str, Column] | None = None,
+            prefix_maxs: dict[str, Column] | None = None,
             totals: dict[str, Column] | None = None,
             limit: int | None = None) -> DataFrame:
-    """Add inclusive running sums, suffix minima and group totals in ``order``.
+    """Add inclusive running sums, prefix maxima, suffix minima and group totals in ``order``.
 
     ``order`` must be unique inside a group. Columns are ascending; negate a
     number to run downwards.
     """
     keys, order = list(keys), list(order)
     sums, suffix_mins, totals = sums or {}, suffix_mins or {}, totals or {}
+    prefix_maxs = prefix_maxs or {}
     df, fits = settled(df, limit)
     if fits:
         whole = W.partitionBy(*keys)
@@ -43,6 +45,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
         down = whole.orderBy(*[F.col(c).desc() for c in order]).rowsBetween(W.unboundedPreceding, 0)
         out = {n: F.sum(c).over(up) for n, c in sums.items()}
         out.update({n: F.min(c).over(down) for n, c in suffix_mins.items()})
+        out.update({n: F.max(c).over(up) for n, c in prefix_maxs.items()})
         out.update({n: F.sum(c).over(whole) for n, c in totals.items()})
         return df.select("*", *[c.alias(n) for n, c in out.items()])
 
@@ -51,6 +54,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     per_slice = sliced.groupBy(*keys, _PID).agg(
         *[F.sum(c).alias(f"s_{n}") for n, c in sums.items()],
         *[F.min(c).alias(f"m_{n}") for n, c in suffix_mins.items()],
+        *[F.max(c).alias(f"x_{n}") for n, c in prefix_maxs.items()],
         *[F.sum(c).alias(f"t_{n}") for n, c in totals.items()],
         F.count(F.lit(1)).alias("n_rows"))
     by_group = W.partitionBy(*keys)
@@ -64,6 +68,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                .select(*[F.col(k).alias(f"k_{k}") for k in keys], F.col(_PID).alias("k_slice"),
                        *[F.sum(f"s_{n}").over(before).alias(f"s_{n}") for n in sums],
                        *[F.min(f"m_{n}").over(after).alias(f"m_{n}") for n in suffix_mins],
+                       *[F.max(f"x_{n}").over(before).alias(f"x_{n}") for n in prefix_maxs],
                        *[F.sum(f"t_{n}").over(by_group).alias(f"t_{n}") for n in totals]))
     on = F.col(_PID) == F.col("k_slice")
     for k in keys:
@@ -74,6 +79,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
     joined = sliced.join(F.broadcast(carried), on, "left")
     out = {n: F.sum(c).over(up) + F.coalesce(F.col(f"s_{n}"), F.lit(0)) for n, c in sums.items()}
     out.update({n: F.least(F.min(c).over(down), F.col(f"m_{n}")) for n, c in suffix_mins.items()})
+    out.update({n: F.greatest(F.max(c).over(up), F.col(f"x_{n}")) for n, c in prefix_maxs.items()})
     out.update({n: F.coalesce(F.col(f"t_{n}"), F.sum(c).over(local)) for n, c in totals.items()})
     return joined.select(*df.columns, *[c.alias(n) for n, c in out.items()])
 

@@ -442,7 +442,8 @@ def total_variance(weights: DataFrame, keys: Sequence[str], *, member: str = "me
     out = per.groupBy(*keys).agg(
         F.avg("m").alias("mean"), F.avg("s").alias("within"), F.var_pop("m").alias("between"),
         F.try_divide(F.sum("nz"), F.sum("n")).alias("pip"),
-        F.try_divide(F.greatest(F.sum("pos"), F.sum("neg")), F.nullif(F.sum("nz"), F.lit(0))).alias("sign_stability"))
+        F.coalesce(F.try_divide(F.abs(F.sum("pos") - F.sum("neg")), F.nullif(F.sum("nz"), F.lit(0))),
+                   F.lit(0.0)).alias("sign_stability"))
     return out.withColumn("total", F.col("within") + F.col("between"))
 
 
@@ -509,7 +510,7 @@ def weighted_fit_quality(df: DataFrame, keys: Sequence[str], *, sigma_floor: flo
     e2 = F.col("error") * F.col("error")
     return df.groupBy(*keys).agg(
         (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("effective_n"),
-        F.avg((F.col("sigma") <= sigma_floor).cast("double")).alias("floored_fraction"),
+        F.avg((F.col("sigma") < sigma_floor).cast("double")).alias("floored_fraction"),
         F.avg(e2 * w).alias("whitened_mse"),
         F.avg(0.5 * (F.ln(2.0 * 3.141592653589793 * s * s) + e2 * w)).alias("gaussian_nll"))
 

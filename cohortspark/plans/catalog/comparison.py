@@ -306,9 +306,9 @@ def direction_metrics(spark, sf):
 
 
 @query("direction_pairs", "A43", "WITH " + _DIR + """, p AS (SELECT a.status AS a, b.status AS b FROM dt a JOIN dt b ON a.gene = b.gene AND a.cell_type = 'A' AND b.cell_type = 'N'),
-f AS (SELECT *, a NOT IN ('not_tested', 'not_significant') AND b NOT IN ('not_tested', 'not_significant') AS both, both AND a IN ('concordant', 'discordant') AND b IN ('concordant', 'discordant') AS sure FROM p)
-SELECT count_if(both) AS n_both_significant, count_if(sure) AS n_both_definite, count_if(sure AND a = b) AS n_same_sign, count_if(sure AND a <> b) AS n_opposite_sign,
- count_if(both AND NOT sure) AS n_any_uncertain, count_if(sure AND a = b)/nullif(count_if(sure), 0) AS fraction_same_sign FROM f""",
+f AS (SELECT *, a NOT IN ('not_tested', 'not_significant') AND b NOT IN ('not_tested', 'not_significant') AS bo, bo AND a IN ('concordant', 'discordant') AND b IN ('concordant', 'discordant') AS sure FROM p)
+SELECT count_if(bo) AS n_both_significant, count_if(sure) AS n_both_definite, count_if(sure AND a = b) AS n_same_sign, count_if(sure AND a <> b) AS n_opposite_sign,
+ count_if(bo AND NOT sure) AS n_any_uncertain, count_if(sure AND a = b)/nullif(count_if(sure), 0) AS fraction_same_sign FROM f""",
        ctes="results reference_genes", floats="fraction_same_sign")
 def direction_pairs(spark, sf):
     d = _direction(spark, sf)

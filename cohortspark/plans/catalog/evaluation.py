@@ -318,7 +318,7 @@ def ensemble_moments(spark, sf):
 @query("total_variance", "A34", """
 WITH w AS (SELECT l_partkey AS gene, l_linenumber AS member, CASE WHEN l_discount > 0.03 THEN l_discount - 0.06 ELSE 0 END AS weight FROM lineitem),
 p AS (SELECT gene, member, avg(weight) AS m, var_pop(weight) AS s, count(*) AS n, count_if(weight <> 0) AS nz, count_if(weight > 0) AS pos, count_if(weight < 0) AS neg FROM w GROUP BY ALL)
-SELECT gene, avg(m) AS mean, avg(s) AS within, var_pop(m) AS between, sum(nz)/sum(n) AS pip, greatest(sum(pos), sum(neg))/nullif(sum(nz), 0) AS sign_stability,
+SELECT gene, avg(m) AS mean, avg(s) AS within, var_pop(m) AS between, sum(nz)/sum(n) AS pip, coalesce(abs(sum(pos) - sum(neg))/nullif(sum(nz), 0), 0) AS sign_stability,
  within + between AS total FROM p GROUP BY gene""", floats="mean within between pip sign_stability total")
 def total_variance(spark, sf):
     w = F.when(F.col("l_discount") > 0.03, F.col("l_discount") - 0.06).otherwise(0.0)
@@ -371,8 +371,8 @@ def fit_diagnostics(spark, sf):
 
 
 @query("weighted_fit_quality", "A46", """
-WITH e AS (SELECT cell_type, prediction-truth AS error, greatest(uncertainty, 0.02) AS s FROM expr)
-SELECT cell_type, pow(sum(1/(s*s)), 2)/sum(1/pow(s, 4)) AS effective_n, avg((s <= 0.02)::INT) AS floored_fraction, avg(error*error/(s*s))/1e6 AS whitened_mse,
+WITH e AS (SELECT cell_type, uncertainty AS u, prediction-truth AS error, greatest(uncertainty, 0.02) AS s FROM expr)
+SELECT cell_type, pow(sum(1/(s*s)), 2)/sum(1/pow(s, 4)) AS effective_n, avg((u < 0.02)::INT) AS floored_fraction, avg(error*error/(s*s))/1e6 AS whitened_mse,
  avg(0.5*(ln(2*pi()*s*s) + error*error/(s*s)))/1e6 AS gaussian_nll FROM e GROUP BY ALL""", ctes="expr",
        floats="effective_n floored_fraction whitened_mse gaussian_nll", digits=6)
 def weighted_fit_quality(spark, sf):
