@@ -96,7 +96,7 @@ def parse_region(x: Column) -> Column:
 
 def parse_list(x: Column, sep: str = ";") -> Column:
     """Trimmed non-empty parts of a delimited text."""
-    return F.filter(F.transform(F.split(x, sep), F.trim), lambda v: v != "")
+    return F.filter(F.transform(F.split(x, sep), lambda v: F.trim(v)), lambda v: v != "")
 
 
 def parse_bool(x: Column) -> Column:

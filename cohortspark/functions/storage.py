@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Largest planner size estimate that one task may be asked to hold.
 TASK_BYTES = 64 * 1024 * 1024
@@ -34,6 +34,21 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Most groups that may travel as one array.
+VOCABULARY = 10_000
+
+
+def vocabulary(df: DataFrame, keys: list[str]) -> Column:
+    """Scalar array of the distinct key combinations, an error beyond ``VOCABULARY``.
+
+    For labels such as cell types; at most one entry more than the limit is ever gathered.
+    """
+    some = df.select(*keys).distinct().limit(VOCABULARY + 1).agg(F.collect_list(F.struct(*keys)).alias("g"))
+    checked = F.when(F.size("g") <= VOCABULARY, F.col("g")).otherwise(
+        F.raise_error(F.lit("too many groups for a label vocabulary")).cast(some.dtypes[0][1]))
+    return some.select(checked).scalar()
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The planner's size estimate; costs no job."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs as X
 from ..functions.ordered import first_by, top_k
-from ..functions.storage import reusable, small
+from ..functions.storage import reusable, small, vocabulary
 from .pooling import inflation
 
 # Track suffixes of a corrected table and the two criteria.
@@ -219,10 +219,9 @@ def to_reference(df: DataFrame, reference: DataFrame) -> DataFrame:
     A union of two equality joins; a join on "id or symbol" would compare every pair.
     """
     by_id = df.join(small(reference.select(F.col("gene").alias("ref_gene"))), F.col("gene") == F.col("ref_gene"))
-    names = reference.filter(F.trim("symbol") != "").groupBy(F.upper("symbol").alias("__s")).agg(
-        F.collect_set("gene").alias("__genes"))
-    by_name = (df.filter(F.trim("symbol") != "").join(small(names), F.upper("symbol") == F.col("__s"))
-               .withColumn("ref_gene", F.explode("__genes")).drop("__s", "__genes"))
+    names = reference.filter(F.trim("symbol") != "").select(F.upper("symbol").alias("__s"), F.col("gene").alias("ref_gene"))
+    by_name = df.filter(F.trim("symbol") != "").join(
+        small(names.distinct()), F.upper("symbol") == F.col("__s")).drop("__s")
     return by_id.unionByName(by_name).distinct()
 
 
@@ -324,8 +323,7 @@ def direction_table(reference: DataFrame, results: DataFrame, signs: DataFrame,
     unique = reference.groupBy("gene").agg(F.count(F.lit(1)).alias("c"), F.min("sign").alias("s")).select(
         "gene", F.when(F.col("c") > 1, F.raise_error(F.lit("reference gene listed twice")).cast("int"))
         .when(F.col("s").isin(-1, 1), F.col("s")).otherwise(F.raise_error(F.lit("sign must be -1 or 1")).cast("int")).alias("sign"))
-    groups = results.select(*keys).distinct().agg(F.collect_list(F.struct(*keys)).alias("g")).scalar()
-    base = unique.withColumn("g", groups).select("gene", "sign", F.inline("g"))
+    base = unique.withColumn("g", vocabulary(results, keys)).select("gene", "sign", F.inline("g"))
     joined = base.join(results.select(*keys, "gene", "hit", "effect_size"), [*keys, "gene"], "left").join(
         signs, [*keys, "gene"], "left")
     observed = F.col("n_positive") + F.col("n_negative") + F.col("n_zero")

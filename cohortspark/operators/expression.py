@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs as X
 from ..functions.ordered import average_ranks, row_numbers, value_counts
-from ..functions.storage import small
+from ..functions.storage import small, vocabulary
 
 
 def clean_cells(cells: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -227,8 +227,7 @@ def align_genes(df: DataFrame, features: DataFrame, keys: Sequence[str], value:
     wanted = features.select("gene").distinct()
     kept = df.join(wanted, "gene", "left_semi").select(*keys, "gene", value)
     undetected = wanted.join(df.select("gene").distinct(), "gene", "left_anti")
-    groups = df.select(*keys).distinct().agg(F.collect_list(F.struct(*keys)).alias("g"))
-    filled = (undetected.withColumn("g", groups.scalar()).select("gene", F.inline("g"))
+    filled = (undetected.withColumn("g", vocabulary(df, keys)).select("gene", F.inline("g"))
               .select(*keys, "gene", F.lit(0.0).alias(value)))
     return kept.unionByName(filled)
 
@@ -274,9 +273,8 @@ def fill_with_mean(df: DataFrame, keys: Sequence[str], *, donor: str = "donor",
     x = X.safe_log1p(F.col("value")) if logged else F.col("value")
     seen = df.select(donor, *keys, x.alias("value"))
     means = seen.groupBy(*keys).agg(F.avg("value").alias("mean"))
-    groups = means.agg(F.collect_list(F.struct(*keys, "mean")).alias("g")).scalar()
-    grid = seen.select(donor).distinct().withColumn("g", groups).select(donor, F.inline("g"))
-    joined = grid.join(seen, [donor, *keys], "left")
+    grid = seen.select(donor).distinct().withColumn("g", vocabulary(df, keys)).select(donor, F.inline("g"))
+    joined = grid.join(seen, [donor, *keys], "left").join(small(means), keys)
     return joined.select(donor, *keys, F.coalesce("value", "mean").alias("value"),
                          F.col("value").isNotNull().alias("observed"))
 

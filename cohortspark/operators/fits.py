@@ -328,7 +328,6 @@ def raw_intercepts(fits: DataFrame) -> DataFrame:
 def head_divergence(fits: DataFrame, *, ratio: float = 10.0) -> DataFrame:
     """Per gene: held-out quality of each head side by side and a flag where head scales diverge."""
     wide = fits.filter("status = 'ok'").groupBy("cell_type", "gene").agg(
-        F.map_from_entries(F.collect_list(F.struct("target", "y_scale"))).alias("scales"),
         F.max("y_scale").alias("hi"), F.min("y_scale").alias("lo"))
     return wide.select("cell_type", "gene", F.try_divide("hi", F.nullif("lo", F.lit(0.0))).alias("scale_ratio"),
                        (F.col("hi") > ratio * F.col("lo")).alias("diverged"))

@@ -302,7 +302,8 @@ def window_sequences(windows: DataFrame, pieces: DataFrame, length: int) -> Data
 def base_codes(sequence: Column) -> Column:
     """0..4 for A, C, G, T, N; any other letter counts as N."""
     place = lambda c: F.position(c, F.lit(BASES))
-    return F.transform(F.split(F.upper(sequence), ""),
+    folded = F.translate(sequence, BASES.lower(), BASES)
+    return F.transform(F.split(folded, ""),
                        lambda c: F.when(place(c) > 0, place(c) - 1).otherwise(4))
 
 

@@ -248,10 +248,10 @@ def hit_flags(spark, sf):
 
 
 @query("shared_universe", "A41", """
-SELECT arm, gene, pvalue FROM draws WHERE cell_type = 'F' AND (draw, gene) IN (SELECT (draw, gene) FROM draws WHERE cell_type = 'F' GROUP BY draw, gene HAVING count(DISTINCT arm) = 2)""",
+SELECT cell_type, draw, arm, gene, pvalue FROM draws WHERE (cell_type, draw, gene) IN (SELECT (cell_type, draw, gene) FROM draws GROUP BY cell_type, draw, gene HAVING count(DISTINCT arm) = 2)""",
        ctes="draws", floats="pvalue")
 def shared_universe(spark, sf):
-    return C.shared_universe(T.draws(spark, sf).filter("cell_type = 'F'"), ["draw"]).select("arm", "gene", "pvalue")
+    return C.shared_universe(T.draws(spark, sf), ["cell_type", "draw"]).select("cell_type", "draw", "arm", "gene", "pvalue")
 
 
 @query("stratified_inflation", "A49 A8", "WITH " + _REF + """,

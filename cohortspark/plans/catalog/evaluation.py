@@ -268,11 +268,11 @@ def ablation_change(spark, sf):
 
 
 @query("empirical_quantiles", "W10", f"""
-SELECT gene, donor, CASE WHEN count(*) OVER (PARTITION BY gene) = 1 THEN 0.5 ELSE ({rank_sql('gene', 'uncertainty')} - 1)/nullif(count(*) OVER (PARTITION BY gene) - 1, 0) END AS quantile
-FROM expr WHERE cell_type = 'A'""", ctes="expr", floats="quantile")
+SELECT cell_type, gene, donor, CASE WHEN count(*) OVER (PARTITION BY cell_type, gene) = 1 THEN 0.5 ELSE ({rank_sql('cell_type, gene', 'uncertainty')} - 1)/nullif(count(*) OVER (PARTITION BY cell_type, gene) - 1, 0) END AS quantile
+FROM expr""", ctes="expr", floats="quantile")
 def empirical_quantiles(spark, sf):
-    rows = T.expr(spark, sf).filter("cell_type = 'A'").select("gene", "donor", "uncertainty")
-    return V.empirical_quantiles(rows, ["gene"], "uncertainty").drop("uncertainty")
+    rows = T.expr(spark, sf).select("cell_type", "gene", "donor", "uncertainty")
+    return V.empirical_quantiles(rows, ["cell_type", "gene"], "uncertainty").drop("uncertainty")
 
 
 @query("qq_points", "W12 X1", """

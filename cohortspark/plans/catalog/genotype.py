@@ -179,29 +179,29 @@ def bootstrap_counts(spark, sf):
 
 
 _ECDF = """
-v AS (SELECT gene, donor, ln(1 + truth) AS y, uncertainty AS s FROM expr WHERE cell_type = 'A'),
-u AS (SELECT *, count(*) OVER (PARTITION BY gene) AS n, (rank() OVER (PARTITION BY gene ORDER BY y) + (count(*) OVER (PARTITION BY gene, y) - 1)/2)/({0}) AS p FROM v),
-k AS (SELECT DISTINCT gene, y, p FROM u),
-e AS (SELECT gene, donor, n, y - s AS q, 1 AS side FROM u UNION ALL SELECT gene, donor, n, y + s, 2 FROM u),
-f AS (SELECT e.gene, e.donor, e.n, side, q, max(k.y) FILTER (k.y <= q) AS y0, max(k.p) FILTER (k.y <= q) AS p0, min(k.y) FILTER (k.y > q) AS y1, min(k.p) FILTER (k.y > q) AS p1
-      FROM e JOIN k USING (gene) GROUP BY ALL),
+v AS (SELECT cell_type, gene, donor, ln(1 + truth) AS y, uncertainty AS s FROM expr),
+u AS (SELECT *, count(*) OVER (PARTITION BY cell_type, gene) AS n, (rank() OVER (PARTITION BY cell_type, gene ORDER BY y) + (count(*) OVER (PARTITION BY cell_type, gene, y) - 1)/2)/({0}) AS p FROM v),
+k AS (SELECT DISTINCT cell_type, gene, y, p FROM u),
+e AS (SELECT cell_type, gene, donor, n, y - s AS q, 1 AS side FROM u UNION ALL SELECT cell_type, gene, donor, n, y + s, 2 FROM u),
+f AS (SELECT e.cell_type, e.gene, e.donor, e.n, side, q, max(k.y) FILTER (k.y <= q) AS y0, max(k.p) FILTER (k.y <= q) AS p0, min(k.y) FILTER (k.y > q) AS y1, min(k.p) FILTER (k.y > q) AS p1
+      FROM e JOIN k USING (cell_type, gene) GROUP BY ALL),
 g AS (SELECT *, CASE WHEN y0 IS NULL THEN {1} WHEN y0 = q THEN p0 WHEN y1 IS NULL THEN {2} ELSE p0 + (p1 - p0)*(q - y0)/(y1 - y0) END AS v FROM f)"""
 
 
-@query("rank_spread_percentile", "W4", "WITH " + _ECDF.format("count(*) OVER (PARTITION BY gene)", "0", "1") + """
-SELECT gene, donor, CASE WHEN max(n) = 1 THEN 0 ELSE 0.5*(max(v) FILTER (side = 2) - max(v) FILTER (side = 1)) END AS spread FROM g GROUP BY gene, donor""",
+@query("rank_spread_percentile", "W4", "WITH " + _ECDF.format("count(*) OVER (PARTITION BY cell_type, gene)", "0", "1") + """
+SELECT cell_type, gene, donor, CASE WHEN max(n) = 1 THEN 0 ELSE 0.5*(max(v) FILTER (side = 2) - max(v) FILTER (side = 1)) END AS spread FROM g GROUP BY cell_type, gene, donor""",
        ctes="expr", floats="spread", digits=8)
 def rank_spread_percentile(spark, sf):
-    rows = T.expr(spark, sf).filter("cell_type = 'A'").select("gene", "donor", F.col("truth").alias("value"), F.col("uncertainty").alias("sigma"))
-    return G.rank_spread(rows, ["gene"])
+    rows = T.expr(spark, sf).select("cell_type", "gene", "donor", F.col("truth").alias("value"), F.col("uncertainty").alias("sigma"))
+    return G.rank_spread(rows, ["cell_type", "gene"])
 
 
-@query("rank_spread_normal", "W4", "WITH " + _ECDF.format("count(*) OVER (PARTITION BY gene) + 1", "1/(n+1)", "n/(n+1)") + ", z AS (SELECT *, " + sql_norm_ppf("v") + """ AS z FROM g)
-SELECT gene, donor, CASE WHEN max(n) = 1 THEN 0 ELSE 0.5*(max(z) FILTER (side = 2) - max(z) FILTER (side = 1)) END AS spread FROM z GROUP BY gene, donor""",
+@query("rank_spread_normal", "W4", "WITH " + _ECDF.format("count(*) OVER (PARTITION BY cell_type, gene) + 1", "1/(n+1)", "n/(n+1)") + ", z AS (SELECT *, " + sql_norm_ppf("v") + """ AS z FROM g)
+SELECT cell_type, gene, donor, CASE WHEN max(n) = 1 THEN 0 ELSE 0.5*(max(z) FILTER (side = 2) - max(z) FILTER (side = 1)) END AS spread FROM z GROUP BY cell_type, gene, donor""",
        ctes="expr", floats="spread", digits=7)
 def rank_spread_normal(spark, sf):
-    rows = T.expr(spark, sf).filter("cell_type = 'A'").select("gene", "donor", F.col("truth").alias("value"), F.col("uncertainty").alias("sigma"))
-    return G.rank_spread(rows, ["gene"], form="normal")
+    rows = T.expr(spark, sf).select("cell_type", "gene", "donor", F.col("truth").alias("value"), F.col("uncertainty").alias("sigma"))
+    return G.rank_spread(rows, ["cell_type", "gene"], form="normal")
 
 
 # ---- edits and sequences -------------------------------------------------------------------
@@ -232,7 +232,7 @@ def personalised_sequences(spark, sf):
 
 
 @query("sequence_codes", "X8", """
-WITH c AS (SELECT doc_id, unnest(string_split(substr(upper(text), (length(text) - 40)//2 + 1, 40), '')) AS c FROM documents WHERE length(text) >= 40)
+WITH c AS (SELECT doc_id, upper(unnest(string_split(substr(text, (length(text) - 40)//2 + 1, 40), ''))) AS c FROM documents WHERE length(text) >= 40)
 SELECT doc_id, count_if(c = 'A') AS n_a, count_if(c = 'C') AS n_c, count_if(c = 'G') AS n_g, count_if(c = 'T') AS n_t, count_if(c NOT IN ('A','C','G','T')) AS n_other FROM c GROUP BY doc_id""")
 def sequence_codes(spark, sf):
     d = T.table(spark, sf, "documents").filter(F.length("text") >= 40).select("doc_id", G.base_codes(G.centre_crop(F.col("text"), 40)).alias("codes"))
