@@ -142,6 +142,11 @@ def shuffle_order(seed: int, *ids: Column) -> Column:
     return F.xxhash64(F.lit(seed), *ids)
 
 
+def clip(x: Column, low: float, high: float) -> Column:
+    """Bounded value; Spark's greatest and least skip nulls, so a null must be kept apart."""
+    return F.when(x.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), x)))
+
+
 def safe_corr(x: Column, y: Column) -> Column:
     """Pearson r aggregate over pairwise-complete rows, null for a constant side.
 
@@ -150,7 +155,7 @@ def safe_corr(x: Column, y: Column) -> Column:
     both = x.isNotNull() & y.isNotNull()
     cx, cy = F.when(both, x), F.when(both, y)
     r = F.try_divide(F.covar_pop(cx, cy), F.sqrt(F.var_pop(cx) * F.var_pop(cy)))
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))
+    return clip(r, -1.0, 1.0)
 
 
 def complete_count(x: Column, y: Column) -> Column:

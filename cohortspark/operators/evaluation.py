@@ -45,8 +45,7 @@ def harmonised_donors(df: DataFrame, *, model: str = "model", donor: str = "dono
 
 def _pearson_from(n: Column, cov: Column, vx: Column, vy: Column, min_n: int) -> Column:
     scale = F.sqrt(vx * vy)
-    r = F.when((n >= min_n) & (n * scale > EPS), F.try_divide(cov, scale))
-    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return X.clip(F.when((n >= min_n) & (n * scale > EPS), F.try_divide(cov, scale)), -1.0, 1.0)
 
 
 def correlation_p(r: Column, n: Column) -> Column:
@@ -403,6 +402,11 @@ def matched_quantiles(df: DataFrame, keys: Sequence[str], arm: str, arms: tuple[
         F.max(F.when(F.col(arm) == arms[1], F.col("value"))).alias("y"))
 
 
+def share_above(matched: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Share of matched quantiles above y = x."""
+    return matched.groupBy(*keys).agg(F.avg((F.col("y") > F.col("x")).cast("double")).alias("share_above"))
+
+
 def extreme_genes(scores: DataFrame, keys: Sequence[str], n: int, *, r: str = "r", gene: str = "gene") -> DataFrame:
     """n // 2 worst and the remaining best genes by r squared, never the same gene twice.
 
@@ -474,6 +478,7 @@ def losses(df: DataFrame, keys: Sequence[str], mean: str, truth: str, *, varianc
            eps: float = 1e-8) -> DataFrame:
     """MSE, Poisson NLL of a positive rate, Gaussian NLL, Pearson and cosine similarity."""
     m, y = F.col(mean), F.col(truth)
+    df = df.filter(m.isNotNull() & y.isNotNull())
     rate = F.greatest(m, F.lit(eps))
     aggs = [F.avg((m - y) * (m - y)).alias("mse"), F.avg(rate - y * F.ln(rate)).alias("poisson_nll"),
             X.safe_corr(m, y).alias("pearson"),
@@ -505,6 +510,7 @@ def fit_diagnostics(fits: DataFrame, keys: Sequence[str], *, limit: int | None =
 
 def weighted_fit_quality(df: DataFrame, keys: Sequence[str], *, sigma_floor: float) -> DataFrame:
     """Effective sample size, floored share, whitened MSE and Gaussian NLL: ``df(error, sigma)``."""
+    df = df.filter(F.col("error").isNotNull() & F.col("sigma").isNotNull())
     s = F.greatest(F.col("sigma"), F.lit(sigma_floor))
     w = 1.0 / (s * s)
     e2 = F.col("error") * F.col("error")

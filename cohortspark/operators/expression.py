@@ -71,7 +71,7 @@ def expressed_genes(expr: DataFrame, *, min_fraction: float, min_log_sd: float,
                     keys: Sequence[str] = ()) -> DataFrame:
     """Genes expressed in enough donors with enough spread, over all donors given."""
     x = F.col("value")
-    logged = F.log1p(F.greatest(x, F.lit(0.0)))
+    logged = F.when(x.isNotNull(), F.log1p(F.greatest(x, F.lit(0.0))))
     stats = expr.groupBy(*keys, "gene").agg(
         F.avg((x > 0).cast("double")).alias("fraction"), F.stddev_pop(logged).alias("log_sd"))
     return stats.filter((F.col("fraction") >= min_fraction) & (F.col("log_sd") >= min_log_sd))

@@ -292,6 +292,16 @@ def matched_quantiles(spark, sf):
     return V.matched_quantiles(T.draws(spark, sf), ["cell_type"], "arm", ("A", "B"), "pvalue", 20)
 
 
+@query("matched_quantile_share", "A49", """
+WITH i AS (SELECT unnest(range(20)) AS i),
+q AS (SELECT cell_type, arm, quantile_cont(-log10(pvalue), [""" + ", ".join(f"{(i + 0.5) / 20}" for i in range(20)) + """]) AS qs FROM draws GROUP BY ALL),
+m AS (SELECT cell_type, i, max(qs[i+1]) FILTER (arm = 'A') AS x, max(qs[i+1]) FILTER (arm = 'B') AS y FROM q, i GROUP BY ALL)
+SELECT cell_type, avg((y > x)::INT) AS share_above FROM m GROUP BY ALL""", ctes="draws", floats="share_above")
+def matched_quantile_share(spark, sf):
+    rows = T.draws(spark, sf).withColumn("strength", X.neglog10(F.col("pvalue")))
+    return V.share_above(V.matched_quantiles(rows, ["cell_type"], "arm", ("A", "B"), "strength", 20), ["cell_type"])
+
+
 @query("extreme_genes", "T3", "WITH " + _SCORES + """,
 k AS (SELECT cell_type, gene, r*r AS r2, row_number() OVER (PARTITION BY cell_type ORDER BY r*r, gene) AS up, row_number() OVER (PARTITION BY cell_type ORDER BY r*r DESC, gene DESC) AS down
       FROM scores WHERE r IS NOT NULL)

@@ -115,6 +115,18 @@ t AS (SELECT gene, donor, sum(CASE WHEN snp % 8 = 1 THEN x WHEN snp % 8 = 4 THEN
 r AS (SELECT d.*, s + e AS y, s*0.5 - e AS y2 FROM d JOIN t USING (gene, donor))"""
 
 
+@query("design_rows", "M1 J2 F6", """
+WITH g AS (SELECT l_orderkey AS snp, l_suppkey AS donor, CASE WHEN max(l_quantity) > 10 THEN max(l_linenumber) % 3 END AS dosage FROM lineitem GROUP BY ALL),
+f AS (SELECT snp, avg(dosage) AS mean FROM g GROUP BY snp HAVING least(coalesce(avg(dosage)/2, 0), 1 - coalesce(avg(dosage)/2, 0)) >= 0.1)
+SELECT p.gene, v.snp, v.bp, g.donor, coalesce(g.dosage, f.mean) AS x FROM gene_pos p JOIN variants v ON v.chrom = p.chrom AND v.bp BETWEEN p.bp - 20000 AND p.bp + 20000
+JOIN f USING (snp) JOIN g USING (snp)""", ctes="gene_pos variants", floats="x")
+def design_rows(spark, sf):
+    calls = T.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("snp"), F.col("l_suppkey").alias("donor")).agg(
+        F.when(F.max("l_quantity") > 10, F.max("l_linenumber") % 3).alias("dosage"))
+    genes = T.gene_pos(spark, sf).withColumnRenamed("bp", "tss")
+    return M.design_rows(genes, T.variants(spark, sf), calls, window=20000, min_maf=0.1)
+
+
 @query("screen_snps", "T2 M2", "WITH " + _DESIGN + """,
 k AS (SELECT gene, snp, greatest(abs(covar_pop(x, y))/stddev_pop(x), abs(covar_pop(x, y2))/stddev_pop(x)) AS score FROM r GROUP BY ALL)
 SELECT gene, snp, score, CAST(row_number() OVER (PARTITION BY gene ORDER BY score DESC, snp) AS INT) AS rank FROM k QUALIFY rank <= 3""", ctes="genotypes", floats="score")

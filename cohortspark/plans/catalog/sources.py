@@ -280,6 +280,23 @@ def running_correlation(spark, sf):
     return Z.correlation_from_sums(spark.read.parquet(f"{work}/out"), ["event_type"])
 
 
+@query("resumed_batches", "Z1", "SELECT event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL", floats="total", digits=4)
+def resumed_batches(spark, sf):
+    """Half of the files, then all of them after a restart: nothing is lost or counted twice."""
+    schema = T.table(spark, sf, "events").schema
+    work = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    source = spark.read.schema(schema).parquet(f"{sf}/events.parquet").withColumn("half", F.col("event_id") % 2)
+
+    def run() -> None:
+        Z.resume_batches(spark, f"{work}/in", schema, lambda batch: batch, output=f"{work}/out",
+                         checkpoint=f"{work}/checkpoint", key="event_id").awaitTermination()
+
+    for half in (0, 1):
+        source.filter(F.col("half") == half).drop("half").write.mode("append").parquet(f"{work}/in")
+        run()
+    return spark.read.parquet(f"{work}/out").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 @query("merged_sums", "Z2", """
 SELECT event_type, count(*) AS n, covar_pop(value, user_id)/sqrt(var_pop(value)*var_pop(user_id)) AS r FROM events GROUP BY ALL""", floats="r")
 def merged_sums(spark, sf):

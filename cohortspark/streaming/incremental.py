@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import exprs as X
 from ..functions.storage import small
 
 
@@ -35,7 +36,7 @@ def correlation_from_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     vy = F.col("sum_y2") - F.col("sum_y") * F.col("sum_y") / n
     scale = F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0)))
     r = F.try_divide(cov, F.when(scale > 1e-12, scale))
-    return sums.select(*keys, "n", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)).alias("r"))
+    return sums.select(*keys, "n", X.clip(r, -1.0, 1.0).alias("r"))
 
 
 def stream_sums(spark: SparkSession, source: str, schema, keys: Sequence[str], x: str, y: str, *, output: str,
