@@ -18,10 +18,12 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, or a private one where none is named."""
+    """The cluster's shared checkpoint folder; a private one only for a local session without it."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     made = tempfile.mkdtemp(prefix="cohortspark-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made

@@ -9,6 +9,7 @@ from ..association_run import association_run
 from ..registry import query, sql_acat, sql_bh, sql_norm_ppf, sql_two_sided
 from ...functions import exprs as X
 from ...functions.ordered import top_k
+from ...functions.storage import reusable
 from ...operators import association as A, intervals as I, pooling as P
 
 # ---- the association itself ----------------------------------------------------------------
@@ -40,7 +41,7 @@ assoc AS (
 
 
 def _inputs(spark, sf):
-    snps = T.ld_snps(spark, sf)
+    snps = reusable(T.ld_snps(spark, sf))
     return T.weights(spark, sf), snps, T.ld_cov(snps), T.gwas(spark, sf)
 
 
