@@ -51,22 +51,35 @@ def vocabulary(df: DataFrame, keys: list[str]) -> Column:
     return some.select(checked).scalar()
 
 
+#: Plan steps whose output the planner does not bound (rows may multiply).
+UNBOUNDED_STEPS = ("Generate", "MapInPandas", "FlatMapGroupsInPandas")
+
+
+def bounded(df: DataFrame) -> bool:
+    """Whether the planner's estimate is an upper bound: no step may multiply rows unseen."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(step in plan for step in UNBOUNDED_STEPS)
+
+
 def planned_bytes(df: DataFrame) -> int:
-    """The planner's size estimate; costs no job."""
+    """The planner's size estimate; costs no job. Joins multiply it, so it errs upwards."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
     return int(str(stats.sizeInBytes()))
 
 
 def fits_task(df: DataFrame, limit: int | None = None) -> bool:
-    return planned_bytes(df) <= (TASK_BYTES if limit is None else limit)
+    return bounded(df) and planned_bytes(df) <= (TASK_BYTES if limit is None else limit)
 
 
 def small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Broadcast hint only where the planner's estimate allows; else unchanged.
+    """Broadcast hint only where the size is known to allow it; else unchanged.
 
     Every caller joins on an equality key, so without the hint Spark shuffles.
+    A plan whose estimate is no bound is written first, and its written size counts.
     """
     allowed = BROADCAST_BYTES if limit is None else limit
+    if not bounded(df):
+        df = materialize(df)
     return F.broadcast(df) if planned_bytes(df) <= allowed else df
 
 
