@@ -55,6 +55,12 @@ def vocabulary(df: DataFrame, keys: list[str]) -> Column:
 UNBOUNDED_STEPS = ("Generate", "MapInPandas", "FlatMapGroupsInPandas")
 
 
+def heavy(df: DataFrame) -> bool:
+    """Whether ``df`` is more than a scan with projections and filters."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(step in plan for step in ("Aggregate", "Join", "Window", "Repartition", *UNBOUNDED_STEPS))
+
+
 def bounded(df: DataFrame) -> bool:
     """Whether the planner's estimate is an upper bound: no step may multiply rows unseen."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
@@ -88,15 +94,16 @@ def settled(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
 
     A plan whose estimate is too large (joins multiply estimates) is written out
     once; the written size is then a fact, and later steps do not repeat the work.
+    A plain scan is known already and cheap to read again, so it is not copied.
     """
     if fits_task(df, limit):
         return df, True
+    if not heavy(df):
+        return df, False
     written = materialize(df)
     return written, fits_task(written, limit)
 
 
 def reusable(df: DataFrame) -> DataFrame:
     """Write ``df`` once where several branches would otherwise repeat a shuffle."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    heavy = any(word in plan for word in ("Aggregate", "Join", "Window", "Generate"))
-    return materialize(df) if heavy else df
+    return materialize(df) if heavy(df) else df

@@ -451,7 +451,7 @@ def total_variance(weights: DataFrame, keys: Sequence[str], *, member: str = "me
     return out.withColumn("total", F.col("within") + F.col("between"))
 
 
-def variance_scale(df: DataFrame, keys: Sequence[str], y: str, mean: str, variance: str, *, floor: float = 1e-6) -> DataFrame:
+def variance_scale(df: DataFrame, keys: Sequence[str], y: str, mean: str, variance: str, *, floor: float = 1e-8) -> DataFrame:
     """Multiplier that makes the average standardised squared error one."""
     e = F.col(y) - F.col(mean)
     ratio = F.avg(e * e / F.greatest(F.col(variance), F.lit(floor)))
@@ -460,7 +460,7 @@ def variance_scale(df: DataFrame, keys: Sequence[str], y: str, mean: str, varian
 
 def variance_agreement(df: DataFrame, keys: Sequence[str], predicted: str, empirical: str) -> DataFrame:
     """Predicted against empirical variance: r, ratio of means, R squared, RMSE and NRMSE of the SDs."""
-    ok = F.col(predicted).isNotNull() & F.col(empirical).isNotNull()
+    ok = (F.col(predicted) >= 0) & (F.col(empirical) >= 0)
     p, e = F.col(predicted), F.col(empirical)
     d, ds = p - e, F.sqrt(F.greatest(p, F.lit(0.0))) - F.sqrt(F.greatest(e, F.lit(0.0)))
     m = df.filter(ok).groupBy(*keys).agg(
@@ -474,6 +474,57 @@ def variance_agreement(df: DataFrame, keys: Sequence[str], predicted: str, empir
         F.try_divide("std_rmse", F.nullif("mean_sd", F.lit(0.0))).alias("std_nrmse"))
 
 
+def variance_report(df: DataFrame, predicted: str, empirical: str, scale: float, *, by: str = "cell_type") -> DataFrame:
+    """Macro and pooled r, and magnitude metrics of the calibrated and the unscaled variance, as metric rows."""
+    rows = reusable(df.select(by, F.col(predicted).alias("p"), F.col(empirical).alias("e"), (F.col(predicted) / scale).alias("u")))
+    macro = pearson(rows, [by], "p", "e", min_n=2).agg(F.avg("r").alias("pearson_macro"))
+    wide = macro.withColumn("pearson_pooled", pearson(rows, [], "p", "e", min_n=2).select("r").scalar())
+    for prefix, column in (("", "p"), ("uncalibrated_", "u")):
+        m = variance_agreement(rows, [], column, "e")
+        wide = wide.withColumns({f"{prefix}{c}": m.select(c).scalar() for c in ("variance_ratio", "r2", "std_rmse", "std_nrmse")})
+    return wide.unpivot([], wide.columns, "metric", "value")
+
+
+def correlation_losses(df: DataFrame, prediction: str, truth: str) -> DataFrame:
+    """Mutual-correlation and centred-cosine losses: across genes within cell types plus the reverse.
+
+    A constant side has no correlation and cosine 0.
+    """
+    parts = [pearson(df, [key], prediction, truth, min_n=2).agg(
+        F.avg("r").alias("r"), F.avg(F.coalesce("r", F.lit(0.0))).alias("c")) for key in ("cell_type", "gene")]
+    a, b = parts
+    both = a.withColumns({"r2": b.select("r").scalar(), "c2": b.select("c").scalar()})
+    return both.select((-(F.col("r") + F.col("r2"))).alias("mutual_correlation_loss"),
+                       (2.0 - F.col("c") - F.col("c2")).alias("cosine_loss"))
+
+
+def head_metrics(df: DataFrame, keys: Sequence[str], *, limit_abs: float = 1e3) -> DataFrame:
+    """Distribution match of (mean, aleatoric, epistemic) predictions, total and per source.
+
+    ``df(mu, aleatoric, epistemic, y, y_aleatoric, y_epistemic)`` with variances.
+    Squared Wasserstein distance splits into its mean and SD parts. A group with
+    a prediction beyond ``limit_abs`` or not finite has diverged: its metrics are null.
+    """
+    def sd(*cs: str) -> Column:
+        return F.sqrt(sum((F.greatest(F.col(c), F.lit(0.0)) for c in cs[1:]), F.greatest(F.col(cs[0]), F.lit(0.0))))
+
+    mu, y = F.col("mu"), F.col("y")
+    sides = {"": (sd("aleatoric", "epistemic"), sd("y_aleatoric", "y_epistemic")),
+             "aleatoric_": (sd("aleatoric"), sd("y_aleatoric")), "epistemic_": (sd("epistemic"), sd("y_epistemic"))}
+    bad = X.finite(mu).isNull() | X.finite(sides[""][0]).isNull() | (F.abs(mu) > limit_abs) | (sides[""][0] > limit_abs)
+    aggs = [F.count(y).alias("n"), F.coalesce(F.bool_or(bad), F.lit(False)).alias("diverged"), F.avg((mu - y) * (mu - y)).alias("mean_w2"),
+            X.safe_corr(mu, y).alias("r"), (1.0 - F.try_divide(F.avg((mu - y) * (mu - y)), F.nullif(F.var_pop(y), F.lit(0.0)))).alias("r2")]
+    for prefix, (p, t) in sides.items():
+        mean_t = F.avg(t)
+        aggs += [F.avg((p - t) * (p - t)).alias(f"{prefix}std_w2" if not prefix else f"{prefix}w2"), X.safe_corr(p, t).alias(f"{prefix}std_corr"),
+                 F.try_divide(F.avg(p), F.when(mean_t > 1e-12, mean_t)).alias(f"{prefix}std_ratio"),
+                 F.avg(p).alias(f"{prefix}pred_std"), mean_t.alias(f"{prefix}target_std")]
+    out = df.groupBy(*keys).agg(*aggs).withColumn("w2", F.col("mean_w2") + F.col("std_w2"))
+    usable = ~F.col("diverged") & (F.col("n") > 1)
+    kept = {*keys, "n", "diverged", *[c for c in out.columns if c.endswith("target_std")]}
+    return out.withColumns({c: F.when(usable, F.col(c)) for c in out.columns if c not in kept})
+
+
 def losses(df: DataFrame, keys: Sequence[str], mean: str, truth: str, *, variance: str | None = None,
            eps: float = 1e-8) -> DataFrame:
     """MSE, Poisson NLL of a positive rate, Gaussian NLL, Pearson and cosine similarity."""

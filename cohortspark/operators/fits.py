@@ -11,11 +11,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs as X
 from ..functions.ordered import row_numbers, top_k
 from ..functions.storage import reusable, small
+from .evaluation import spearman
 from .genotype import allele_frequencies, donor_slots, pair_products, screen
 from .intervals import window_join
 
@@ -29,7 +30,8 @@ TEST = -1
 FIT_SCHEMA = ("cell_type string, gene string, target string, snps array<string>, coefs array<double>, "
               "x_mean array<double>, x_scale array<double>, intercept double, y_mean double, y_scale double, "
               "alpha double, n_train long, n_test long, heldout_r2 double, heldout_r double, "
-              "insample_r2 double, insample_r double, status string")
+              "insample_r2 double, insample_r double, heldout_snps array<string>, heldout_weights array<double>, "
+              "heldout_offset double, status string")
 
 
 def design_rows(genes: DataFrame, variants: DataFrame, genotypes: DataFrame, *, window: int,
@@ -224,7 +226,8 @@ def _fit_function(targets: Sequence[str], model: str, l1: float, alpha: float |
                         _, _, r2, r = test.errors(target, raw, offset)
                         _, _, r2_in, r_in = total.errors(target, raw, offset)
                         row.update(heldout_r2=r2, heldout_r=r, insample_r2=r2_in, insample_r=r_in,
-                                   n_train=int(total.n), n_test=int(test.n))
+                                   n_train=int(total.n), n_test=int(test.n), heldout_snps=features[:len(w)],
+                                   heldout_weights=raw.tolist(), heldout_offset=float(offset))
                         known[phase] = True
                     else:
                         if "heldout" not in known:
@@ -252,6 +255,22 @@ def _pack(products: DataFrame, keys: Sequence[str]) -> DataFrame:
         *keys, F.col("cells.i").alias("i"), F.col("cells.j").alias("j"), F.col("cells.v").alias("v"))
 
 
+def fold_targets(targets: DataFrame, names: Sequence[str], *, cv: int = CV_FOLDS, seed: int = 42, test_fraction: float = 0.2,
+                 min_train: int = 3, min_test: int = 2, limit: int | None = None) -> DataFrame:
+    """Usable targets with their fold: -1 is held out, 0..cv-1 are cross-validation parts.
+
+    Genes with too few donors hold none out.
+    """
+    usable = targets.filter(X.all_of([F.col(n).isNotNull() for n in names])).select(
+        F.col("cell_type").cast("string").alias("cell_type"), "gene", "donor", *names)
+    hashed = usable.withColumn("__h", X.shuffle_order(seed, F.col("gene"), F.col("donor")))
+    ranked = row_numbers(hashed, ["cell_type", "gene"], ["__h", "donor"], rn="rn", total="n", limit=limit)
+    n = F.col("n")
+    n_test = F.when(n >= min_train + min_test, F.greatest(F.lit(min_test), F.least(
+        F.bround(n * test_fraction).cast("bigint"), n - min_train))).otherwise(0)
+    return ranked.withColumn("fold", F.when(F.col("rn") <= n_test, TEST).otherwise(F.col("rn") % cv)).drop("__h", "rn", "n")
+
+
 def fit_genes(design: DataFrame, targets: DataFrame, names: Sequence[str] = ("y",), *, model: str = "elasticnet",
               l1_ratio: float = L1_RATIO, alpha: float | None = None, cv: int = CV_FOLDS, n_alphas: int = N_ALPHAS,
               screen_to: int = 5000, seed: int = 42, test_fraction: float = 0.2, min_train: int = 3, min_test: int = 2,
@@ -265,15 +284,8 @@ def fit_genes(design: DataFrame, targets: DataFrame, names: Sequence[str] = ("y"
     if model not in ("elasticnet", "ridge"):
         raise ValueError(f"unknown model {model!r}")
     names = list(names)
-    usable = targets.filter(X.all_of([F.col(n).isNotNull() for n in names])).select(
-        F.col("cell_type").cast("string").alias("cell_type"), "gene", "donor", *names)
-    hashed = usable.withColumn("__h", X.shuffle_order(seed, F.col("gene"), F.col("donor")))
-    ranked = row_numbers(hashed, ["cell_type", "gene"], ["__h", "donor"], rn="rn", total="n", limit=limit)
-    n = F.col("n")
-    n_test = F.when(n >= min_train + min_test, F.greatest(F.lit(min_test), F.least(
-        F.bround(n * test_fraction).cast("bigint"), n - min_train))).otherwise(0)
-    folded = reusable(ranked.withColumn("fold", F.when(F.col("rn") <= n_test, TEST).otherwise(F.col("rn") % cv))
-                      .drop("__h", "rn", "n"))
+    folded = reusable(fold_targets(targets, names, cv=cv, seed=seed, test_fraction=test_fraction, min_train=min_train,
+                                   min_test=min_test, limit=limit))
     rows = reusable(design.join(folded, ["gene", "donor"]))
     group = ["cell_type", "gene"]
     chosen = []
@@ -325,12 +337,50 @@ def raw_intercepts(fits: DataFrame) -> DataFrame:
         (F.col("y_mean") + F.col("y_scale") * (F.col("intercept") - shift)).alias("intercept"))
 
 
-def head_divergence(fits: DataFrame, *, ratio: float = 10.0) -> DataFrame:
-    """Per gene: held-out quality of each head side by side and a flag where head scales diverge."""
-    wide = fits.filter("status = 'ok'").groupBy("cell_type", "gene").agg(
-        F.max("y_scale").alias("hi"), F.min("y_scale").alias("lo"))
-    return wide.select("cell_type", "gene", F.try_divide("hi", F.nullif("lo", F.lit(0.0))).alias("scale_ratio"),
-                       (F.col("hi") > ratio * F.col("lo")).alias("diverged"))
+def _linear(weights: DataFrame, offsets: DataFrame, design: DataFrame) -> DataFrame:
+    """(cell_type, gene, target, donor, prediction); a gene without weights predicts its offset."""
+    x = design.select(F.col("gene").cast("string").alias("gene"), F.col("snp").cast("string").alias("snp"), "donor", "x")
+    summed = weights.join(x, ["gene", "snp"]).groupBy("cell_type", "gene", "target", "donor").agg(
+        F.sum(F.col("weight") * F.col("x")).alias("s"))
+    every = offsets.join(x.select("gene", "donor").distinct(), "gene")
+    return every.join(summed, ["cell_type", "gene", "target", "donor"], "left").select(
+        "cell_type", "gene", "target", "donor", (F.col("offset") + F.coalesce("s", F.lit(0.0))).alias("prediction"))
+
+
+def predict(fits: DataFrame, design: DataFrame) -> DataFrame:
+    """Predictions of the kept fits on raw dosages."""
+    return _linear(raw_weights(fits), raw_intercepts(fits).withColumnRenamed("intercept", "offset"), design)
+
+
+def predict_heads(fits: DataFrame, design: DataFrame, *, mean: str = "mean",
+                  log_variances: Sequence[str] = ("aleatoric", "epistemic")) -> DataFrame:
+    """One row per donor with the mean and the variance heads, undone from log1p and kept non-negative."""
+    long = predict(fits, design)
+
+    def of(target: str) -> Column:
+        return F.max(F.when(F.col("target") == target, F.col("prediction")))
+
+    return long.groupBy("cell_type", "gene", "donor").agg(
+        of(mean).alias("mu"), *[F.greatest(F.expm1(of(v)), F.lit(0.0)).alias(v) for v in log_variances])
+
+
+def rank_quality(fits: DataFrame, design: DataFrame, folded: DataFrame, names: Sequence[str], *,
+                 limit: int | None = None) -> DataFrame:
+    """Held-out and in-sample Spearman of the held-out fits, from donor-level predictions."""
+    ok = fits.filter("heldout_offset is not null")
+    z = F.explode(F.arrays_zip("heldout_snps", "heldout_weights")).alias("z")
+    weights = ok.select("cell_type", "gene", "target", z).select(
+        "cell_type", "gene", "target", F.col("z.heldout_snps").alias("snp"), F.col("z.heldout_weights").alias("weight")).filter("weight <> 0")
+    offsets = ok.select("cell_type", "gene", "target", F.col("heldout_offset").alias("offset"))
+    truth = folded.select("cell_type", F.col("gene").cast("string").alias("gene"), "donor",
+                          F.when(F.col("fold") == TEST, "heldout").otherwise("insample").alias("part"),
+                          *[F.col(n).cast("double").alias(n) for n in names]).unpivot(
+        ["cell_type", "gene", "donor", "part"], list(names), "target", "truth")
+    pairs = reusable(_linear(weights, offsets, design).join(truth, ["cell_type", "gene", "target", "donor"]))
+    rho = spearman(pairs, ["cell_type", "gene", "target", "part"], "prediction", "truth", min_n=2, limit=limit)
+    return rho.groupBy("cell_type", "gene", "target").agg(
+        F.max(F.when(F.col("part") == "heldout", F.col("rho"))).alias("heldout_rho"),
+        F.max(F.when(F.col("part") == "insample", F.col("rho"))).alias("insample_rho"))
 
 
 # ---- bootstrapped member ensembles -----------------------------------------------------------

@@ -338,7 +338,7 @@ def total_variance(spark, sf):
 
 
 @query("variance_scale", "A33", """
-SELECT cell_type, greatest(avg((truth-prediction)*(truth-prediction)/greatest(uncertainty, 1e-6)), 1e-6) AS alpha FROM expr GROUP BY ALL""",
+SELECT cell_type, greatest(avg((truth-prediction)*(truth-prediction)/greatest(uncertainty, 1e-8)), 1e-8) AS alpha FROM expr GROUP BY ALL""",
        ctes="expr", floats="alpha", digits=2)
 def variance_scale(spark, sf):
     return V.variance_scale(T.expr(spark, sf), ["cell_type"], "truth", "prediction", "uncertainty")
@@ -365,6 +365,48 @@ def evaluation_losses(spark, sf):
                     "prediction", "truth", variance="uncertainty")
 
 
+@query("correlation_losses", "A35 A30", f"""
+WITH c AS (SELECT {r_sql('prediction', 'truth')} AS r FROM expr GROUP BY cell_type HAVING count(*) >= 2), g AS (SELECT {r_sql('prediction', 'truth')} AS r FROM expr GROUP BY gene HAVING count(*) >= 2)
+SELECT -((SELECT avg(r) FROM c) + (SELECT avg(r) FROM g)) AS mutual_correlation_loss, 2 - (SELECT avg(coalesce(r, 0)) FROM c) - (SELECT avg(coalesce(r, 0)) FROM g) AS cosine_loss""",
+       ctes="expr", floats="mutual_correlation_loss cosine_loss")
+def correlation_losses(spark, sf):
+    return V.correlation_losses(T.expr(spark, sf), "prediction", "truth")
+
+
+_MAGNITUDE = ("avg({0})/avg(e) AS {1}variance_ratio, 1 - avg(({0}-e)*({0}-e))/var_pop(e) AS {1}r2, sqrt(avg(pow(sqrt({0})-sqrt(e), 2))) AS {1}std_rmse, "
+              "sqrt(avg(pow(sqrt({0})-sqrt(e), 2)))/avg(sqrt(e)) AS {1}std_nrmse")
+
+
+@query("variance_report", "A32", f"""
+WITH m AS (SELECT cell_type, gene, avg(uncertainty)*100 AS p, avg(uncertainty)*50 AS u, var_pop(truth) AS e FROM expr GROUP BY ALL HAVING count(*) >= 2),
+w AS (SELECT (SELECT avg(r) FROM (SELECT {r_sql('p', 'e')} AS r FROM m GROUP BY cell_type)) AS pearson_macro, {r_sql('p', 'e')} AS pearson_pooled, {_MAGNITUDE.format('p', '')}, {_MAGNITUDE.format('u', 'uncalibrated_')} FROM m)
+SELECT metric, value FROM (UNPIVOT w ON COLUMNS(*) INTO NAME metric VALUE value)""", ctes="expr", floats="value", digits=7)
+def variance_report(spark, sf):
+    m = T.expr(spark, sf).groupBy("cell_type", "gene").agg(
+        (F.avg("uncertainty") * 100).alias("p"), F.var_pop("truth").alias("e"), F.count(F.lit(1)).alias("c")).filter("c >= 2")
+    return V.variance_report(m, "p", "e", 2.0)
+
+
+_SIDE = "avg(pow({0}-{1}, 2)) AS {2}, {3} AS {4}std_corr, avg({0})/avg({1}) AS {4}std_ratio, avg({0}) AS {4}pred_std, avg({1}) AS {4}target_std"
+
+
+@query("head_metrics", "M5", f"""
+WITH h AS (SELECT cell_type, gene, CASE WHEN gene = 7 THEN prediction*100 ELSE prediction END AS mu, truth AS y, uncertainty AS a, truth/1000 AS ya, uncertainty*2 AS e, prediction/1000 AS ye FROM expr),
+s AS (SELECT *, sqrt(a+e) AS p, sqrt(ya+ye) AS t, sqrt(a) AS pa, sqrt(ya) AS ta, sqrt(e) AS pe, sqrt(ye) AS te FROM h),
+g AS (SELECT cell_type, gene, count(*) AS n, max(abs(mu)) > 1000 AS diverged, avg(pow(mu-y, 2)) AS mean_w2, {r_sql('mu', 'y')} AS r, 1 - avg(pow(mu-y, 2))/var_pop(y) AS r2,
+ {_SIDE.format('p', 't', 'std_w2', r_sql('p', 't'), '')}, {_SIDE.format('pa', 'ta', 'aleatoric_w2', r_sql('pa', 'ta'), 'aleatoric_')}, {_SIDE.format('pe', 'te', 'epistemic_w2', r_sql('pe', 'te'), 'epistemic_')} FROM s GROUP BY ALL)
+SELECT cell_type, gene, n, diverged, target_std, aleatoric_target_std, epistemic_target_std, CASE WHEN NOT diverged AND n > 1 THEN mean_w2 + std_w2 END AS w2, CASE WHEN NOT diverged AND n > 1 THEN r2 END AS r2,
+ CASE WHEN NOT diverged AND n > 1 THEN std_corr END AS std_corr, CASE WHEN NOT diverged AND n > 1 THEN aleatoric_std_ratio END AS aleatoric_std_ratio, CASE WHEN NOT diverged AND n > 1 THEN epistemic_w2 END AS epistemic_w2 FROM g""",
+       ctes="expr", floats="target_std aleatoric_target_std epistemic_target_std w2 r2 std_corr aleatoric_std_ratio epistemic_w2", digits=6)
+def head_metrics(spark, sf):
+    e = T.expr(spark, sf)
+    rows = e.select("cell_type", "gene", F.when(F.col("gene") == 7, F.col("prediction") * 100).otherwise(F.col("prediction")).alias("mu"), F.col("truth").alias("y"),
+                    F.col("uncertainty").alias("aleatoric"), (F.col("truth") / 1000).alias("y_aleatoric"), (F.col("uncertainty") * 2).alias("epistemic"),
+                    (F.col("prediction") / 1000).alias("y_epistemic"))
+    return V.head_metrics(rows, KEYS).select("cell_type", "gene", "n", "diverged", "target_std", "aleatoric_target_std", "epistemic_target_std", "w2", "r2",
+                                             "std_corr", "aleatoric_std_ratio", "epistemic_w2")
+
+
 @query("centred_cosine", "A35", f"SELECT gene, {r_sql('prediction', 'truth')} AS centred_cosine FROM expr GROUP BY gene", ctes="expr", floats="centred_cosine")
 def centred_cosine(spark, sf):
     return V.centred_cosine(T.expr(spark, sf), ["gene"], "prediction", "truth")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as T
 from ..registry import query, sql_norm_ppf
 from ...functions.ordered import top_k
+from ...functions.storage import reusable
 from ...operators import evaluation as V, fits as M, genotype as G
 
 
@@ -158,6 +159,27 @@ def fit_elastic_net(spark, sf):
                        F.size("snps").alias("n_snps"), "status")
 
 
+@query("fit_rank_quality", "M4 A18")
+def fit_rank_quality(spark, sf):
+    rows, targets = _design(spark, sf)
+    targets = targets.withColumn("cell_type", F.lit("c"))
+    fits = reusable(M.fit_genes(rows, targets, alpha=0.02))
+    return M.rank_quality(fits, rows, M.fold_targets(targets, ["y"]), ["y"])
+
+
+@query("fit_three_heads", "M5")
+def fit_three_heads(spark, sf):
+    """Mean and two log1p variance heads fitted together, scored against their targets."""
+    rows, targets = _design(spark, sf)
+    targets = targets.select(F.lit("c").alias("cell_type"), "gene", "donor", F.col("y").alias("mean"),
+                             F.log1p(F.abs("y2")).alias("aleatoric"), F.log1p(F.abs(F.col("y") - F.col("y2"))).alias("epistemic"))
+    fits = reusable(M.fit_genes(rows, targets, ("mean", "aleatoric", "epistemic"), alpha=0.02))
+    truth = targets.select("cell_type", F.col("gene").cast("string").alias("gene"), "donor", F.col("mean").alias("y"),
+                           F.expm1("aleatoric").alias("y_aleatoric"), F.expm1("epistemic").alias("y_epistemic"))
+    joined = M.predict_heads(fits, rows).join(truth, ["cell_type", "gene", "donor"])
+    return V.head_metrics(joined, ["cell_type", "gene"])
+
+
 @query("fit_two_heads", "M5 M3")
 def fit_two_heads(spark, sf):
     fits = _fits(spark, sf, ("y", "y2"), model="ridge")

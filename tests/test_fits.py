@@ -139,3 +139,39 @@ def test_uniform_weights_screen_like_none(spark, problem):
     plain = {r.snp: r.score for r in G.screen(rows, ["gene"], ["y"]).collect()}
     weighted = {r.snp: r.score for r in G.screen(rows, ["gene"], ["y"], weight="w").collect()}
     assert all(weighted[s] == pytest.approx(plain[s]) for s in plain)
+
+
+def test_rank_quality_and_predictions(spark, problem):
+    x, y = problem
+    design, target = _tables(spark, x, y)
+    fits = M.fit_genes(design, target, alpha=0.02)
+    folded = M.fold_targets(target, ["y"])
+    q = M.rank_quality(fits, design, folded, ["y"]).first()
+    assert q.heldout_rho > 0.6 and q.insample_rho > 0.6
+    got = {r.donor: r.prediction for r in M.predict(fits, design).collect()}
+    fit = fits.first()
+    raw = np.array(fit.coefs) * fit.y_scale / np.array(fit.x_scale)
+    order = [int(s[1:]) for s in fit.snps]
+    want = x[:, order] @ raw + fit.y_mean - raw @ np.array(fit.x_mean)
+    assert np.allclose([got[i] for i in range(len(y))], want)
+
+
+def test_rank_quality_matches_a_local_rank(spark, problem):
+    x, y = problem
+    design, target = _tables(spark, x, y)
+    fits = M.fit_genes(design, target, alpha=0.02)
+    fit = fits.first()
+    held = [r.donor for r in M.fold_targets(target, ["y"]).filter("fold = -1").collect()]
+    order = [int(s[1:]) for s in fit.heldout_snps]
+    pred = x[np.ix_(held, order)] @ np.array(fit.heldout_weights) + fit.heldout_offset
+    r2 = 1 - ((y[held] - pred) ** 2).sum() / ((y[held] - y[held].mean()) ** 2).sum()
+    assert fit.heldout_r2 == pytest.approx(r2, abs=1e-9)
+    assert fit.heldout_r == pytest.approx(np.corrcoef(pred, y[held])[0, 1], abs=1e-9)
+
+
+def test_diverged_heads_have_no_metrics(spark):
+    df = spark.createDataFrame([("g", 1e4, 1.0, 1.0, 1.0, 1.0, 1.0), ("h", 1.0, 1.0, 1.0, 2.0, 1.0, 1.0), ("h", 3.0, 1.0, 1.0, 3.0, 1.0, 1.0)],
+                               "gene string, mu double, aleatoric double, epistemic double, y double, y_aleatoric double, y_epistemic double")
+    got = {r.gene: r for r in V.head_metrics(df, ["gene"]).collect()}
+    assert got["g"].diverged and got["g"].w2 is None
+    assert not got["h"].diverged and got["h"].w2 == pytest.approx(0.5) and got["h"].std_corr is None
