@@ -242,6 +242,8 @@ def _fit_function(targets: Sequence[str], model: str, l1: float, alpha: float |
         out = pd.DataFrame(rows).reindex(columns=columns)
         for c in ("n_train", "n_test"):
             out[c] = out[c].astype("Int64")
+        for c in ("snps", "coefs", "x_mean", "x_scale", "heldout_snps", "heldout_weights"):
+            out[c] = [v if isinstance(v, list) else None for v in out[c]]
         return out
 
     return fit
