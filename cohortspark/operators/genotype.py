@@ -313,9 +313,10 @@ def one_hot(codes: Column) -> Column:
                                                     lambda k: (k == c).cast("int")))
 
 
-def centre_crop(sequence: Column, width: int) -> Column:
-    start = F.floor((F.length(sequence) - width) / 2) + 1
-    return F.substr(sequence, start.cast("int"), F.lit(width))
+def centre_crop(sequence: Column, width: int | Column) -> Column:
+    wide = F.lit(width) if isinstance(width, int) else width
+    start = F.floor((F.length(sequence) - wide) / 2) + 1
+    return F.substr(sequence, start.cast("int"), wide)
 
 
 def apply_edits(sequence: Column, edits: Column) -> Column:

@@ -62,13 +62,14 @@ def covariance_genes(spark, sf):
     return _covariance(spark, sf, max_snps=8)[2]
 
 
-_W = "w AS (SELECT 'e' || (l_partkey % 40) AS gene, l_partkey % 90 AS snp, avg(l_discount) - 0.05 AS weight FROM lineitem GROUP BY ALL), i AS (SELECT 'e' || x AS gene, x/10.0 AS intercept FROM (SELECT unnest(range(45)) AS x))"
+_W = "w AS (SELECT 'e' || (l_partkey % 40) AS gene, l_partkey % 90 AS snp, avg(l_discount) - 0.05 AS weight FROM lineitem GROUP BY ALL), i AS (SELECT DISTINCT 'e' || (s_suppkey % 45) AS gene, (s_suppkey % 45)/10.0 AS intercept FROM supplier)"
 
 
 def _scoring(spark, sf):
     w = T.table(spark, sf, "lineitem").groupBy(F.concat(F.lit("e"), F.col("l_partkey") % 40).alias("gene"), (F.col("l_partkey") % 90).alias("snp")).agg(
         (F.avg("l_discount") - 0.05).alias("weight"))
-    base = spark.range(45).select(F.concat(F.lit("e"), "id").alias("gene"), (F.col("id") / 10.0).alias("intercept"))
+    slot = F.col("s_suppkey") % 45
+    base = T.table(spark, sf, "supplier").select(F.concat(F.lit("e"), slot).alias("gene"), (slot / 10.0).alias("intercept")).distinct()
     return w, base, T.genotypes(spark, sf).select("snp", "donor", "dosage")
 
 
@@ -266,10 +267,10 @@ def personalised_sequences(spark, sf):
 
 
 @query("sequence_codes", "X8", """
-WITH c AS (SELECT doc_id, upper(unnest(string_split(substr(text, (length(text) - 40)//2 + 1, 40), ''))) AS c FROM documents WHERE length(text) >= 40)
+WITH c AS (SELECT doc_id, upper(unnest(string_split(text, ''))) AS c FROM documents)
 SELECT doc_id, count_if(c = 'A') AS n_a, count_if(c = 'C') AS n_c, count_if(c = 'G') AS n_g, count_if(c = 'T') AS n_t, count_if(c NOT IN ('A','C','G','T')) AS n_other FROM c GROUP BY doc_id""")
 def sequence_codes(spark, sf):
-    d = T.table(spark, sf, "documents").filter(F.length("text") >= 40).select("doc_id", G.base_codes(G.centre_crop(F.col("text"), 40)).alias("codes"))
+    d = T.table(spark, sf, "documents").select("doc_id", G.base_codes(F.col("text")).alias("codes"))
     hot = d.select("doc_id", "codes", G.one_hot(F.col("codes")).alias("hot"))
 
     def channel(k):
@@ -279,6 +280,13 @@ def sequence_codes(spark, sf):
     return hot.select("doc_id", *total, F.size(F.filter("codes", lambda c: c == 4)).cast("bigint").alias("n_other"))
 
 
+@query("centre_crops", "X8", """
+SELECT doc_id, md5(substr(text, (length(text) - length(text)//2)//2 + 1, length(text)//2)) AS digest FROM documents""")
+def centre_crops(spark, sf):
+    half = F.floor(F.length("text") / 2).cast("int")
+    return T.table(spark, sf, "documents").select("doc_id", F.md5(G.centre_crop(F.col("text"), half)).alias("digest"))
+
+
 @query("window_sequences", "X7", """
 WITH w AS (SELECT doc_id, length(text) AS n, text, CAST(s AS BIGINT) AS start, CAST(s + 500 AS BIGINT) AS "end" FROM documents, (SELECT unnest([-50, 100, 100000]) AS s)),
 a AS (SELECT *, CASE WHEN start < 0 THEN 0 WHEN "end" > n THEN greatest(n - 500, 0) ELSE start END AS actual_start,

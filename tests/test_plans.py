@@ -45,3 +45,28 @@ def test_entry_has_rows(spark):
 
 def test_every_query_states_what_it_covers():
     assert all(q.covers for q in REGISTRY.values())
+
+
+def test_large_groups_are_sliced(spark):
+    from pyspark.sql import functions as F
+
+    from cohortspark.functions import ordered as O
+    from cohortspark.operators import pooling as P
+
+    df = spark.range(500).select(F.lit("hot").alias("k"), F.col("id").alias("gene"), (F.col("id") / 500.0).alias("pvalue"))
+    for out in (O.average_ranks(df, ["k"], "pvalue", limit=0), O.row_numbers(df, [], ["pvalue", "gene"], limit=0),
+                P.annotate_significance(df, ["k"], limit=0)):
+        text = plan(out)
+        windows = [line for line in text.splitlines() if "Window [" in line]
+        # Windows over rows stay inside a slice; the others see one total per slice and group.
+        over_rows = [line for line in windows if "pvalue" in line]
+        assert over_rows and all("__slice" in line for line in over_rows)
+
+
+def test_plain_scans_are_not_copied(spark):
+    from cohortspark.functions import storage as S
+
+    df = spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_quantity > 3")
+    assert S.settled(df, 0) == (df, False)
+    grown = df.selectExpr("explode(sequence(1, 5)) AS i")
+    assert not S.bounded(grown) and S.settled(grown)[0] is not grown
