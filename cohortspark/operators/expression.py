@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs as X
 from ..functions.ordered import average_ranks, row_numbers, value_counts
-from ..functions.storage import small, vocabulary
+from ..functions.storage import reusable, small, vocabulary
 
 
 def clean_cells(cells: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -86,6 +86,7 @@ def filter_by_expression(sums: DataFrame, groups: DataFrame, *, min_cells: int,
     age stage), not those passing QC. Zeros enter the variance by arithmetic.
     """
     by, scope = list(by), list(scope)
+    sums, groups = reusable(sums), reusable(groups)
     donors = groups.groupBy(*scope).agg(F.count_distinct("donor").alias("n_donors"))
     passing = groups.filter(F.col("n_cells") >= min_cells)
     sizes = passing.groupBy(*by).agg(F.count(F.lit(1)).alias("n_valid"))
