@@ -2,7 +2,7 @@
 
 A text falls into the pieces of the vocabulary's split pattern, and each piece is encoded by itself. Its bytes are written
 as the characters that stand for them, the library's model merges these, and a worker remembers the ids of each distinct
-piece. The library's offsets count bytes; they are mapped to characters and shifted to where the piece stands. Decoding reverses the byte table of the vocabulary: token strings
+piece. A token string has one character per byte, so its bytes' characters give its offsets in the text. Decoding reverses the byte table of the vocabulary: token strings
 are characters that stand for bytes, so a character split over several tokens comes back whole once their bytes meet.
 
 Edges: a null or empty text gives no tokens and decodes to empty bytes. An id outside the vocabulary is an error.
@@ -13,14 +13,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame, functions as F
 
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Text bytes, or tokens, in one Arrow batch that goes back to Spark.
 STEP = 2 << 20
 
@@ -69,7 +70,8 @@ class Encoder:
         for piece in self.split(text):
             if piece not in self.spans:
                 character = [i for i, c in enumerate(piece) for _ in c.encode()]
-                self.spans[piece] = [(character[s], character[e - 1] + 1) for s, e in (t.offsets for t in self.tokens(piece))]
+                ends = list(accumulate((len(t.value) for t in self.tokens(piece)), initial=0))
+                self.spans[piece] = [(character[s], character[e - 1] + 1) for s, e in zip(ends, ends[1:])]
             found += [(at + s, at + e) for s, e in self.spans[piece]]
             at += len(piece)
         return np.array(found, np.int64).reshape(-1, 2)
@@ -82,46 +84,40 @@ def quiet_threads() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str, offsets: bool = False, id_column: str = "doc_id",
-           text_column: str = "text") -> DataFrame:
-    """(id, ids array<int>), with `starts` and `ends` (characters) when `offsets` is set."""
-    schema = f"`{id_column}` bigint, ids array<int>" + (", starts array<bigint>, ends array<bigint>" if offsets else "")
-    lists = pa.list_(pa.int32())
+Batches = Iterator[pa.RecordBatch]
+
+
+def encoded(batches: Batches, vocabulary: str, pattern: str, offsets: bool) -> Batches:
+    """(id, text) batches as (id, ids), with (starts, ends) when `offsets` is set."""
+    quiet_threads()
+    encoder = Encoder(vocabulary, pattern)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quiet_threads()
-        encoder = Encoder(vocabulary, pattern)
+    def batch(keys: list, ids: list, spans: list) -> pa.RecordBatch:
+        columns, names = [pa.array(keys, pa.int64()), joined(ids, pa.int32())], ["id", "ids"]
+        if offsets:
+            columns += [joined([s[:, i] for s in spans], pa.int64()) for i in (0, 1)]
+            names += ["starts", "ends"]
+        return pa.RecordBatch.from_arrays(columns, names)
 
-        def batch(keys: list, ids: list, spans: list) -> pa.RecordBatch:
-            columns = [pa.array(keys, pa.int64()), joined(ids, lists)]
-            names = [id_column, "ids"]
+    for part in batches:
+        keys, ids, spans, size = [], [], [], 0
+        for key, text in zip(part.column(0), part.column(1)):
+            text = text.as_py() or ""
+            keys.append(key.as_py())
+            ids.append(np.array(encoder.encode(text), np.int32))
             if offsets:
-                columns += [joined([s[:, i] for s in spans], pa.list_(pa.int64())) for i in (0, 1)]
-                names += ["starts", "ends"]
-            return pa.RecordBatch.from_arrays(columns, names)
-
-        for part in batches:
-            keys, ids, spans, size = [], [], [], 0
-            for key, text in zip(part.column(0).to_pylist(), part.column(1)):
-                text = text.as_py() or ""
-                if offsets:
-                    spans.append(encoder.offsets(text))
-                keys.append(key)
-                ids.append(np.array(encoder.encode(text), np.int32))
-                size += len(text)
-                if size >= STEP:
-                    yield batch(keys, ids, spans)
-                    keys, ids, spans, size = [], [], [], 0
-            if keys:
+                spans.append(encoder.offsets(text))
+            size += len(text)
+            if size >= STEP:
                 yield batch(keys, ids, spans)
-
-    return docs.select(id_column, text_column).mapInArrow(run, schema)
+                keys, ids, spans, size = [], [], [], 0
+        if keys:
+            yield batch(keys, ids, spans)
 
 
 def joined(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)]).astype(np.int32)
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind.value_type))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows), kind))
 
 
 class Decoder:
@@ -131,7 +127,7 @@ class Decoder:
         from tokenizers import Tokenizer
 
         tokenizer, back = Tokenizer.from_file(vocabulary), {c: b for b, c in enumerate(byte_characters())}
-        special = {i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        special = set(tokenizer.get_added_tokens_decoder())
         self.bytes_of = {i: t.encode() if i in special else bytes(map(back.__getitem__, t))
                          for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
 
@@ -139,35 +135,44 @@ class Decoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def decode(encoded: DataFrame, vocabulary: str, id_column: str = "doc_id") -> DataFrame:
-    """(id, ids, bytes): the bytes that the ids stand for; null ids give empty bytes."""
-    schema = f"`{id_column}` bigint, ids array<int>, bytes binary"
+def decoded(batches: Batches, vocabulary: str) -> Batches:
+    """(id, ids) batches as (id, ids, bytes)."""
+    quiet_threads()
+    decoder = Decoder(vocabulary)
+    for part in batches:
+        step = max(1, STEP * part.num_rows // max(1, len(part.column(1).flatten())))
+        for lo in range(0, part.num_rows, step):
+            rows = part.slice(lo, step)
+            found = [decoder.decode(x.as_py() or []) for x in rows.column(1)]
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found, pa.binary())], ["id", "ids", "bytes"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quiet_threads()
-        decoder = Decoder(vocabulary)
-        for part in batches:
-            step = max(1, STEP * part.num_rows // max(1, len(part.column(1).flatten())))
-            for lo in range(0, part.num_rows, step):
-                rows = part.slice(lo, step)
-                found = [decoder.decode(x or []) for x in rows.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found, pa.binary())],
-                                                 [id_column, "ids", "bytes"])
 
-    return encoded.select(id_column, "ids").mapInArrow(run, schema)
+def digests(batches: Batches) -> Batches:
+    """(id, ids, bytes) batches as the number of ids and the digests of both results."""
+    for part in batches:
+        ids = [hashlib.sha256(" ".join(map(str, x.as_py() or [])).encode()).hexdigest() for x in part.column(1)]
+        yield pa.RecordBatch.from_arrays([
+            part.column(0), pa.compute.list_value_length(part.column(1)).cast(pa.int64()), pa.array(ids, pa.string()),
+            pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in part.column(2)], pa.string()),
+        ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ok): encode, decode, and digests of both results."""
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+def encode(docs: DataFrame, vocabulary: str, pattern: str, offsets: bool = False, id_column: str = "doc_id",
+           text_column: str = "text") -> DataFrame:
+    """(id, ids array<int>), with `starts` and `ends` (characters) when `offsets` is set."""
+    schema = "id bigint, ids array<int>" + (", starts array<bigint>, ends array<bigint>" if offsets else "")
+    source = docs.select(F.col(id_column).cast("bigint"), F.col(text_column).cast("string"))
+    return source.mapInArrow(lambda b: encoded(b, vocabulary, pattern, offsets), schema).withColumnRenamed("id", id_column)
+
+
+def decode(ids: DataFrame, vocabulary: str, id_column: str = "doc_id") -> DataFrame:
+    """(id, ids, bytes): the bytes that the ids stand for; null ids give empty bytes."""
+    return ids.select(id_column, "ids").mapInArrow(lambda b: decoded(b, vocabulary), "id bigint, ids array<int>, bytes binary"
+                                                   ).withColumnRenamed("id", id_column)
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            ids = part.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                part.column(0), pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(" ".join(map(str, x)).encode()).hexdigest() for x in ids]),
-                pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in part.column(2)]),
-            ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return decode(encode(docs, vocabulary, pattern), vocabulary).mapInArrow(digest, schema)
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, decoded and digested in one pass of a worker."""
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    return source.mapInArrow(lambda b: digests(decoded(encoded(b, vocabulary, pattern, False), vocabulary)), schema)
