@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import automaton_dedup, byte_bpe, suffix_dedup
+from cohortspark.llm import automaton_dedup, byte_bpe, suffix_dedup, template_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -43,3 +43,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"), length=400, keep="none")
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@register("op9_template_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return template_dedup.drop_recurring(table(spark, sf_dir, "documents"))
