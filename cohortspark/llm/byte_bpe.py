@@ -21,11 +21,14 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
 #: Distinct pieces that a worker remembers before it starts anew.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 #: Text bytes, or tokens, in one Arrow batch that goes back to Spark.
 STEP = 2 << 20
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
 def byte_characters() -> list[str]:
     """Character that stands for each byte in token strings: printable Latin-1 stands for itself, the rest follows from
     code point 256 on in byte order."""
@@ -77,6 +80,16 @@ class Encoder:
         return np.array(found, np.int64).reshape(-1, 2)
 
 
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder_of(vocabulary: str, pattern: str) -> Encoder:
+    """A worker's encoder, kept with its pieces from task to task."""
+    if (vocabulary, pattern) not in _ENCODERS:
+        _ENCODERS[vocabulary, pattern] = Encoder(vocabulary, pattern)
+    return _ENCODERS[vocabulary, pattern]
+
+
 def quiet_threads() -> None:
     """One thread: Spark runs a task on each core already."""
     import os
@@ -84,13 +97,10 @@ def quiet_threads() -> None:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
 
 
-Batches = Iterator[pa.RecordBatch]
-
-
 def encoded(batches: Batches, vocabulary: str, pattern: str, offsets: bool) -> Batches:
     """(id, text) batches as (id, ids), with (starts, ends) when `offsets` is set."""
     quiet_threads()
-    encoder = Encoder(vocabulary, pattern)
+    encoder = encoder_of(vocabulary, pattern)
 
     def batch(keys: list, ids: list, spans: list) -> pa.RecordBatch:
         columns, names = [pa.array(keys, pa.int64()), joined(ids, pa.int32())], ["id", "ids"]
@@ -135,6 +145,13 @@ class Decoder:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+def lists(column: pa.ListArray) -> Iterator[list[int]]:
+    """Rows of a list column as Python lists; null gives none."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy())
+    return (flat[lo:hi].tolist() for lo, hi in zip([0, *ends], ends))
+
+
 def decoded(batches: Batches, vocabulary: str) -> Batches:
     """(id, ids) batches as (id, ids, bytes)."""
     quiet_threads()
@@ -143,16 +160,18 @@ def decoded(batches: Batches, vocabulary: str) -> Batches:
         step = max(1, STEP * part.num_rows // max(1, len(part.column(1).flatten())))
         for lo in range(0, part.num_rows, step):
             rows = part.slice(lo, step)
-            found = [decoder.decode(x.as_py() or []) for x in rows.column(1)]
+            found = [decoder.decode(x) for x in lists(rows.column(1))]
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found, pa.binary())], ["id", "ids", "bytes"])
 
 
 def digests(batches: Batches) -> Batches:
     """(id, ids, bytes) batches as the number of ids and the digests of both results."""
+    decimal: dict[int, str] = {}
     for part in batches:
-        ids = [hashlib.sha256(" ".join(map(str, x.as_py() or [])).encode()).hexdigest() for x in part.column(1)]
+        decimal |= {i: str(i) for i in np.unique(part.column(1).flatten()).tolist() if i not in decimal}
+        ids = [hashlib.sha256(" ".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in lists(part.column(1))]
         yield pa.RecordBatch.from_arrays([
-            part.column(0), pa.compute.list_value_length(part.column(1)).cast(pa.int64()), pa.array(ids, pa.string()),
+            part.column(0), pa.compute.fill_null(pa.compute.list_value_length(part.column(1)), 0).cast(pa.int64()), pa.array(ids, pa.string()),
             pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in part.column(2)], pa.string()),
         ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
