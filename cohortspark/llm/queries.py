@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import automaton_dedup, byte_bpe, suffix_dedup, template_dedup
+from cohortspark.llm import automaton_dedup, boosted_rules, byte_bpe, suffix_dedup, template_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,3 +48,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_template_dedup")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_dedup.drop_recurring(table(spark, sf_dir, "documents"))
+
+
+@register("op10_boosted_rules")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return boosted_rules.rules(docs, boosted_rules.train(docs, table(spark, sf_dir, "labels")))
