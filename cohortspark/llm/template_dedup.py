@@ -26,13 +26,16 @@ SPACE = r"\x20\x09-\x0D"
 VARIABLE = rf"(?<![^{SPACE}])[^{SPACE}0-9]*+[0-9][^{SPACE}]*+"
 
 
-def masked_lines(text: Column) -> Column:
-    """Lines of a text with its variable tokens as wildcards."""
-    return F.split(F.regexp_replace(text, VARIABLE, WILDCARD), "\n")
+def masked(line: Column) -> Column:
+    """A line with variable tokens as wildcards and one space between tokens; lines that are so already cost no rewrite."""
+    odd = line.rlike(r"[0-9\x09-\x0D]") | line.contains("  ") | line.startswith(" ") | line.endswith(" ")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(line, VARIABLE, WILDCARD), f"[{SPACE}]+", " "))
+    return F.when(odd, plain).otherwise(line)
 
 
-def tokens(line: Column) -> Column:
-    return F.array_remove(F.split(line, f"[{SPACE}]+"), "")
+def n_tokens(line: Column) -> Column:
+    """Tokens of a masked line: spaces and one, or none."""
+    return F.when(line == "", F.lit(0)).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
 
 
 def bound(value: Column, use) -> Column:
@@ -49,10 +52,10 @@ def identified(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 def leaves(docs: DataFrame, lead: int) -> DataFrame:
     """One row per line with a token: (id, key, no, leaf, line), the last two as hashes."""
-    lines = docs.select("id", "key", F.posexplode(masked_lines(F.col("text"))).alias("no", "masked"))
-    split = lines.select("id", "key", "no", tokens(F.col("masked")).alias("t"))
-    return split.where(F.size("t") > 0).select("id", "key", "no", F.xxhash64(F.size("t"), F.slice("t", 1, lead)).alias("leaf"),
-                                               F.xxhash64("t").alias("line"))
+    lines = docs.select("id", "key", F.posexplode(F.split("text", "\n")).alias("no", "line"))
+    lines = lines.select("id", "key", "no", masked(F.col("line")).alias("line")).where("line <> ''")
+    return lines.select("id", "key", "no", F.xxhash64(n_tokens(F.col("line")), F.substring_index("line", " ", lead)).alias("leaf"),
+                        F.xxhash64("line").alias("line"))
 
 
 def templates(docs: DataFrame, once: DataFrame, min_docs: int, fixed: float) -> DataFrame:
@@ -60,12 +63,12 @@ def templates(docs: DataFrame, once: DataFrame, min_docs: int, fixed: float) ->
     different = once.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("id", "key", "no")).alias("rep"))
     picks = different.groupBy("rep.id", "rep.key").agg(F.collect_list(F.struct("leaf", "line", "docs", "rep.no")).alias("picks"))
     taken = docs.join(picks, ["id", "key"]).select(bound(
-        F.struct(masked_lines(F.col("text")).alias("lines"), "picks"),
+        F.struct(F.split("text", "\n").alias("lines"), "picks"),
         lambda s: F.transform(s["picks"], lambda p: F.struct(
             p["leaf"].alias("leaf"), p["line"].alias("line"), p["docs"].alias("docs"),
-            tokens(F.get(s["lines"], p["no"])).alias("t")))).alias("parsed"))
-    parsed = taken.select(F.explode("parsed").alias("p")).select("p.*").dropDuplicates(["leaf", "line"])
-    placed = stored(parsed.select("leaf", "line", "docs", F.posexplode("t").alias("pos", "token")))
+            F.get(s["lines"], p["no"]).alias("text")))).alias("taken"))
+    parsed = taken.select(F.explode("taken").alias("p")).select("p.*").dropDuplicates(["leaf", "line"])
+    placed = stored(parsed.select("leaf", "line", "docs", F.posexplode(F.split(masked(F.col("text")), " ")).alias("pos", "token")))
     held = placed.where(F.col("token") != WILDCARD).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support"))
     held = held.where(F.col("support") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("held"))
     shown = placed.join(held, ["leaf", "pos", "token"], "left").withColumn(
