@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import automaton_dedup, boosted_rules, byte_bpe, suffix_dedup, template_dedup
+from cohortspark.llm import automaton_dedup, boosted_rules, byte_bpe, shingle_join, suffix_dedup, template_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -54,3 +54,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return boosted_rules.rules(docs, boosted_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+@register("op4_shingle_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.join(table(spark, sf_dir, "documents"), size=5, percent=80)
