@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import automaton_dedup, boosted_rules, byte_bpe, shingle_join, suffix_dedup, template_dedup
+from cohortspark.llm import automaton_dedup, boosted_rules, byte_bpe, noisy_or, shingle_join, suffix_dedup, template_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +59,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_shingle_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.join(table(spark, sf_dir, "documents"), size=5, percent=80)
+
+
+@register("op2_noisy_or")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = noisy_or.scored(docs, noisy_or.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").cast("bigint").alias("n_offending"))
