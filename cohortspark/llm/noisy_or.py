@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
                          "bias": pa.array([False] * len(model.words) + [True])})
 
     prepared = rows.mapInArrow(prepare, "doc_id bigint, y int, words array<bigint>, sizes array<bigint>")
-    found = prepared.groupBy(F.lit(0)).applyInArrow(learn, "word bigint, weight double, bias boolean").collect()
+    found = prepared.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "word bigint, weight double, bias boolean").collect()
     if not found:
         return fit(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0))
     terms = sorted(((np.uint64(r.word & (1 << 64) - 1), r.weight) for r in found if not r.bias))
