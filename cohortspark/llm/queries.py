@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import automaton_dedup, boosted_rules, byte_bpe, noisy_or, shingle_join, suffix_dedup, template_dedup
+from cohortspark.llm import automaton_dedup, boosted_rules, byte_bpe, edit_leaks, noisy_or, shingle_join, suffix_dedup, template_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,3 +66,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = noisy_or.scored(docs, noisy_or.train(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", "held_out", "score", "predicted", "n_sentences", F.size("offending").cast("bigint").alias("n_offending"))
+
+
+@register("op5_edit_leaks")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = edit_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_matches", "contaminated",
+                        F.array_join(F.array_sort(F.transform("matches", lambda m: m["item_id"])), " ").alias("item_ids"))
