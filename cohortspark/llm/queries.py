@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import automaton_dedup, boosted_rules, byte_bpe, edit_leaks, noisy_or, shingle_join, suffix_dedup, template_dedup
+from cohortspark.llm import automaton_dedup, backoff_automaton, boosted_rules, byte_bpe, edit_leaks, kneser_ney, noisy_or, shingle_join, suffix_dedup, template_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -73,3 +73,13 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = edit_leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_matches", "contaminated",
                         F.array_join(F.array_sort(F.transform("matches", lambda m: m["item_id"])), " ").alias("item_ids"))
+
+
+@register("op8_backoff_automaton")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_automaton.scores(table(spark, sf_dir, "documents"))
+
+
+@register("op3_kneser_ney")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
