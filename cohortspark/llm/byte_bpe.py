@@ -164,8 +164,8 @@ def decoded(batches: Batches, vocabulary: str) -> Batches:
             yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found, pa.binary())], ["id", "ids", "bytes"])
 
 
-def digests(batches: Batches) -> Batches:
-    """(id, ids, bytes) batches as the number of ids and the digests of both results."""
+def digests(batches: Batches, with_ids: bool = False) -> Batches:
+    """(id, ids, bytes) batches as the number of ids and the digests of both results, and the ids if wanted."""
     decimal: dict[int, str] = {}
     for part in batches:
         decimal |= {i: str(i) for i in np.unique(part.column(1).flatten()).tolist() if i not in decimal}
@@ -173,7 +173,8 @@ def digests(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([
             part.column(0), pa.compute.fill_null(pa.compute.list_value_length(part.column(1)), 0).cast(pa.int64()), pa.array(ids, pa.string()),
             pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in part.column(2)], pa.string()),
-        ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            *([part.column(1)] if with_ids else []),
+        ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, offsets: bool = False, id_column: str = "doc_id",
@@ -190,8 +191,8 @@ def decode(ids: DataFrame, vocabulary: str, id_column: str = "doc_id") -> DataFr
                                                    ).withColumnRenamed("id", id_column)
 
 
-def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encoded, decoded and digested in one pass of a worker."""
-    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and ids if wanted: encoded, decoded and digested in one pass."""
+    schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
     source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return source.mapInArrow(lambda b: digests(decoded(encoded(b, vocabulary, pattern, False), vocabulary)), schema)
+    return source.mapInArrow(lambda b: digests(decoded(encoded(b, vocabulary, pattern, False), vocabulary), with_ids), schema)
