@@ -107,7 +107,8 @@ def _incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     d = 1.0 - (aa + bb) * xx / (aa + 1.0)
     d = 1.0 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
-    for m in range(1, 400):
+    done = np.zeros(xx.shape, bool)
+    for m in range(1, 20_000):
         for step in (
             m * (bb - m) * xx / ((aa + 2 * m - 1) * (aa + 2 * m)),
             -(aa + m) * (aa + bb + m) * xx / ((aa + 2 * m) * (aa + 2 * m + 1)),
@@ -117,8 +118,10 @@ def _incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
             c = 1.0 + step / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
-        if np.all(np.abs(d * c - 1.0) < 1e-15):
+        done = np.abs(d * c - 1.0) < 1e-15
+        if np.all(done):
             break
+    h = np.where(done, h, np.nan)  # never hand on an unfinished fraction
     with np.errstate(divide="ignore"):
         log_front = (lgamma(aa + bb) - lgamma(aa) - lgamma(bb)
                      + aa * np.log(xx) + bb * np.log1p(-xx))

@@ -125,10 +125,12 @@ def file_label(x: Column) -> Column:
     return F.regexp_replace(F.trim(x), r"[^A-Za-z0-9._-]+", "_")
 
 
-def natural_key(x: Column, width: int = 12) -> Column:
-    """Sortable text in which digit runs compare as numbers."""
+def natural_key(x: Column) -> Column:
+    """Sortable text in which digit runs of any length compare as numbers: each is led by its number of digits."""
     parts = F.regexp_extract_all(F.lower(x), F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(parts, lambda v: F.when(v.rlike(r"^\d"), F.lpad(v, width, "0")).otherwise(v))
+    plain = lambda v: F.regexp_replace(v, r"^0+(?=\d)", "")
+    padded = F.transform(parts, lambda v: F.when(v.rlike(r"^\d"), F.concat(
+        F.lpad(F.length(plain(v)).cast("string"), 10, "0"), plain(v))).otherwise(v))
     return F.array_join(padded, "")
 
 

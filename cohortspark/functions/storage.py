@@ -6,21 +6,30 @@ written below the folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Largest planner size estimate that one task may be asked to hold.
+#: Measured bytes that one task may be asked to hold.
 TASK_BYTES = 64 * 1024 * 1024
-#: Largest planner size estimate that may be broadcast.
-BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only for a local session without it."""
+    """The cluster's shared checkpoint folder; a private one only for a local session without it.
+
+    A cluster session must name a folder with a scheme; a ``file:`` folder is taken only if it is not a temporary one.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            scheme, _, rest = named.partition(":")
+            if not rest or (scheme == "file" and re.match(r"/*(tmp|var/tmp)/", rest)):
+                raise RuntimeError(f"spark.checkpoint.dir is {named!r}; name a folder that every executor can reach")
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
@@ -29,78 +38,80 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def run_scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that the block writes between its steps go when it ends; write its results before."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, cutting its lineage."""
+    """Write ``df`` to the shared folder and read it back, cutting its lineage. See ``run_scope`` for removal."""
     path = f"{shared_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: Most groups that may travel as one array.
-VOCABULARY = 10_000
-
-
-def vocabulary(df: DataFrame, keys: list[str]) -> Column:
-    """Scalar array of the distinct key combinations, an error beyond ``VOCABULARY``.
+def grid(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every pair of a left and a right row, where the full grid is the asked-for result.
 
-    For labels such as cell types; at most one entry more than the limit is ever gathered.
+    An equality join: each left row is repeated once per salt, each right row has one salt, so the pairs spread over
+    as many tasks as there are salts and neither side is gathered.
     """
-    some = df.select(*keys).distinct().limit(VOCABULARY + 1).agg(F.collect_list(F.struct(*keys)).alias("g"))
-    checked = F.when(F.size("g") <= VOCABULARY, F.col("g")).otherwise(
-        F.raise_error(F.lit("too many groups for a label vocabulary")).cast(some.dtypes[0][1]))
-    return some.select(checked).scalar()
-
-
-#: Plan steps whose output the planner does not bound (rows may multiply).
-UNBOUNDED_STEPS = ("Generate", "MapInPandas", "FlatMapGroupsInPandas")
+    salts = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = left.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    salted = right.withColumn("__salt", F.pmod(F.xxhash64(*right.columns), F.lit(salts)).cast("int"))
+    return spread.join(salted, "__salt").drop("__salt")
 
 
 def heavy(df: DataFrame) -> bool:
     """Whether ``df`` is more than a scan with projections and filters."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return any(step in plan for step in ("Aggregate", "Join", "Window", "Repartition", *UNBOUNDED_STEPS))
+    steps = ("Aggregate", "Join", "Window", "Repartition", "Generate", "Expand", "MapInPandas", "MapInArrow", "FlatMapGroupsIn")
+    return any(step in plan for step in steps)
 
 
-def bounded(df: DataFrame) -> bool:
-    """Whether the planner's estimate is an upper bound: no step may multiply rows unseen."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return not any(step in plan for step in UNBOUNDED_STEPS)
+def row_width(df: DataFrame) -> Column:
+    """Bytes of a row once decoded: a slot of 16 for each column, and what strings, binaries and nested values hold."""
+    width = F.lit(16 * max(1, len(df.columns)))
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            width = width + F.coalesce(F.octet_length(column), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(column))), F.lit(0)) * 2
+    return width.cast("bigint")
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """The planner's size estimate; costs no job. Joins multiply it, so it errs upwards."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
+def measured_bytes(df: DataFrame) -> int:
+    """Decoded size of all rows, summed by one job."""
+    return df.select(row_width(df).alias("w")).agg(F.sum("w")).first()[0] or 0
 
 
 def fits_task(df: DataFrame, limit: int | None = None) -> bool:
-    return bounded(df) and planned_bytes(df) <= (TASK_BYTES if limit is None else limit)
-
-
-def small(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Broadcast hint only where the size is known to allow it; else unchanged.
-
-    Every caller joins on an equality key, so without the hint Spark shuffles.
-    A plan whose estimate is no bound is written first, and its written size counts.
-    """
-    allowed = BROADCAST_BYTES if limit is None else limit
-    if not bounded(df):
-        df = materialize(df)
-    return F.broadcast(df) if planned_bytes(df) <= allowed else df
+    """Whether one task may hold all rows: row count times row width, both measured."""
+    allowed = TASK_BYTES if limit is None else limit
+    return allowed > 0 and measured_bytes(df) <= allowed
 
 
 def settled(df: DataFrame, limit: int | None = None) -> tuple[DataFrame, bool]:
     """``df`` and whether it fits one task.
 
-    A plan whose estimate is too large (joins multiply estimates) is written out
-    once; the written size is then a fact, and later steps do not repeat the work.
-    A plain scan is known already and cheap to read again, so it is not copied.
+    A plan that is more than a scan is written once, so that it is not worked out again for its size and its use.
     """
-    if fits_task(df, limit):
-        return df, True
-    if not heavy(df):
+    if limit == 0 and not heavy(df):
         return df, False
-    written = materialize(df)
+    written = materialize(df) if heavy(df) else df
     return written, fits_task(written, limit)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.distributions import two_sided_p
 from ..functions.ordered import first_by
-from ..functions.storage import reusable, small
+from ..functions.storage import reusable
 
 
 def aligned_z(z, gwas_effect, gwas_other, effect, other):
@@ -81,7 +81,7 @@ def gene_association(weights: DataFrame, ld_snps: DataFrame, ld_cov: DataFrame,
                         F.col("non_effect_allele").alias("g_other"),
                         F.col("zscore").alias("g_z"), F.col("beta").alias("g_beta"),
                         F.col("pvalue").alias("g_p"))
-    model = model_table(weights, ld_snps, standardized=standardized).join(small(study), "snp", "left")
+    model = model_table(weights, ld_snps, standardized=standardized).join(study, "snp", "left")
 
     def oriented(c):
         return aligned_z(F.col(c), F.col("g_effect"), F.col("g_other"),
@@ -122,6 +122,6 @@ def attach_symbols(df: DataFrame, names: DataFrame, *, gene: str = "gene",
     have = F.col(symbol)
     blank = have.isNull() | (F.trim(have) == "") | (F.lower(have) == "nan") | (
         have == F.col(gene).cast("string"))
-    joined = df.join(small(unique), F.col(gene) == F.col("n_gene"), "left")
+    joined = df.join(unique, F.col(gene) == F.col("n_gene"), "left")
     return joined.withColumn(symbol, F.when(blank, F.coalesce("n_symbol", have)).otherwise(have)).drop(
         "n_gene", "n_symbol")

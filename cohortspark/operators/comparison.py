@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs as X
 from ..functions.ordered import first_by, top_k
-from ..functions.storage import reusable, small, vocabulary
+from ..functions.storage import reusable, grid
 from .pooling import inflation
 
 # Track suffixes of a corrected table and the two criteria.
@@ -41,7 +41,7 @@ def hit_flag(columns: Sequence[str], *, criterion: str = "fdr", suffix: str = ""
 
 def in_scope(df: DataFrame, region_genes: DataFrame, scope: str, *, gene: str = "gene") -> DataFrame:
     """``all``, ``inside`` or ``outside`` a region given by its genes."""
-    listed = small(region_genes.select(gene).distinct())
+    listed = region_genes.select(gene).distinct()
     if scope == "all":
         return df
     if scope not in ("inside", "outside"):
@@ -133,7 +133,7 @@ def restrict_to_list(df: DataFrame, listed: DataFrame) -> tuple[DataFrame, DataF
     key = X.gene_key(F.col("gene").cast("string"))
     keyed = df.withColumn("__key", key)
     wanted = listed.select(key.alias("__key")).filter("__key is not null").distinct()
-    kept = keyed.join(small(wanted), "__key", "left_semi").drop("__key")
+    kept = keyed.join(wanted, "__key", "left_semi").drop("__key")
     sides = keyed.select("__key").distinct().withColumn("m", F.lit(True)).join(
         wanted.withColumn("l", F.lit(True)), "__key", "full_outer")
     m, lst = F.col("m").isNotNull(), F.col("l").isNotNull()
@@ -146,7 +146,7 @@ def pair_labels(left: DataFrame, right: DataFrame, *, name: str = "cell_type") -
     """Left rows with the right label of the same folded name; null marks the unmatched."""
     l = left.select(F.col(name).alias("left_name"), X.label_key(F.col(name)).alias("__k"))
     r = right.select(F.col(name).alias("right_name"), X.label_key(F.col(name)).alias("__k"))
-    return l.join(small(r), "__k", "left").select("left_name", "right_name")
+    return l.join(r, "__k", "left").select("left_name", "right_name")
 
 
 def shared_genes(left: DataFrame, right: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -160,7 +160,7 @@ def shared_genes(left: DataFrame, right: DataFrame, names: DataFrame | None = No
         return both.select("gene", F.lit("").alias("symbol"))
     symbols = names.select(X.gene_key(F.col("gene")).alias("__k"), F.col("symbol").alias("__s")).groupBy("__k").agg(
         F.min("__s").alias("__s"))
-    return both.join(small(symbols), "__k", "left").select("gene", F.coalesce("__s", F.lit("")).alias("symbol"))
+    return both.join(symbols, "__k", "left").select("gene", F.coalesce("__s", F.lit("")).alias("symbol"))
 
 
 def set_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -181,8 +181,8 @@ def memberships(hits: DataFrame, *, gene: str = "gene", group: str = "cell_type"
 
 
 def exact_intersections(hits: DataFrame, *, gene: str = "gene", group: str = "cell_type", min_size: int = 1,
-                        max_rows: int = 40, order: str = "degree") -> DataFrame:
-    """Counts of genes by exact membership; the row limit keeps the largest ones."""
+                        max_rows: int = 0, order: str = "degree") -> DataFrame:
+    """Counts of genes by exact membership, all of them unless ``max_rows`` asks for the largest only."""
     sized = (memberships(hits, gene=gene, group=group).groupBy("members").agg(F.count(F.lit(1)).alias("size"))
              .filter(F.col("size") >= min_size).withColumn("degree", F.size("members")))
     if max_rows:
@@ -218,10 +218,10 @@ def to_reference(df: DataFrame, reference: DataFrame) -> DataFrame:
 
     A union of two equality joins; a join on "id or symbol" would compare every pair.
     """
-    by_id = df.join(small(reference.select(F.col("gene").alias("ref_gene"))), F.col("gene") == F.col("ref_gene"))
+    by_id = df.join(reference.select(F.col("gene").alias("ref_gene")), F.col("gene") == F.col("ref_gene"))
     names = reference.filter(F.trim("symbol") != "").select(F.upper("symbol").alias("__s"), F.col("gene").alias("ref_gene"))
     by_name = df.filter(F.trim("symbol") != "").join(
-        small(names.distinct()), F.upper("symbol") == F.col("__s")).drop("__s")
+        names.distinct(), F.upper("symbol") == F.col("__s")).drop("__s")
     return by_id.unionByName(by_name).distinct()
 
 
@@ -244,7 +244,7 @@ def gene_recovery(results: DataFrame, reference: DataFrame, keys: Sequence[str])
     matched = to_reference(results.select(*keys, "gene", "symbol", "hit"), reference).groupBy(*keys, "ref_gene").agg(
         F.bool_or("hit").alias("recovered"))
     found = matched.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tested"), F.count_if("recovered").alias("n_recovered"))
-    known = results.join(small(reference.select("gene", F.lit(True).alias("known"))), "gene", "left")
+    known = results.join(reference.select("gene", F.lit(True).alias("known")), "gene", "left")
     totals = known.groupBy(*keys).agg(F.count_if("hit").alias("n_hits"),
                                       F.count_if(F.col("hit") & F.col("known").isNull()).alias("n_extra"))
     n_ref = reference.select(F.count_distinct("gene")).scalar()
@@ -263,7 +263,7 @@ def block_recovery(results: DataFrame, reference: DataFrame, reference_blocks: D
     matched = to_reference(results.select(*keys, "gene", "symbol", "hit"), reference)
     blocks = matched.join(owned, "ref_gene").groupBy(*keys, "block_index").agg(F.bool_or("hit").alias("recovered"))
     found = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_tested"), F.count_if("recovered").alias("n_recovered"))
-    listed = small(owned.select("block_index", F.lit(True).alias("known")).distinct())
+    listed = owned.select("block_index", F.lit(True).alias("known")).distinct()
     hit_blocks = results.filter("hit and block_index >= 0").select(*keys, "block_index").distinct().join(listed, "block_index", "left")
     totals = hit_blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_hits"), F.count_if(F.col("known").isNull()).alias("n_extra"))
     n_ref = reference_blocks.select(F.count_distinct("block_index")).scalar()
@@ -296,7 +296,7 @@ def stratified_inflation(results: DataFrame, reference: DataFrame, keys: Sequenc
     """N and inflation for reference genes (by id or symbol) and for all others."""
     keys = list(keys)
     known = to_reference(results.select("gene", "symbol").distinct(), reference).select("gene").distinct()
-    tagged = results.join(small(known.withColumn("known", F.lit(True))), "gene", "left").withColumn(
+    tagged = results.join(known.withColumn("known", F.lit(True)), "gene", "left").withColumn(
         "stratum", F.when(F.col("known"), "reference").otherwise("other")).filter("pvalue is not null")
     group = [*keys, "stratum"]
     sizes = tagged.groupBy(*group).agg(F.count("pvalue").alias("n"))
@@ -323,7 +323,7 @@ def direction_table(reference: DataFrame, results: DataFrame, signs: DataFrame,
     unique = reference.groupBy("gene").agg(F.count(F.lit(1)).alias("c"), F.min("sign").alias("s")).select(
         "gene", F.when(F.col("c") > 1, F.raise_error(F.lit("reference gene listed twice")).cast("int"))
         .when(F.col("s").isin(-1, 1), F.col("s")).otherwise(F.raise_error(F.lit("sign must be -1 or 1")).cast("int")).alias("sign"))
-    base = unique.withColumn("g", vocabulary(results, keys)).select("gene", "sign", F.inline("g"))
+    base = grid(unique, results.select(*keys).distinct())
     joined = base.join(results.select(*keys, "gene", "hit", "effect_size"), [*keys, "gene"], "left").join(
         signs, [*keys, "gene"], "left")
     observed = F.col("n_positive") + F.col("n_negative") + F.col("n_zero")

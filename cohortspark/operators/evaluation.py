@@ -12,7 +12,7 @@ from ..functions import exprs as X
 from ..functions.distributions import t_two_sided
 from ..functions.ordered import (average_ranks, equal_count_bins, quantiles, row_numbers, top_k,
                                  value_counts)
-from ..functions.storage import reusable, small
+from ..functions.storage import reusable
 
 # Grid of the null-fraction estimators, smallest positive double step, default spline freedom.
 PI0_LAMBDAS = tuple(round(0.05 * i, 2) for i in range(1, 20))
@@ -38,7 +38,7 @@ def harmonised_donors(df: DataFrame, *, model: str = "model", donor: str = "dono
     n_models = df.select(F.count_distinct(model)).scalar()
     everywhere = (df.groupBy(donor).agg(F.count_distinct(model).alias("__n"))
                   .filter(F.col("__n") == n_models).select(donor))
-    return df.join(small(everywhere), donor, "left_semi")
+    return df.join(everywhere, donor, "left_semi")
 
 
 # ---- correlation ---------------------------------------------------------------------------
@@ -158,31 +158,45 @@ def significant_share(df: DataFrame, keys: Sequence[str], p: str = "pvalue", *,
         F.try_divide(F.count_if(F.col(p) <= alpha), F.nullif(F.count(p), F.lit(0))).alias("fraction_significant"))
 
 
+def knot_curvatures(count: int, step: float) -> np.ndarray:
+    """Second derivatives at evenly spaced knots of the cardinal natural cubic splines, one spline per column.
+
+    Continuity of the slope gives c[k-1] + 4 c[k] + c[k+1] = 6 (f[k-1] - 2 f[k] + f[k+1]) / step^2 inside, zero at the ends;
+    the three bands are eliminated from top to bottom.
+    """
+    values = np.eye(count)
+    right = 6.0 * (values[:-2] - 2.0 * values[1:-1] + values[2:]) / step ** 2
+    pivot = np.full(count - 2, 4.0)
+    for row in range(1, count - 2):
+        pivot[row] -= 1.0 / pivot[row - 1]
+        right[row] -= right[row - 1] / pivot[row - 1]
+    curvature = np.zeros((count, count))
+    for row in range(count - 3, -1, -1):
+        curvature[row + 1] = (right[row] - curvature[row + 2]) / pivot[row]
+    return curvature
+
+
 @lru_cache(maxsize=8)
 def smoother_weights(df: float = SMOOTH_DF) -> tuple[float, ...]:
-    """Last row of the natural cubic smoothing spline on the lambda grid.
+    """Weights with which the smoothing spline of ``df`` degrees of freedom takes its last value from the grid's values.
 
-    The smoother is linear and its knots are fixed, so the fitted end value is
-    one dot product; the penalty is set by bisection on the trace.
+    Curvature is linear between knots, so the bending energy of a spline is a sum over intervals of
+    step/3 (a^2 + a b + b^2). The penalty is found by Newton's rule on the trace, in its logarithm.
     """
-    x = np.array(PI0_LAMBDAS)
-    h, n = np.diff(x), len(x)
-    second = np.zeros((n - 2, n))
-    band = np.zeros((n - 2, n - 2))
-    for j in range(n - 2):
-        second[j, j:j + 3] = 1 / h[j], -1 / h[j] - 1 / h[j + 1], 1 / h[j + 1]
-        band[j, j] = (h[j] + h[j + 1]) / 3
-        if j:
-            band[j, j - 1] = band[j - 1, j] = h[j] / 6
-    penalty = second.T @ np.linalg.solve(band, second)
-    values, vectors = np.linalg.eigh((penalty + penalty.T) / 2)
-    values = np.clip(values, 0, None)
-    low, high = np.log(1e-10), np.log(1e10)
-    for _ in range(200):
-        mid = (low + high) / 2
-        low, high = (mid, high) if np.sum(1 / (1 + np.exp(mid) * values)) > df else (low, mid)
-    shrink = 1 / (1 + np.exp((low + high) / 2) * values)
-    return tuple(float(v) for v in (vectors * shrink) @ vectors[-1])
+    count, step = len(PI0_LAMBDAS), PI0_LAMBDAS[1] - PI0_LAMBDAS[0]
+    bend = knot_curvatures(count, step)
+    start, stop = bend[:-1], bend[1:]
+    energy = step / 3.0 * (start.T @ start + stop.T @ stop + 0.5 * (start.T @ stop + stop.T @ start))
+    log_penalty = np.log(count / np.trace(energy))
+    for _ in range(100):
+        penalty = np.exp(log_penalty)
+        fitted = np.linalg.inv(np.eye(count) + penalty * energy)
+        slope = -penalty * np.trace(fitted @ energy @ fitted)
+        move = float(np.clip((np.trace(fitted) - df) / slope, -2.0, 2.0))
+        log_penalty -= move
+        if abs(move) < 1e-13:
+            break
+    return tuple(float(v) for v in np.linalg.solve(np.eye(count) + np.exp(log_penalty) * energy, np.eye(count)[-1]))
 
 
 def null_fraction(df: DataFrame, keys: Sequence[str], p: str = "pvalue", *, method: str = "bootstrap",
@@ -241,7 +255,7 @@ def equal_count_curve(df: DataFrame, keys: Sequence[str], x: str, y: str, k: int
     per_bin = binned.groupBy(*keys, "bin").agg(
         F.avg(y).alias("mean_y"), F.max("n_valid").alias("n_valid"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     ends = per_bin.groupBy(*keys).agg((F.max("hi") - F.min("lo")).alias("spread"))
-    joined = per_bin.join(small(ends), keys) if keys else per_bin.withColumn("spread", ends.scalar())
+    joined = per_bin.join(ends, keys) if keys else per_bin.withColumn("spread", ends.scalar())
     usable = (F.col("n_valid") >= k) & (F.col("spread") > EPS)
     grid = joined.groupBy(*keys).agg(F.max("n_valid").alias("n_valid")).select(
         *keys, "n_valid", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("bin"))
@@ -320,7 +334,7 @@ def box_stats(df: DataFrame, keys: Sequence[str], value: str, *, limit: int | No
     """Quartiles and whiskers at the extremes within 1.5 IQR."""
     keys = list(keys)
     q = quantiles(df, keys, value, {"q1": 0.25, "med": 0.5, "q3": 0.75}, limit=limit)
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value).join(small(q), keys)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value).join(q, keys)
     iqr = F.col("q3") - F.col("q1")
     inside = (F.col(value) >= F.col("q1") - 1.5 * iqr) & (F.col(value) <= F.col("q3") + 1.5 * iqr)
     kept = F.when(inside, F.col(value))
@@ -363,7 +377,7 @@ def ablation(df: DataFrame, keys: Sequence[str], prediction: str, truth: str, un
     scored = reusable(scored.filter("r is not null").select(*keys, "percent_removed", "n", "r"))
     group = [*keys, "percent_removed"]
     size = scored.groupBy(*group).agg(F.avg("n").alias("mean_n_individuals"))
-    return survival_auc(scored, group, steps=steps).join(small(size), group)
+    return survival_auc(scored, group, steps=steps).join(size, group)
 
 
 def ablation_change(table: DataFrame, keys: Sequence[str], *, over: str = "cell_type") -> DataFrame:
@@ -417,8 +431,8 @@ def extreme_genes(scores: DataFrame, keys: Sequence[str], n: int, *, r: str = "r
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("size"))
     take = F.least(F.lit(n), F.col("size"))
     n_worst = F.when(take == 1, 0).otherwise(F.floor(take / 2))
-    worst = top_k(rows, keys, [F.col("r2").asc(), F.col(gene).asc()], n // 2 or 1, rn="place").join(small(sizes), keys)
-    best = top_k(rows, keys, [F.col("r2").desc(), F.col(gene).desc()], n, rn="place").join(small(sizes), keys)
+    worst = top_k(rows, keys, [F.col("r2").asc(), F.col(gene).asc()], n // 2 or 1, rn="place").join(sizes, keys)
+    best = top_k(rows, keys, [F.col("r2").desc(), F.col(gene).desc()], n, rn="place").join(sizes, keys)
     return (worst.filter(F.col("place") <= n_worst).withColumn("end", F.lit("worst"))
             .unionByName(best.filter(F.col("place") <= take - n_worst).withColumn("end", F.lit("best")))
             .select(*keys, gene, "r2", "end", "place"))
@@ -582,7 +596,7 @@ def histogram(df: DataFrame, keys: Sequence[str], value: str, bins: int) -> Data
     """Equal-width counts over each group's observed range, the last bin closed."""
     keys = list(keys)
     ends = df.groupBy(*keys).agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value).join(small(ends), keys)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value).join(ends, keys)
     width = F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0))
     slot = F.coalesce(F.least(F.floor((F.col(value) - F.col("lo")) * bins / width), F.lit(bins - 1)), F.lit(0))
     return rows.groupBy(*keys, slot.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs as X
 from ..functions.ordered import average_ranks, row_numbers, value_counts
-from ..functions.storage import reusable, small, vocabulary
+from ..functions.storage import reusable, grid
 
 
 def clean_cells(cells: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -51,14 +51,14 @@ def aggregate_donors(sums: DataFrame, groups: DataFrame, *, how: str = "cell-wei
     if how in ("cell-weighted", "mean-of-sums"):
         per_gene = sums.groupBy(*by, "gene").agg(F.sum("sum_count").alias("total"))
         below = "cells" if how == "cell-weighted" else "donors"
-        return per_gene.join(small(totals), by).select(*by, "gene", F.try_divide("total", below).alias("value"))
+        return per_gene.join(totals, by).select(*by, "gene", F.try_divide("total", below).alias("value"))
     if how != "normalized":
         raise ValueError(f"unknown donor aggregation {how!r}")
     v = F.col("sum_count") / F.col("n_cells")
     per_gene = sums.join(groups, [c for c in groups.columns if c != "n_cells"]).groupBy(*by, "gene").agg(
         F.sum("sum_count").alias("total"), F.count(F.lit(1)).alias("present"),
         F.min(v).alias("low"), F.max(v).alias("high"))
-    joined = per_gene.join(small(totals), by)
+    joined = per_gene.join(totals, by)
     absent = F.col("present") < F.col("donors")
     low = F.when(absent, F.least("low", F.lit(0.0))).otherwise(F.col("low"))
     high = F.when(absent, F.greatest("high", F.lit(0.0))).otherwise(F.col("high"))
@@ -98,8 +98,8 @@ def filter_by_expression(sums: DataFrame, groups: DataFrame, *, min_cells: int,
     stats = rows.groupBy(*by, "gene").agg(
         F.count_if(count >= min_reads).alias("n_reads"), F.count_if(cpm >= min_cpm).alias("n_cpm"),
         F.count(F.lit(1)).alias("n"), F.avg(per_cell).alias("m"), F.var_pop(per_cell).alias("v"))
-    joined = stats.join(small(sizes), by)
-    joined = joined.join(small(donors), scope) if scope else joined.withColumn(
+    joined = stats.join(sizes, by)
+    joined = joined.join(donors, scope) if scope else joined.withColumn(
         "n_donors", donors.select("n_donors").scalar())
     need = F.greatest(F.lit(1.0), F.ceil(F.col("n_donors") * min_prop).cast("double"))
     n, total = F.col("n"), F.col("n_valid")
@@ -115,7 +115,7 @@ def min_max(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFra
     ends = df.groupBy(*keys).agg(F.min(value).alias("__low"), F.max(value).alias("__high"))
     x, low, high = F.col(value), F.col("__low"), F.col("__high")
     scaled = F.when(high > low, (x - low) / F.nullif(high - low, F.lit(0.0))).when(x.isNotNull(), 0.0)
-    return df.join(small(ends), keys).withColumn(value, scaled).select(*df.columns)
+    return df.join(ends, keys).withColumn(value, scaled).select(*df.columns)
 
 
 def percentile_ranks(df: DataFrame, keys: Sequence[str], value: str = "value", *, out: str = "percentile",
@@ -137,7 +137,7 @@ def sparse_percentiles(present: DataFrame, sizes: DataFrame, keys: Sequence[str]
     n_pos = positive.groupBy(*keys).agg(F.max("n_valid").alias("n_pos"))
     filled = sizes.join(n_pos, keys, "left").withColumn(
         "zeros", F.col("n_all") - F.coalesce("n_pos", F.lit(0)))
-    above = positive.join(small(filled), keys).select(
+    above = positive.join(filled, keys).select(
         *keys, value, F.col("n_ties").alias("n"),
         ((F.col("zeros") + F.col("n_upto") - (F.col("n_ties") - 1) / 2.0) / F.col("n_all")).alias("percentile"))
     block = filled.filter("zeros > 0").select(
@@ -170,10 +170,11 @@ def contiguous_part(df: DataFrame, order: Sequence[str], k: int, n: int, *, rule
 
 
 def sample_donors(donors: DataFrame, n: int, *, seed: int, donor: str = "donor",
-                  exclude: DataFrame | None = None) -> DataFrame:
+                  exclude: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """``n`` donors in a reproducible hash order, after removing held-out ones."""
-    pool = donors if exclude is None else donors.join(small(exclude.select(donor)), donor, "left_anti")
-    return pool.orderBy(X.shuffle_order(seed, F.col(donor)), donor).limit(n)
+    pool = donors if exclude is None else donors.join(exclude.select(donor), donor, "left_anti")
+    placed = row_numbers(pool.withColumn("__h", X.shuffle_order(seed, F.col(donor))), [], ["__h", donor], rn="__rn", limit=limit)
+    return placed.filter(F.col("__rn") <= n).drop("__h", "__rn")
 
 
 def require_donors(wanted: DataFrame, present: DataFrame, *, donor: str = "donor") -> DataFrame:
@@ -205,14 +206,14 @@ def skip_first_donors(donors: DataFrame, n: int, excluded: DataFrame, *, order:
                       donor: str = "donor", limit: int | None = None) -> DataFrame:
     """Drop the first ``n`` donors in ``order`` and an exclusion list."""
     placed = row_numbers(donors, [], [order], rn="__rn", limit=limit)
-    return placed.filter(F.col("__rn") > n).drop("__rn").join(small(excluded.select(donor)), donor, "left_anti")
+    return placed.filter(F.col("__rn") > n).drop("__rn").join(excluded.select(donor), donor, "left_anti")
 
 
 def split_by_list(df: DataFrame, test_donors: DataFrame, *, donor: str = "donor"
                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(train, test, listed donors that are missing)."""
     listed = test_donors.select(donor).distinct()
-    return (df.join(small(listed), donor, "left_anti"), df.join(small(listed), donor, "left_semi"),
+    return (df.join(listed, donor, "left_anti"), df.join(listed, donor, "left_semi"),
             require_donors(listed, df, donor=donor))
 
 
@@ -228,8 +229,7 @@ def align_genes(df: DataFrame, features: DataFrame, keys: Sequence[str], value:
     wanted = features.select("gene").distinct()
     kept = df.join(wanted, "gene", "left_semi").select(*keys, "gene", value)
     undetected = wanted.join(df.select("gene").distinct(), "gene", "left_anti")
-    filled = (undetected.withColumn("g", vocabulary(df, keys)).select("gene", F.inline("g"))
-              .select(*keys, "gene", F.lit(0.0).alias(value)))
+    filled = (grid(undetected, df.select(*keys).distinct()).select(*keys, "gene", F.lit(0.0).alias(value)))
     return kept.unionByName(filled)
 
 
@@ -267,15 +267,14 @@ def population_moments(df: DataFrame, keys: Sequence[str], *, logged: bool = Tru
 def fill_with_mean(df: DataFrame, keys: Sequence[str], *, donor: str = "donor", logged: bool = True) -> DataFrame:
     """Every (donor, group) pair, missing ones filled by the group's mean and marked.
 
-    The complete grid is the asked-for result; groups are a small vocabulary
-    carried as one array, so no join without a key is planned.
+    The complete grid is the asked-for result; see :func:`grid` for how it spreads.
     """
     keys = list(keys)
     x = X.safe_log1p(F.col("value")) if logged else F.col("value")
     seen = df.select(donor, *keys, x.alias("value"))
     means = seen.groupBy(*keys).agg(F.avg("value").alias("mean"))
-    grid = seen.select(donor).distinct().withColumn("g", vocabulary(df, keys)).select(donor, F.inline("g"))
-    joined = grid.join(seen, [donor, *keys], "left").join(small(means), keys)
+    every = grid(seen.select(donor).distinct(), df.select(*keys).distinct())
+    joined = every.join(seen, [donor, *keys], "left").join(means, keys)
     return joined.select(donor, *keys, F.coalesce("value", "mean").alias("value"),
                          F.col("value").isNotNull().alias("observed"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs as X
 from ..functions.ordered import row_numbers, top_k
-from ..functions.storage import reusable, small
+from ..functions.storage import reusable
 from .evaluation import spearman
 from .genotype import allele_frequencies, donor_slots, pair_products, screen
 from .intervals import window_join
@@ -109,7 +109,7 @@ def elastic_net(gram: np.ndarray, cross: np.ndarray, n: float, alpha: float, l1:
             rho = slope[j] + diagonal[j] * old
             new = np.sign(rho) * max(abs(rho) - lasso, 0.0) / (diagonal[j] + ridge)
             if new != old:
-                slope -= gram[:, j] * (new - old)
+                slope -= gram[j] * (new - old)
                 w[j] = new
                 largest = max(largest, abs(new - old) * diagonal[j])
         if largest <= tol * scale:
@@ -118,6 +118,8 @@ def elastic_net(gram: np.ndarray, cross: np.ndarray, n: float, alpha: float, l1:
             active = every
         else:
             active = np.flatnonzero(w) if len(active) == len(every) and np.any(w) else active
+    else:
+        raise ArithmeticError(f"no convergence in {max_iter} sweeps")
     return w
 
 
@@ -470,7 +472,7 @@ def bootstrap_fits(design: DataFrame, members: DataFrame, alphas: DataFrame, *,
     order = places.groupBy(F.col("gene").cast("string").alias("gene")).agg(F.transform(
         F.array_sort(F.collect_list(F.struct("place", "feature"))), lambda v: v["feature"]).alias("features"))
     penalty = alphas.select(F.col("gene").cast("string").alias("gene"), "alpha")
-    return packed.join(order, "gene").join(small(penalty), "gene").groupBy("gene", "member").applyInPandas(
+    return packed.join(order, "gene").join(penalty, "gene").groupBy("gene", "member").applyInPandas(
         _bootstrap_function(l1_ratio), "gene string, member string, bootstrap int, snp string, weight double, intercept double")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.distributions import norm_ppf
 from ..functions.ordered import average_ranks, row_numbers, running
-from ..functions.storage import reusable, small
+from ..functions.storage import grid, reusable
 from .intervals import window_join
 
 #: SNPs per tile side and donors per chunk: bounds one task's matrix whatever the group size.
@@ -99,11 +99,11 @@ def pair_products(values: DataFrame, keys: Sequence[str], places: DataFrame, slo
     """
     keys, within = list(keys), list(within)
     every = [*keys, *within]
-    arrays = (values.join(small(slots), "donor").groupBy(*every, "feature", "chunk")
+    arrays = (values.join(slots, "donor").groupBy(*every, "feature", "chunk")
               .agg(F.collect_list("slot").alias("slots"), F.collect_list(F.col("x").cast("double")).alias("xs")))
     tiles = F.floor((F.col("place") - 1) / tile).cast("int")
     sized = places.groupBy(*keys).agg((F.floor((F.max("place") - 1) / tile) + 1).cast("int").alias("n_tiles"))
-    placed = arrays.join(places.withColumn("tile", tiles), [*keys, "feature"]).join(small(sized), keys)
+    placed = arrays.join(places.withColumn("tile", tiles), [*keys, "feature"]).join(sized, keys)
     spread = placed.select(
         F.to_json(F.struct(*every)).alias("gid"), F.col("feature").cast("string").alias("feature"), "place", "tile",
         "chunk", "slots", "xs", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)).alias("other")).withColumns(
@@ -153,28 +153,25 @@ def gene_covariance(gene_snps: DataFrame, genotypes: DataFrame, *, max_snps: int
 
 # ---- scoring -------------------------------------------------------------------------------
 
-CONSTANT = "__constant"
-
-
 def score(weights: DataFrame, intercepts: DataFrame, genotypes: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """intercept + sum(weight x dosage) per (keys, gene, donor).
 
-    A missing call counts 0; SNPs absent from the panel are skipped. Genes with
-    an intercept only are constant: they ride on one constant variant, so the
-    same equality join serves them.
+    A missing call counts 0; SNPs absent from the panel are skipped. Genes with an intercept only are constant for every
+    donor: a grid of genes and donors, spread over salts.
     """
     keys = list(keys)
-    bare = intercepts.join(weights.select(*keys, "gene").distinct(), [*keys, "gene"], "left_anti")
-    terms = weights.select(*keys, "gene", F.col("snp").cast("string").alias("snp"), "weight").unionByName(
-        bare.select(*keys, "gene", F.lit(CONSTANT).alias("snp"), F.lit(0.0).alias("weight")))
+    base = intercepts.select(*keys, "gene", "intercept")
     calls = genotypes.select(F.col("snp").cast("string").alias("snp"), "donor",
-                             F.coalesce("dosage", F.lit(0)).cast("double").alias("dosage")).unionByName(
-        genotypes.select("donor").distinct().select(F.lit(CONSTANT).alias("snp"), "donor", F.lit(0.0).alias("dosage")))
+                             F.coalesce("dosage", F.lit(0)).cast("double").alias("dosage"))
+    terms = weights.select(*keys, "gene", F.col("snp").cast("string").alias("snp"), "weight")
     summed = terms.join(calls, "snp").groupBy(*keys, "gene", "donor").agg(
         F.sum(F.col("weight") * F.col("dosage")).alias("s"))
-    base = intercepts.select(*keys, "gene", "intercept")
-    return summed.join(base, [*keys, "gene"], "left").select(
+    scored = summed.join(base, [*keys, "gene"], "left").select(
         *keys, "gene", "donor", (F.col("s") + F.coalesce("intercept", F.lit(0.0))).alias("value"))
+    bare = base.join(weights.select(*keys, "gene").distinct(), [*keys, "gene"], "left_anti")
+    constant = grid(genotypes.select("donor").distinct(), bare).select(
+        *keys, "gene", "donor", F.coalesce("intercept", F.lit(0.0)).alias("value"))
+    return scored.unionByName(constant)
 
 
 def unscorable_genes(weights: DataFrame, genotypes: DataFrame) -> DataFrame:
@@ -228,7 +225,7 @@ def rank_spread(df: DataFrame, keys: Sequence[str], *, form: str = "percentile",
     rows = df.filter("value is not null")
     positive = rows.groupBy(*keys).agg(F.bool_and(F.col("value") >= 0).alias("__pos"))
     y = F.when(F.col("__pos"), F.log1p(F.greatest("value", F.lit(0.0)))).otherwise(F.col("value"))
-    based = reusable(average_ranks(rows.join(small(positive), keys).withColumn("__y", y), keys, "__y",
+    based = reusable(average_ranks(rows.join(positive, keys).withColumn("__y", y), keys, "__y",
                                    out="__r", n="__n", limit=limit))
     below = F.col("__n") + (0 if form == "percentile" else 1)
     support = based.select(*keys, F.col("__y").alias("at"), (F.col("__r") / below).alias("p")).distinct().select(
@@ -243,7 +240,7 @@ def rank_spread(df: DataFrame, keys: Sequence[str], *, form: str = "percentile",
                      suffix_mins={"y1": F.when(known, F.col("at")), "p1": F.col("p")})
     low, high = (F.lit(0.0), F.lit(1.0))
     n = based.groupBy(*keys).agg(F.max("__n").alias("__n"))
-    walked = walked.filter("kind > 0").join(small(n), keys)
+    walked = walked.filter("kind > 0").join(n, keys)
     if form == "normal":
         low, high = 1.0 / (F.col("__n") + 1), F.col("__n") / (F.col("__n") + 1)
     inside = F.col("p0") + (F.col("p1") - F.col("p0")) * F.try_divide(F.col("at") - F.col("y0"), F.col("y1") - F.col("y0"))
@@ -283,7 +280,7 @@ def window_sequences(windows: DataFrame, pieces: DataFrame, length: int) -> Data
     total = F.col("chrom_length")
     begin = F.when(F.col("start") < 0, 0).when(F.col("end") > total, F.greatest(total - size, F.lit(0))).otherwise(F.col("start"))
     stop = F.when(F.col("start") < 0, F.least(size, total)).when(F.col("end") > total, total).otherwise(F.col("end"))
-    located = windows.join(small(sizes), "chrom").withColumns({"actual_start": begin, "actual_end": stop})
+    located = windows.join(sizes, "chrom").withColumns({"actual_start": begin, "actual_end": stop})
     first = F.floor(F.col("actual_start") / length).cast("int")
     last = F.floor(F.greatest(F.col("actual_end") - 1, F.col("actual_start")) / length).cast("int")
     touched = located.select("*", F.explode(F.sequence(first, last)).alias("piece"))

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import exprs as X
 from ..functions.ordered import first_by, previous, row_numbers, running
-from ..functions.storage import small
 
 UNASSIGNED = -1
 # Assembly names that mean the same build.
@@ -51,7 +50,7 @@ def assign_blocks(positions: DataFrame, blocks: DataFrame, *, chrom: str = "chro
                              _bin(F.col("stop") - 1, bin_width))).alias("b_bin"))
     on = ((F.col(chrom) == F.col("b_chrom")) & (_bin(F.col(bp), bin_width) == F.col("b_bin"))
           & (F.col(bp) >= F.col("start")) & (F.col(bp) < F.col("stop")))
-    return positions.join(small(spread), on, "left").select(
+    return positions.join(spread, on, "left").select(
         *positions.columns, F.coalesce("block_index", F.lit(UNASSIGNED)).alias("block_index"), "block")
 
 
@@ -160,7 +159,7 @@ def genome_layout(positions: DataFrame, *, gap: float = 1.02) -> tuple[DataFrame
         F.coalesce(F.nullif(F.max("bp").cast("double"), F.lit(0.0)), F.lit(1.0)).alias("span"))
     before = W.orderBy("chrom_no", "chrom_text").rowsBetween(W.unboundedPreceding, -1)
     offsets = spans.withColumn("offset", F.coalesce(F.sum(F.col("span") * gap).over(before), F.lit(0.0)))
-    placed = keyed.join(small(offsets), ["chrom_no", "chrom_text"]).select(
+    placed = keyed.join(offsets, ["chrom_no", "chrom_text"]).select(
         *positions.columns, (F.col("offset") + F.col("bp")).alias("x"))
     ticks = offsets.select(F.col("chrom_text").alias("chrom"), (F.col("offset") + F.col("span") / 2).alias("tick"))
     return placed, ticks
@@ -190,10 +189,10 @@ def widest_gap(df: DataFrame, keys: Sequence[str], y: str, *, floor: float,
         F.max(F.struct((F.col(y) - F.col("low")).alias("gap"), (-F.col("low")).alias("neg_low"),
                        F.col(y).alias("high"))).alias("g"))
     picked = gaps.select(*keys, (-F.col("g.neg_low")).alias("low"), F.col("g.high").alias("high"))
-    joined = above.join(small(picked), keys) if keys else above.crossJoin(F.broadcast(picked))
+    joined = above.join(picked, keys) if keys else above.crossJoin(F.broadcast(picked))
     beyond = joined.groupBy(*keys, "low", "high").agg(
         F.sum(F.when(F.col(y) > F.col("low"), F.col("n")).otherwise(0)).alias("n_above"))
-    full = beyond.join(small(sized), keys) if keys else beyond.crossJoin(F.broadcast(sized))
+    full = beyond.join(sized, keys) if keys else beyond.crossJoin(F.broadcast(sized))
     wide = (F.col("high") - F.col("low")) >= F.greatest(min_fraction * F.col("top"), F.lit(5.0))
     sparse = F.col("n_above") <= F.greatest(F.lit(10.0), 0.02 * F.col("n_all"))
     return full.filter(wide & sparse).select(*keys, "low", "high")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import exprs as X
 from ..functions.distributions import norm_isf, two_sided_p
 from ..functions.ordered import medians, quantiles, running, value_counts
-from ..functions.storage import reusable, settled, small
+from ..functions.storage import reusable, settled
 
 # Family-wise level, median of chi-square(1), agreement cut points and bins.
 FAMILY_WISE = 0.05
@@ -56,7 +56,7 @@ def annotate_significance(df: DataFrame, keys: Sequence[str], *, fdr: float = 0.
         for k in keys:
             on_q = on_q & F.col(k).eqNullSafe(F.col(f"q_{k}"))
             on_n = on_n & F.col(k).eqNullSafe(F.col(f"n_{k}"))
-        out = df.join(table, on_q, "left").join(small(sizes), on_n, "left").select(
+        out = df.join(table, on_q, "left").join(sizes, on_n, "left").select(
             *df.columns, f"qvalue{suffix}", "__n")
     threshold = F.try_divide(F.lit(FAMILY_WISE), F.col("__n"))
     return out.select(
@@ -250,7 +250,7 @@ def collapse_groups(results: DataFrame, mapping: DataFrame, *, alpha: float = 0.
     ``mapping(cell_type, group_name, n_expected)``; a group defined with one
     member reuses that member's call, others are ACAT-combined and re-called.
     """
-    tagged = results.join(small(mapping), "cell_type")
+    tagged = results.join(mapping, "cell_type")
     combined = tagged.groupBy("group_name", "gene").agg(
         X.acat(F.col("pvalue")).alias("pvalue"),
         F.bool_or(f"significant_{criterion}").alias("kept_call"),
@@ -270,7 +270,7 @@ def collapse_groups_by_draw(draws: DataFrame, mapping: DataFrame, *, min_agreeme
 
     ``min_agreement`` is a percentage; 0 means "in at least one draw".
     """
-    combined = (draws.join(small(mapping), "cell_type").groupBy("group_name", "draw", "gene")
+    combined = (draws.join(mapping, "cell_type").groupBy("group_name", "draw", "gene")
                 .agg(X.acat(F.col("pvalue")).alias("pvalue")).filter("pvalue is not null"))
     called = annotate_significance(combined, ["group_name", "draw"], fdr=alpha, limit=limit)
     flag = (F.col("significant_fdr") if criterion == "fdr" else

@@ -301,7 +301,7 @@ def donor_rewrite(spark, sf):
 
 
 @query("natural_sort_key", "T5", """
-SELECT c_custkey, 'arm' || lpad(CAST(c_custkey AS VARCHAR), 12, '0') || '_' || lpad(CAST(c_nationkey AS VARCHAR), 12, '0') AS k FROM customer""")
+SELECT c_custkey, 'arm' || lpad(CAST(length(CAST(c_custkey AS VARCHAR)) AS VARCHAR), 10, '0') || c_custkey || '_' || lpad(CAST(length(CAST(c_nationkey AS VARCHAR)) AS VARCHAR), 10, '0') || c_nationkey AS k FROM customer""")
 def natural_sort_key(spark, sf):
     return T.table(spark, sf, "customer").select(
         "c_custkey", X.natural_key(F.concat(F.lit("Arm"), "c_custkey", F.lit("_"), "c_nationkey")).alias("k"))

@@ -274,10 +274,10 @@ def running_correlation(spark, sf):
     schema = T.table(spark, sf, "events").schema
     work = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     source = spark.read.schema(schema).parquet(f"{sf}/events.parquet")
-    source.repartition(4).write.parquet(f"{work}/in")
+    source.write.parquet(f"{work}/in")
     Z.stream_sums(spark, f"{work}/in", schema, ["event_type"], "value", "user_id", output=f"{work}/out",
                   checkpoint=f"{work}/checkpoint").awaitTermination()
-    return Z.correlation_from_sums(spark.read.parquet(f"{work}/out"), ["event_type"])
+    return Z.correlation_from_sums(Z.latest_sums(spark, f"{work}/out"), ["event_type"])
 
 
 @query("resumed_batches", "Z1", "SELECT event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL", floats="total", digits=4)
@@ -289,7 +289,7 @@ def resumed_batches(spark, sf):
 
     def run() -> None:
         Z.resume_batches(spark, f"{work}/in", schema, lambda batch: batch, output=f"{work}/out",
-                         checkpoint=f"{work}/checkpoint", key="event_id").awaitTermination()
+                         checkpoint=f"{work}/checkpoint").awaitTermination()
 
     for half in (0, 1):
         source.filter(F.col("half") == half).drop("half").write.mode("append").parquet(f"{work}/in")

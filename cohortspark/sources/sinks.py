@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from ..operators.expression import split_by_list
+from ..streaming.incremental import content_hash
+
+
+def replace_partitions(df: DataFrame, keys: Sequence[str]) -> DataFrameWriter:
+    """Writer that replaces only the partitions that ``df`` has; finished ones of earlier runs stay."""
+    return df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys)
 
 
 def write_wide(df: DataFrame, path: str, donors: Sequence, *, index: Sequence[str] = ("gene", "chrom", "tss"),
@@ -17,31 +25,38 @@ def write_wide(df: DataFrame, path: str, donors: Sequence, *, index: Sequence[st
         live = df.groupBy(partition, *index).agg(F.count("value").alias("__n")).filter("__n > 0").drop("__n")
         source = df.join(live, [partition, *index], "left_semi")
     wide = source.groupBy(partition, *index).pivot("donor", list(donors)).agg(F.first("value"))
-    wide.write.mode("overwrite").partitionBy(partition).option("header", True).csv(path)
+    replace_partitions(wide, [partition]).option("header", True).csv(path)
 
 
 def write_targets(df: DataFrame, path: str, *, keys: Sequence[str] = ("cell_type", "gene")) -> None:
     """Long target table; duplicated genes are averaged, genes and cell types without values dropped."""
-    (df.groupBy(*keys).agg(F.avg("value").alias("value")).filter("value is not null")
-     .write.mode("overwrite").partitionBy("cell_type").parquet(path))
+    means = df.groupBy(*keys).agg(F.avg("value").alias("value")).filter("value is not null")
+    replace_partitions(means, ["cell_type"]).parquet(path)
 
 
 def write_population(sums: DataFrame, groups: DataFrame, path: str) -> None:
     """Counts per cell for each (donor, cell type); a group without cells is an error."""
     n = F.when(F.col("n_cells") > 0, F.col("n_cells")).otherwise(F.raise_error(F.lit("group without cells")).cast("bigint"))
-    (sums.join(groups, ["donor", "cell_type"]).select("donor", "cell_type", "gene", (F.col("sum_count") / n).alias("value"), "n_cells")
-     .write.mode("overwrite").partitionBy("cell_type").parquet(path))
+    per_cell = sums.join(groups, ["donor", "cell_type"]).select(
+        "donor", "cell_type", "gene", (F.col("sum_count") / n).alias("value"), "n_cells")
+    replace_partitions(per_cell, ["cell_type"]).parquet(path)
+
 
+def write_covariance(pairs: DataFrame, snps: DataFrame, path: str, *, partition: str | None = None, **info) -> None:
+    """Pairs and SNP sidecar, then the meta table: content hash of the (gene, snp) pairs, SNP count and ``info``.
 
-def write_covariance(pairs: DataFrame, snps: DataFrame, meta: DataFrame, path: str) -> None:
-    """Pairs, SNP sidecar, then the one-row meta table with its content hash: written last."""
-    pairs.write.mode("overwrite").parquet(f"{path}/pairs")
-    snps.write.mode("overwrite").parquet(f"{path}/snps")
-    meta.write.mode("overwrite").parquet(f"{path}/meta")
+    With ``partition`` each of its values has its own tables, and only the values at hand are replaced. The meta table comes
+    last, so a value without meta is unfinished.
+    """
+    keys = [partition] if partition else []
+    meta = content_hash(snps, ["gene", "snp"], keys).withColumnsRenamed({"n_rows": "n_snps"})
+    meta = meta.select("*", *[F.lit(v).alias(k) for k, v in info.items()])
+    for name, table in (("pairs", pairs), ("snps", snps), ("meta", meta)):
+        (replace_partitions(table, keys) if keys else table.write.mode("overwrite")).parquet(f"{path}/{name}")
 
 
 def write_results(df: DataFrame, path: str, *, keys: Sequence[str] = ("cell_type", "arm")) -> None:
-    df.write.mode("overwrite").partitionBy(*keys).parquet(path)
+    replace_partitions(df, keys).parquet(path)
 
 
 def overview(results: DataFrame) -> DataFrame:
@@ -64,15 +79,39 @@ def write_top(df: DataFrame, path: str, order, n: int) -> None:
     df.orderBy(*order).limit(n).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
-def write_new_donors(features: DataFrame, path: str) -> DataFrame:
-    """Append feature rows of donors not written before, one partition per donor; returns those rows."""
-    spark = features.sparkSession
+def write_predictions(scores: DataFrame, path: str, samples: Sequence, *, partition: str = "cell_type") -> None:
+    """Gene by sample prediction matrix per cell type."""
+    wide = scores.groupBy(partition, "gene").pivot("donor", list(samples)).agg(F.first("value"))
+    replace_partitions(wide, [partition]).option("header", True).csv(path)
+
+
+DONOR_BUCKETS = 256
+
+
+def written_donors(spark: SparkSession, path: str) -> DataFrame | None:
+    """Rows of finished batches, or None before the first."""
     try:
-        done = spark.read.parquet(path).select(F.col("donor").cast(dict(features.dtypes)["donor"]).alias("donor")).distinct()
-        fresh = features.join(done, "donor", "left_anti")
-    except Exception as error:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
+        done = spark.read.parquet(f"{path}/done").select("batch").distinct()
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        fresh = features
-    fresh.write.mode("append").partitionBy("donor").parquet(path)
-    return fresh
+        return None
+    return spark.read.parquet(f"{path}/rows").join(done, "batch", "left_semi").drop("bucket")
+
+
+def write_new_donors(features: DataFrame, path: str) -> DataFrame:
+    """Write feature rows of donors not finished before; returns those rows.
+
+    Rows go to a batch of their own, split into hash buckets of donors; the batch's list of donors comes after them. Rows
+    of a lost job are in no finished batch, so they neither count as done nor are read.
+    """
+    spark, batch = features.sparkSession, uuid.uuid4().hex
+    before = written_donors(spark, path)
+    kind = dict(features.dtypes)["donor"]
+    fresh = features if before is None else features.join(
+        before.select(F.col("donor").cast(kind).alias("donor")).distinct(), "donor", "left_anti")
+    bucket = F.pmod(F.xxhash64("donor"), F.lit(DONOR_BUCKETS)).cast("int")
+    fresh.withColumns({"batch": F.lit(batch), "bucket": bucket}).write.mode("append").partitionBy("batch", "bucket").parquet(f"{path}/rows")
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("batch") == batch).drop("batch", "bucket")
+    rows.select("donor").distinct().withColumn("batch", F.lit(batch)).write.mode("append").partitionBy("batch").parquet(f"{path}/done")
+    return rows.select(*features.columns)

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from ..functions import exprs as X
 from ..functions.distributions import norm_isf
 from ..functions.ordered import first_by, row_numbers
-from ..functions.storage import small
 
 # Half window around a transcription start, known block counts per population.
 HALF_WINDOW = 98304
@@ -23,9 +22,9 @@ GENE_ID_PATTERN = r"ENSG\d+"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file order: file, block start, position within the split."""
+    """Lines with their file, and their order: file, block start, position within the split."""
     lines = spark.read.text(path)
-    return lines.select("value", F.struct(
+    return lines.select("value", F.col("_metadata.file_path").alias("file"), F.struct(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line")).alias("ordinal"))
 
@@ -40,6 +39,11 @@ def fields(lines: DataFrame, names: Sequence[str], *, sep: str = r"\s+", comment
     return kept.select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)], "ordinal")
 
 
+def by_file(lines: DataFrame) -> DataFrame:
+    """Line tables made by hand may lack ``file``: they are one file."""
+    return lines if "file" in lines.columns else lines.withColumn("file", F.lit(""))
+
+
 def require_columns(df: DataFrame, required: Sequence[str], what: str) -> DataFrame:
     missing = [c for c in required if c not in df.columns]
     if missing:
@@ -73,12 +77,15 @@ def parse_samples(lines: DataFrame, *, doubled: bool = False) -> DataFrame:
 def parse_vcf(lines: DataFrame, donors: Sequence[str] | None = None) -> DataFrame:
     """One row per biallelic single-base record and donor: called alleles and ALT alleles.
 
-    Donor names come from the ``#CHROM`` line (one small row) unless given.
+    Donor names come from each file's own ``#CHROM`` line unless given; a file without one is an error.
     """
+    lines = by_file(lines)
     if donors is None:
-        head = lines.filter(F.col("value").startswith("#CHROM")).select(
-            F.slice(F.split("value", "\t"), 10, 100000000).alias("names")).limit(1)
-        names = head.select("names").scalar()
+        heads = lines.filter(F.col("value").startswith("#CHROM")).groupBy("file").agg(
+            F.min_by(F.slice(F.split("value", "\t"), 10, 100000000), "ordinal").alias("found"))
+        lines = lines.filter(~F.col("value").startswith("#")).join(heads, "file", "left")
+        names = F.when(F.col("found").isNotNull(), F.col("found")).otherwise(F.raise_error(
+            F.concat(F.lit("no #CHROM line in "), F.col("file"))).cast("array<string>"))
     else:
         names = F.array(*[F.lit(d) for d in donors])
 
@@ -86,19 +93,23 @@ def parse_vcf(lines: DataFrame, donors: Sequence[str] | None = None) -> DataFram
     body = lines.filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
     parts = F.split("value", "\t")
     wide = body.select(X.chrom_key(parts[0]).alias("chrom"), parts[1].cast("bigint").alias("bp"), parts[2].alias("snp"),
-                       F.upper(parts[3]).alias("ref"), F.upper(parts[4]).alias("alt"), cells.alias("cells"))
+                       F.upper(parts[3]).alias("ref"), F.upper(parts[4]).alias("alt"), cells.alias("cells"),
+                       names.alias("names"))
 
     single = wide.filter((F.length("ref") == 1) & (F.length("alt") == 1))
-    long = single.select("chrom", "bp", "snp", "ref", "alt", F.posexplode("cells").alias("at", "cell"))
+    long = single.select("chrom", "bp", "snp", "ref", "alt", F.explode(F.arrays_zip("cells", "names")).alias("z")).select(
+        "*", F.col("z.cells").alias("cell"), F.col("z.names").alias("donor")).filter("cell is not null")
     alleles = F.filter(F.split(F.split_part("cell", F.lit(":"), F.lit(1)), "[/|]"), lambda a: a.rlike(r"^\d+$"))
-    return long.select("chrom", "bp", "snp", "ref", "alt", F.get(names, F.col("at")).alias("donor"),
+    return long.select("chrom", "bp", "snp", "ref", "alt", "donor",
                        F.size(alleles).alias("n_called"), F.size(F.filter(alleles, lambda a: a != "0")).alias("n_alt"))
 
 
 def contig_style(lines: DataFrame) -> DataFrame:
-    """Whether the first record names its contig with a ``chr`` prefix."""
-    return lines.filter(~F.col("value").startswith("#")).limit(1).select(
-        F.lower(F.split("value", "\t")[0]).startswith("chr").alias("prefixed"))
+    """Whether the records name their contigs with a ``chr`` prefix; both styles in one input are an error."""
+    prefixed = F.lower(F.split("value", "\t")[0]).startswith("chr")
+    return lines.filter(~F.col("value").startswith("#")).agg(F.min(prefixed).alias("a"), F.max(prefixed).alias("b")).select(
+        F.when(F.col("a") == F.col("b"), F.col("a")).when(F.col("a").isNotNull(), F.raise_error(
+            F.lit("contigs with and without chr in one input")).cast("boolean")).alias("prefixed"))
 
 
 def autosomal(windows: DataFrame, *, chrom: str = "chrom") -> DataFrame:
@@ -168,7 +179,7 @@ def gene_windows(gtf: DataFrame, ids: DataFrame | None = None, *, half: int = HA
     if coding_only:
         rows = rows.filter("gene_type = 'protein_coding'")
     if ids is not None:
-        rows = rows.join(small(ids.select(X.gene_key(F.col("gene")).alias("gene")).distinct()), "gene", "left_semi")
+        rows = rows.join(ids.select(X.gene_key(F.col("gene")).alias("gene")).distinct(), "gene", "left_semi")
     tss = F.when(F.col("strand") == "+", F.col("start")).otherwise(F.col("end"))
     return rows.select("chrom", F.col("gene").alias("ensid"), tss.alias("tss"),
                        (tss - half - 1).alias("start"), (tss + half - 1).alias("end"))
@@ -246,7 +257,7 @@ def reported_performance(df: DataFrame, labels: DataFrame, *, dataset: str, alia
         F.count(F.lit(1)).alias("c"), F.first("cell_type").alias("reported_cell_type"), *[F.first(c).alias(c) for c in rest])
     checked = rows.withColumn("k", F.when(F.col("c") > 1, F.raise_error(F.lit("label reported twice"))).otherwise(F.col("k"))).drop("c")
     wanted = labels.select("cell_type", key.alias("k"))
-    return wanted.join(small(checked), "k").drop("k")
+    return wanted.join(checked, "k").drop("k")
 
 
 # ---- summary statistics --------------------------------------------------------------------
@@ -297,27 +308,48 @@ def normalise_study(df: DataFrame, columns: StudyColumns, snp_map: DataFrame | N
                     beta.alias("beta"), p.alias("pvalue"))
     if snp_map is not None:
         renamed = snp_map.select(F.col("snp").cast("string").alias("snp"), F.col("mapped").cast("string").alias("mapped"))
-        out = out.join(small(renamed), "snp").withColumn("snp", F.col("mapped")).drop("mapped")
+        out = out.join(renamed, "snp").withColumn("snp", F.col("mapped")).drop("mapped")
     if not keep_non_rsid:
         out = out.filter(F.col("snp").startswith("rs"))
     return out
 
 
 def delimited(lines: DataFrame, header: Sequence[str], *, sep: str = "\t", skip_until: str | None = None) -> DataFrame:
-    """Rows after the header line, or after the first line that starts with ``skip_until``."""
-    mark = skip_until if skip_until is not None else sep.join(header)
-    at = lines.filter(F.col("value").startswith(mark)).select(F.min("ordinal")).scalar()
-    pattern = "".join("\\" + c if c in r"|.*+?()[]{}^$\\" else c for c in sep.encode().decode("unicode_escape"))
-    return fields(lines.filter(F.col("ordinal") > at), header, sep=pattern, comment=None).drop("ordinal")
+    """Rows of each file after its header line, or after its first line that starts with ``skip_until``.
+
+    A file without such a line is an error.
+    """
+    lines, plain = by_file(lines), sep.encode().decode("unicode_escape")
+    mark = skip_until if skip_until is not None else plain.join(header)
+    heads = lines.filter(F.col("value").startswith(mark)).groupBy("file").agg(F.min("ordinal").alias("at"))
+    after = F.when(F.col("at").isNull(), F.raise_error(F.concat(F.lit("no header line in "), F.col("file"))).cast("boolean")).otherwise(
+        F.col("ordinal") > F.col("at"))
+    pattern = "".join("\\" + c if c in r"|.*+?()[]{}^$\\" else c for c in plain)
+    return fields(lines.join(heads, "file", "left").filter(after), header, sep=pattern, comment=None).drop("ordinal")
+
+
+def headers(lines: DataFrame, *, skip_until: str | None = None) -> DataFrame:
+    """(header, files): the different header lines, each the first of a file or its first that starts with ``skip_until``."""
+    lines = by_file(lines)
+    found = lines if skip_until is None else lines.filter(F.col("value").startswith(skip_until))
+    return found.groupBy("file").agg(F.min_by("value", "ordinal").alias("header")).groupBy("header").agg(
+        F.count(F.lit(1)).alias("files"))
 
 
 def read_study(spark: SparkSession, path: str, columns: StudyColumns, *, sep: str = "\t", file_pattern: str | None = None,
-               snp_map: DataFrame | None = None) -> DataFrame:
-    """A file, or a folder whose file names match ``file_pattern``."""
-    rows = spark.read.csv(path, sep=sep.encode().decode("unicode_escape"), header=True)
+               snp_map: DataFrame | None = None, skip_until: str | None = None) -> DataFrame:
+    """A file, or a folder whose file names match ``file_pattern``; lines before ``skip_until`` are passed over.
+
+    Files whose headers differ are an error.
+    """
+    lines = read_lines(spark, path)
     if file_pattern:
-        rows = rows.filter(F.col("_metadata.file_name").rlike(file_pattern))
-    return normalise_study(rows, columns, snp_map)
+        lines = lines.filter(F.element_at(F.split("file", "/"), -1).rlike(file_pattern))
+    found = [r.header for r in headers(lines, skip_until=skip_until).limit(2).collect()]
+    if len(found) != 1:
+        raise ValueError(f"{'different headers in' if found else 'no header in'} {path}")
+    names = found[0].split(sep.encode().decode("unicode_escape"))
+    return normalise_study(delimited(lines, names, sep=sep, skip_until=skip_until or found[0]), columns, snp_map)
 
 
 # ---- model weights -------------------------------------------------------------------------
@@ -400,7 +432,7 @@ def incomplete_seeds(layout: DataFrame) -> DataFrame:
     distinct = layout.select("model", "seed", "cell_type").distinct()
     seeds = distinct.groupBy("model", "seed").agg(F.count(F.lit(1)).alias("n"))
     wanted = distinct.groupBy("model").agg(F.count_distinct("cell_type").alias("n_expected"))
-    return seeds.join(small(wanted), "model").filter("n < n_expected")
+    return seeds.join(wanted, "model").filter("n < n_expected")
 
 
 def unique_names(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import exprs as X
-from ..functions.storage import small
 
 
 # ---- running sufficient statistics ---------------------------------------------------------
@@ -40,27 +39,35 @@ def correlation_from_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def stream_sums(spark: SparkSession, source: str, schema, keys: Sequence[str], x: str, y: str, *, output: str,
-                checkpoint: str, files_per_batch: int = 1) -> StreamingQuery:
-    """Consume every available file, keep the complete sums in ``output`` (replaced per batch)."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+                checkpoint: str, bytes_per_batch: int = 4 << 30) -> StreamingQuery:
+    """Consume every available file; each batch leaves the complete sums as a new version below ``output``.
 
-    def publish(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(output)
+    A version appears whole when its job commits; :func:`latest_sums` reads the newest.
+    """
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(source)
+
+    def publish(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{output}/version={number}")
 
     return (running_sums(stream, keys, x, y).writeStream.outputMode("complete").foreachBatch(publish)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def latest_sums(spark: SparkSession, output: str) -> DataFrame:
+    versions = spark.read.parquet(output)
+    return versions.filter(F.col("version") == versions.select(F.max("version")).scalar()).drop("version")
+
+
 # ---- resumable work ------------------------------------------------------------------------
 
 def resume_batches(spark: SparkSession, source: str, schema, step: Callable[[DataFrame], DataFrame], *, output: str,
-                   checkpoint: str, key: str, files_per_batch: int = 1) -> StreamingQuery:
-    """Process new input files once; a repeated batch overwrites its own partition, so a restart adds nothing twice."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+                   checkpoint: str, bytes_per_batch: int = 4 << 30) -> StreamingQuery:
+    """Process new input files once and keep every row; a repeated batch overwrites its own partition, so a restart adds
+    nothing twice, and the result does not depend on how rows are split into files."""
+    stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(source)
 
     def publish(batch: DataFrame, number: int) -> None:
-        rows = step(batch).dropDuplicates([key])
-        (rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        (step(batch).withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("batch").parquet(output))
 
     return (stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
@@ -75,7 +82,7 @@ def unfinished(wanted: DataFrame, manifest: DataFrame, required: Sequence[str],
     needed = {"summary", *required}
     done = (manifest.filter(F.col("item").isin(*needed)).groupBy(key)
             .agg(F.count_distinct("item").alias("__n")).filter(F.col("__n") == len(needed)).select(key))
-    return wanted.join(small(done), key, "left_anti")
+    return wanted.join(done, key, "left_anti")
 
 
 # ---- content hashes ------------------------------------------------------------------------

@@ -132,6 +132,20 @@ def test_smoother_reproduces_lines():
     assert weights @ (0.3 + 0.5 * grid) == pytest.approx(0.3 + 0.5 * 0.95, abs=1e-8)
 
 
+def test_smoother_minimises_the_bent_energy():
+    """The same weights from second differences on a fine grid between the knots."""
+    n, fine = len(V.PI0_LAMBDAS), 8
+    m, h = (n - 1) * fine + 1, 0.05 / fine
+    second = np.diff(np.eye(m), 2, axis=0)
+    energy, pick = second.T @ second / h ** 3, np.eye(m)[::fine]
+    smooth = lambda penalty: pick @ np.linalg.solve(pick.T @ pick + penalty * energy, pick.T)
+    low, high = -25.0, 0.0
+    for _ in range(50):
+        middle = (low + high) / 2
+        low, high = (middle, high) if np.trace(smooth(np.exp(middle))) > V.SMOOTH_DF else (low, middle)
+    assert np.abs(smooth(np.exp(low))[-1] - V.smoother_weights()).max() < 1e-4
+
+
 def test_uniform_weights_screen_like_none(spark, problem):
     x, y = problem
     design, target = _tables(spark, x, y)

@@ -114,15 +114,41 @@ def test_average_percentiles(spark):
     assert got == [0.25, 0.625, 0.625, 1.0, 9]
 
 
-def test_large_tables_are_not_broadcast_by_hint(spark):
-    df = spark.range(100)
-    assert "broadcast" in S.small(df)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in S.small(df, limit=0)._jdf.queryExecution().logical().toString().lower()
-
-
-def test_vocabulary_limit(spark, monkeypatch):
-    monkeypatch.setattr(S, "VOCABULARY", 3)
-    few, many = spark.range(3), spark.range(5)
-    assert len(spark.range(1).select(S.vocabulary(few, ["id"])).first()[0]) == 3
-    with pytest.raises(Exception, match="too many groups"):
-        spark.range(1).select(S.vocabulary(many, ["id"])).collect()
+def test_sizes_are_measured(spark, tmp_path):
+    label = F.lit("x" * 41)
+    spark.range(2_000_000).select(label.alias("label"), "id").write.parquet(f"{tmp_path}/labels")
+    packed = spark.read.parquet(f"{tmp_path}/labels")
+    assert S.measured_bytes(packed) >= 41 * 2_000_000 and not S.fits_task(packed)
+    wide = spark.range(200).select(F.repeat(F.lit("y"), 100_000).alias("text"), *[F.lit(i).alias(f"c{i}") for i in range(30)])
+    assert S.measured_bytes(wide.select("text")) >= 20_000_000
+    grown = spark.range(10).select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("i"))
+    assert S.measured_bytes(grown) >= 16 * 10_000
+    nested = spark.range(10).select(F.array_repeat(F.lit("z" * 50), 1000).alias("a"))
+    assert S.measured_bytes(nested) >= 10 * 50_000
+    assert S.fits_task(spark.range(100)) and not S.fits_task(spark.range(100), limit=0)
+    assert S.measured_bytes(spark.range(0)) == 0
+
+
+def test_grid_has_no_limit(spark):
+    many = spark.range(20_000).withColumnRenamed("id", "k")
+    pairs = S.grid(spark.range(3), many)
+    assert pairs.count() == 60_000 and pairs.distinct().count() == 60_000
+    text = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
+    assert S.grid(spark.range(3), many.limit(0)).count() == 0
+
+
+def test_tables_of_a_run_go_with_it(spark):
+    import os
+
+    with S.run_scope(spark):
+        path = S.materialize(spark.range(5)).inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+
+
+def test_digit_runs_of_any_length_sort_as_numbers(spark):
+    names = ["x1234567890124", "x1234567890123", "x9", "x10", "x0010", "x123456789012345"]
+    df = spark.createDataFrame([(n,) for n in names], "n string").withColumn("k", X.natural_key(F.col("n")))
+    assert [r.n for r in df.orderBy("k", "n").collect()] == ["x9", "x0010", "x10", "x1234567890123", "x1234567890124", "x123456789012345"]
+    assert df.select("k").distinct().count() == 5

@@ -69,4 +69,4 @@ def test_plain_scans_are_not_copied(spark):
     df = spark.read.parquet(f"{SF}/lineitem.parquet").filter("l_quantity > 3")
     assert S.settled(df, 0) == (df, False)
     grown = df.selectExpr("explode(sequence(1, 5)) AS i")
-    assert not S.bounded(grown) and S.settled(grown)[0] is not grown
+    assert S.heavy(grown) and S.settled(grown)[0] is not grown

@@ -118,13 +118,65 @@ def test_table_sinks(spark, tmp_path):
     missing = K.write_split(donors, spark.createDataFrame([("g",), ("zz",)], "donor string"), f"{tmp_path}/split")
     assert [r.donor for r in missing.collect()] == ["zz"]
     assert spark.read.parquet(f"{tmp_path}/split/test").count() == 2
-    K.write_covariance(sums, groups, groups, f"{tmp_path}/cov")
-    assert spark.read.parquet(f"{tmp_path}/cov/meta").count() == 1
+    snps = spark.createDataFrame([("c1", "g", "s1"), ("c1", "g", "s2"), ("c2", "g", "s1")], "cell_type string, gene string, snp string")
+    for c in ("c1", "c2"):
+        part = snps.filter(F.col("cell_type") == c)
+        K.write_covariance(part.withColumn("value", F.lit(1.0)), part, f"{tmp_path}/cov", partition="cell_type", reference="r1")
+    meta = {m.cell_type: (m.n_snps, m.content_hash, m.reference) for m in spark.read.parquet(f"{tmp_path}/cov/meta").collect()}
+    assert {c: m[0] for c, m in meta.items()} == {"c1": 2, "c2": 1} and spark.read.parquet(f"{tmp_path}/cov/pairs").count() == 3
+    assert meta["c2"][1:] == (Z.content_hash(snps.filter("cell_type = 'c2'"), ["gene", "snp"]).first().content_hash, "r1")
     r = t.withColumn("arm", F.lit("A"))
     K.write_results(r, f"{tmp_path}/results")
     assert spark.read.parquet(f"{tmp_path}/results").filter("arm = 'A'").count() == 3
 
 
+def test_a_second_cell_type_leaves_the_first_alone(spark, tmp_path):
+    first = spark.createDataFrame([("c1", "A", "g", "1", 5, "d", 1.0)], "cell_type string, arm string, gene string, chrom string, tss long, donor string, value double")
+    second = first.withColumn("cell_type", F.lit("c2"))
+    sums = first.withColumn("sum_count", F.col("value"))
+    groups = first.select("donor", "cell_type", F.lit(2).cast("long").alias("n_cells"))
+    writers = {
+        "wide": lambda d, p: K.write_wide(d, p, ["d"]), "targets": K.write_targets, "results": K.write_results,
+        "predictions": lambda d, p: K.write_predictions(d, p, ["d"]),
+        "population": lambda d, p: K.write_population(d.withColumn("sum_count", F.col("value")), groups.withColumn("cell_type", F.lit(d.first().cell_type)), p)}
+    for name, write in writers.items():
+        for part in (first, second, second):
+            write(part, f"{tmp_path}/{name}")
+        read = spark.read.option("header", True).csv if name in ("wide", "predictions") else spark.read.parquet
+        assert sorted(r.cell_type for r in read(f"{tmp_path}/{name}").collect()) == ["c1", "c2"], name
+    assert sums.count() == 1
+
+
+def test_calls_of_several_files_keep_their_donors(spark, tmp_path):
+    for name, donor, call in (("a", "dA", "0/1"), ("b", "dB", "1/1")):
+        _write(tmp_path / name, f"##x\n#CHROM\tPOS\tID\tREF\tALT\tQ\tF\tI\tFORMAT\t{donor}\n1\t5\trs\tA\tC\t.\t.\t.\tGT\t{call}\n")
+    got = sorted((r.donor, r.n_alt) for r in S.parse_vcf(S.read_lines(spark, str(tmp_path))).collect())
+    assert got == [("dA", 1), ("dB", 2)]
+    _write(tmp_path / "c", "1\t5\trs\tA\tC\t.\t.\t.\tGT\t0/0\n")
+    with pytest.raises(Exception, match="no #CHROM line"):
+        S.parse_vcf(S.read_lines(spark, str(tmp_path))).collect()
+    _write(tmp_path / "c", "chr1\t5\trs\n")
+    with pytest.raises(Exception, match="with and without chr"):
+        S.contig_style(S.read_lines(spark, str(tmp_path))).collect()
+
+
+def test_each_file_has_its_own_preamble(spark, tmp_path):
+    _write(tmp_path / "a", "note\nSNP\tZ\ns1\t1.5\n")
+    _write(tmp_path / "b", "note1\nnote2\nSNP\tZ\ns2\t-2\n")
+    lines = S.read_lines(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in S.delimited(lines, ["snp", "z"], skip_until="SNP").collect()) == [("s1", "1.5"), ("s2", "-2")]
+    columns = S.StudyColumns(snp="SNP", effect_allele="SNP", non_effect_allele="SNP", zscore="Z")
+    got = S.read_study(spark, str(tmp_path), columns, sep="\\t", skip_until="SNP").collect()
+    assert sorted((r.snp, r.zscore) for r in got) == [("s1", 1.5), ("s2", -2.0)]
+    _write(tmp_path / "c", "SNP\tother\ns3\t1\n")
+    with pytest.raises(ValueError, match="different headers"):
+        S.read_study(spark, str(tmp_path), columns, sep="\\t", skip_until="SNP")
+    assert S.read_study(spark, str(tmp_path), columns, sep="\\t", skip_until="SNP", file_pattern="^[ab]$").count() == 2
+    _write(tmp_path / "d", "nothing\n")
+    with pytest.raises(Exception, match="no header line"):
+        S.delimited(S.read_lines(spark, str(tmp_path)), ["snp", "z"], skip_until="SNP").collect()
+
+
 def test_results_discovery(spark, tmp_path):
     folder = tmp_path / "T cell" / "armA"
     folder.mkdir(parents=True)
@@ -137,7 +189,13 @@ def test_new_donors_only_once(spark, tmp_path):
     df = spark.createDataFrame([("d1", 1.0), ("d2", 2.0)], "donor string, v double")
     K.write_new_donors(df.filter("donor = 'd1'"), f"{tmp_path}/f")
     K.write_new_donors(df, f"{tmp_path}/f")
-    assert spark.read.parquet(f"{tmp_path}/f").count() == 2
+    assert sorted(r.donor for r in K.written_donors(spark, f"{tmp_path}/f").collect()) == ["d1", "d2"]
+    # rows of a lost job: written, but their batch was never finished
+    half = df.filter("donor = 'd1'").select(F.lit("d3").alias("donor"), "v", F.lit("lost").alias("batch"), F.lit(0).alias("bucket"))
+    half.write.mode("append").partitionBy("batch", "bucket").parquet(f"{tmp_path}/f/rows")
+    again = K.write_new_donors(spark.createDataFrame([("d3", 3.0), ("d1", 9.0)], "donor string, v double"), f"{tmp_path}/f")
+    assert [tuple(r) for r in again.collect()] == [("d3", 3.0)]
+    assert sorted((r.donor, r.v) for r in K.written_donors(spark, f"{tmp_path}/f").collect()) == [("d1", 1.0), ("d2", 2.0), ("d3", 3.0)]
 
 
 def test_content_hash_is_order_free(spark):
@@ -160,7 +218,7 @@ def test_resume_after_restart(spark, tmp_path):
     src, out, cp = (f"{tmp_path}/{n}" for n in ("in", "out", "cp"))
     first = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     first.write.parquet(src)
-    run = lambda: Z.resume_batches(spark, src, first.schema, lambda d: d, output=out, checkpoint=cp, key="id").awaitTermination()
+    run = lambda: Z.resume_batches(spark, src, first.schema, lambda d: d, output=out, checkpoint=cp).awaitTermination()
     run()
     spark.createDataFrame([(3, "c")], "id long, v string").write.mode("append").parquet(src)
     run()
@@ -168,6 +226,24 @@ def test_resume_after_restart(spark, tmp_path):
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
 
 
+@pytest.mark.parametrize("files", [1, 2, 3])
+def test_every_row_survives_however_files_are_split(spark, tmp_path, files):
+    src, out, cp = (f"{tmp_path}/{n}" for n in ("in", "out", "cp"))
+    rows = [(1, "a"), (1, "b"), (2, "c")]
+    for i in range(files):
+        spark.createDataFrame(rows[i::files], "id long, v string").coalesce(1).write.mode("append").parquet(src)
+    Z.resume_batches(spark, src, "id long, v string", lambda d: d, output=out, checkpoint=cp, bytes_per_batch=1).awaitTermination()
+    assert sorted((r.id, r.v) for r in spark.read.parquet(out).collect()) == rows
+
+
+def test_sums_are_published_by_version(spark, tmp_path):
+    src, out, cp = (f"{tmp_path}/{n}" for n in ("in", "out", "cp"))
+    for x in (1.0, 3.0):
+        spark.createDataFrame([("k", x, 2 * x)], "k string, x double, y double").write.mode("append").parquet(src)
+        Z.stream_sums(spark, src, "k string, x double, y double", ["k"], "x", "y", output=out, checkpoint=cp).awaitTermination()
+    assert [(r.n, r.sum_x) for r in Z.latest_sums(spark, out).collect()] == [(2, 4.0)]
+
+
 def test_lists_and_signs(spark):
     signs = spark.createDataFrame([("e1", 1), ("e1", 1)], "gene_id string, reference_sign int")
     with pytest.raises(Exception, match="listed twice"):
