@@ -1,8 +1,10 @@
 """Per-gene sparse linear models.
 
-Spark does the work that grows with donors: joins, screening and the products
-x_i x_j summed in bounded tiles. A gene's solver sees only those sums for its
-screened SNPs (at most the screening size squared), never donor rows.
+A SNP is one row with its donors' dosages as an array, so neither SNP x donor
+rows nor SNP pairs are ever shuffled. Screening is a matrix product of such rows,
+part by part of a gene, with all its targets and cell types at once. A gene's
+solver works on the array rows of its screened SNPs directly: at most
+``screen_to`` rows per phase, whatever the window holds.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from ..functions import exprs as X
 from ..functions.ordered import row_numbers, top_k
 from ..functions.storage import reusable
 from .evaluation import spearman
-from .genotype import allele_frequencies, donor_slots, pair_products, screen
+from .genotype import allele_frequencies
 from .intervals import window_join
 
 # Penalty mix, folds, path length and ratio, ridge grid, pruning limits, inclusion mask.
@@ -26,6 +28,8 @@ RIDGE_ALPHAS = np.logspace(-6, 6, 15)
 PRUNE_VARIANCE, PRUNE_R2 = 1e-8, 0.1
 PIP_MASK = 0.5
 TEST = -1
+#: Parts, by hash of the SNP, in which a gene's window is screened.
+SCREEN_PARTS = 32
 
 FIT_SCHEMA = ("cell_type string, gene string, target string, snps array<string>, coefs array<double>, "
               "x_mean array<double>, x_scale array<double>, intercept double, y_mean double, y_scale double, "
@@ -44,203 +48,236 @@ def design_rows(genes: DataFrame, variants: DataFrame, genotypes: DataFrame, *,
                                               F.coalesce(F.col("dosage").cast("double"), "mean").alias("x"))
 
 
-# ---- solvers on sums -----------------------------------------------------------------------
-
-class Moments:
-    """Sums of products with places 0..k-1 for SNPs, k for the constant and k+1.. for targets."""
-
-    def __init__(self, matrix: np.ndarray, k: int):
-        self.m, self.k = matrix, k
-
-    def __add__(self, other: "Moments") -> "Moments":
-        return Moments(self.m + other.m, self.k)
-
-    def __sub__(self, other: "Moments") -> "Moments":
-        return Moments(self.m - other.m, self.k)
-
-    @property
-    def n(self) -> float:
-        return float(self.m[self.k, self.k])
-
-    def centred(self, target: int, mean: np.ndarray, scale: np.ndarray) -> tuple:
-        """Centred Gram, cross product and means in coordinates (x - mean) / scale."""
-        k, t, n = self.k, self.k + 1 + target, self.n
-        mx = self.m[:k, k] / n
-        my = self.m[t, k] / n
-        gram = (self.m[:k, :k] - n * np.outer(mx, mx)) / np.outer(scale, scale)
-        cross = (self.m[:k, t] - n * mx * my) / scale
-        return gram, cross, (mx - mean) / scale, my
-
-    def scaling(self) -> tuple[np.ndarray, np.ndarray]:
-        k, n = self.k, self.n
-        mean = self.m[:k, k] / n
-        var = np.clip(np.diag(self.m)[:k] / n - mean ** 2, 0, None)
-        sd = np.sqrt(var)
-        return mean, np.where(sd > 1e-12, sd, 1.0)
-
-    def errors(self, target: int, raw: np.ndarray, intercept: float) -> tuple[float, float, float, float]:
-        """SSE, SST, R squared and r of a raw-scale linear prediction."""
-        k, t, n = self.k, self.k + 1 + target, self.n
-        sy, syy = self.m[t, k], self.m[t, t]
-        sp = raw @ self.m[:k, k] + n * intercept
-        spp = raw @ self.m[:k, :k] @ raw + 2 * intercept * (raw @ self.m[:k, k]) + n * intercept ** 2
-        spy = raw @ self.m[:k, t] + intercept * sy
-        sse, sst = syy - 2 * spy + spp, syy - sy ** 2 / n
-        r2 = 1 - sse / sst if sst > 1e-12 else np.nan
-        spread = (spp - sp ** 2 / n) * sst
-        r = (spy - sp * sy / n) / np.sqrt(spread) if spread > 1e-18 else np.nan
-        return sse, sst, r2, r
-
-
-def elastic_net(gram: np.ndarray, cross: np.ndarray, n: float, alpha: float, l1: float,
-                start: np.ndarray | None = None, *, max_iter: int = 10000, tol: float = 1e-10) -> np.ndarray:
-    """Coordinate descent on a centred Gram for 1/(2n)|y-Xw|^2 + alpha(l1|w|_1 + (1-l1)/2|w|^2)."""
-    w = np.zeros(len(cross)) if start is None else start.copy()
-    slope = cross - gram @ w
-    diagonal = np.diag(gram)
+def donor_places(donors: DataFrame, *, limit: int | None = None) -> DataFrame:
+    """(donor, slot): place of each donor in the arrays of SNPs and targets."""
+    placed = row_numbers(donors.select("donor").distinct(), [], ["donor"], rn="slot", limit=limit)
+    return reusable(placed.select("donor", (F.col("slot") - 1).cast("int").alias("slot")))
+
+
+def _gathered(*columns: str) -> list[Column]:
+    """Arrays of the columns in the order of the donors' slots."""
+    rows = F.array_sort(F.collect_list(F.struct("slot", *columns)))
+    return [F.transform(rows, lambda r: r[c]).alias(name) for c, name in (("slot", "slots"), *((c, f"{c}s") for c in columns))]
+
+
+def design_arrays(genes: DataFrame, variants: DataFrame, genotypes: DataFrame, slots: DataFrame, *, window: int,
+                  min_maf: float = 0.0) -> DataFrame:
+    """(gene, snp, bp, slots, xs): each SNP is gathered once, then its row goes to the genes whose window holds it."""
+    stats = allele_frequencies(genotypes).filter(F.col("maf") >= min_maf).select("snp", (F.col("frequency") * 2).alias("mean"))
+    x = F.coalesce(F.col("dosage").cast("double"), "mean").alias("x")
+    rows = genotypes.join(stats, "snp").join(slots, "donor").select("snp", "slot", x).groupBy("snp").agg(*_gathered("x"))
+    inside = window_join(genes.select("gene", "chrom", "tss"), variants.select("chrom", "snp", "bp"), window=window)
+    return inside.select("gene", "snp", "bp").join(rows, "snp").select("gene", "snp", "bp", "slots", "xs")
+
+
+def as_arrays(design: DataFrame, slots: DataFrame) -> DataFrame:
+    """Array rows as they are; rows (gene, snp, bp, donor, x) gathered per SNP."""
+    if "xs" in design.columns:
+        return design
+    return design.join(slots, "donor").groupBy("gene", "snp", "bp").agg(*_gathered("x"))
+
+
+def as_rows(design: DataFrame, slots: DataFrame) -> DataFrame:
+    """(gene, snp, bp, donor, x) of array rows."""
+    if "xs" not in design.columns:
+        return design
+    z = F.explode(F.arrays_zip("slots", "xs")).alias("z")
+    return design.select("gene", "snp", "bp", z).select("gene", "snp", "bp", F.col("z.slots").alias("slot"), F.col("z.xs").alias("x")).join(
+        slots, "slot").select("gene", "snp", "bp", "donor", "x")
+
+
+# ---- solvers -------------------------------------------------------------------------------
+
+def elastic_net(x: np.ndarray, y: np.ndarray, alpha: float, l1: float, start: np.ndarray | None = None, *,
+                max_iter: int = 10_000, tol: float = 1e-9) -> np.ndarray:
+    """Weights of the rows of ``x`` (centred, one per SNP) for 1/(2n)|y-wx|^2 + alpha(l1|w|_1 + (1-l1)/2|w|^2).
+
+    Coordinate descent on the rows that can be non-zero; one product with all rows then finds those whose condition
+    is broken, until there are none.
+    """
+    k, n = x.shape
+    w = np.zeros(k) if start is None else start.copy()
+    square = np.einsum("ij,ij->i", x, x)
     ridge, lasso = n * alpha * (1 - l1), n * alpha * l1
-    scale = max(np.abs(cross).max(initial=0.0), 1e-300)
-    every = np.flatnonzero(diagonal > 1e-12)
-    active = every
+    slope = x @ y
+    scale = max(np.abs(slope).max(initial=0.0), 1e-300)
+    rest = y - w @ x
+    usable = square > 1e-12
+    active = np.flatnonzero((w != 0) | (usable & (np.abs(x @ rest - ridge * w) > lasso)))
     for _ in range(max_iter):
-        largest = 0.0
-        for j in active:
-            old = w[j]
-            rho = slope[j] + diagonal[j] * old
-            new = np.sign(rho) * max(abs(rho) - lasso, 0.0) / (diagonal[j] + ridge)
-            if new != old:
-                slope -= gram[j] * (new - old)
-                w[j] = new
-                largest = max(largest, abs(new - old) * diagonal[j])
-        if largest <= tol * scale:
-            if len(active) == len(every):
+        for _ in range(max_iter):
+            largest = 0.0
+            for j in active:
+                rho = x[j] @ rest + square[j] * w[j]
+                new = np.sign(rho) * max(abs(rho) - lasso, 0.0) / (square[j] + ridge)
+                if new != w[j]:
+                    rest -= (new - w[j]) * x[j]
+                    largest = max(largest, abs(new - w[j]) * square[j])
+                    w[j] = new
+            if largest <= tol * scale:
                 break
-            active = every
         else:
-            active = np.flatnonzero(w) if len(active) == len(every) and np.any(w) else active
-    else:
-        raise ArithmeticError(f"no convergence in {max_iter} sweeps")
-    return w
+            raise ArithmeticError(f"no convergence in {max_iter} sweeps")
+        broken = np.flatnonzero(usable & (w == 0) & (np.abs(x @ rest) > lasso * (1 + 1e-9) + tol * scale))
+        more = np.setdiff1d(broken, active)
+        if not len(more):
+            return w
+        active = np.union1d(active, more)
+    raise ArithmeticError(f"no convergence in {max_iter} rounds")
 
 
-def _path(cross: np.ndarray, n: float, l1: float, count: int) -> np.ndarray:
-    top = np.abs(cross).max(initial=0.0) / (n * l1)
+def _path(slope: np.ndarray, n: float, l1: float, count: int) -> np.ndarray:
+    top = np.abs(slope).max(initial=0.0) / (n * l1)
     return np.geomspace(top, top * PATH_RATIO, count) if top > 0 else np.array([1e-12])
 
 
-def ridge(gram: np.ndarray, cross: np.ndarray, alpha: float) -> np.ndarray:
-    return np.linalg.solve(gram + alpha * np.eye(len(cross)), cross)
+def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
+    """Weights for |y-wx|^2 + alpha|w|^2, solved on the shorter side of ``x``."""
+    k, n = x.shape
+    if k <= n:
+        return np.linalg.solve(x @ x.T + alpha * np.eye(k), x @ y)
+    return x @ np.linalg.solve(x.T @ x + alpha * np.eye(n), y)
 
 
-def prune(moments: Moments) -> np.ndarray:
-    """Places kept by greedy pruning in order: enough variance, r squared below the limit to all kept."""
-    k, n = moments.k, moments.n
-    mean = moments.m[:k, k] / n
-    cov = moments.m[:k, :k] / n - np.outer(mean, mean)
-    var = np.diag(cov)
-    usable = np.flatnonzero(var > PRUNE_VARIANCE)
-    if len(usable) <= 1:
-        return usable
+def prune(x: np.ndarray) -> np.ndarray:
+    """Rows kept by greedy pruning in order: enough variance, r squared below the limit to all kept."""
+    centred = x - x.mean(axis=1, keepdims=True)
+    spread = (centred ** 2).mean(axis=1)
+    usable = np.flatnonzero(spread > PRUNE_VARIANCE)
+    unit = centred[usable] / np.sqrt(spread[usable] * x.shape[1])[:, None]
     kept: list[int] = []
-    for j in usable:
-        if not kept or np.all(cov[kept, j] ** 2 / (var[kept] * var[j]) < PRUNE_R2):
-            kept.append(int(j))
-    return np.array(kept)
+    for row in range(len(usable)):
+        if len(usable) == 1 or not kept or np.all((unit[kept] @ unit[row]) ** 2 < PRUNE_R2):
+            kept.append(row)
+    return usable[kept]
+
 
+def scaling(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    sd = x.std(axis=1)
+    return x.mean(axis=1), np.where(sd > 1e-12, sd, 1.0)
 
-def subset(moments: Moments, keep: np.ndarray) -> Moments:
-    index = np.concatenate([keep, np.arange(moments.k, moments.m.shape[0])])
-    return Moments(moments.m[np.ix_(index, index)], len(keep))
 
+def quality(truth: np.ndarray, guess: np.ndarray) -> tuple[float, float]:
+    """R squared and r of a prediction; null where the truth or both do not vary."""
+    total = ((truth - truth.mean()) ** 2).sum()
+    r2 = 1 - ((truth - guess) ** 2).sum() / total if total > 1e-12 else np.nan
+    spread = total * ((guess - guess.mean()) ** 2).sum()
+    r = ((truth - truth.mean()) * (guess - guess.mean())).sum() / np.sqrt(spread) if spread > 1e-18 else np.nan
+    return float(r2), float(r)
 
-def _solve(total: Moments, folds: list[Moments], target: int, model: str, l1: float, alpha: float | None,
-           n_alphas: int) -> tuple[np.ndarray, float, np.ndarray, np.ndarray, float, float, float]:
-    """Standardised coefficients, intercept, scaling and penalty of one target."""
-    mean, scale = total.scaling()
-    gram, cross, _, my = total.centred(target, mean, scale)
-    t = total.k + 1 + target
-    sd = np.sqrt(max(total.m[t, t] / total.n - my ** 2, 0.0))
+
+def _solve(x: np.ndarray, y: np.ndarray, fold: np.ndarray, model: str, l1: float, alpha: float | None, n_alphas: int):
+    """Standardised coefficients, scaling of SNPs and target, and the penalty chosen over the folds."""
+    mean, scale = scaling(x)
+    z, my, sd = (x - mean[:, None]) / scale[:, None], y.mean(), y.std()
     sy = sd if sd > 1e-12 else 1.0
-    cross = cross / sy
+
+    def weights(rows: np.ndarray, target: np.ndarray, value: float, start=None) -> np.ndarray:
+        return ridge(rows, target, value) if model == "ridge" else elastic_net(rows, target, value, l1, start)
+
+    target = (y - my) / sy
     if alpha is None:
-        grid = RIDGE_ALPHAS if model == "ridge" else _path(cross, total.n, l1, n_alphas)
+        grid = RIDGE_ALPHAS if model == "ridge" else _path(z @ target, len(y), l1, n_alphas)
         loss = np.zeros(len(grid))
-        for fold in folds:
-            if fold.n <= 0 or fold.n >= total.n:
+        for part in np.unique(fold):
+            out = fold == part
+            if out.all():
                 continue
-            rest = total - fold
-            g, c, centre, mr = rest.centred(target, mean, scale)
-            w = None
+            rows, centre = z[:, ~out], z[:, ~out].mean(axis=1, keepdims=True)
+            shift, w = target[~out].mean(), None
             for a, value in enumerate(grid):
-                w = ridge(g, c / sy, value) if model == "ridge" else elastic_net(g, c / sy, rest.n, value, l1, w)
-                raw = w * sy / scale
-                sse = fold.errors(target, raw, mr - raw @ (rest.m[:rest.k, rest.k] / rest.n))[0]
-                loss[a] += sse / fold.n
+                w = weights(rows - centre, target[~out] - shift, value, w)
+                loss[a] += np.mean((target[out] - shift - w @ (z[:, out] - centre)) ** 2)
         alpha = float(grid[int(np.argmin(loss))])
-    w = ridge(gram, cross, alpha) if model == "ridge" else elastic_net(gram, cross, total.n, alpha, l1)
-    return w, 0.0, mean, scale, my, sy, alpha
+    return weights(z, target, alpha), mean, scale, my, sy, alpha
 
 
-def _matrices(pdf: pd.DataFrame, size: int) -> dict:
-    out: dict = {}
-    for phase, fold, i, j, v in zip(pdf["phase"], pdf["fold"], pdf["i"], pdf["j"], pdf["v"]):
-        m = out.setdefault((phase, int(fold)), np.zeros((size, size)))
-        i, j, v = (np.asarray(a) for a in (i, j, v))
-        m[i - 1, j - 1] = v
-        m[j - 1, i - 1] = v
+def _dense(slots, values, width: int) -> np.ndarray:
+    out = np.full((len(slots), width), np.nan)
+    for row, at, xs in zip(out, slots, values):
+        row[np.asarray(at, dtype=int)] = xs
     return out
 
 
+def _matrix(snps: pd.DataFrame, used: np.ndarray) -> np.ndarray:
+    """Dosages of each SNP for the donors in use; a donor that a SNP lacks has its mean."""
+    width = int(max(used.max(initial=0), max((max(s) if len(s) else 0) for s in snps["slots"]))) + 1
+    x = _dense(snps["slots"], snps["xs"], width)[:, used]
+    gaps = np.isnan(x)
+    if gaps.any():
+        x = np.where(gaps, np.nan_to_num(np.nanmean(np.where(gaps.all(axis=1, keepdims=True), 0.0, x), axis=1))[:, None], x)
+    return x
+
+
+def _marginal(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """|covariance with the target| / SD of each row; 0 without spread."""
+    p = np.full(x.shape[1], 1 / x.shape[1]) if weight is None else weight / weight.sum()
+    centred = x - (x @ p)[:, None]
+    sd = np.sqrt(np.maximum(centred ** 2 @ p, 0))
+    covariance = np.abs(centred @ (p * (y - p @ y)))
+    return np.where(sd > 1e-12, covariance / np.where(sd > 1e-12, sd, 1.0), 0.0)
+
+
+def _screen_function(names: Sequence[str]):
+    def screen(snps: pd.DataFrame, targets: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(snps):
+            for _, row in targets.iterrows():
+                slots, fold = np.asarray(row["slots"], dtype=int), np.asarray(row["folds"])
+                x = _matrix(snps, slots)
+                for phase, part in (("heldout", fold != TEST), ("kept", np.ones(len(fold), bool))):
+                    if part.any():
+                        scores = [_marginal(x[:, part], np.asarray(row[f"{n}s"], float)[part]) for n in names]
+                        out.append(pd.DataFrame({"phase": phase, "cell_type": row["cell_type"], "gene": row["gene"], "snp": snps["snp"],
+                                                 "bp": snps["bp"], "score": np.max(scores, axis=0)}))
+        columns = ["phase", "cell_type", "gene", "snp", "bp", "score"]
+        return pd.concat(out, ignore_index=True)[columns] if out else pd.DataFrame(columns=columns)
+
+    return screen
+
+
 def _fit_function(targets: Sequence[str], model: str, l1: float, alpha: float | None, n_alphas: int):
     names = list(targets)
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        cell_type, gene = str(pdf["cell_type"].iloc[0]), str(pdf["gene"].iloc[0])
+    def fit(snps: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        columns = [c.split()[0] for c in FIT_SCHEMA.split(", ")]
+        if not len(given) or not len(snps):
+            return pd.DataFrame(columns=columns)
+        source = given.iloc[0]
+        slots, fold = np.asarray(source["slots"], dtype=int), np.asarray(source["folds"])
+        snps = snps.sort_values(["bp", "snp"], ignore_index=True)
+        every, labels = _matrix(snps, slots), snps["snp"].astype(str).to_numpy()
+        phases = {p: np.array([p in have for have in snps["phases"]], bool) for p in ("heldout", "kept")}
+        test = fold == TEST
         rows = []
-        for target, name in enumerate(names):
-            row = {"cell_type": cell_type, "gene": gene, "target": name, "status": "ok"}
+        for name in names:
+            row = {"cell_type": str(source["cell_type"]), "gene": str(source["gene"]), "target": name, "status": "ok"}
+            y = np.asarray(source[f"{name}s"], float)
             try:
-                known, held_alpha = {}, alpha
-                for phase in ("heldout", "kept"):
-                    part = pdf[pdf["phase"] == phase]
-                    if part.empty:
-                        continue
-                    features = list(part["features"].iloc[0])
-                    k = len(features) - 1 - len(names)
-                    found = {f: Moments(m, k) for (_, f), m in _matrices(part, len(features)).items()}
-                    train = [m for f, m in sorted(found.items()) if f != TEST]
-                    test = found.get(TEST)
-                    if phase == "heldout" and test is None:
+                held_alpha = alpha
+                for phase, train in (("heldout", ~test), ("kept", np.ones(len(fold), bool))):
+                    if phase == "heldout" and (not test.any() or not train.any()):
                         continue
-                    used = train if phase == "heldout" or test is None else [*train, test]
-                    total = used[0]
-                    for m in used[1:]:
-                        total = total + m
+                    x, features = every[phases[phase]], labels[phases[phase]]
                     if model == "ridge":
-                        keep = prune(total)
-                        features = [features[i] for i in keep]
-                        total, used = subset(total, keep), [subset(m, keep) for m in used]
-                        test = subset(test, keep) if test is not None else None
-                    w, b, mean, scale, my, sy, chosen = _solve(total, used, target, model, l1, held_alpha, n_alphas)
-                    held_alpha, raw = chosen, w * sy / scale
-                    offset = my - raw @ mean
+                        keep = prune(x[:, train])
+                        x, features = x[keep], features[keep]
+                    w, mean, scale, my, sy, held_alpha = _solve(x[:, train], y[train], fold[train], model, l1, held_alpha, n_alphas)
+                    raw = w * sy / scale
+                    offset = float(my - raw @ mean)
+                    if phase == "heldout" or not test.any():
+                        r2, r = quality(y[train], offset + raw @ x[:, train])
+                        row.update(insample_r2=r2, insample_r=r, n_train=int(train.sum()), n_test=int(test.sum()))
                     if phase == "heldout":
-                        _, _, r2, r = test.errors(target, raw, offset)
-                        _, _, r2_in, r_in = total.errors(target, raw, offset)
-                        row.update(heldout_r2=r2, heldout_r=r, insample_r2=r2_in, insample_r=r_in,
-                                   n_train=int(total.n), n_test=int(test.n), heldout_snps=features[:len(w)],
-                                   heldout_weights=raw.tolist(), heldout_offset=float(offset))
-                        known[phase] = True
+                        r2, r = quality(y[test], offset + raw @ x[:, test])
+                        row.update(heldout_r2=r2, heldout_r=r, heldout_snps=features.tolist(), heldout_weights=raw.tolist(),
+                                   heldout_offset=offset)
                     else:
-                        if "heldout" not in known:
-                            _, _, r2_in, r_in = total.errors(target, raw, offset)
-                            row.update(insample_r2=r2_in, insample_r=r_in, n_train=int(total.n), n_test=0)
-                        row.update(snps=features[:len(w)], coefs=w.tolist(), x_mean=mean.tolist(), x_scale=scale.tolist(),
-                                   intercept=b, y_mean=my, y_scale=sy, alpha=chosen)
+                        row.update(snps=features.tolist(), coefs=w.tolist(), x_mean=mean.tolist(), x_scale=scale.tolist(),
+                                   intercept=0.0, y_mean=float(my), y_scale=float(sy), alpha=held_alpha)
             except Exception as error:  # noqa: BLE001 - a failed gene must stay visible
                 row["status"] = f"{type(error).__name__}: {error}"[:200]
             rows.append(row)
-        columns = [c.split()[0] for c in FIT_SCHEMA.split(", ")]
         out = pd.DataFrame(rows).reindex(columns=columns)
         for c in ("n_train", "n_test"):
             out[c] = out[c].astype("Int64")
@@ -251,14 +288,6 @@ def _fit_function(targets: Sequence[str], model: str, l1: float, alpha: float |
     return fit
 
 
-def _pack(products: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Pair sums gathered per tile pair, so a solver reads a few arrays instead of many rows."""
-    tile = 512
-    return products.groupBy(*keys, F.floor(F.col("i") / tile).alias("bi"), F.floor(F.col("j") / tile).alias("bj")).agg(
-        F.collect_list(F.struct("i", "j", F.col("product").alias("v"))).alias("cells")).select(
-        *keys, F.col("cells.i").alias("i"), F.col("cells.j").alias("j"), F.col("cells.v").alias("v"))
-
-
 def fold_targets(targets: DataFrame, names: Sequence[str], *, cv: int = CV_FOLDS, seed: int = 42, test_fraction: float = 0.2,
                  min_train: int = 3, min_test: int = 2, limit: int | None = None) -> DataFrame:
     """Usable targets with their fold: -1 is held out, 0..cv-1 are cross-validation parts.
@@ -278,11 +307,11 @@ def fold_targets(targets: DataFrame, names: Sequence[str], *, cv: int = CV_FOLDS
 def fit_genes(design: DataFrame, targets: DataFrame, names: Sequence[str] = ("y",), *, model: str = "elasticnet",
               l1_ratio: float = L1_RATIO, alpha: float | None = None, cv: int = CV_FOLDS, n_alphas: int = N_ALPHAS,
               screen_to: int = 5000, seed: int = 42, test_fraction: float = 0.2, min_train: int = 3, min_test: int = 2,
-              limit: int | None = None) -> DataFrame:
+              slots: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """One row per (cell type, gene, target): coefficients, penalty, held-out and in-sample quality.
 
-    ``design(gene, snp, bp, donor, x)`` is shared by all cell types;
-    ``targets(cell_type, gene, donor, *names)``. SNPs are screened on training
+    ``design(gene, snp, bp, slots, xs)`` of :func:`design_arrays` with its ``slots``, or rows ``(gene, snp, bp, donor, x)``,
+    is shared by all cell types; ``targets(cell_type, gene, donor, *names)``. SNPs are screened on training
     donors for the held-out score and on all donors for the kept fit.
     """
     if model not in ("elasticnet", "ridge"):
@@ -290,38 +319,19 @@ def fit_genes(design: DataFrame, targets: DataFrame, names: Sequence[str] = ("y"
     names = list(names)
     folded = reusable(fold_targets(targets, names, cv=cv, seed=seed, test_fraction=test_fraction, min_train=min_train,
                                    min_test=min_test, limit=limit))
-    rows = reusable(design.join(folded, ["gene", "donor"]))
-    group = ["cell_type", "gene"]
-    chosen = []
-    for phase, part in (("heldout", rows.filter(F.col("fold") != TEST)), ("kept", rows)):
-        scored = screen(part, group, names).join(design.select("gene", "snp", "bp").distinct(), ["gene", "snp"])
-        best = top_k(scored, group, [F.col("score").desc(), F.col("snp")], screen_to)
-        chosen.append(best.select(F.lit(phase).alias("phase"), *group, "snp", "bp"))
-    snps = reusable(chosen[0].unionByName(chosen[1]))
-    keys = ["phase", *group]
-    numbered = row_numbers(snps, keys, ["bp", "snp"], rn="place", total="k", limit=limit)
-    extra = ["__one", *[f"__y_{t}" for t in names]]
-    places = numbered.select(*keys, F.col("snp").cast("string").alias("feature"), "place").unionByName(
-        numbered.select(*keys, "k").distinct().select(
-            *keys, F.posexplode(F.array(*[F.lit(e) for e in extra])).alias("at", "feature"), "k")
-        .select(*keys, "feature", (F.col("k") + F.col("at") + 1).alias("place")))
-    places = reusable(places)
-    snp_values = rows.join(snps.drop("bp"), [*group, "snp"]).select(
-        *keys, "fold", F.col("snp").cast("string").alias("feature"), "donor", "x")
-    both = F.explode(F.array(F.lit("heldout"), F.lit("kept"))).alias("phase")
-    named = F.map_from_arrays(F.array(*[F.lit(e) for e in extra]),
-                              F.array(F.lit(1.0), *[F.col(t).cast("double") for t in names]))
-    other = folded.select(*group, "fold", "donor", both, named.alias("values")).select(
-        *keys, "fold", "donor", F.explode("values").alias("feature", "x"))
-    values = snp_values.unionByName(other.select(*snp_values.columns))
-    slots = donor_slots(folded.select("donor"), limit=limit)
-    products = pair_products(values, keys, places, slots, within=["fold"], named=False)
-    read = F.from_json("gid", "phase string, cell_type string, gene string, fold int")
-    packed = _pack(products.withColumn("g", read).select("g.*", "i", "j", "product"), [*keys, "fold"])
-    order = places.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "feature"))),
-                                                  lambda v: v["feature"]).alias("features"))
-    order = order.withColumn("gene", F.col("gene").cast("string"))
-    return packed.join(order, keys).groupBy(*group).applyInPandas(
+    slots = slots if slots is not None else donor_places(folded.select("donor"), limit=limit)
+    arrays = as_arrays(design, slots)
+    values = folded.join(slots, "donor").select("cell_type", "gene", "slot", "fold", *[F.col(n).cast("double").alias(n) for n in names])
+    wanted = reusable(values.groupBy("cell_type", "gene").agg(*_gathered("fold", *names)))
+    part = F.pmod(F.xxhash64("snp"), F.lit(SCREEN_PARTS)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SCREEN_PARTS - 1))).alias("part")
+    kinds = dict(arrays.dtypes) | {"cell_type": "string"}
+    scored = arrays.withColumn("part", part).groupBy("gene", "part").cogroup(wanted.select("*", parts).groupBy("gene", "part")).applyInPandas(
+        _screen_function(names), f"phase string, cell_type string, gene {kinds['gene']}, snp {kinds['snp']}, bp {kinds['bp']}, score double")
+    best = top_k(scored, ["phase", "cell_type", "gene"], [F.col("score").desc(), F.col("snp")], screen_to)
+    chosen = best.groupBy("cell_type", "gene", "snp").agg(F.collect_set("phase").alias("phases"))
+    rows = arrays.join(chosen, ["gene", "snp"])
+    return rows.groupBy("cell_type", "gene").cogroup(wanted.groupBy("cell_type", "gene")).applyInPandas(
         _fit_function(names, model, l1_ratio, alpha, n_alphas), FIT_SCHEMA)
 
 
@@ -406,73 +416,77 @@ def multiplicities(donors: DataFrame, genes: DataFrame, n_bootstraps: int, *, se
         "gene", "bootstrap", "donor", "multiplicity")
 
 
+def _member_screen(snps: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+    columns = ["gene", "snp", "score"]
+    if not len(snps) or not len(members):
+        return pd.DataFrame(columns=columns)
+    scores = []
+    for _, row in members.iterrows():
+        slots = np.asarray(row["slots"], dtype=int)
+        scores.append(_marginal(_matrix(snps, slots), np.asarray(row["means"], float), np.asarray(row["ws"], float)))
+    return pd.DataFrame({"gene": members["gene"].iloc[0], "snp": snps["snp"], "score": np.max(scores, axis=0)})[columns]
+
+
 def _bootstrap_function(l1: float):
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        gene, member = str(pdf["gene"].iloc[0]), str(pdf["member"].iloc[0])
-        features = list(pdf["features"].iloc[0])
-        k, alpha = len(features) - 2, float(pdf["alpha"].iloc[0])
-        matrices = _matrices(pdf.assign(phase="b", fold=pdf["bootstrap"]), len(features))
-        plain = Moments(matrices.pop(("b", -1)), k)
-        mean, scale = plain.scaling()
+    def fit(snps: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        columns = ["gene", "member", "bootstrap", "snp", "weight", "intercept"]
+        if not len(snps) or not len(given):
+            return pd.DataFrame(columns=columns)
+        source = given.iloc[0]
+        snps = snps.sort_values(["bp", "snp"], ignore_index=True)
+        x = _matrix(snps, np.asarray(source["slots"], dtype=int))
+        y, w = np.asarray(source["means"], float), np.asarray(source["ws"], float)
+        counts = np.stack([np.asarray(c, float) for c in source["countss"]], axis=1)
+        mean, scale = scaling(x)
+        z = (x - mean[:, None]) / scale[:, None]
         out, start = [], None
-        for (_, b), m in sorted(matrices.items()):
-            weighted = Moments(m * (plain.n / m[k, k]), k)
-            gram, cross, centre, my = weighted.centred(0, mean, scale)
-            start = elastic_net(gram, cross, plain.n, alpha, l1, start)
+        for number, count in enumerate(counts):
+            share = w * count / (w * count).sum()
+            root = np.sqrt(share * len(y))
+            centre, middle = z @ share, share @ y
+            start = elastic_net((z - centre[:, None]) * root, (y - middle) * root, float(source["alpha"]), l1, start)
             raw = start / scale
-            intercept = my - raw @ (weighted.m[:k, k] / weighted.n)
-            out.append(pd.DataFrame({"gene": gene, "member": member, "bootstrap": b, "snp": features[:k],
-                                     "weight": raw, "intercept": intercept}))
-        return pd.concat(out, ignore_index=True)
+            out.append(pd.DataFrame({"gene": str(source["gene"]), "member": str(source["member"]), "bootstrap": number,
+                                     "snp": snps["snp"].astype(str), "weight": raw, "intercept": middle - raw @ (mean + centre * scale)}))
+        return pd.concat(out, ignore_index=True)[columns]
 
     return fit
 
 
 def bootstrap_fits(design: DataFrame, members: DataFrame, alphas: DataFrame, *, n_bootstraps: int = 5,
                    sigma_floor: float = 1e-3, l1_ratio: float = L1_RATIO, screen_to: int = 5000, seed: int = 42,
-                   limit: int | None = None) -> DataFrame:
+                   slots: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """(gene, member, bootstrap, snp, weight, intercept) on raw dosages.
 
     ``members(gene, member, donor, mean, sigma)``; donors without every member
     are left out; rows weigh 1 / max(sigma, floor)^2 times the bootstrap count.
-    ``alphas(gene, alpha)`` is one shared penalty per gene.
+    ``alphas(gene, alpha)`` is one shared penalty per gene. Designs as for :func:`fit_genes`.
     """
     n_members = members.groupBy("gene").agg(F.count_distinct("member").alias("n_members"))
     complete = (members.filter("mean is not null and sigma >= 0").groupBy("gene", "donor")
                 .agg(F.count_distinct("member").alias("c")).join(n_members, "gene").filter("c = n_members")
                 .select("gene", "donor"))
     precision = 1.0 / F.pow(F.greatest("sigma", F.lit(sigma_floor)), 2)
-    rows = reusable(members.join(complete, ["gene", "donor"]).select("gene", "member", "donor", "mean", precision.alias("w")))
+    rows = reusable(members.join(complete, ["gene", "donor"]).select("gene", "member", "donor", F.col("mean").cast("double").alias("mean"),
+                                                                  precision.alias("w")))
     donors = rows.select("gene", "donor").distinct()
-    counts = reusable(multiplicities(donors, donors, n_bootstraps, seed=seed, limit=limit))
-    scored = design.join(rows, ["gene", "donor"])
-    per_member = screen(scored, ["gene", "member"], ["mean"], weight="w")
-    best = top_k(per_member.groupBy("gene", "snp").agg(F.max("score").alias("score")), ["gene"],
-                 [F.col("score").desc(), F.col("snp")], screen_to)
-    snps = reusable(best.join(design.select("gene", "snp", "bp").distinct(), ["gene", "snp"]).select("gene", "snp", "bp"))
-    numbered = row_numbers(snps, ["gene"], ["bp", "snp"], rn="place", total="k", limit=limit)
-    places = reusable(numbered.select("gene", F.col("snp").cast("string").alias("feature"), "place").unionByName(
-        numbered.select("gene", "k").distinct().select("gene", F.posexplode(F.array(F.lit("__one"), F.lit("__y"))).alias("at", "feature"), "k")
-        .select("gene", "feature", (F.col("k") + F.col("at") + 1).alias("place"))))
-    drawn = rows.join(counts, ["gene", "donor"]).select(
-        "gene", "member", "bootstrap", "donor", "mean", F.sqrt(F.col("w") * F.col("multiplicity")).alias("root"))
-    whole = rows.select("gene", "member", F.lit(-1).alias("bootstrap"), "donor", "mean", F.lit(1.0).alias("root"))
-    weighted = drawn.unionByName(whole)
-    kept = design.join(snps.select("gene", "snp"), ["gene", "snp"]).select(
-        "gene", "donor", F.col("snp").cast("string").alias("feature"), "x")
-    snp_values = weighted.join(kept, ["gene", "donor"]).select(
-        "gene", "member", "bootstrap", "feature", "donor", (F.col("x") * F.col("root")).alias("x"))
-    named = F.create_map(F.lit("__one"), F.col("root"), F.lit("__y"), F.col("mean") * F.col("root"))
-    other = weighted.select("gene", "member", "bootstrap", "donor", F.explode(named).alias("feature", "x"))
-    values = snp_values.unionByName(other.select(*snp_values.columns))
-    products = pair_products(values, ["gene"], places, donor_slots(donors, limit=limit),
-                             within=["member", "bootstrap"], named=False)
-    read = F.from_json("gid", "gene string, member string, bootstrap int")
-    packed = _pack(products.withColumn("g", read).select("g.*", "i", "j", "product"), ["gene", "member", "bootstrap"])
-    order = places.groupBy(F.col("gene").cast("string").alias("gene")).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("place", "feature"))), lambda v: v["feature"]).alias("features"))
-    penalty = alphas.select(F.col("gene").cast("string").alias("gene"), "alpha")
-    return packed.join(order, "gene").join(penalty, "gene").groupBy("gene", "member").applyInPandas(
+    drawn = multiplicities(donors, donors, n_bootstraps, seed=seed, limit=limit).groupBy("gene", "donor").agg(
+        F.map_from_entries(F.collect_list(F.struct("bootstrap", "multiplicity"))).alias("drawn"))
+    numbers = F.sequence(F.lit(0), F.lit(n_bootstraps - 1))
+    counts = F.transform(numbers, lambda b: F.coalesce(F.try_element_at("drawn", b), F.lit(0).cast("bigint"))).alias("counts")
+    slots = slots if slots is not None else donor_places(donors.select("donor"), limit=limit)
+    arrays = as_arrays(design, slots)
+    weighted = rows.join(drawn, ["gene", "donor"], "left").join(slots, "donor").select("gene", "member", "slot", "mean", "w", counts)
+    wanted = reusable(weighted.groupBy("gene", "member").agg(*_gathered("mean", "w", "counts")).join(alphas.select("gene", "alpha"), "gene"))
+    part = F.pmod(F.xxhash64("snp"), F.lit(SCREEN_PARTS)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SCREEN_PARTS - 1))).alias("part")
+    kinds = dict(arrays.dtypes)
+    scored = arrays.withColumn("part", part).groupBy("gene", "part").cogroup(
+        wanted.select("gene", "slots", "means", "ws", parts).groupBy("gene", "part")).applyInPandas(
+        _member_screen, f"gene {kinds['gene']}, snp {kinds['snp']}, score double")
+    best = top_k(scored, ["gene"], [F.col("score").desc(), F.col("snp")], screen_to).select("gene", "snp")
+    chosen = best.join(wanted.select("gene", F.concat("member", F.lit("")).alias("member")), "gene")
+    return arrays.join(chosen, ["gene", "snp"]).groupBy("gene", "member").cogroup(wanted.groupBy("gene", "member")).applyInPandas(
         _bootstrap_function(l1_ratio), "gene string, member string, bootstrap int, snp string, weight double, intercept double")
 
 
