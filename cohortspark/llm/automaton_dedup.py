@@ -128,7 +128,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, gram: int = 8, grou
                           text_column: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept, spans): kept words joined by one space, and the removed word ranges [start, stop)."""
     found = ps.matches(ps.with_key(docs, id_column, text_column), ps.Unit("word", window, gram),
-                       lambda rows: smallest_ids(rows, window), True, F.col("least") < F.col("id"), group)
+                       lambda rows: smallest_ids(rows, window), True, F.col("least") < F.col("id"), ["shift", "found"], group)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in ps.unpacked(batches):
@@ -136,7 +136,7 @@ def remove_repeated_words(docs: DataFrame, window: int = 50, gram: int = 8, grou
             for text, own, hits in zip(texts, part.column("id").to_pylist(), part.column("hits").to_pylist()):
                 w = text.split()
                 counts.append(len(w))
-                starts = [h["at"] + np.flatnonzero(np.frombuffer(h["found"], np.int64) < own) for h in hits or []]
+                starts = [h["at"] + p["shift"] + np.flatnonzero(np.frombuffer(p["found"], np.int64) < own) for h in hits or [] for p in h["pieces"]]
                 if starts:
                     gone = wk.covered(len(w), np.concatenate(starts), window)
                     edge = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).reshape(-1, 2)

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.llm import wordkit as wk
-from cohortspark.llm.store import stored
+from cohortspark.llm.store import bounded_batches, stored
 
 MASS, POWER = 10.0, 0.7
 #: Text bytes of a block, and different codes that a bucket gets on average.
@@ -200,7 +200,7 @@ def scores(docs: DataFrame, modulus: int = 5, remainder: int = 1, id_column: str
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; documents whose crc32 of the id
     has the given remainder are held out of the counts."""
     held = F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
-    table = stored(blocks(docs.select(F.col(id_column).cast("bigint"), held, F.col(text_column).cast("string"))))
+    table = stored(blocks(bounded_batches(docs).select(F.col(id_column).cast("bigint"), held, F.col(text_column).cast("string"))))
     total = table.agg(F.sum("tokens").alias("n")).first().n or 0
     buckets = max(1, math.ceil(total / BUCKET))
     answered = stored(answers(questions(table, buckets)))

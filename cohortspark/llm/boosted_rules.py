@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortspark.llm import wordkit as wk
+from cohortspark.llm.store import bounded_batches
 
 #: Labelled rows that a fit takes at most, by hash order of the id.
 SAMPLE = 20_000
@@ -184,7 +185,7 @@ def measured(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), pa.array(list(x), pa.list_(pa.float64()))],
                                              ["doc_id", "y", "x"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "y", F.col("text").cast("string")).mapInArrow(
+    return bounded_batches(docs).select(F.col("doc_id").cast("bigint"), "y", F.col("text").cast("string")).mapInArrow(
         run, "doc_id bigint, y int, x array<double>")
 
 
@@ -210,7 +211,7 @@ def judged(docs: DataFrame, trees: Trees | None, carried: list[str]) -> DataFram
             added = [*(pa.array(base[c], pa.int64()) for c in COUNTS), pa.array(failed), pa.array(score), pa.array(~failed & (score >= 0.5))]
             yield pa.RecordBatch.from_arrays([*part.columns, *added], [*part.schema.names, *COUNTS, "base_failed", "score", "kept"])
 
-    source = docs.select(F.struct(*carried).alias("row"), F.col("text").cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.struct(*carried).alias("row"), F.col("text").cast("string").alias("text"))
     schema = T.StructType([*source.schema, *(T.StructField(c, T.LongType()) for c in COUNTS), T.StructField("base_failed", T.BooleanType()),
                            T.StructField("score", T.DoubleType()), T.StructField("kept", T.BooleanType())])
     return source.mapInArrow(run, schema)

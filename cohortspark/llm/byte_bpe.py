@@ -20,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
+from cohortspark.llm.store import bounded_batches
+
 #: Distinct pieces that a worker remembers before it starts anew.
 REMEMBERED = 400_000
 #: Text bytes, or tokens, in one Arrow batch that goes back to Spark.
@@ -181,7 +183,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, offsets: bool = False
            text_column: str = "text") -> DataFrame:
     """(id, ids array<int>), with `starts` and `ends` (characters) when `offsets` is set."""
     schema = "id bigint, ids array<int>" + (", starts array<bigint>, ends array<bigint>" if offsets else "")
-    source = docs.select(F.col(id_column).cast("bigint"), F.col(text_column).cast("string"))
+    source = bounded_batches(docs).select(F.col(id_column).cast("bigint"), F.col(text_column).cast("string"))
     return source.mapInArrow(lambda b: encoded(b, vocabulary, pattern, offsets), schema).withColumnRenamed("id", id_column)
 
 
@@ -194,5 +196,5 @@ def decode(ids: DataFrame, vocabulary: str, id_column: str = "doc_id") -> DataFr
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), and ids if wanted: encoded, decoded and digested in one pass."""
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
-    source = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
+    source = bounded_batches(docs).select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return source.mapInArrow(lambda b: digests(decoded(encoded(b, vocabulary, pattern, False), vocabulary), with_ids), schema)

@@ -1,4 +1,7 @@
-"""Connected components of an edge table, by alternating large and small stars; every step is a sum or a join of edges."""
+"""Connected components of an edge table, by alternating large and small stars; every step is a sum or a join of edges.
+
+The smallest neighbours are written before they are joined, so that Spark can split a vertex with many edges.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +13,14 @@ from cohortspark.llm.store import stored
 def large_star(edges: DataFrame) -> DataFrame:
     """Join each vertex's larger neighbours to the smallest vertex in reach."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def small_star(edges: DataFrame) -> DataFrame:
     """Join each vertex and its smaller neighbours to the smallest of them. edges: u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    edges = stored(edges)
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("m")))
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 

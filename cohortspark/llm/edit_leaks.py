@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from cohortspark.llm import wordkit as wk
+from cohortspark.llm.store import bounded_batches
 
 SHARE, RECALL = 0.15, 0.99
 LEAST_WORDS, ITEMS = 5, 20_000
@@ -260,7 +261,7 @@ def searched(docs: DataFrame, items: list[tuple], carried: list[str], share: flo
                 yield from sent()
         yield from sent()
 
-    source = docs.select(F.struct(*carried).alias("row"), F.col("text").cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.struct(*carried).alias("row"), F.col("text").cast("string").alias("text"))
     match = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("edits", "start", "stop"))]))
     return source.mapInArrow(run, T.StructType([*source.schema, T.StructField("matches", match)]))
 

@@ -22,6 +22,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortspark.llm import wordkit as wk
+from cohortspark.llm.store import bounded_batches
 
 #: Labelled documents of a fit, words of a model, documents that must have a word, and rounds of a fit.
 SAMPLE, VOCABULARY, LEAST_DOCS, ROUNDS = 6_000, 20_000, 4, 300
@@ -147,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in wk.portions(batches):
@@ -195,6 +196,6 @@ def scored(docs: DataFrame, model: Model, threshold: float = OFFENDING) -> DataF
                  pa.array(np.diff(s.first)), pa.array(found, kind)],
                 ["doc_id", "held_out", "score", "predicted", "n_sentences", "offending"])
 
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
+    source = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).withColumn("held_out", held_out(F.col("doc_id")))
     return source.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int, n_sentences bigint, "
                                   "offending array<struct<start:bigint,stop:bigint,score:double>>")

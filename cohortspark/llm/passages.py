@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from cohortspark.llm import wordkit as wk
-from cohortspark.llm.store import stored
+from cohortspark.llm.store import bounded_batches, stored
 
 #: Different passages that one anchor's group may hold before it is divided.
 GROUP = 400
@@ -91,7 +91,7 @@ def keys(sums: np.ndarray, anchor: np.ndarray, start: np.ndarray, count: np.ndar
 def with_key(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """Documents as (doc, id, key, text): the given id, its rank, and a hash that tells apart texts under one id."""
     text = F.coalesce(F.col(text_column).cast("string"), F.lit(""))
-    return docs.select(F.col(id_column).cast("bigint").alias("doc"),
+    return bounded_batches(docs).select(F.col(id_column).cast("bigint").alias("doc"),
                        F.coalesce(F.col(id_column).cast("bigint"), F.lit(LAST)).alias("id"),
                        F.xxhash64(text).alias("key"), text.alias("text"))
 
@@ -209,7 +209,7 @@ def settle(rows: DataFrame, unit: Unit, compare: Compare, group: int, level: int
     one = parts.groupBy("anchor", "seg").agg(
         F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
         F.min(F.struct("id", "key", "at", "lead", "wins", "passage")).alias("rep")).select("anchor", "seg", "n", "lo", "hi", "rep.*")
-    count = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("total > 1")
+    count = stored(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("total > 1"))
     last = level + 2 == len(unit.classes)
     inner = stored(one.join(count, "anchor").withColumn("hot", F.lit(False) if last else F.col("m") > group).drop("m", "total"))
     found = settle(inner, unit, compare, group, level + 1).withColumnRenamed("shift", "more")
@@ -218,32 +218,32 @@ def settle(rows: DataFrame, unit: Unit, compare: Compare, group: int, level: int
                                          (F.col("shift") + F.col("more")).cast("int").alias("shift"), *FOUND[3:]))
 
 
-def matches(docs: DataFrame, unit: Unit, compare: Compare, other_documents: bool, keep_hit, group: int = GROUP) -> DataFrame:
+def matches(docs: DataFrame, unit: Unit, compare: Compare, other_documents: bool, keep_hit, fields: list[str], group: int = GROUP) -> DataFrame:
     """Documents as (doc, id, packed, hits): for each, the passages of which `compare` found something.
 
     docs: as of `with_key`. other_documents: only anchors in two documents with different ids matter, else any two
-    places. keep_hit: condition on a hit, over the columns id, n, least and first (the place is the passage's first).
-    Rows that repeat an id and its text are one document to `first`, and two places to n.
+    places. keep_hit: condition on a hit, over the columns id and least (the smallest of the passage's pieces). A hit has
+    the place `at` of the passage and its `pieces`, each with the named fields of `FOUND`. Tables that are joined to places
+    are written first, so that Spark sees plain shuffles and splits the places of a hot anchor.
     """
-    seen = anchors(docs, unit)
-    repeated = seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("l"), F.max("id").alias("h")).where(
-        "l <> h" if other_documents else "c > 1").select("anchor")
+    seen = stored(anchors(docs, unit))
+    repeated = stored(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("l"), F.max("id").alias("h")).where(
+        "l <> h" if other_documents else "c > 1").select("anchor"))
     places = stored(seen.join(repeated, "anchor"))
     one = places.groupBy("anchor", "seg").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"),
         F.min(F.struct("id", "key", "at", "lead", "wins")).alias("rep"))
-    count = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"))
-    chosen = one.join(count, "anchor").select("anchor", "seg", "n", "lo", "hi", (F.col("m") > group).alias("hot"), "rep.*")
+    large = stored(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group).select("anchor", F.lit(True).alias("large")))
+    chosen = one.join(large, "anchor", "left").select("anchor", "seg", "n", "lo", "hi", F.coalesce("large", F.lit(False)).alias("hot"), "rep.*")
     squeezed = packed(docs)
     taken = F.struct("anchor", "seg", "n", "lo", "hi", "id", "key", "at", "lead", "wins", "hot")
     picks = chosen.groupBy("id", "key").agg(F.collect_list(taken).alias("picks"))
     rows = stored(cut(squeezed.join(picks, ["id", "key"]).select("packed", "picks"), unit))
     found = settle(rows, unit, compare, group)
-    hits = places.join(found, ["anchor", "seg"]).withColumn(
-        "first", (F.col("id") == F.col("id0")) & (F.col("key") == F.col("key0")) & (F.col("at") + F.col("shift") == F.col("at0")))
-    spans = hits.where(keep_hit).groupBy("id", "key").agg(
-        F.collect_list(F.struct((F.col("at") + F.col("shift")).alias("at"), "n", "first", "found")).alias("hits"))
-    return squeezed.join(spans, ["id", "key"], "left").select("doc", "id", "packed", "hits")
+    pieces = stored(found.groupBy("anchor", "seg").agg(F.min("least").alias("least"), F.collect_list(F.struct(*fields)).alias("pieces")))
+    spans = places.join(pieces, ["anchor", "seg"]).where(keep_hit).groupBy("id", "key").agg(
+        F.collect_list(F.struct("at", "pieces")).alias("hits"))
+    return squeezed.join(spans, ["id", "key"], "left").select("doc", "id", "key", "packed", "hits")
 
 
 def grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[dict]]:

@@ -196,7 +196,7 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "do
     classes = stored(full.withColumn("label", label).groupBy("s", "t").agg(
         F.min("label").alias("label"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.min(F.struct("id", "key")).alias("rep")))
     pairs = neighbours(given, size)
-    shared = pairs.groupBy("pair").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("pair", "a")
+    shared = stored(pairs.groupBy("pair").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("pair", "a"))
     stars = pairs.join(shared, "pair").where("s <> a").select(F.col("s").alias("u"), F.col("a").alias("v"))
     near = components(stars)
     names = near.select(F.col("u").alias("s"), F.col("v").alias("near")).unionByName(near.select(F.col("v").alias("s"), F.col("v").alias("near")).distinct())

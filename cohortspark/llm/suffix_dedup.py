@@ -148,17 +148,20 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 400, gram: int = 32, ke
     if keep not in ("first", "none"):
         raise ValueError("keep is 'first' or 'none'")
     found = ps.matches(ps.with_key(docs, id_column, text_column), ps.Unit("byte", length, gram), lambda rows: flagged(rows, length),
-                       False, F.lit(True), group)
+                       False, F.lit(True), ["shift", "found"] if keep == "none" else ["shift", "found", "id0", "key0", "at0"], group)
     wanted = EARLIER if keep == "first" else EARLIER | LATER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in ps.unpacked(batches):
             out = [[], [], [], [], []]
-            for text, hits in zip(texts, part.column("hits").to_pylist()):
+            names = zip(part.column("id").to_pylist(), part.column("key").to_pylist())
+            for text, name, hits in zip(texts, names, part.column("hits").to_pylist()):
                 starts = []
-                for h in hits or []:
-                    flags = np.frombuffer(h["found"], np.int8) | (0 if h["first"] else EARLIER)
-                    starts.append(h["at"] + np.flatnonzero(flags & wanted))
+                for at, p in ((h["at"] + h_["shift"], h_) for h in hits or [] for h_ in h["pieces"]):
+                    flags = np.frombuffer(p["found"], np.int8)
+                    if keep == "first" and (*name, at) != (p["id0"], p["key0"], p["at0"]):
+                        flags = flags | EARLIER
+                    starts.append(at + np.flatnonzero(flags & wanted))
                 edge = np.zeros((0, 2), np.int64)
                 kept = text
                 if starts:

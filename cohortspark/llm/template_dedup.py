@@ -70,7 +70,7 @@ def templates(docs: DataFrame, once: DataFrame, min_docs: int, fixed: float) ->
     parsed = taken.select(F.explode("taken").alias("p")).select("p.*").dropDuplicates(["leaf", "line"])
     placed = stored(parsed.select("leaf", "line", "docs", F.posexplode(F.split(masked(F.col("text")), " ")).alias("pos", "token")))
     held = placed.where(F.col("token") != WILDCARD).groupBy("leaf", "pos", "token").agg(F.sum("docs").alias("support"))
-    held = held.where(F.col("support") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("held"))
+    held = stored(held.where(F.col("support") >= min_docs).select("leaf", "pos", "token", F.lit(True).alias("held")))
     shown = placed.join(held, ["leaf", "pos", "token"], "left").withColumn(
         "token", F.when(F.col("held"), F.col("token")).otherwise(F.lit(WILDCARD)))
     summed = shown.groupBy("leaf", "line").agg(
@@ -84,13 +84,13 @@ def recurring_lines(docs: DataFrame, min_docs: int, lead: int, fixed: float) ->
     """(id, key, no) of the lines that go."""
     lines = leaves(docs, lead)
     shared = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("a"), F.max("id").alias("b"))
-    shared = shared.where((F.col("c") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf")
+    shared = stored(shared.where((F.col("c") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf"))
     places = stored(lines.join(shared, "leaf"))
     once = places.groupBy("leaf", "line", "id", "key").agg(F.min("no").alias("no"))
     named = stored(templates(docs, once, min_docs, fixed))
     where = places.join(named, ["leaf", "line"]).select("template", "id", "key", "no")
-    counted = where.groupBy("template", "id", "key").agg(F.lit(1).alias("one")).groupBy("template").agg(
-        F.count(F.lit(1)).alias("docs"), F.min(F.struct("id", "key")).alias("first")).where(F.col("docs") >= min_docs)
+    counted = stored(where.groupBy("template", "id", "key").agg(F.lit(1).alias("one")).groupBy("template").agg(
+        F.count(F.lit(1)).alias("docs"), F.min(F.struct("id", "key")).alias("first")).where(F.col("docs") >= min_docs))
     return where.join(counted, "template").where(F.struct("id", "key") != F.col("first")).select("id", "key", "no")
 
 

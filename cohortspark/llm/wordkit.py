@@ -15,7 +15,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C13
 INVERSE = pow(BASE, -1, 1 << 64)
 #: Text bytes that one portion holds; a longer text is a portion of its own.
-PORTION = 2 << 20
+PORTION = 1 << 20
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
