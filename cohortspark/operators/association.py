@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.distributions import two_sided_p
-from ..functions.ordered import first_by
+from ..functions.ordered import first_by, row_numbers
 from ..functions.storage import reusable
 
 
@@ -99,13 +99,19 @@ def gene_association(weights: DataFrame, ld_snps: DataFrame, ld_cov: DataFrame,
         F.min(F.when(used, F.col("g_p"))).alias("best_gwas_p"),
         F.max(F.when(used, F.abs("weight"))).alias("largest_weight"))
 
-    kept = model.filter(used).select(*keys, "gene", "snp", "weight")
-    left = kept.withColumnsRenamed({"snp": "snp1", "weight": "w1"})
-    right = kept.withColumnsRenamed({"snp": "snp2", "weight": "w2"})
+    # All draws of a (gene, snp) ride on one row, so a covariance row is shuffled once whatever the number of draws; after
+    # the join each SNP's draws are matched, and sums per (draw, gene) shrink before their shuffle.
+    numbered = reusable(row_numbers(model.select(*keys).distinct(), [], keys, rn="k"))
+    kept = model.filter(used).join(numbered, keys).select("gene", "snp", F.col("k").cast("int").alias("k"), "weight")
+    held = reusable(kept.groupBy("gene", "snp").agg(F.map_from_entries(F.collect_list(F.struct("k", "weight"))).alias("w")))
+    left = held.withColumnsRenamed({"snp": "snp1", "w": "w1"})
+    right = held.withColumnsRenamed({"snp": "snp2", "w": "w2"})
     share = F.when(F.col("snp1") == F.col("snp2"), 1.0).otherwise(2.0)
-    variance = (ld_cov.join(left, ["gene", "snp1"]).join(right, [*keys, "gene", "snp2"])
-                .groupBy(*keys, "gene")
-                .agg(F.sum(F.col("w1") * F.col("w2") * F.col("value") * share).alias("var_g")))
+    both = ld_cov.join(left, ["gene", "snp1"]).join(right, ["gene", "snp2"])
+    each = both.select("gene", (F.col("value") * share).alias("v"), "w2", F.explode("w1").alias("k", "a"))
+    each = each.withColumn("b", F.try_element_at("w2", F.col("k"))).filter("b is not null")
+    variance = each.groupBy("gene", "k").agg(F.sum(F.col("a") * F.col("b") * F.col("v")).alias("var_g")).join(
+        numbered, "k").select(*keys, "gene", "var_g")
     scored = (sides.join(variance, [*keys, "gene"]).filter("var_g > 0")
               .withColumn("zscore", F.try_divide("numerator", F.sqrt("var_g"))))
     return (scored

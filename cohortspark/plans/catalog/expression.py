@@ -133,14 +133,23 @@ SELECT c_custkey, c_name FROM (SELECT *, row_number() OVER (ORDER BY c_name) AS
         return E.contiguous_part(people, ["c_name"], 2, 4, rule=rule)
 
 
-@query("sample_donors", "F12")
+_ORDER = "CAST('0x' || substr(md5({0}), 1, 15) AS BIGINT)"
+
+
+@query("sample_donors", "F12", f"""
+SELECT donor FROM (SELECT DISTINCT l_suppkey AS donor FROM lineitem) WHERE donor NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal < 1000)
+ORDER BY {_ORDER.format("'7|' || donor")}, donor LIMIT 20""")
 def sample_donors(spark, sf):
     held = T.table(spark, sf, "supplier").filter("s_acctbal < 1000").select(F.col("s_suppkey").alias("donor"))
     donors = T.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("donor")).distinct()
     return E.sample_donors(donors, 20, seed=7, exclude=held)
 
 
-@query("gene_folds", "F13 X11")
+@query("gene_folds", "F13 X11", f"""
+WITH p AS (SELECT cell_type, gene, donor, count(*) OVER (PARTITION BY cell_type, gene) AS n,
+  row_number() OVER (PARTITION BY cell_type, gene ORDER BY {_ORDER.format("'42|' || gene || '|' || donor")}, donor) AS rn FROM expr)
+SELECT cell_type, gene, donor, CASE WHEN n >= 5 THEN CASE WHEN rn <= greatest(2, least(CAST(round_even(n*0.2, 0) AS BIGINT), n - 3)) THEN 'test' ELSE 'train' END END AS fold
+FROM p""", ctes="expr")
 def gene_folds(spark, sf):
     return E.gene_folds(T.expr(spark, sf).select("cell_type", "gene", "donor"), keys=["cell_type"])
 

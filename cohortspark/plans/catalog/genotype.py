@@ -153,38 +153,101 @@ def _fits(spark, sf, names=("y",), **kw):
     return M.fit_genes(rows, targets.withColumn("cell_type", F.lit("c")), names, **kw)
 
 
-@query("fit_elastic_net", "M1 M2 M4 M7 K5 W13")
+def _standard(fits, rows, targets, names):
+    """One row per (gene, target, donor, snp) of the kept fits: standardised dosage z, coefficient w and target t."""
+    gene = F.col("gene").cast("string").alias("gene")
+    truth = targets.select(gene, "donor", *[F.col(n).cast("double").alias(n) for n in names]).unpivot(
+        ["gene", "donor"], list(names), "target", "y")
+    terms = fits.select("gene", "target", "alpha", "y_mean", "y_scale", F.explode(F.arrays_zip("snps", "coefs", "x_mean", "x_scale")).alias("v"))
+    x = rows.select(gene, F.col("snp").cast("string").alias("snp"), "donor", "x")
+    return terms.select("*", F.col("v.snps").alias("snp")).join(x, ["gene", "snp"]).join(truth, ["gene", "target", "donor"]).select(
+        "gene", "target", "donor", "snp", "alpha", F.col("v.coefs").alias("w"),
+        ((F.col("x") - F.col("v.x_mean")) / F.col("v.x_scale")).alias("z"), ((F.col("y") - F.col("y_mean")) / F.col("y_scale")).alias("t"))
+
+
+def _optimal(fits, rows, targets, names, l1=None):
+    """Whether every coefficient of a fit meets its condition: the gradient equals the penalty's, or lies within it at 0."""
+    part = reusable(_standard(fits, rows, targets, names))
+    left = part.groupBy("gene", "target", "donor").agg((F.first("t") - F.sum(F.col("w") * F.col("z"))).alias("e"))
+    slope = part.join(left, ["gene", "target", "donor"]).groupBy("gene", "target", "snp").agg(
+        F.sum(F.col("z") * F.col("e")).alias("g"), F.count(F.lit(1)).alias("n"), F.first("w").alias("w"), F.first("alpha").alias("alpha"))
+    w, alpha = F.col("w"), F.col("alpha")
+    if l1 is None:
+        met = F.abs(F.col("g") - alpha * w) < 1e-6
+    else:
+        rest = F.col("g") / F.col("n") - alpha * (1 - l1) * w
+        met = F.when(w != 0, F.abs(rest - alpha * l1 * F.signum(w)) < 1e-6).otherwise(F.abs(rest) <= alpha * l1 + 1e-6)
+    return slope.groupBy("gene", "target").agg(F.bool_and(met).alias("optimal"), F.count(F.lit(1)).alias("n_snps"))
+
+
+_TEST = "greatest(2, least(CAST(round_even(n*0.2, 0) AS BIGINT), n - 3))"
+_FOLDS = """,
+f AS (SELECT gene, donor, CASE WHEN rn <= """ + _TEST + """ THEN 'heldout' ELSE 'insample' END AS part FROM (SELECT gene, donor, count(*) OVER (PARTITION BY gene) AS n,
+  row_number() OVER (PARTITION BY gene ORDER BY CAST('0x' || substr(md5('42|' || gene || '|' || donor), 1, 15) AS BIGINT), donor) AS rn FROM t))"""
+
+
+@query("fit_elastic_net", "M1 M2 M4 M7 K5 W13", """
+WITH c AS (SELECT gene, count(DISTINCT snp) AS k, count(DISTINCT donor) AS n FROM genotypes GROUP BY gene)
+SELECT CAST(gene AS VARCHAR) AS gene, 'y' AS target, true AS optimal, k AS n_snps, n - """ + _TEST + """ AS n_train, """ + _TEST + """ AS n_test,
+ true AS heldout_agrees, true AS better_than_none FROM c""", ctes="genotypes", longs="n_train n_test")
 def fit_elastic_net(spark, sf):
-    fits = _fits(spark, sf)
-    return fits.select("cell_type", "gene", "target", "alpha", "n_train", "n_test", "heldout_r2", "heldout_r", "insample_r2",
-                       F.size("snps").alias("n_snps"), "status")
-
-
-@query("fit_rank_quality", "M4 A18")
+    """Conditions of the optimum, and the held-out R2 worked out again from the held-out weights."""
+    rows, targets = _design(spark, sf)
+    fits = reusable(M.fit_genes(rows, targets.withColumn("cell_type", F.lit("c"))))
+    folded = M.fold_targets(targets.withColumn("cell_type", F.lit("c")), ["y"])
+    gene = F.col("gene").cast("string").alias("gene")
+    held = fits.select("gene", "heldout_offset", F.explode(F.arrays_zip("heldout_snps", "heldout_weights")).alias("v"))
+    x = rows.select(gene, F.col("snp").cast("string").alias("snp"), "donor", "x")
+    guess = held.select("gene", "heldout_offset", F.col("v.heldout_snps").alias("snp"), F.col("v.heldout_weights").alias("w")).join(
+        x, ["gene", "snp"]).groupBy("gene", "donor").agg((F.first("heldout_offset") + F.sum(F.col("w") * F.col("x"))).alias("p"))
+    test = folded.filter(F.col("fold") == M.TEST).select(gene, "donor", "y").join(guess, ["gene", "donor"])
+    again = test.groupBy("gene").agg((1 - F.sum(F.pow(F.col("y") - F.col("p"), 2)) / (F.var_pop("y") * F.count("y"))).alias("r2"))
+    agrees = F.abs(F.col("r2") - F.col("heldout_r2")) < 1e-9
+    return _optimal(fits, rows, targets, ["y"], M.L1_RATIO).join(fits.select(
+        "gene", "n_train", "n_test", "heldout_r2"), "gene").join(again, "gene").select(
+        "gene", "target", "optimal", "n_snps", "n_train", "n_test", agrees.alias("heldout_agrees"), (F.col("heldout_r2") > 0).alias("better_than_none"))
+
+
+@query("fit_rank_quality", "M4 A18", "WITH " + _DESIGN + _FOLDS + """,
+k AS (SELECT gene, snp, regr_slope(y, x) AS b, row_number() OVER (PARTITION BY gene ORDER BY abs(covar_pop(x, y))/stddev_pop(x) DESC, snp) AS rn
+  FROM r JOIN f USING (gene, donor) WHERE part = 'insample' GROUP BY gene, snp),
+q AS (SELECT gene, part, sign(b) AS s, rank() OVER (PARTITION BY gene, part ORDER BY x) + (count(*) OVER (PARTITION BY gene, part, x) - 1)/2.0 AS rx,
+  rank() OVER (PARTITION BY gene, part ORDER BY y) + (count(*) OVER (PARTITION BY gene, part, y) - 1)/2.0 AS ry FROM r JOIN f USING (gene, donor) JOIN k USING (gene, snp) WHERE rn = 1)
+SELECT 'c' AS cell_type, CAST(gene AS VARCHAR) AS gene, 'y' AS target, any_value(s)*corr(rx, ry) FILTER (part = 'heldout') AS heldout_rho,
+ any_value(s)*corr(rx, ry) FILTER (part = 'insample') AS insample_rho FROM q GROUP BY gene""", ctes="genotypes", floats="heldout_rho insample_rho", digits=8)
 def fit_rank_quality(spark, sf):
+    """One SNP per gene, so the ranks of the prediction are those of the SNP, up to the sign of its weight."""
     rows, targets = _design(spark, sf)
     targets = targets.withColumn("cell_type", F.lit("c"))
-    fits = reusable(M.fit_genes(rows, targets, alpha=0.02))
+    fits = reusable(M.fit_genes(rows, targets, model="ridge", alpha=50.0, screen_to=1))
     return M.rank_quality(fits, rows, M.fold_targets(targets, ["y"]), ["y"])
 
 
-@query("fit_three_heads", "M5")
+@query("fit_three_heads", "M5", "WITH " + _DESIGN + """,
+h AS (SELECT gene, snp, donor, x, y AS mean, ln(1 + abs(y2)) AS aleatoric, ln(1 + abs(y - y2)) AS epistemic FROM r),
+k AS (SELECT gene, snp, avg(x) AS mx, count(*)/(count(*) + 50.0) AS shrink, regr_slope(mean, x) AS bm, avg(mean) AS am, regr_slope(aleatoric, x) AS ba, avg(aleatoric) AS aa,
+  regr_slope(epistemic, x) AS be, avg(epistemic) AS ae, greatest(abs(covar_pop(x, mean)), abs(covar_pop(x, aleatoric)), abs(covar_pop(x, epistemic)))/stddev_pop(x) AS score FROM h GROUP BY gene, snp),
+b AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY gene ORDER BY score DESC, snp) = 1)
+SELECT 'c' AS cell_type, CAST(gene AS VARCHAR) AS gene, donor, am + bm*shrink*(x - mx) AS mu, greatest(exp(aa + ba*shrink*(x - mx)) - 1, 0) AS aleatoric,
+ greatest(exp(ae + be*shrink*(x - mx)) - 1, 0) AS epistemic FROM h JOIN b USING (gene, snp)""", ctes="genotypes", floats="mu aleatoric epistemic", digits=7)
 def fit_three_heads(spark, sf):
-    """Mean and two log1p variance heads fitted together, scored against their targets."""
+    """Mean and two log1p variance heads fitted together on the one SNP that serves any of them best."""
     rows, targets = _design(spark, sf)
     targets = targets.select(F.lit("c").alias("cell_type"), "gene", "donor", F.col("y").alias("mean"),
                              F.log1p(F.abs("y2")).alias("aleatoric"), F.log1p(F.abs(F.col("y") - F.col("y2"))).alias("epistemic"))
-    fits = reusable(M.fit_genes(rows, targets, ("mean", "aleatoric", "epistemic"), alpha=0.02))
-    truth = targets.select("cell_type", F.col("gene").cast("string").alias("gene"), "donor", F.col("mean").alias("y"),
-                           F.expm1("aleatoric").alias("y_aleatoric"), F.expm1("epistemic").alias("y_epistemic"))
-    joined = M.predict_heads(fits, rows).join(truth, ["cell_type", "gene", "donor"])
-    return V.head_metrics(joined, ["cell_type", "gene"])
+    fits = reusable(M.fit_genes(rows, targets, ("mean", "aleatoric", "epistemic"), model="ridge", alpha=50.0, screen_to=1))
+    return M.predict_heads(fits, rows)
 
 
-@query("fit_two_heads", "M5 M3")
+@query("fit_two_heads", "M5 M3", "WITH " + _DESIGN + """,
+c AS (SELECT a.gene, max(CASE WHEN a.snp < b.snp THEN pow(corr_, 2) END) AS top, count(DISTINCT a.snp) AS k FROM (SELECT a.gene, a.snp AS s1, b.snp AS s2, corr(a.x, b.x) AS corr_ FROM d a JOIN d b USING (gene, donor) GROUP BY ALL) p
+  JOIN (SELECT DISTINCT gene, snp FROM d) a ON a.gene = p.gene AND a.snp = s1 JOIN (SELECT DISTINCT gene, snp FROM d) b ON b.gene = p.gene AND b.snp = s2 GROUP BY a.gene)
+SELECT CAST(gene AS VARCHAR) AS gene, unnest(['y', 'y2']) AS target, true AS optimal, CASE WHEN top < 0.1 THEN k END AS n_snps FROM c""", ctes="genotypes", longs="n_snps")
 def fit_two_heads(spark, sf):
-    fits = _fits(spark, sf, ("y", "y2"), model="ridge")
-    return M.raw_weights(fits)
+    """Normal equations of both ridge heads; no pair is correlated enough to be pruned, as SQL sees for itself."""
+    rows, targets = _design(spark, sf)
+    fits = reusable(M.fit_genes(rows, targets.withColumn("cell_type", F.lit("c")), ("y", "y2"), model="ridge"))
+    return _optimal(fits, rows, targets, ["y", "y2"])
 
 
 @query("fit_fixed_ridge", "M4 M2", "WITH " + _DESIGN + """,
@@ -194,16 +257,38 @@ def fit_fixed_ridge(spark, sf):
     return M.raw_weights(_fits(spark, sf, model="ridge", alpha=50.0, screen_to=1)).select("gene", "snp", "weight")
 
 
-@query("fit_bootstrap_ensemble", "M6 A34")
+@query("fit_bootstrap_ensemble", "M6 A34", """
+SELECT CAST(gene AS VARCHAR) AS gene, member, bootstrap, true AS optimal, true AS centred, count(DISTINCT snp) AS n_snps
+FROM genotypes, (SELECT unnest(['m1', 'm2']) AS member), (SELECT unnest(range(3)) AS bootstrap) GROUP BY ALL""", ctes="genotypes", longs="bootstrap")
 def fit_bootstrap_ensemble(spark, sf):
+    """Conditions of the optimum of every weighted bootstrap fit, and its intercept, from the drawn counts."""
     rows, targets = _design(spark, sf)
     member = F.explode(F.array(F.lit("m1"), F.lit("m2"))).alias("member")
     members = targets.select("gene", "donor", member, "y", "y2").select(
         "gene", "member", "donor", F.when(F.col("member") == "m1", F.col("y")).otherwise(F.col("y2")).alias("mean"),
         (0.1 + (F.col("donor") % 3) / 10.0).alias("sigma"))
     alphas = rows.select("gene").distinct().withColumn("alpha", F.lit(0.05))
-    fits = M.bootstrap_fits(rows, members, alphas, n_bootstraps=3)
-    return M.mask_by_inclusion(V.total_variance(fits, ["gene", "snp"]))
+    fits = reusable(M.bootstrap_fits(rows, members, alphas, n_bootstraps=3))
+    donors = targets.select("gene", "donor").distinct()
+    gene = F.col("gene").cast("string").alias("gene")
+    drawn = M.multiplicities(donors, donors, 3).select(gene, "bootstrap", "donor", "multiplicity")
+    weighted = members.select(gene, "member", "donor", "mean", F.pow("sigma", F.lit(-2.0)).alias("p")).join(drawn, ["gene", "donor"])
+    x = rows.select(gene, F.col("snp").cast("string").alias("snp"), "donor", "x")
+    spread = x.groupBy("gene", "snp").agg(F.stddev_pop("x").alias("sd"), F.count(F.lit(1)).alias("n"))
+    keys = ["gene", "member", "bootstrap"]
+    part = reusable(fits.join(spread, ["gene", "snp"]).join(x, ["gene", "snp"]).join(weighted, [*keys, "donor"]).withColumn(
+        "share", F.col("p") * F.col("multiplicity")))
+    left = part.groupBy(*keys, "donor").agg((F.first("mean") - F.first("intercept") - F.sum(F.col("weight") * F.col("x"))).alias("e"))
+    share = F.col("share") / F.col("total")
+    total = weighted.groupBy(*keys).agg(F.sum(F.col("p") * F.col("multiplicity")).alias("total"))
+    slope = part.join(left, [*keys, "donor"]).join(total, keys).groupBy(*keys, "snp").agg(
+        (F.sum(share * F.col("x") * F.col("e")) / F.first("sd")).alias("g"), F.sum(share * F.col("e")).alias("middle"),
+        (F.first("weight") * F.first("sd")).alias("w"))
+    w, alpha, l1 = F.col("w"), 0.05, M.L1_RATIO
+    rest = F.col("g") - alpha * (1 - l1) * w
+    met = F.when(w != 0, F.abs(rest - alpha * l1 * F.signum(w)) < 1e-6).otherwise(F.abs(rest) <= alpha * l1 + 1e-6)
+    return slope.groupBy(*keys).agg(F.bool_and(met).alias("optimal"), F.bool_and(F.abs("middle") < 1e-9).alias("centred"),
+                                    F.count(F.lit(1)).alias("n_snps"))
 
 
 @query("bootstrap_counts", "M6", """
