@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs as X
 from ..functions.distributions import t_two_sided
-from ..functions.ordered import (average_ranks, equal_count_bins, quantiles, row_numbers, top_k,
+from ..functions.ordered import (average_ranks, equal_count_bins, medians, quantiles, row_numbers, top_k,
                                  value_counts)
 from ..functions.storage import reusable
 
@@ -562,14 +562,18 @@ def centred_cosine(df: DataFrame, keys: Sequence[str], mean: str, truth: str) ->
 
 
 def fit_diagnostics(fits: DataFrame, keys: Sequence[str], *, limit: int | None = None) -> DataFrame:
-    """Fit quality per cell type: ``fits(r, r_train, pvalue, n_nonzero)``."""
-    rows = fits.withColumns({"r2": F.col("r") * F.col("r"), "gap": F.col("r_train") - F.col("r")})
+    """Fit quality per cell type: ``fits(r, r2, r_train, r2_train, pvalue, n_nonzero, sd_true, sd_predicted)``.
+
+    R2 is the fit's own, which falls below zero where a fit is worse than the mean. ``sd_corr`` is the correlation across
+    genes of the true and the predicted spread over donors.
+    """
+    rows = fits.withColumn("gap", F.col("r_train") - F.col("r"))
     base = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_genes"), F.avg("r").alias("mean_r"), F.avg("r2").alias("mean_r2"),
-        F.avg("n_nonzero").alias("mean_nonzero"), F.avg("gap").alias("mean_gap"),
-        F.count_if(F.col("pvalue") < 0.05).alias("n_significant"), F.stddev_pop("r").alias("sd_r"))
-    mids = quantiles(rows, keys, "r", {"median_r": 0.5}, limit=limit).join(
-        quantiles(rows, keys, "r2", {"median_r2": 0.5}, limit=limit), list(keys))
+        F.avg("r2_train").alias("mean_r2_train"), F.avg("n_nonzero").alias("mean_nonzero"), F.avg("gap").alias("mean_gap"),
+        F.avg("pvalue").alias("mean_pvalue"), F.count_if(F.col("pvalue") < 0.05).alias("n_significant"),
+        F.stddev_pop("r").alias("sd_r"), X.safe_corr(F.col("sd_true"), F.col("sd_predicted")).alias("sd_corr"))
+    mids = medians(rows, keys, {"median_r": "r", "median_r2": "r2", "median_nonzero": "n_nonzero", "median_pvalue": "pvalue"}, limit=limit)
     return base.join(mids, list(keys))
 
 

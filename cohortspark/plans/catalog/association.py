@@ -8,7 +8,6 @@ from .. import fixtures as T
 from ..association_run import association_run
 from ..registry import query, sql_acat, sql_bh, sql_norm_ppf, sql_two_sided
 from ...functions import exprs as X
-from ...functions.ordered import top_k
 from ...functions.storage import reusable
 from ...operators import association as A, intervals as I, pooling as P
 
@@ -62,22 +61,17 @@ pooled0 AS (
 pooled AS (""" + sql_bh("pooled0", "cell_type, arm", "pvalue") + """)"""
 
 
-@query("association_run", "A5 A6 A7 W1 J1 T1 (flagship)",
+@query("association_run", "A5 A6 A7 W1 J1 (flagship)",
        "WITH " + _MODEL + "," + _POOL + """
-SELECT cell_type, arm, gene, n_draws, zscore, pvalue, qvalue, significant_bonferroni,
-       n_draws_significant_bonferroni, mean_n_snps_used, coalesce(b.block_index, -1) AS block_index,
-       rank
-FROM (SELECT *, row_number() OVER (PARTITION BY cell_type, arm ORDER BY pvalue, gene) AS rank FROM pooled) p
-JOIN gene20_pos g USING (gene) LEFT JOIN blocks b ON b.chrom = g.chrom AND g.bp >= b.start AND g.bp < b.stop
-WHERE rank <= 25""",
-       ctes="weights ld_snps ld_cov gwas gene20_pos blocks", longs="rank block_index",
-       floats="zscore pvalue qvalue mean_n_snps_used", digits=8)
+SELECT cell_type, arm, gene, n_draws, zscore, pvalue, qvalue, significant_fdr, significant_bonferroni, bonferroni_threshold,
+       n_draws_significant_bonferroni, mean_n_snps_used, best_gwas_p, coalesce(b.block_index, -1) AS block_index
+FROM pooled p LEFT JOIN gene20_pos g USING (gene) LEFT JOIN blocks b ON b.chrom = g.chrom AND g.bp >= b.start AND g.bp < b.stop""",
+       ctes="weights ld_snps ld_cov gwas gene20_pos blocks", longs="block_index",
+       floats="zscore pvalue qvalue bonferroni_threshold mean_n_snps_used best_gwas_p", digits=7)
 def flagship(spark, sf):
     run = association_run(*_inputs(spark, sf), T.gene20_pos(spark, sf), T.blocks(spark, sf))
-    best = top_k(run, ["cell_type", "arm"], [F.col("pvalue").asc_nulls_last(), F.col("gene")], 25)
-    return best.select("cell_type", "arm", "gene", "n_draws", "zscore", "pvalue", "qvalue",
-                       "significant_bonferroni", "n_draws_significant_bonferroni", "mean_n_snps_used",
-                       "block_index", "rank")
+    return run.select("cell_type", "arm", "gene", "n_draws", "zscore", "pvalue", "qvalue", "significant_fdr", "significant_bonferroni",
+                      "bonferroni_threshold", "n_draws_significant_bonferroni", "mean_n_snps_used", "best_gwas_p", "block_index")
 
 
 @query("weight_attrition", "F18", """

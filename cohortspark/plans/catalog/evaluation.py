@@ -418,14 +418,30 @@ def centred_cosine(spark, sf):
     return V.centred_cosine(T.expr(spark, sf), ["gene"], "prediction", "truth")
 
 
-@query("fit_diagnostics", "A45", "WITH " + _SCORES + """,
-f AS (SELECT cell_type, r, r*r AS r2, 0.9 - r AS gap, abs(r) AS pvalue, n AS n_nonzero FROM scores WHERE r IS NOT NULL)
-SELECT cell_type, count(*) AS n_genes, avg(r) AS mean_r, avg(r2) AS mean_r2, avg(n_nonzero) AS mean_nonzero, avg(gap) AS mean_gap,
- count_if(pvalue < 0.05) AS n_significant, stddev_pop(r) AS sd_r, median(r) AS median_r, median(r2) AS median_r2 FROM f GROUP BY ALL""",
-       ctes="expr", floats="mean_r mean_r2 mean_nonzero mean_gap sd_r median_r median_r2")
+@query("fit_diagnostics", "A45", """
+WITH l AS (SELECT cell_type, gene, donor % 3 AS part, prediction/1000 AS p, truth AS y FROM expr),
+f AS (SELECT cell_type, gene, 1 - avg(pow(y - p, 2)) FILTER (part = 0)/nullif(var_pop(y) FILTER (part = 0), 0) AS r2, 1 - avg(pow(y - p, 2)) FILTER (part > 0)/nullif(var_pop(y) FILTER (part > 0), 0) AS r2_train,
+  CASE WHEN stddev_pop(y) FILTER (part = 0)*stddev_pop(p) FILTER (part = 0) > 0 THEN corr(y, p) FILTER (part = 0) END AS r,
+  CASE WHEN stddev_pop(y) FILTER (part > 0)*stddev_pop(p) FILTER (part > 0) > 0 THEN corr(y, p) FILTER (part > 0) END AS rt,
+  count(*) FILTER (part = 0) AS n_nonzero, stddev_pop(y) AS sy, stddev_pop(p) AS sp FROM l GROUP BY ALL),
+g AS (SELECT *, 1 - r*r AS pvalue FROM f WHERE r IS NOT NULL AND rt IS NOT NULL)
+SELECT cell_type, count(*) AS n_genes, avg(r) AS mean_r, avg(r2) AS mean_r2, avg(r2_train) AS mean_r2_train, avg(n_nonzero) AS mean_nonzero, avg(rt - r) AS mean_gap, avg(pvalue) AS mean_pvalue,
+ count_if(pvalue < 0.05) AS n_significant, stddev_pop(r) AS sd_r, corr(sy, sp) AS sd_corr, median(r) AS median_r, median(r2) AS median_r2, median(n_nonzero) AS median_nonzero, median(pvalue) AS median_pvalue FROM g GROUP BY ALL""",
+       ctes="expr", floats="mean_r mean_r2 mean_r2_train mean_nonzero mean_gap mean_pvalue sd_r sd_corr median_r median_r2 median_nonzero median_pvalue", digits=6)
 def fit_diagnostics(spark, sf):
-    fits = scores(spark, sf).filter("r is not null").select(
-        "cell_type", "gene", "r", F.lit(0.9).alias("r_train"), F.abs("r").alias("pvalue"), F.col("n").alias("n_nonzero"))
+    """A third of the donors held out: R2 of both parts from the errors, r beside it, and 1 - r^2 in the place of a p-value."""
+    rows = T.expr(spark, sf).select("cell_type", "gene", (F.col("donor") % 3 == 0).alias("held"), (F.col("prediction") / 1000).alias("p"), F.col("truth").alias("y"))
+
+    def of(flag, column):
+        return F.when(F.col("held") == flag, F.col(column))
+
+    def r2(flag):
+        return 1 - F.try_divide(F.avg(F.pow(of(flag, "y") - of(flag, "p"), 2)), F.nullif(F.var_pop(of(flag, "y")), F.lit(0.0)))
+
+    fits = rows.groupBy("cell_type", "gene").agg(
+        r2(True).alias("r2"), r2(False).alias("r2_train"), X.safe_corr(of(True, "y"), of(True, "p")).alias("r"), X.safe_corr(of(False, "y"), of(False, "p")).alias("r_train"),
+        F.count_if("held").alias("n_nonzero"), F.stddev_pop("y").alias("sd_true"), F.stddev_pop("p").alias("sd_predicted"))
+    fits = fits.filter("r is not null and r_train is not null").withColumn("pvalue", 1 - F.col("r") * F.col("r"))
     return V.fit_diagnostics(fits, ["cell_type"])
 
 

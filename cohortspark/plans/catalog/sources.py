@@ -237,6 +237,94 @@ def results_overview(spark, sf):
     return K.overview(T.draws(spark, sf).withColumn("significant_fdr", F.col("pvalue") < 0.01))
 
 
+# ---- writers, read back ----------------------------------------------------------------------
+
+def _place(spark):
+    return f"{shared_dir(spark)}/sinks/{uuid.uuid4().hex}"
+
+
+def _donor_rows(spark, sf):
+    return T.table(spark, sf, "lineitem").groupBy(
+        F.col("l_returnflag").alias("cell_type"), (F.col("l_partkey") % 50).alias("gene"), (F.col("l_suppkey") % 5).alias("donor")).agg(
+        F.sum("l_quantity").cast("double").alias("value"))
+
+
+_DONORS = "SELECT l_returnflag AS cell_type, l_partkey % 50 AS gene, l_suppkey % 5 AS donor, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY ALL"
+
+
+@query("written_wide", "K1", f"SELECT cell_type, CAST(gene AS VARCHAR) AS gene, CAST(donor AS BIGINT) AS donor, value FROM ({_DONORS})", floats="value", longs="donor", digits=4)
+def written_wide(spark, sf):
+    """One cell type after the other; each write leaves the others alone."""
+    path, rows = _place(spark), _donor_rows(spark, sf)
+    for part in ("A", "N", "R", "N"):
+        K.write_wide(rows.filter(F.col("cell_type") == part).withColumns({"chrom": F.lit("1"), "tss": F.lit(5)}), path, range(5))
+    wide = spark.read.option("header", True).csv(path)
+    return wide.unpivot(["cell_type", "gene"], [str(d) for d in range(5)], "donor", "value").filter("value is not null").select(
+        "cell_type", "gene", F.col("donor").cast("bigint").alias("donor"), F.col("value").cast("double").alias("value"))
+
+
+@query("written_predictions", "K6", f"SELECT cell_type, CAST(gene AS VARCHAR) AS gene, max(value) FILTER (donor = 0) AS d0, max(value) FILTER (donor = 4) AS d4 FROM ({_DONORS}) GROUP BY ALL", floats="d0 d4", digits=4)
+def written_predictions(spark, sf):
+    path = _place(spark)
+    K.write_predictions(_donor_rows(spark, sf), path, range(5))
+    return spark.read.option("header", True).csv(path).select("cell_type", "gene", F.col("0").cast("double").alias("d0"), F.col("4").cast("double").alias("d4"))
+
+
+@query("written_population", "K3", f"SELECT cell_type, gene, donor, value/(donor + 1) AS value, donor + 1 AS n_cells FROM ({_DONORS})", floats="value", longs="n_cells", digits=6)
+def written_population(spark, sf):
+    path, rows = _place(spark), _donor_rows(spark, sf)
+    groups = rows.select("donor", "cell_type", (F.col("donor") + 1).alias("n_cells")).distinct()
+    K.write_population(rows.withColumnRenamed("value", "sum_count"), groups, path)
+    return spark.read.parquet(path).select("cell_type", "gene", "donor", "value", "n_cells")
+
+
+@query("written_targets", "K2", f"SELECT cell_type, gene, avg(value) AS value FROM ({_DONORS}) GROUP BY ALL", floats="value", digits=4)
+def written_targets(spark, sf):
+    path = _place(spark)
+    K.write_targets(_donor_rows(spark, sf), path)
+    return spark.read.parquet(path).select("cell_type", "gene", "value")
+
+
+@query("written_covariance", "K4", """
+WITH s AS (SELECT l_returnflag AS cell_type, l_partkey % 9 AS gene, l_suppkey AS snp FROM lineitem GROUP BY ALL),
+h AS (SELECT cell_type, count(*) AS n, """ + ", ".join(f"sum(CAST('0x' || substr(sha256(gene || chr(9) || snp), {a}, 12) AS HUGEINT)) AS p{a}" for a in (1, 13, 25, 37)) + """ FROM s GROUP BY cell_type)
+SELECT cell_type, n AS n_snps, sha256(n || '-' || hex(CAST(p1 AS VARCHAR)) || '-' || hex(CAST(p13 AS VARCHAR)) || '-' || hex(CAST(p25 AS VARCHAR)) || '-' || hex(CAST(p37 AS VARCHAR))) AS content_hash,
+ 'panel' AS reference, n AS n_pairs FROM h""")
+def written_covariance(spark, sf):
+    path = _place(spark)
+    snps = T.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("cell_type"), (F.col("l_partkey") % 9).alias("gene"), F.col("l_suppkey").alias("snp")).distinct()
+    for part in ("A", "N", "R"):
+        own = snps.filter(F.col("cell_type") == part)
+        K.write_covariance(own.withColumn("value", F.lit(1.0)), own, path, partition="cell_type", reference="panel")
+    pairs = spark.read.parquet(f"{path}/pairs").groupBy("cell_type").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return spark.read.parquet(f"{path}/meta").join(pairs, "cell_type")
+
+
+@query("written_split", "K8", "SELECT CASE WHEN l_suppkey % 4 = 1 THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM lineitem GROUP BY ALL")
+def written_split(spark, sf):
+    path = _place(spark)
+    rows = T.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("donor"), "l_partkey")
+    K.write_split(rows, rows.select("donor").filter("donor % 4 = 1").distinct(), path)
+    read = [spark.read.parquet(f"{path}/{p}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(p).alias("part"), "n") for p in ("train", "test")]
+    return read[0].unionByName(read[1])
+
+
+@query("written_top", "K9", f"SELECT cell_type, CAST(gene AS VARCHAR) AS gene, CAST(donor AS VARCHAR) AS donor, value FROM ({_DONORS}) ORDER BY value DESC, cell_type, gene, donor LIMIT 15", floats="value", digits=4)
+def written_top(spark, sf):
+    path = _place(spark)
+    K.write_top(_donor_rows(spark, sf), path, [F.col("value").desc(), F.col("cell_type"), F.col("gene"), F.col("donor")], 15)
+    return spark.read.option("header", True).option("sep", "\t").csv(path).withColumn("value", F.col("value").cast("double"))
+
+
+@query("written_donors", "K10", f"SELECT cell_type, gene, donor, value FROM ({_DONORS})", floats="value", digits=4)
+def written_donors(spark, sf):
+    """Two donors, then all: the first two are not written again."""
+    path, rows = _place(spark), _donor_rows(spark, sf)
+    K.write_new_donors(rows.filter("donor < 2"), path)
+    K.write_new_donors(rows.withColumn("value", F.when(F.col("donor") < 2, -1.0).otherwise(F.col("value"))), path)
+    return K.written_donors(spark, path).select("cell_type", "gene", "donor", "value")
+
+
 # ---- incremental ---------------------------------------------------------------------------
 
 @query("unfinished_work", "J13", """
