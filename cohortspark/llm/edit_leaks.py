@@ -16,6 +16,7 @@ items are each reported. Null item ids are passed over. Repeated rows give repea
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -205,7 +206,10 @@ class Held:
         near: dict[tuple[int, int], list[int]] = {}
         for n, places in self.windows.items():
             own, at = (np.concatenate(x) for x in zip(*places))
-            text = np.stack([np.r_[self.rows[r][a:a + n], np.full(max(0, a + n - len(self.rows[r])), PAD)] for r, a in zip(own, at)])
+            text = np.full((len(own), n), PAD)
+            for line, r, a in zip(text, own.tolist(), at.tolist()):
+                words = self.rows[r][a:a + n]
+                line[:len(words)] = words
             pairs = set()
             for key, (buckets, items) in zip(bucket_keys(text, self.index.tables), self.index.buckets[n]):
                 lo, hi = np.searchsorted(buckets, key), np.searchsorted(buckets, key, "right")
@@ -222,7 +226,10 @@ class Held:
                 if k + 1 < len(starts) and starts[k + 1] - start <= len(item):
                     continue  # windows in a row are one region
                 lo = max(0, min(s for s in starts[:k + 1] if s > done) - edits)
-                found = alignment(item, text[lo:start + len(item) + edits], edits)
+                region = text[lo:start + len(item) + edits]
+                # an edit takes one word at most, so a region that lacks more of the item's words cannot be that near
+                near_enough = (Counter(item) & Counter(region)).total() >= len(item) - edits
+                found = alignment(item, region, edits) if near_enough else None
                 done = start
                 if found:
                     matches[row].append({"item_id": str(self.index.names[i]), "edits": found[0], "start": lo + found[1], "stop": lo + found[2]})
