@@ -261,11 +261,14 @@ BASES = "ACGTN"
 
 
 def chunk_sequences(sequences: DataFrame, length: int) -> DataFrame:
-    """``(chrom, sequence)`` -> fixed-length numbered pieces, so no row holds a chromosome later on."""
-    n = F.ceil(F.length("sequence") / length).cast("int")
-    return sequences.select("chrom", F.length("sequence").cast("bigint").alias("chrom_length"), "sequence",
-                            F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).alias("piece")).select(
-        "chrom", "chrom_length", "piece", F.substr("sequence", F.col("piece") * length + 1, F.lit(length)).alias("bases"))
+    """``(chrom, sequence)`` -> fixed-length numbered pieces, so no row holds a chromosome later on.
+
+    One pass cuts all pieces; only they leave the row that holds the text.
+    """
+    pieces = F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{int(length)}}}"), F.lit(0))
+    return sequences.select("chrom", F.length("sequence").cast("bigint").alias("chrom_length"),
+                            F.posexplode_outer(pieces).alias("piece", "bases")).select(
+        "chrom", "chrom_length", F.coalesce("piece", F.lit(0)).alias("piece"), F.coalesce("bases", F.lit("")).alias("bases"))
 
 
 def window_sequences(windows: DataFrame, pieces: DataFrame, length: int) -> DataFrame:
