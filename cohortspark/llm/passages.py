@@ -195,27 +195,29 @@ Compare = Callable[[DataFrame], DataFrame]
 FOUND = ["anchor", "seg", "shift", "n", "id0", "key0", "at0", "least", "found"]
 
 
-def settle(rows: DataFrame, unit: Unit, compare: Compare, group: int, level: int = 0) -> DataFrame:
+def settle(rows: DataFrame, unit: Unit, compare: Compare, fields: list[str], group: int, level: int = 0) -> DataFrame:
     """What `compare` finds for each passage, with hot groups divided until they fit.
 
-    rows: one per different passage of an anchor, with `hot`. Result: columns `FOUND`, several rows for a divided
-    passage; `found` describes the windows from `shift` on, absent where nothing was found; n is how often these windows
-    stand together in the corpus, and (id0, key0, at0) is the first such place.
+    rows: one per different passage of an anchor, with `hot`. Result: (anchor, seg, least, pieces), one row for each passage
+    of which something was found. `compare` gives columns `FOUND`, and a piece has the named fields of them: `found`
+    describes the windows from `shift` on, n is how often these windows stand together in the corpus, and (id0, key0, at0)
+    is the first such place. A divided passage has several pieces, at most one for each of its windows.
     """
-    done = compare(rows.where(~F.col("hot")).drop("hot")).select(*FOUND)
+    done = compare(rows.where(~F.col("hot")).drop("hot")).select("anchor", "seg", "least", F.array(F.struct(*fields)).alias("pieces"))
     if level + 1 == len(unit.classes) or rows.where("hot").isEmpty():
         return done
     parts = stored(divide(rows.where("hot"), unit, unit.classes[level + 1]))
     one = parts.groupBy("anchor", "seg").agg(
         F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
         F.min(F.struct("id", "key", "at", "lead", "wins", "passage")).alias("rep")).select("anchor", "seg", "n", "lo", "hi", "rep.*")
-    count = stored(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("total > 1"))
+    count = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("total > 1")
     last = level + 2 == len(unit.classes)
     inner = stored(one.join(count, "anchor").withColumn("hot", F.lit(False) if last else F.col("m") > group).drop("m", "total"))
-    found = settle(inner, unit, compare, group, level + 1).withColumnRenamed("shift", "more")
-    whole = parts.select("anchor", "seg", "anchor0", "seg0", "shift").join(found, ["anchor", "seg"])
-    return done.unionByName(whole.select(F.col("anchor0").alias("anchor"), F.col("seg0").alias("seg"),
-                                         (F.col("shift") + F.col("more")).cast("int").alias("shift"), *FOUND[3:]))
+    found = settle(inner, unit, compare, fields, group, level + 1)
+    whole = parts.select("anchor", "seg", "anchor0", "seg0", F.col("shift").alias("moved")).join(found, ["anchor", "seg"])
+    moved = F.transform("pieces", lambda p: p.withField("shift", (p["shift"] + F.col("moved")).cast("int")))
+    joined = whole.groupBy("anchor0", "seg0").agg(F.min("least").alias("least"), F.flatten(F.collect_list(moved)).alias("pieces"))
+    return done.unionByName(joined.withColumnsRenamed({"anchor0": "anchor", "seg0": "seg"}))
 
 
 def matches(docs: DataFrame, unit: Unit, compare: Compare, other_documents: bool, keep_hit, fields: list[str], group: int = GROUP) -> DataFrame:
@@ -223,25 +225,23 @@ def matches(docs: DataFrame, unit: Unit, compare: Compare, other_documents: bool
 
     docs: as of `with_key`. other_documents: only anchors in two documents with different ids matter, else any two
     places. keep_hit: condition on a hit, over the columns id and least (the smallest of the passage's pieces). A hit has
-    the place `at` of the passage and its `pieces`, each with the named fields of `FOUND`. Tables that are joined to places
-    are written first, so that Spark sees plain shuffles and splits the places of a hot anchor.
+    the place `at` of the passage and its `pieces`, each with the named fields of `FOUND`. What is joined to places is written
+    first or comes by a plain shuffle, so that Spark can split the places of a hot anchor.
     """
-    seen = stored(anchors(docs, unit))
+    seen = anchors(docs, unit)
     repeated = stored(seen.groupBy("anchor").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("l"), F.max("id").alias("h")).where(
         "l <> h" if other_documents else "c > 1").select("anchor"))
     places = stored(seen.join(repeated, "anchor"))
     one = places.groupBy("anchor", "seg").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"),
         F.min(F.struct("id", "key", "at", "lead", "wins")).alias("rep"))
-    large = stored(one.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group).select("anchor", F.lit(True).alias("large")))
+    large = one.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group).select("anchor", F.lit(True).alias("large"))
     chosen = one.join(large, "anchor", "left").select("anchor", "seg", "n", "lo", "hi", F.coalesce("large", F.lit(False)).alias("hot"), "rep.*")
     squeezed = packed(docs)
     taken = F.struct("anchor", "seg", "n", "lo", "hi", "id", "key", "at", "lead", "wins", "hot")
     picks = chosen.groupBy("id", "key").agg(F.collect_list(taken).alias("picks"))
     rows = stored(cut(squeezed.join(picks, ["id", "key"]).select("packed", "picks"), unit))
-    found = settle(rows, unit, compare, group)
-    pieces = stored(found.groupBy("anchor", "seg").agg(F.min("least").alias("least"), F.collect_list(F.struct(*fields)).alias("pieces")))
-    spans = places.join(pieces, ["anchor", "seg"]).where(keep_hit).groupBy("id", "key").agg(
+    spans = places.join(settle(rows, unit, compare, fields, group), ["anchor", "seg"]).where(keep_hit).groupBy("id", "key").agg(
         F.collect_list(F.struct("at", "pieces")).alias("hits"))
     return squeezed.join(spans, ["id", "key"], "left").select("doc", "id", "key", "packed", "hits")
 
