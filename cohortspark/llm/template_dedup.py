@@ -4,7 +4,8 @@ The template tree has a fixed depth: a line goes by its number of tokens, then b
 tokens with a digit count as a wildcard. Within a leaf that enough documents share, a token stays part of the template
 where `min_docs` documents have it at its place, and generalises to the wildcard where it varies. Lines with equal
 results have one template. A template that `min_docs` documents have is recurring, if at least `fixed` of its tokens
-are no wildcards; its lines go from all documents but the first (smallest id), where the first line stays.
+are no wildcards; its lines go from all documents but the first (smallest id), where the first line stays. A line that
+`min_docs` documents have with equal tokens, digits included, is recurring whatever its share of wildcards.
 
 Leaves and templates are counted by hash with map-side sums, once per document; only lines of shared leaves are looked
 at as text, each different one once. A leaf's tokens are never gathered: they are counted as rows and joined back.
@@ -51,11 +52,13 @@ def identified(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
 
 def leaves(docs: DataFrame, lead: int) -> DataFrame:
-    """One row per line with a token: (id, key, no, leaf, line), the last two as hashes."""
+    """One row per line with a token: (id, key, no, leaf, line, exact), the last three as hashes. exact: the line with its variable
+    tokens, null where it has none, as such a line is its own template."""
     lines = docs.select("id", "key", F.posexplode(F.split("text", "\n")).alias("no", "line"))
-    lines = lines.select("id", "key", "no", masked(F.col("line")).alias("line")).where("line <> ''")
+    lines = lines.select("id", "key", "no", F.col("line").alias("raw"), masked(F.col("line")).alias("line")).where("line <> ''")
+    exact = F.when(F.col("line").contains(WILDCARD), F.xxhash64(F.trim(F.regexp_replace("raw", f"[{SPACE}]+", " "))))
     return lines.select("id", "key", "no", F.xxhash64(n_tokens(F.col("line")), F.substring_index("line", " ", lead)).alias("leaf"),
-                        F.xxhash64("line").alias("line"))
+                        F.xxhash64("line").alias("line"), exact.alias("exact"))
 
 
 def templates(docs: DataFrame, once: DataFrame, min_docs: int, fixed: float) -> DataFrame:
@@ -80,18 +83,25 @@ def templates(docs: DataFrame, once: DataFrame, min_docs: int, fixed: float) ->
         "leaf", "line", F.xxhash64("leaf", "x", "y").alias("template"))
 
 
+def beyond_first(where: DataFrame, name: str, min_docs: int) -> DataFrame:
+    """(id, key, no) of the places of each name that `min_docs` documents have, without those in its first document."""
+    counted = stored(where.groupBy(name, "id", "key").agg(F.lit(1).alias("one")).groupBy(name).agg(
+        F.count(F.lit(1)).alias("docs"), F.min(F.struct("id", "key")).alias("first")).where(F.col("docs") >= min_docs))
+    return where.join(counted, name).where(F.struct("id", "key") != F.col("first")).select("id", "key", "no")
+
+
 def recurring_lines(docs: DataFrame, min_docs: int, lead: int, fixed: float) -> DataFrame:
-    """(id, key, no) of the lines that go."""
+    """(id, key, no) of the lines that go; a place may come twice."""
     lines = leaves(docs, lead)
-    shared = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("a"), F.max("id").alias("b"))
-    shared = stored(shared.where((F.col("c") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf"))
+    shared = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("c"), *(f(x).alias(n) for x, n, f in (
+        ("id", "a", F.min), ("id", "b", F.max), ("key", "x", F.min), ("key", "y", F.max))))
+    shared = stored(shared.where((F.col("c") >= min_docs) & ((F.col("a") != F.col("b")) | (F.col("x") != F.col("y")))).select("leaf"))
     places = stored(lines.join(shared, "leaf"))
     once = places.groupBy("leaf", "line", "id", "key").agg(F.min("no").alias("no"))
     named = stored(templates(docs, once, min_docs, fixed))
     where = places.join(named, ["leaf", "line"]).select("template", "id", "key", "no")
-    counted = stored(where.groupBy("template", "id", "key").agg(F.lit(1).alias("one")).groupBy("template").agg(
-        F.count(F.lit(1)).alias("docs"), F.min(F.struct("id", "key")).alias("first")).where(F.col("docs") >= min_docs))
-    return where.join(counted, "template").where(F.struct("id", "key") != F.col("first")).select("id", "key", "no")
+    equal = places.where("exact is not null").select("exact", "id", "key", "no")
+    return beyond_first(where, "template", min_docs).unionByName(beyond_first(equal, "exact", min_docs))
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = 3, lead: int = 3, fixed: float = 0.6, id_column: str = "doc_id",

@@ -77,3 +77,19 @@ def test_repeated_rows_missing_ids_and_empty_tables(spark, frame):
 def test_no_python_in_the_plan(frame):
     plan = template_dedup.drop_recurring(frame(documents()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_equal_lines_of_mostly_variable_tokens(frame):
+    lines = ["Page 3 of 12", "Tel 030 1234567 Fax 030 1234568", "2024-01-02 10:00:00 INFO 200 OK", "1 2 3", "a <*> <*>"]
+    docs = [(i, "\n".join([f"own {i} x{i} {i}", *lines, "Page  %d of 12" % (i + 20)])) for i in range(6)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in template_dedup.drop_recurring(frame(docs)).collect()}
+    assert got[0] == (docs[0][1], 0)
+    assert all(got[i] == (f"own {i} x{i} {i}\nPage  {i + 20} of 12", len(lines)) for i in range(1, 6))
+    two = [(i, "7 8\nonly " + "abcdef"[i]) for i in range(2)]
+    assert {r.doc_id: r.n_dropped for r in template_dedup.drop_recurring(frame(two)).collect()} == {0: 0, 1: 0}
+
+
+def test_leaf_of_rows_without_id(spark):
+    line = "served by the same good host as ever"
+    docs = spark.createDataFrame([(None, f"{line}\n{x}") for x in "abcd"], "doc_id bigint, text string")
+    assert sorted(r.n_dropped for r in template_dedup.drop_recurring(docs).collect()) == [0, 1, 1, 1]
