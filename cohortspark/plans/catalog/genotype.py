@@ -291,6 +291,74 @@ def fit_bootstrap_ensemble(spark, sf):
                                     F.count(F.lit(1)).alias("n_snps"))
 
 
+@query("fit_rank_quality_net", "M4 A18", """
+SELECT CAST(gene AS VARCHAR) AS gene, 'y' AS target, true AS optimal, count(DISTINCT snp) AS n_snps, true AS heldout_agrees, true AS insample_agrees,
+ true AS several FROM genotypes GROUP BY gene""", ctes="genotypes")
+def fit_rank_quality_net(spark, sf):
+    """Elastic nets over all screened SNPs: conditions of the optimum, and both rank correlations worked out again from the held-out weights."""
+    rows, targets = _design(spark, sf)
+    typed = targets.withColumn("cell_type", F.lit("c"))
+    fits = reusable(M.fit_genes(rows, typed, alpha=0.02))
+    folded = M.fold_targets(typed, ["y"])
+    gene = F.col("gene").cast("string").alias("gene")
+    held = fits.select("gene", "heldout_offset", F.explode(F.arrays_zip("heldout_snps", "heldout_weights")).alias("v")).select(
+        "gene", "heldout_offset", F.col("v.heldout_snps").alias("snp"), F.col("v.heldout_weights").alias("w"))
+    x = rows.select(gene, F.col("snp").cast("string").alias("snp"), "donor", "x")
+    guess = held.join(x, ["gene", "snp"]).groupBy("gene", "donor").agg((F.first("heldout_offset") + F.sum(F.col("w") * F.col("x"))).alias("p"))
+    part = F.when(F.col("fold") == M.TEST, "heldout").otherwise("insample").alias("part")
+    pairs = folded.select(gene, "donor", part, "y").join(guess, ["gene", "donor"])
+    order = lambda c: (F.expr(f"rank() OVER (PARTITION BY gene, part ORDER BY {c})")
+                       + (F.expr(f"count(*) OVER (PARTITION BY gene, part, {c})") - 1) / 2.0)
+    pairs = pairs.select("gene", "part", order("round(p, 12)").alias("rp"), order("y").alias("ry"))
+    again = pairs.groupBy("gene").agg(*(F.corr(F.when(F.col("part") == n, F.col("rp")), F.when(F.col("part") == n, F.col("ry"))).alias(n)
+                                        for n in ("heldout", "insample")))
+    several = held.groupBy("gene").agg((F.count_if(F.col("w") != 0) > 1).alias("several"))
+    rho = M.rank_quality(fits, rows, folded, ["y"])
+    return _optimal(fits, rows, targets, ["y"], M.L1_RATIO).join(rho, ["gene", "target"]).join(again, "gene").join(several, "gene").select(
+        "gene", "target", "optimal", "n_snps", (F.abs(F.col("heldout_rho") - F.col("heldout")) < 1e-6).alias("heldout_agrees"),
+        (F.abs(F.col("insample_rho") - F.col("insample")) < 1e-6).alias("insample_agrees"), "several")
+
+
+@query("fit_three_heads_net", "M5", """
+SELECT CAST(gene AS VARCHAR) AS gene, unnest(['mean', 'aleatoric', 'epistemic']) AS target, true AS optimal, n_snps, n, false AS diverged, true AS agrees
+FROM (SELECT gene, count(DISTINCT snp) AS n_snps, count(DISTINCT donor) AS n FROM genotypes GROUP BY gene)""", ctes="genotypes")
+def fit_three_heads_net(spark, sf):
+    """Joint elastic nets of the mean and two log1p variance heads over all screened SNPs: conditions of each optimum, and the
+    metrics of the heads against the mean squared error worked out again from the coefficients."""
+    rows, targets = _design(spark, sf)
+    names = ("mean", "aleatoric", "epistemic")
+    heads = targets.select(F.lit("c").alias("cell_type"), "gene", "donor", F.col("y").alias("mean"),
+                           F.log1p(F.abs("y2")).alias("aleatoric"), F.log1p(F.abs(F.col("y") - F.col("y2"))).alias("epistemic"))
+    fits = reusable(M.fit_genes(rows, heads, names, alpha=0.02))
+    truth = heads.select("cell_type", F.col("gene").cast("string").alias("gene"), "donor", F.col("mean").alias("y"),
+                         F.expm1("aleatoric").alias("y_aleatoric"), F.expm1("epistemic").alias("y_epistemic"))
+    metrics = V.head_metrics(M.predict_heads(fits, rows).join(truth, ["cell_type", "gene", "donor"]), ["cell_type", "gene"])
+    terms = _standard(fits, rows, heads, names).filter("target = 'mean'").join(fits.select("gene", "target", "y_scale"), ["gene", "target"])
+    left = terms.groupBy("gene", "donor").agg((F.first("y_scale") * (F.first("t") - F.sum(F.col("w") * F.col("z")))).alias("e"))
+    again = left.groupBy("gene").agg(F.avg(F.col("e") * F.col("e")).alias("mse"))
+    return _optimal(fits, rows, heads, names, M.L1_RATIO).join(metrics, "gene").join(again, "gene").select(
+        "gene", "target", "optimal", "n_snps", "n", "diverged", (F.abs(F.col("mean_w2") - F.col("mse")) < 1e-9).alias("agrees"))
+
+
+@query("bootstrap_inclusion", "M6 A34", """
+SELECT CAST(gene AS VARCHAR) AS gene, count(DISTINCT snp) AS n_snps, true AS masked, true AS split, true AS some FROM genotypes GROUP BY gene""", ctes="genotypes")
+def bootstrap_inclusion(spark, sf):
+    """Ensemble weights masked by inclusion, against the shares, means and total variances of the plain bootstrap weights."""
+    rows, targets = _design(spark, sf)
+    member = F.explode(F.array(F.lit("m1"), F.lit("m2"))).alias("member")
+    members = targets.select("gene", "donor", member, "y", "y2").select(
+        "gene", "member", "donor", F.when(F.col("member") == "m1", F.col("y")).otherwise(F.col("y2")).alias("mean"),
+        (0.1 + (F.col("donor") % 3) / 10.0).alias("sigma"))
+    fits = reusable(M.bootstrap_fits(rows, members, rows.select("gene").distinct().withColumn("alpha", F.lit(0.05)), n_bootstraps=3))
+    masked = M.mask_by_inclusion(V.total_variance(fits, ["gene", "snp"])).select("gene", "snp", "weight", "total")
+    plain = fits.groupBy("gene", "snp").agg((F.count_if(F.col("weight") != 0) / F.count("weight")).alias("share"),
+                                            F.avg("weight").alias("middle"), F.var_pop("weight").alias("spread"))
+    wanted = F.when(F.col("share") >= M.PIP_MASK, F.col("middle")).otherwise(0.0)
+    return masked.join(plain, ["gene", "snp"]).groupBy("gene").agg(
+        F.count(F.lit(1)).alias("n_snps"), F.bool_and(F.abs(F.col("weight") - wanted) < 1e-9).alias("masked"),
+        F.bool_and(F.abs(F.col("total") - F.col("spread")) < 1e-9).alias("split"), F.bool_or(F.col("weight") != 0).alias("some"))
+
+
 @query("bootstrap_counts", "M6", """
 SELECT gene, b AS bootstrap, count(DISTINCT donor) AS total FROM genotypes, (SELECT unnest(range(4)) AS b) GROUP BY ALL""", ctes="genotypes", longs="bootstrap")
 def bootstrap_counts(spark, sf):
