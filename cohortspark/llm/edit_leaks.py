@@ -8,14 +8,18 @@ embedded by random walks: at each of 3 L steps a walk emits the window's current
 number follows from the target recall and from collisions seen on items edited at random. Each window that shares
 a bucket with an item of its length is aligned with the item exactly; distances in the result are exact.
 
-The item index is one shard of at most `ITEMS` items, the only thing sent to tasks; more items mean more passes.
+The item index is one shard of at most `ITEMS` items, the only thing sent to tasks; more items mean more passes. Items in
+scripts without spaces, and items of a few very long words, are read by characters instead of words, spaces left out, in a
+pass of their own; `start` and `stop` of their matches count characters.
 
-Edges: null and empty texts, and items under `LEAST_WORDS` words, match nothing. Words are compared after lowering A-Z. Equal
+Edges: null and empty texts, items under `LEAST_WORDS` words, and items read by characters under `LEAST_CHARS` characters match
+nothing. Words are compared after lowering A-Z. Equal
 items are each reported. Null item ids are passed over. Repeated rows give repeated rows; other columns are kept apart.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,14 +32,39 @@ from cohortspark.llm import wordkit as wk
 from cohortspark.llm.store import bounded_batches
 
 SHARE, RECALL = 0.15, 0.99
-LEAST_WORDS, ITEMS = 5, 20_000
+LEAST_WORDS, LEAST_CHARS, ITEMS = 3, 5, 20_000
+#: Items of fewer than `FEW` words with this many characters a word are read by characters.
+FEW, LONG_WORD = 5, 20
+#: Characters of scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han and their extensions.
+UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
 #: Places of a walk that a table samples, tables that share a walk, and most tables.
 PLACES, PER_WALK, TABLES = 5, 8, 64
 #: Windows that a worker gathers before it embeds them.
 GATHER = 20_000
+#: Words of windows that are embedded at a time.
+CELLS = 2_000_000
 PAD = np.uint64(0)
 
 
+def by_characters(text: str) -> bool:
+    """Whether words say little about an item."""
+    size = len("".join(words := re.split("[\x20\x09-\x0D]+", text)))
+    return size > 0 and (2 * len(UNSPACED.findall(text)) >= size or len(w := [x for x in words if x]) < FEW and size >= LONG_WORD * len(w))
+
+
+def units(column: pa.Array, characters: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the words or characters of all texts in a row, and where each text begins."""
+    data, offsets = wk.text_bytes(column)
+    if not characters:
+        w = wk.words(data, offsets)
+    else:
+        begins = np.flatnonzero((data & 0xC0) != 0x80)
+        shown = ~wk.SEPARATOR[data[begins]]
+        start, stop = begins[shown], np.r_[begins[1:], len(data)][shown]
+        w = wk.Words(data, offsets, start, stop, np.searchsorted(start, offsets))
+    return w.hashes(wk.LOWER[data]), w.first
+
+
 def budget(length: int, share: float) -> int:
     return int(length * share)
 
@@ -81,6 +110,8 @@ def tables_for(by_length: dict[int, np.ndarray], share: float, recall: float) ->
     """Tables with which items edited as much as allowed meet their bucket with the wanted probability."""
     rng, rate = np.random.default_rng(11), []
     for length, items in by_length.items():
+        if not budget(length, share):
+            continue  # equal runs always meet
         some = items[rng.integers(0, len(items), 24)]
         changed = np.stack([edited(w, budget(length, share), rng) for w in some])
         rate.append(np.mean([a == b for a, b in zip(bucket_keys(some, 2 * PER_WALK), bucket_keys(changed, 2 * PER_WALK))], axis=0))
@@ -105,12 +136,10 @@ class Index:
     buckets: dict[int, list[tuple[np.ndarray, np.ndarray]]]
 
     @staticmethod
-    def of(items: list[tuple], share: float, recall: float) -> Index:
-        data, offsets = wk.text_bytes(pa.array([t or "" for _, t in items], pa.large_string()))
-        w = wk.words(data, offsets)
-        code = w.hashes(wk.LOWER[data])
-        words = [code[a:b] for a, b in zip(w.first, w.first[1:])]
-        kept = [i for i, x in enumerate(words) if len(x) >= LEAST_WORDS]
+    def of(items: list[tuple], share: float, recall: float, characters: bool = False) -> Index:
+        code, first = units(pa.array([t or "" for _, t in items], pa.large_string()), characters)
+        words = [code[a:b] for a, b in zip(first, first[1:])]
+        kept = [i for i, x in enumerate(words) if len(x) >= (LEAST_CHARS if characters else LEAST_WORDS)]
         names, words = [items[i][0] for i in kept], [words[i] for i in kept]
         lengths = np.array([len(x) for x in words], np.int64)
         stacked = {int(n): (np.flatnonzero(lengths == n), np.stack([x for x in words if len(x) == n])) for n in np.unique(lengths)}
@@ -206,16 +235,17 @@ class Held:
         near: dict[tuple[int, int], list[int]] = {}
         for n, places in self.windows.items():
             own, at = (np.concatenate(x) for x in zip(*places))
-            text = np.full((len(own), n), PAD)
-            for line, r, a in zip(text, own.tolist(), at.tolist()):
-                words = self.rows[r][a:a + n]
-                line[:len(words)] = words
-            pairs = set()
-            for key, (buckets, items) in zip(bucket_keys(text, self.index.tables), self.index.buckets[n]):
-                lo, hi = np.searchsorted(buckets, key), np.searchsorted(buckets, key, "right")
-                hit = np.flatnonzero(hi > lo)
-                for w, a, b in zip(hit.tolist(), lo[hit].tolist(), hi[hit].tolist()):
-                    pairs.update((w, int(i)) for i in items[a:b])
+            pairs, step = set(), max(1, CELLS // n)
+            for base in range(0, len(own), step):
+                text = np.full((len(own[base:base + step]), n), PAD)
+                for line, r, a in zip(text, own[base:base + step].tolist(), at[base:base + step].tolist()):
+                    words = self.rows[r][a:a + n]
+                    line[:len(words)] = words
+                for key, (buckets, items) in zip(bucket_keys(text, self.index.tables), self.index.buckets[n]):
+                    lo, hi = np.searchsorted(buckets, key), np.searchsorted(buckets, key, "right")
+                    hit = np.flatnonzero(hi > lo)
+                    for w, a, b in zip(hit.tolist(), lo[hit].tolist(), hi[hit].tolist()):
+                        pairs.update((base + w, int(i)) for i in items[a:b])
             for w, i in pairs:
                 near.setdefault((int(own[w]), i), []).append(int(at[w]))
         matches = [[] for _ in self.rows]
@@ -240,9 +270,9 @@ class Held:
         self.parts, self.rows, self.windows, self.size = [], [], {}, 0
 
 
-def searched(docs: DataFrame, items: list[tuple], carried: list[str], share: float, recall: float) -> DataFrame:
+def searched(docs: DataFrame, items: list[tuple], characters: bool, carried: list[str], share: float, recall: float) -> DataFrame:
     """(row, text, matches) of all documents against one shard of items; row holds the carried columns."""
-    index = Index.of(items, share, recall)
+    index = Index.of(items, share, recall, characters)
     names = ["row", "text", "matches"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,14 +283,12 @@ def searched(docs: DataFrame, items: list[tuple], carried: list[str], share: flo
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(matches, MATCH)], names)
 
         for part in wk.portions(batches):
-            data, offsets = wk.text_bytes(part.column("text"))
-            w = wk.words(data, offsets)
-            code = w.hashes(wk.LOWER[data])
-            found = index.windows(code, w.first)
+            code, first = units(part.column("text"), characters)
+            found = index.windows(code, first)
             rest = np.ones(part.num_rows, bool)
             if found:
-                rest[np.concatenate([np.searchsorted(w.first, s, "right") - 1 for s in found.values()])] = False
-                held.add(part, code, w.first, found)
+                rest[np.concatenate([np.searchsorted(first, s, "right") - 1 for s in found.values()])] = False
+                held.add(part, code, first, found)
             clean = part.filter(pa.array(rest))
             if clean.num_rows:
                 yield pa.RecordBatch.from_arrays([*clean.columns, pa.array([[]] * clean.num_rows, MATCH)], names)
@@ -273,19 +301,24 @@ def searched(docs: DataFrame, items: list[tuple], carried: list[str], share: flo
     return source.mapInArrow(run, T.StructType([*source.schema, T.StructField("matches", match)]))
 
 
-def shards(benchmark: DataFrame) -> Iterator[list[tuple]]:
-    """Items in lists of about ITEMS, each bounded."""
+def shards(benchmark: DataFrame) -> Iterator[tuple[list[tuple], bool]]:
+    """Items in lists of about ITEMS, each bounded, and whether they are read by characters."""
     named = benchmark.select("item_id", F.col("text").cast("string").alias("text")).where("item_id is not null")
     n = max(1, -(-named.count() // ITEMS))
     for i in range(n):
         part = named.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i)
-        yield sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (str(r[0]), r[1] or ""))
+        rows = sorted(((r.item_id, r.text) for r in part.collect()), key=lambda r: (str(r[0]), r[1] or ""))
+        other = [by_characters(t or "") for _, t in rows]
+        for characters in (False, True):
+            some = [r for r, c in zip(rows, other) if c == characters]
+            if some or not (characters or any(other)):
+                yield some, characters
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL) -> DataFrame:
     """(doc_id, n_matches, contaminated, matches): the items that each document holds, with exact edit distances."""
-    parts = [searched(docs.select("doc_id", "text"), items, ["doc_id"], share, recall).select("row.doc_id", F.xxhash64("text").alias("key"), "matches")
-             for items in shards(benchmark)]
+    parts = [searched(docs.select("doc_id", "text"), items, characters, ["doc_id"], share, recall).select("row.doc_id", F.xxhash64("text").alias("key"), "matches")
+             for items, characters in shards(benchmark)]
     out = parts[0]
     if len(parts) > 1:
         for more in parts[1:]:
@@ -298,7 +331,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: f
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, share: float = SHARE, recall: float = RECALL) -> DataFrame:
     """The documents that hold no item, in their columns."""
-    for items in shards(benchmark):
-        out = searched(docs, items, [c for c in docs.columns if c != "text"], share, recall).where(F.size("matches") == 0)
+    for items, characters in shards(benchmark):
+        out = searched(docs, items, characters, [c for c in docs.columns if c != "text"], share, recall).where(F.size("matches") == 0)
         docs = out.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
     return docs

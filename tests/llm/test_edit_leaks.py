@@ -91,3 +91,20 @@ def test_alignment_and_walks():
     far = rng.integers(1, 1 << 62, (200, 40), dtype=np.uint64)
     share = lambda other: (edit_leaks.walks(words, 1) == edit_leaks.walks(other, 1)).mean()
     assert share(words) == 1 and share(near) > 0.5 > 0.35 > share(far)
+
+
+def test_short_items_and_scripts_without_spaces(spark, frame):
+    r = random.Random(9)
+    han = lambda n: "".join(chr(r.randrange(0x4e00, 0x9000)) for _ in range(n))
+    question, key = han(40), "".join(r.choice("abcdefgh_") for _ in range(120))
+    changed_one = question[:10] + "变" + question[11:25] + question[26:]
+    benchmark = spark.createDataFrame([(1, question), (2, "Who wrote Hamlet"), (3, "capital city of Peru"), (4, key), (5, "一二三")],
+                                      "item_id bigint, text string")
+    docs = [(1, han(90) + question + han(30)), (2, "so who wrote hamlet then"), (3, "the capital city of peru is"), (4, f"x {key} y"),
+            (5, han(60) + changed_one + han(7)), (6, "who wrote the hamlet and capital of peru"), (7, han(300)), (8, None),
+            (9, question[:20] + " " + question[20:] + " who wrote Hamlet"), (1, han(90) + question + han(30))]
+    got = [(x.doc_id, sorted((m.item_id, m.edits) for m in x.matches)) for x in edit_leaks.leaks(frame(docs), benchmark).collect()]
+    one = [("1", 0)]
+    assert sorted(got) == [(1, one), (1, one), (2, [("2", 0)]), (3, [("3", 0)]), (4, [("4", 0)]), (5, [("1", 2)]), (6, []), (7, []), (8, []),
+                           (9, [("1", 0), ("2", 0)])]
+    assert sorted(x.doc_id for x in edit_leaks.keep_clean(frame(docs), benchmark).collect()) == [6, 7, 8]
