@@ -108,3 +108,10 @@ def test_short_items_and_scripts_without_spaces(spark, frame):
     assert sorted(got) == [(1, one), (1, one), (2, [("2", 0)]), (3, [("3", 0)]), (4, [("4", 0)]), (5, [("1", 2)]), (6, []), (7, []), (8, []),
                            (9, [("1", 0), ("2", 0)])]
     assert sorted(x.doc_id for x in edit_leaks.keep_clean(frame(docs), benchmark).collect()) == [6, 7, 8]
+
+
+def test_recall_that_tables_do_not_reach_is_reported():
+    r = np.random.default_rng(3)
+    items = {n: r.integers(1, 1 << 62, (30, n)).astype(np.uint64) for n in (20, 400)}
+    with pytest.warns(UserWarning, match="estimated recall with 64 tables .*400: 0"):
+        edit_leaks.tables_for(items, edit_leaks.SHARE, edit_leaks.RECALL)
