@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortspark.llm import automaton_dedup, backoff_automaton, boosted_rules, byte_bpe, edit_leaks, kneser_ney, noisy_or, shingle_join, suffix_dedup, template_dedup
+from cohortspark.llm import (automaton_dedup, backoff_automaton, boosted_rules, byte_bpe, edit_leaks, kneser_ney, middle_fill, noisy_or,
+                             run_merge, shingle_join, suffix_dedup, template_dedup)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -83,3 +84,35 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_kneser_ney")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+@register("op12_run_merge", """
+    SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+           doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+    FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_merge.copies(table(spark, sf_dir, "documents"), keep="largest")
+
+
+@register("op13_middle_fill", """
+    WITH units AS (
+      SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+             regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u
+      FROM documents),
+    hashes AS (
+      SELECT *, len(u) AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2,
+             ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM units),
+    cuts AS (
+      SELECT *, least(h1 % (n + 1)::UBIGINT, h2 % (n + 1)::UBIGINT)::BIGINT AS a, greatest(h1 % (n + 1)::UBIGINT, h2 % (n + 1)::UBIGINT)::BIGINT AS b,
+             CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+                  THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM hashes),
+    parts AS (
+      SELECT *, array_to_string(list_slice(u, 1, a), '') AS p, array_to_string(list_slice(u, a + 1, b), '') AS m,
+             array_to_string(list_slice(u, b + 1, n), '') AS s FROM cuts)
+    SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+           CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+           sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                  ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+           sha256(text) AS restored_sha256 FROM parts""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_fill.digests(table(spark, sf_dir, "documents"))
