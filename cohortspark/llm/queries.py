@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortspark.llm import (automaton_dedup, backoff_automaton, boosted_rules, byte_bpe, edit_leaks, kneser_ney, middle_fill, noisy_or,
-                             run_merge, shingle_join, suffix_dedup, template_dedup)
+                             run_merge, shingle_join, suffix_dedup, template_dedup, token_alignment)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -86,6 +86,12 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").where("quality = 1"))
 
 
+@register("op11_token_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.scores(token_alignment.corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                                         public_tokenizers.PATTERN, public_tokenizers.path("piece_bpe_32k.model")))
+
+
 @register("op12_run_merge", """
     SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
            doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
