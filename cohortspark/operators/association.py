@@ -7,7 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from ..functions.distributions import two_sided_p
 from ..functions.ordered import first_by, row_numbers
@@ -68,6 +72,67 @@ def reference_plan(model_snps: DataFrame, variants: DataFrame, keys: Sequence[st
         (F.col("n_snps_in_model") - n_found).alias("n_snps_missing"))
 
 
+#: SNPs that a tile of a gene has on average, and draws that are multiplied at a time.
+TILE, DRAWS = 512, 2048
+
+
+def _block_form(covariance: pa.Table, weights: pa.Table) -> pa.Table:
+    """diag(W S W') of one block: S from the covariance rows of a pair of tiles, W the draws' weights of the SNPs in both."""
+    snps, place = np.unique(weights.column("snp").to_numpy(), return_inverse=True)
+    sides = []
+    for side in ("snp1", "snp2"):
+        given = covariance.column(side).to_numpy()
+        at = np.minimum(np.searchsorted(snps, given), max(0, len(snps) - 1))
+        sides.append((at, snps[at] == given))
+    live = sides[0][1] & sides[1][1]
+    first, second = (at[live] for at, _ in sides)
+    value = covariance.column("value").to_numpy()[live] * np.where(first == second, 1.0, 2.0)
+    matrix = np.bincount(first * len(snps) + second, value, len(snps) ** 2).reshape(len(snps), len(snps))
+    draws, row = np.unique(weights.column("k").to_numpy(), return_inverse=True)
+    weight = weights.column("weight").to_numpy()
+    order = np.argsort(row, kind="stable")
+    forms = []
+    for lo in range(0, len(draws), DRAWS):
+        part = order[slice(*np.searchsorted(row[order], [lo, lo + DRAWS]))]
+        dense = np.bincount((row[part] - lo) * len(snps) + place[part], weight[part], min(DRAWS, len(draws) - lo) * len(snps)).reshape(-1, len(snps))
+        forms.append(np.einsum("ij,ij->i", dense @ matrix, dense))
+    return pa.table({"k": pa.array(draws, pa.int32()), "part": pa.array(np.concatenate(forms))})
+
+
+def quadratic_forms(weights: DataFrame, ld_cov: DataFrame, *, tile: int = TILE) -> DataFrame:
+    """(gene, k, var_g): w' S w of every draw ``k`` of a gene that shares a covariance row with it.
+
+    ``weights(gene, snp, k, weight)``; repeated weights add up. ``ld_cov(gene, snp1, snp2, value)`` has the diagonal and one triangle.
+    Both sides meet once per gene, where all draws are one matrix product, so a covariance row is shuffled once at its own
+    size. The SNPs of a gene with more than ``tile`` fall into tiles, and each pair of tiles is a block of its own.
+    """
+    wide = weights.select("gene", "snp").distinct().groupBy("gene").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") > tile).select("gene", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
+    wide = reusable(wide)
+
+    def tile_of(snp: str) -> Column:
+        return F.pmod(F.xxhash64(snp), F.coalesce("tiles", F.lit(1))).cast("int")
+
+    one, other = tile_of("snp1"), tile_of("snp2")
+    rows = ld_cov.join(wide, "gene", "left").select(
+        "gene", F.least(one, other).alias("t1"), F.greatest(one, other).alias("t2"), "snp1", "snp2", F.col("value").cast("double").alias("value"))
+    tiled = weights.join(wide, "gene", "left").withColumn("t", tile_of("snp")).withColumn(
+        "u", F.explode(F.sequence(F.lit(0), F.coalesce("tiles", F.lit(1)) - 1)))
+    spread = tiled.select("gene", F.least("t", "u").alias("t1"), F.greatest("t", "u").alias("t2"), "snp", "k", F.col("weight").cast("double").alias("weight"))
+    kind = weights.schema["gene"].dataType
+    out = StructType([StructField("gene", kind), StructField("k", IntegerType()), StructField("part", DoubleType())])
+
+    def forms(key: tuple, covariance: pa.Table, held: pa.Table) -> pa.Table:
+        if not covariance.num_rows or not held.num_rows:
+            return to_arrow_schema(out).empty_table()
+        found = _block_form(covariance, held)
+        return found.add_column(0, "gene", pa.repeat(key[0], found.num_rows))
+
+    blocks = ["gene", "t1", "t2"]
+    parts = spread.groupBy(*blocks).cogroup(rows.groupBy(*blocks)).applyInArrow(lambda key, w, c: forms(key, c, w), out)
+    return parts.groupBy("gene", "k").agg(F.sum("part").alias("var_g"))
+
+
 def gene_association(weights: DataFrame, ld_snps: DataFrame, ld_cov: DataFrame, gwas: DataFrame,
                      keys: Sequence[str] = ("cell_type", "arm", "draw"), *,
                      standardized: bool = False) -> DataFrame:
@@ -99,19 +164,9 @@ def gene_association(weights: DataFrame, ld_snps: DataFrame, ld_cov: DataFrame,
         F.min(F.when(used, F.col("g_p"))).alias("best_gwas_p"),
         F.max(F.when(used, F.abs("weight"))).alias("largest_weight"))
 
-    # All draws of a (gene, snp) ride on one row, so a covariance row is shuffled once whatever the number of draws; after
-    # the join each SNP's draws are matched, and sums per (draw, gene) shrink before their shuffle.
     numbered = reusable(row_numbers(model.select(*keys).distinct(), [], keys, rn="k"))
     kept = model.filter(used).join(numbered, keys).select("gene", "snp", F.col("k").cast("int").alias("k"), "weight")
-    held = reusable(kept.groupBy("gene", "snp").agg(F.map_from_entries(F.collect_list(F.struct("k", "weight"))).alias("w")))
-    left = held.withColumnsRenamed({"snp": "snp1", "w": "w1"})
-    right = held.withColumnsRenamed({"snp": "snp2", "w": "w2"})
-    share = F.when(F.col("snp1") == F.col("snp2"), 1.0).otherwise(2.0)
-    both = ld_cov.join(left, ["gene", "snp1"]).join(right, ["gene", "snp2"])
-    each = both.select("gene", (F.col("value") * share).alias("v"), "w2", F.explode("w1").alias("k", "a"))
-    each = each.withColumn("b", F.try_element_at("w2", F.col("k"))).filter("b is not null")
-    variance = each.groupBy("gene", "k").agg(F.sum(F.col("a") * F.col("b") * F.col("v")).alias("var_g")).join(
-        numbered, "k").select(*keys, "gene", "var_g")
+    variance = quadratic_forms(kept, ld_cov).join(numbered, "k").select(*keys, "gene", "var_g")
     scored = (sides.join(variance, [*keys, "gene"]).filter("var_g > 0")
               .withColumn("zscore", F.try_divide("numerator", F.sqrt("var_g"))))
     return (scored

@@ -285,19 +285,24 @@ def written_targets(spark, sf):
     return spark.read.parquet(path).select("cell_type", "gene", "value")
 
 
-@query("written_covariance", "K4", """
+@query("written_covariance", "K4 A15", """
 WITH s AS (SELECT l_returnflag AS cell_type, l_partkey % 9 AS gene, l_suppkey AS snp FROM lineitem GROUP BY ALL),
-h AS (SELECT cell_type, count(*) AS n, """ + ", ".join(f"sum(CAST('0x' || substr(sha256(gene || chr(9) || snp), {a}, 12) AS HUGEINT)) AS p{a}" for a in (1, 13, 25, 37)) + """ FROM s GROUP BY cell_type)
+r AS (SELECT *, row_number() OVER (PARTITION BY cell_type, gene ORDER BY snp % 13, snp) AS place FROM s),
+h AS (SELECT cell_type, count(*) AS n, """ + ", ".join(f"sum(CAST('0x' || substr(sha256(gene || chr(9) || place || chr(9) || snp), {a}, 12) AS HUGEINT)) AS p{a}" for a in (1, 13, 25, 37)) + """ FROM r GROUP BY cell_type)
 SELECT cell_type, n AS n_snps, sha256(n || '-' || hex(CAST(p1 AS VARCHAR)) || '-' || hex(CAST(p13 AS VARCHAR)) || '-' || hex(CAST(p25 AS VARCHAR)) || '-' || hex(CAST(p37 AS VARCHAR))) AS content_hash,
- 'panel' AS reference, n AS n_pairs FROM h""")
+ CASE cell_type WHEN 'N' THEN 'second' ELSE 'first' END AS reference, n AS n_pairs FROM h""")
 def written_covariance(spark, sf):
+    """One cell type after the other, one of them twice; readers follow the commit records, and the replaced version goes."""
     path = _place(spark)
     snps = T.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("cell_type"), (F.col("l_partkey") % 9).alias("gene"), F.col("l_suppkey").alias("snp")).distinct()
-    for part in ("A", "N", "R"):
+    snps = snps.withColumn("rest", F.col("snp") % 13)
+    for part, reference in (("A", "first"), ("N", "first"), ("R", "first"), ("N", "second")):
         own = snps.filter(F.col("cell_type") == part)
-        K.write_covariance(own.withColumn("value", F.lit(1.0)), own, path, partition="cell_type", reference="panel")
-    pairs = spark.read.parquet(f"{path}/pairs").groupBy("cell_type").agg(F.count(F.lit(1)).alias("n_pairs"))
-    return spark.read.parquet(f"{path}/meta").join(pairs, "cell_type")
+        held = own if reference == "second" else own.withColumn("snp", F.when(F.col("cell_type") == "N", -1).otherwise(F.col("snp")))
+        K.write_covariance(own.withColumn("value", F.lit(1.0)), held, path, partition="cell_type", order=("rest", "snp"), reference=reference)
+    K.remove_old_versions(spark, path)
+    pairs = K.read_covariance(spark, path, "pairs", partition="cell_type").groupBy("cell_type").agg(F.count(F.lit(1)).alias("n_pairs"))
+    return K.read_covariance(spark, path, "meta", partition="cell_type").join(pairs, "cell_type")
 
 
 @query("written_split", "K8", "SELECT CASE WHEN l_suppkey % 4 = 1 THEN 'test' ELSE 'train' END AS part, count(*) AS n FROM lineitem GROUP BY ALL")

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, functions as F
 
 from ..operators.expression import split_by_list
-from ..streaming.incremental import content_hash
+from ..streaming.incremental import ordered_hash
 
 
 def replace_partitions(df: DataFrame, keys: Sequence[str]) -> DataFrameWriter:
@@ -42,17 +42,74 @@ def write_population(sums: DataFrame, groups: DataFrame, path: str) -> None:
     replace_partitions(per_cell, ["cell_type"]).parquet(path)
 
 
-def write_covariance(pairs: DataFrame, snps: DataFrame, path: str, *, partition: str | None = None, **info) -> None:
-    """Pairs and SNP sidecar, then the meta table: content hash of the (gene, snp) pairs, SNP count and ``info``.
+COVARIANCE_TABLES = ("pairs", "snps", "meta")
 
-    With ``partition`` each of its values has its own tables, and only the values at hand are replaced. The meta table comes
-    last, so a value without meta is unfinished.
+
+def _commits(spark: SparkSession, path: str) -> DataFrame | None:
+    """(number, version, value) of all finished writes, or None before the first."""
+    try:
+        return spark.read.schema("number bigint, version string, value string").parquet(f"{path}/commits")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def live_versions(commits: DataFrame) -> DataFrame:
+    """(value, version): the newest finished write of every partition value."""
+    newest = F.max(F.struct("number", "version"))
+    return commits.groupBy("value").agg(newest.alias("n")).select("value", F.col("n.version").alias("version"))
+
+
+def write_covariance(pairs: DataFrame, snps: DataFrame, path: str, *, partition: str | None = None, order: Sequence[str] = ("snp",),
+                     **info) -> str:
+    """Pairs, SNP sidecar and meta table (content hash, SNP count and ``info``) as one version; returns its name.
+
+    All tables go to folders of a new version, and one commit record, written last, makes them count: a reader
+    (:func:`read_covariance`) sees the earlier set or the new one, whole. With ``partition`` each of its values has its own
+    newest version. The hash depends on the order of a gene's SNPs, which ``order`` gives.
     """
+    spark, version = pairs.sparkSession, uuid.uuid4().hex
     keys = [partition] if partition else []
-    meta = content_hash(snps, ["gene", "snp"], keys).withColumnsRenamed({"n_rows": "n_snps"})
+    meta = ordered_hash(snps, ["gene"], order, ["snp"], keys).withColumnsRenamed({"n_rows": "n_snps"})
     meta = meta.select("*", *[F.lit(v).alias(k) for k, v in info.items()])
-    for name, table in (("pairs", pairs), ("snps", snps), ("meta", meta)):
-        (replace_partitions(table, keys) if keys else table.write.mode("overwrite")).parquet(f"{path}/{name}")
+    for name, table in zip(COVARIANCE_TABLES, (pairs, snps, meta)):
+        table.write.partitionBy(*keys).parquet(f"{path}/{name}/version={version}")
+    done = _commits(spark, path)
+    number = 1 if done is None else (done.agg(F.max("number")).first()[0] or 0) + 1
+    value = F.col(partition).cast("string") if partition else F.lit("")
+    written = spark.read.parquet(f"{path}/meta/version={version}").select(
+        F.lit(number).cast("bigint").alias("number"), F.lit(version).alias("version"), value.alias("value"))
+    # One row a partition value, in one file, so that the record appears as a whole.
+    written.coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return version
+
+
+def read_covariance(spark: SparkSession, path: str, name: str, *, partition: str | None = None) -> DataFrame:
+    """One of COVARIANCE_TABLES as its newest finished versions hold it; an error before the first finished write."""
+    commits = _commits(spark, path)
+    if commits is None:
+        raise ValueError(f"no finished covariance in {path}")
+    rows = spark.read.option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    value = F.col(partition).cast("string") if partition else F.lit("")
+    live = live_versions(commits).withColumnsRenamed({"value": "__value", "version": "__version"})
+    return rows.join(live, (F.col("version") == F.col("__version")) & (value == F.col("__value"))).drop("version", "__version", "__value")
+
+
+def remove_old_versions(spark: SparkSession, path: str) -> list[str]:
+    """Delete versions that finished and have been replaced for all their values; returns their names.
+
+    A version without a commit record is left alone: its write may be running. Run it when no reader holds an older set.
+    """
+    commits = _commits(spark, path)
+    if commits is None:
+        return []
+    old = commits.select("version").distinct().join(live_versions(commits), "version", "left_anti").collect()
+    for name in COVARIANCE_TABLES:
+        for row in old:
+            place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/version={row.version}")
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return sorted(r.version for r in old)
 
 
 def write_results(df: DataFrame, path: str, *, keys: Sequence[str] = ("cell_type", "arm")) -> None:

@@ -409,24 +409,12 @@ def weights_json(weights: DataFrame) -> DataFrame:
 
 # ---- catalogues ----------------------------------------------------------------------------
 
-def label_from_path(path: Column, level: int) -> Column:
-    """Folder name ``level`` steps above the file."""
-    return F.element_at(F.split(path, "/"), -1 - level)
-
-
 def ambiguous_labels(labels: DataFrame, *, name: str = "cell_type") -> DataFrame:
     """Folded labels that more than one name shares."""
     return labels.groupBy(X.label_key(F.col(name)).alias("key")).agg(
         F.count_distinct(name).alias("n"), F.array_sort(F.collect_set(name)).alias("names")).filter("n > 1")
 
 
-def read_results(spark: SparkSession, pattern: str) -> DataFrame:
-    """Result tables ``<cell_type>/<arm>/results.csv`` with labels taken from the path."""
-    path = F.col("_metadata.file_path")
-    return spark.read.csv(pattern, header=True, inferSchema=False).select(
-        label_from_path(path, 2).alias("cell_type"), label_from_path(path, 1).alias("arm"), "*")
-
-
 def incomplete_seeds(layout: DataFrame) -> DataFrame:
     """Seeds of a model that lack cell types other seeds have; ``layout(model, seed, cell_type)``."""
     distinct = layout.select("model", "seed", "cell_type").distinct()

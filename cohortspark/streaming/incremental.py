@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import exprs as X
+from ..functions.ordered import row_numbers
 
 
 # ---- running sufficient statistics ---------------------------------------------------------
@@ -90,8 +91,7 @@ def unfinished(wanted: DataFrame, manifest: DataFrame, required: Sequence[str],
 def content_hash(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Order-free fingerprint of a row set: count and summed slices of each row's SHA-256.
 
-    A sum combines anywhere, so no list of rows is ever gathered. Include a
-    position column where order within a group matters.
+    A sum combines anywhere, so no list of rows is ever gathered. See :func:`ordered_hash` where order matters.
     """
     digest = F.sha2(F.concat_ws("\t", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]), 256)
 
@@ -103,6 +103,16 @@ def content_hash(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()
                                  F.sha2(F.concat_ws("-", F.count(F.lit(1)).cast("string"), *parts), 256).alias("content_hash"))
 
 
+def ordered_hash(df: DataFrame, group: Sequence[str], order: Sequence[str], columns: Sequence[str], keys: Sequence[str] = (), *,
+                 limit: int | None = None) -> DataFrame:
+    """Fingerprint of ordered lists: one per ``keys``, of the lists that ``group`` names, each in ``order``.
+
+    A row's term takes in its place in its list, so the sum still combines anywhere, and two rows that trade places change it.
+    """
+    placed = row_numbers(df, [*keys, *group], list(order), rn="__place", limit=limit)
+    return content_hash(placed, [*group, "__place", *columns], keys)
+
+
 def consistent_metadata(left: DataFrame, right: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row per field of two one-row tables, with whether they agree (nulls agree with nulls)."""
     def long(df, out):
