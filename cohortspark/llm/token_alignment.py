@@ -34,7 +34,7 @@ from cohortspark.llm.perfect_hash import PerfectHash
 from cohortspark.llm.store import bounded_batches, stored
 
 #: Text bytes of a block, and of the portions that it is aligned by.
-BLOCK, PORTION = 8 << 20, 1 << 20
+BLOCK, PORTION = 4 << 20, 1 << 20
 #: Blocks, or vectors of blocks, that meet in one group of a tree.
 FAN = 128
 #: Distinct pairs that a shard should have, and the most shards.
@@ -74,7 +74,8 @@ class Tokenizers:
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode()
 
     def lengths(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
+        """Bytes of every token of both sides: all that an alignment needs of the tokenizers."""
+        return tuple(np.array([len(x) for x in side], np.uint16) for side in (self.bytes_a, self.bytes_b))
 
     def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Ids of each text on both sides; none where either side does not spell a space and the text."""
@@ -152,7 +153,7 @@ def decimals(size: int) -> np.ndarray:
 
 def align(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, lengths_a: np.ndarray, lengths_b: np.ndarray) -> Aligned:
     """Groups of the tokens of several documents, which spell the same bytes on both sides. n_a: A tokens of each document."""
-    end_a, end_b = np.cumsum(lengths_a[a]), np.cumsum(lengths_b[b])
+    end_a, end_b = np.cumsum(lengths_a[a], dtype=np.int64), np.cumsum(lengths_b[b], dtype=np.int64)
     place = np.searchsorted(end_b, end_a)
     last_a = np.flatnonzero(end_b[np.minimum(place, max(0, len(end_b) - 1))] == end_a) if len(a) else np.zeros(0, np.int64)
     last_b = place[last_a]
@@ -319,7 +320,7 @@ class Corpus:
     shards: int
     groups: int
     size_b: int
-    files: tuple[str, str, str]
+    lengths: tuple[np.ndarray, np.ndarray]
 
     def spread_index(self) -> DataFrame:
         """The index once for each group of blocks: a group's work needs its shard's hash, whatever blocks it holds."""
@@ -334,7 +335,8 @@ def corpus(docs: DataFrame, a_file: str, pattern: str, b_file: str, id_column: s
            block: int = BLOCK, fan: int = FAN, shards: int | None = None, portion: int = PORTION) -> Corpus:
     """Encode the documents once, count their pairs, and index the counts."""
     spark, files = docs.sparkSession, (a_file, pattern, b_file)
-    size_b = Tokenizers.of(*files).b.get_piece_size()
+    lengths = Tokenizers.of(*files).lengths()
+    size_b = len(lengths[1])
     source = bounded_batches(docs).select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).cast("string").alias("text"))
     blocks = stored(source.mapInArrow(lambda b: encoded_blocks(b, files, block, portion), BLOCKS))
     n_blocks, n_keys = blocks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("keys")), F.lit(0)) / 4).first()
@@ -354,7 +356,7 @@ def corpus(docs: DataFrame, a_file: str, pattern: str, b_file: str, id_column: s
         level = level.withColumn("grp", F.floor(F.col("grp") / fan))
     hashes = stored(level.select("shard", "keys").mapInArrow(hashed, "shard bigint, sizes binary, words binary, hash_keys binary"))
 
-    made = Corpus(blocks, hashes, pieces, shards, groups, size_b, files)
+    made = Corpus(blocks, hashes, pieces, shards, groups, size_b, lengths)
     vectors = (pieces.groupBy("shard", "grp").cogroup(made.spread_index().groupBy("shard", "grp"))
                .applyInArrow(present(counted), "shard bigint, grp bigint, total binary"))
     left = groups
@@ -403,10 +405,9 @@ def block_rows(blocks: pa.Table | pa.RecordBatch, i: int) -> tuple[list, np.ndar
 
 def alignments(found: Corpus, portion: int = PORTION) -> DataFrame:
     """(id, a, b, group_a, group_b): ids of both sides, and the number of tokens of either side in each group."""
-    files = found.files
+    lengths = found.lengths
 
     def rows(batches: Batches) -> Batches:
-        lengths = Tokenizers.of(*files).lengths()
         for part in batches:
             for i in range(part.num_rows):
                 ids, n_a, n_b, a, b = block_rows(part, i)
@@ -428,9 +429,9 @@ def alignments(found: Corpus, portion: int = PORTION) -> DataFrame:
 SCORES = ("id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, groups_sha256 string")
 
 
-def scored(block: pa.Table, answers: pa.Table, files: tuple[str, str, str], size_b: int, shards: int, portion: int) -> pa.Table:
+def scored(block: pa.Table, answers: pa.Table, lengths: tuple[np.ndarray, np.ndarray], shards: int, portion: int) -> pa.Table:
     """SCORES of one block's documents, aligned again, from the shards' answers."""
-    lengths = Tokenizers.of(*files).lengths()
+    size_b = len(lengths[1])
     ids, n_a, n_b, a, b = block_rows(block, 0)
     keys = np.frombuffer(block.column("keys")[0].as_py(), np.uint32)
     order, begin = by_shard(keys, size_b, shards)
@@ -457,10 +458,10 @@ def scored(block: pa.Table, answers: pa.Table, files: tuple[str, str, str], size
 
 def scores(found: Corpus, id_column: str = "doc_id", portion: int = PORTION) -> DataFrame:
     """SCORES of every document: links, links whose count is the highest of their A id, and the sum of the links' counts."""
-    size_b, shards, files = found.size_b, found.shards, found.files
+    size_b, shards, lengths = found.size_b, found.shards, found.lengths
     answers = (found.pieces.select("shard", "grp", "block", "keys").groupBy("shard", "grp")
                .cogroup(found.spread_index().groupBy("shard", "grp"))
                .applyInArrow(present(lambda key, p, i: answered(key, p, i, size_b)), "block bigint, shard bigint, counts binary, best binary"))
     blocks = found.blocks.select("block", "ids", "n_a", "n_b", "a", "b", "keys")
     return (blocks.groupBy("block").cogroup(answers.groupBy("block"))
-            .applyInArrow(lambda b, x: scored(b, x, files, size_b, shards, portion), SCORES).withColumnRenamed("id", id_column))
+            .applyInArrow(lambda b, x: scored(b, x, lengths, shards, portion), SCORES).withColumnRenamed("id", id_column))
