@@ -21,7 +21,9 @@ rows are documents of their own. A very long text is a portion of its own. Other
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortspark.llm import wordkit as wk
-from cohortspark.llm.byte_bpe import Decoder, encoder_of, joined, quiet_threads
+from cohortspark.llm.byte_bpe import Decoder, byte_characters, encoder_of, joined, quiet_threads
 from cohortspark.llm.perfect_hash import PerfectHash
 from cohortspark.llm.store import bounded_batches, stored
 
@@ -39,6 +41,8 @@ BLOCK, PORTION = 4 << 20, 1 << 20
 FAN = 128
 #: Distinct pairs that a shard should have, and the most shards.
 SHARD_KEYS, MOST_SHARDS = 1 << 20, 2048
+#: White space characters in a row from which a text is encoded by the library's own model.
+LONG_SPACE = 10_000
 #: Pairs of a group above which distinct ids are counted in place of pairs; pairs made at a time.
 WIDE, STEP = 256, 1 << 20
 
@@ -46,6 +50,29 @@ BLOCKS = "block bigint, ids array<bigint>, n_a array<int>, n_b array<int>, a bin
 Batches = Iterator[pa.RecordBatch]
 
 
+def byte_level_encoder(vocabulary: str, pattern: str) -> Callable[[str], list[int]]:
+    """Encoder of whole texts by a byte-level vocabulary's merges.
+
+    Where the merges are in the order of their tokens' ids, the ids are ranks, and tiktoken encodes by them; a text with a
+    long run of white space, which its pattern engine may refuse, and any other vocabulary go to the library's own model.
+    """
+    import tiktoken
+
+    slow = encoder_of(vocabulary, pattern).encode
+    with open(vocabulary, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    pairs = [x.split(" ") if isinstance(x, str) else x for x in model["merges"]]
+    ids = [model["vocab"].get(a + b, -1) for a, b in pairs]
+    if any(x <= y for x, y in zip(ids[1:], ids)) or min(ids, default=0) < 256:
+        return slow
+    byte_of = {c: b for b, c in enumerate(byte_characters())}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in model["vocab"].items() if all(c in byte_of for c in token)}
+    wanted = set(range(256)) | set(ids)
+    fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={t: i for t, i in ranks.items() if i in wanted}, special_tokens={})
+    odd = re.compile(r"\s{%d}" % LONG_SPACE).search
+    return lambda text: slow(text) if odd(text) else fast.encode_ordinary(text)
+
+
 class Tokenizers:
     """Both encoders of a worker, with the bytes of every token."""
 
@@ -55,7 +82,7 @@ class Tokenizers:
         import sentencepiece
 
         quiet_threads()
-        self.a = encoder_of(a_file, pattern)
+        self.encode_a = byte_level_encoder(a_file, pattern)
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_file)
         known = Decoder(a_file).bytes_of
         self.bytes_a = [known.get(i, b"") for i in range(max(known) + 1)]
@@ -82,7 +109,7 @@ class Tokenizers:
         out = []
         for text, b in zip(texts, self.b.encode(texts, num_threads=1)):
             spelled = (" " + text).encode()
-            a = self.a.encode(" " + text) if text else []
+            a = self.encode_a(" " + text) if text else []
             if a and b"".join(map(self.bytes_a.__getitem__, a)) == spelled == b"".join(map(self.bytes_b.__getitem__, b)):
                 out.append((a, b))
             else:

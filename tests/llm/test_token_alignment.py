@@ -122,6 +122,12 @@ def test_alignments_spell_both_sides(frame, planted):
         assert sum((a for a, _ in groups[r.id]), []) == r.a and sum((b for _, b in groups[r.id]), []) == r.b
 
 
+def test_long_runs_encode_alike():
+    fast, slow = token_alignment.byte_level_encoder(*FILES[:2]), token_alignment.encoder_of(*FILES[:2]).encode
+    for text in (" " * 300_000 + "x", "\n" * 20_000, "a" * 200_000, " 0" * 50_000, "日" * 60_000, "\x1c\xa0 \u2003" * 9_000, "<|endoftext|> it's"):
+        assert fast(text) == slow(text)
+
+
 def test_long_text_and_empty_table(frame):
     long = " ".join(f"word{i % 1000} ünd" for i in range(260_000))
     assert len(long.encode()) > 3 << 20
