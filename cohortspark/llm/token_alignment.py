@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortspark.llm import wordkit as wk
@@ -206,6 +207,18 @@ def documents_holding(found: Aligned, size_b: int) -> tuple[np.ndarray, np.ndarr
     return np.unique((seen & np.uint64(0xFFFFFFFF)).astype(np.uint32), return_counts=True)
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ids as compressed byte planes: blocks are written once and shuffled once."""
+    return zstandard.ZstdCompressor(level=3).compress(ids.view(np.uint8).reshape(-1, ids.dtype.itemsize).T.tobytes())
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    """`size` ids, of two bytes each, or four if the vocabulary is larger."""
+    flat = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    kind = np.uint16 if len(flat) == 2 * size else np.uint32
+    return np.ascontiguousarray(flat.reshape(-1, size).T).view(kind).ravel() if size else np.zeros(0, kind)
+
+
 def encoded_blocks(batches: Batches, files: tuple[str, str, str], block: int, portion: int) -> Batches:
     """(id, text) batches as BLOCKS."""
     from pyspark import TaskContext
@@ -220,7 +233,8 @@ def encoded_blocks(batches: Batches, files: tuple[str, str, str], block: int, po
         n = np.array(sizes, np.int32).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([
             pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), joined([n[:, 0]], pa.int32()), joined([n[:, 1]], pa.int32()),
-            *(pa.array([np.concatenate(side).tobytes()], pa.binary()) for side in (*tokens, [key], [count]))],
+            *(pa.array([packed(np.concatenate(side))], pa.binary()) for side in tokens),
+            *(pa.array([side.tobytes()], pa.binary()) for side in (key, count))],
             [f.split()[0] for f in BLOCKS.split(", ")])
 
     for part in wk.portions(batches, limit=portion):
@@ -420,14 +434,10 @@ def pair_counts(found: Corpus) -> DataFrame:
 
 
 def block_rows(blocks: pa.Table | pa.RecordBatch, i: int) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, n_a, n_b, a, b of one block; packed ids have two bytes, or four if the vocabulary is larger."""
+    """ids, n_a, n_b, a, b of one block."""
     ids, n_a, n_b = (blocks.column(c)[i].as_py() for c in ("ids", "n_a", "n_b"))
     n_a, n_b = np.array(n_a, np.int64), np.array(n_b, np.int64)
-    tokens = []
-    for side, n in (("a", n_a), ("b", n_b)):
-        packed = blocks.column(side)[i].as_py()
-        tokens.append(np.frombuffer(packed, np.uint16 if len(packed) == 2 * n.sum() else np.uint32))
-    return ids, n_a, n_b, *tokens
+    return ids, n_a, n_b, *(unpacked(blocks.column(side)[i].as_py(), int(n.sum())) for side, n in (("a", n_a), ("b", n_b)))
 
 
 def alignments(found: Corpus, portion: int = PORTION) -> DataFrame:
