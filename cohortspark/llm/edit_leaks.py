@@ -4,16 +4,17 @@ A benchmark item leaks into a document if some run of the document's words is wi
 is `share` of its words rounded down. Windows of each item length slide over every document; those that share too few word
 pairs with the items of that length cannot be that near (one edit breaks two pairs) and are passed over. The rest are
 embedded by random walks: at each of 3 L steps a walk emits the window's current word and moves on if a random bit of
-(step, word) says so, which turns few edits into few differing places. Tables hash a few sampled places of a walk; their
-number follows from the target recall and from collisions seen on items edited at random. Each window that shares
+(step, word) says so, which turns few edits into few differing places. Tables hash a few sampled places of a walk; for each
+item length, tables are added until copies edited at random as much as allowed meet their item with the target recall, and
+a length that a bounded number of tables does not serve samples fewer places. Each window that shares
 a bucket with an item of its length is aligned with the item exactly; distances in the result are exact.
 
 The item index is one shard of at most `ITEMS` items, the only thing sent to tasks; more items mean more passes. Items in
 scripts without spaces, and items of a few very long words, are read by characters instead of words, spaces left out, in a
 pass of their own; `start` and `stop` of their matches count characters.
 
-Edges: null and empty texts, items under `LEAST_WORDS` words, and items read by characters under `LEAST_CHARS` characters match
-nothing. Words are compared after lowering A-Z. Equal
+Edges: null and empty texts match nothing, and items without a word are in none. Items with too few words for an edit, down
+to one, match equal runs. Words are compared after lowering A-Z. Equal
 items are each reported. Null item ids are passed over. Repeated rows give repeated rows; other columns are kept apart.
 """
 
@@ -33,13 +34,13 @@ from cohortspark.llm import wordkit as wk
 from cohortspark.llm.store import bounded_batches
 
 SHARE, RECALL = 0.15, 0.99
-LEAST_WORDS, LEAST_CHARS, ITEMS = 3, 5, 20_000
+ITEMS = 20_000
 #: Items of fewer than `FEW` words with this many characters a word are read by characters.
 FEW, LONG_WORD = 5, 20
 #: Characters of scripts without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han and their extensions.
 UNSPACED = re.compile("[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
-#: Places of a walk that a table samples, tables that share a walk, and most tables.
-PLACES, PER_WALK, TABLES = 5, 8, 64
+#: Places of a walk that a table samples at most, tables that share a walk, most tables, and edited copies that try a length.
+PLACES, PER_WALK, TABLES, TRIED = 5, 8, 64, 256
 #: Windows that a worker gathers before it embeds them.
 GATHER = 20_000
 #: Words of windows that are embedded at a time.
@@ -83,13 +84,13 @@ def walks(windows: np.ndarray, seed: int) -> np.ndarray:
     return out
 
 
-def bucket_keys(windows: np.ndarray, tables: int) -> Iterator[np.ndarray]:
-    """Bucket of each row in each table."""
+def bucket_keys(windows: np.ndarray, tables: int, sampled: int = PLACES) -> Iterator[np.ndarray]:
+    """Bucket of each row in each table, of so many places each."""
     length = windows.shape[1]
     for walk in range(-(-tables // PER_WALK)):
         out = walks(windows, walk)
         for table in range(walk * PER_WALK, min(tables, (walk + 1) * PER_WALK)):
-            places = np.random.default_rng([table, length]).integers(0, 3 * length, PLACES)
+            places = np.random.default_rng([table, length]).integers(0, 3 * length, sampled)
             key = np.full(len(windows), table, np.uint64)
             for p in places:
                 key = wk.mix(key * np.uint64(wk.BASE) + out[:, p])
@@ -107,35 +108,39 @@ def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarra
     return np.array(copy[:len(words)], np.uint64)
 
 
-def tables_for(by_length: dict[int, np.ndarray], share: float, recall: float) -> int:
-    """Tables with which items edited as much as allowed meet their bucket with the wanted probability. If `TABLES` do not
-    get there, a warning gives the recall of each length that misses it, as found with all tables on the edited items."""
-    rng, rate, tried = np.random.default_rng(11), [], {}
-    for length, items in by_length.items():
-        if not budget(length, share):
-            continue  # equal runs always meet
-        some = items[rng.integers(0, len(items), 24)]
-        changed = np.stack([edited(w, budget(length, share), rng) for w in some])
-        rate.append(np.mean([a == b for a, b in zip(bucket_keys(some, 2 * PER_WALK), bucket_keys(changed, 2 * PER_WALK))], axis=0))
-        tried[length] = some, changed
-    rate = np.sort(np.concatenate(rate)) if rate else np.ones(1)
-    for tables in range(PER_WALK, TABLES, PER_WALK):
-        if np.mean(1 - (1 - rate) ** tables) >= recall:
-            return tables
-    found = {n: np.mean(np.any([a == b for a, b in zip(bucket_keys(x, TABLES), bucket_keys(y, TABLES))], axis=0)) for n, (x, y) in tried.items()}
-    if short := {n: round(float(r), 3) for n, r in found.items() if r < recall}:
-        warnings.warn(f"estimated recall with {TABLES} tables is under {recall} at a copy's own start, by item length: {short}", stacklevel=2)
-    return TABLES
+def tables_for(items: np.ndarray, share: float, recall: float) -> tuple[int, int, float]:
+    """Tables for items of one length, places that each samples, and the recall seen with them: the share of copies, edited at
+    random as much as allowed, that meet their item's bucket in some table.
+
+    Equal runs meet in the first table. Fewer places serve a length that needs more than `TABLES` tables; should one place
+    not do, which takes items that have next to nothing in common with their copies, a warning says so.
+    """
+    length = items.shape[1]
+    edits = budget(length, share)
+    if not edits:
+        return 1, PLACES, 1.0
+    rng = np.random.default_rng([11, length])
+    some = items[rng.integers(0, len(items), TRIED)]
+    changed = np.stack([edited(w, edits, rng) for w in some])
+    for sampled in range(PLACES, 0, -1):
+        met = np.zeros(len(some), bool)
+        for table, (a, b) in enumerate(zip(bucket_keys(some, TABLES, sampled), bucket_keys(changed, TABLES, sampled)), 1):
+            met |= a == b
+            if not table % PER_WALK and met.mean() >= recall:
+                return table, sampled, float(met.mean())
+    warnings.warn(f"recall {met.mean():.3f} at item length {length}, under {recall}", stacklevel=2)
+    return TABLES, 1, float(met.mean())
 
 
 @dataclass
 class Index:
-    """Items of one shard: names, words, and per length the word pairs and the buckets."""
+    """Items of one shard: names, words, and per length the word pairs, the tables (number, places, recall seen) and the buckets."""
 
     names: list
     words: list[np.ndarray]
     share: float
-    tables: int
+    tables: dict[int, tuple[int, int, float]]
+    single: np.ndarray
     pairs: np.ndarray
     pair_first: np.ndarray
     pair_length: np.ndarray
@@ -145,26 +150,30 @@ class Index:
     def of(items: list[tuple], share: float, recall: float, characters: bool = False) -> Index:
         code, first = units(pa.array([t or "" for _, t in items], pa.large_string()), characters)
         words = [code[a:b] for a, b in zip(first, first[1:])]
-        kept = [i for i, x in enumerate(words) if len(x) >= (LEAST_CHARS if characters else LEAST_WORDS)]
+        kept = [i for i, x in enumerate(words) if len(x)]
         names, words = [items[i][0] for i in kept], [words[i] for i in kept]
         lengths = np.array([len(x) for x in words], np.int64)
         stacked = {int(n): (np.flatnonzero(lengths == n), np.stack([x for x in words if len(x) == n])) for n in np.unique(lengths)}
-        tables = tables_for({n: x for n, (_, x) in stacked.items()}, share, recall)
+        tables = {n: tables_for(x, share, recall) for n, (_, x) in stacked.items()}
         known = [np.unique(np.stack([pair_codes(x), np.full(len(x) - 1, len(x), np.uint64)]), axis=1) for x in words]
         both = np.unique(np.concatenate(known, axis=1), axis=1) if known else np.zeros((2, 0), np.uint64)
         pairs, first = np.unique(both[0], return_index=True)
         buckets = {}
         for n, (index, x) in stacked.items():
             buckets[n] = []
-            for key in bucket_keys(x, tables):
+            for key in bucket_keys(x, *tables[n][:2]):
                 order = np.argsort(key, kind="stable")
                 buckets[n].append((key[order], index[order]))
-        return Index(names, words, share, tables, pairs, np.r_[first, both.shape[1]], both[1].astype(np.int64), buckets)
+        single = np.unique(stacked[1][1]) if 1 in stacked else np.zeros(0, np.uint64)
+        return Index(names, words, share, tables, single, pairs, np.r_[first, both.shape[1]], both[1].astype(np.int64), buckets)
 
     def windows(self, code: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
         """For each item length, where the windows begin that share enough word pairs with items of that length."""
+        found = {}
+        if len(self.single) and len(starts := np.flatnonzero(np.isin(code, self.single))):
+            found[1] = starts
         if len(code) < 2 or not len(self.pairs):
-            return {}
+            return found
         pair = pair_codes(code)
         pair[first[1:-1][(first[1:-1] > 0) & (first[1:-1] < len(code))] - 1] = PAD  # none goes over the end of a row
         place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
@@ -174,7 +183,6 @@ class Index:
         position, length = np.repeat(at, count), self.pair_length[wk.spread(self.pair_first[place], count)]
         order = np.argsort(length, kind="stable")
         position, length = position[order], length[order]
-        found = {}
         for n in np.unique(length).tolist():
             here = position[np.searchsorted(length, n):np.searchsorted(length, n, "right")]
             edits = budget(n, self.share)
@@ -247,7 +255,7 @@ class Held:
                 for line, r, a in zip(text, own[base:base + step].tolist(), at[base:base + step].tolist()):
                     words = self.rows[r][a:a + n]
                     line[:len(words)] = words
-                for key, (buckets, items) in zip(bucket_keys(text, self.index.tables), self.index.buckets[n]):
+                for key, (buckets, items) in zip(bucket_keys(text, *self.index.tables[n][:2]), self.index.buckets[n]):
                     lo, hi = np.searchsorted(buckets, key), np.searchsorted(buckets, key, "right")
                     hit = np.flatnonzero(hi > lo)
                     for w, a, b in zip(hit.tolist(), lo[hit].tolist(), hi[hit].tolist()):

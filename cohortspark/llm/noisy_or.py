@@ -26,6 +26,8 @@ from cohortspark.llm.store import bounded_batches
 
 #: Labelled documents of a fit, words of a model, documents that must have a word, and rounds of a fit.
 SAMPLE, VOCABULARY, LEAST_DOCS, ROUNDS = 6_000, 20_000, 4, 300
+#: Bytes of the texts of a fit.
+SAMPLE_BYTES = 128 << 20
 #: Bytes of the beginnings of longer words that count as words too, so that a stem is known under new endings.
 STEMS = (4, 5, 6)
 #: A sentence at least this likely to be toxic is reported.
@@ -143,12 +145,25 @@ def fit(word: np.ndarray, sentence: np.ndarray, first: np.ndarray, y: np.ndarray
     return Model(names[chosen[keep]], w[keep], float(bias)) if keep.any() else Model(names[:1], np.zeros(1), float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE) -> Model:
-    """A model of the labelled documents that are not held out, at most `sample` of them."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Model:
+    """A model of the labelled documents that are not held out: of at most `sample` ids and texts, and `size` bytes of whole texts.
+
+    Rows that are equal in id and text count once, and are told apart from their sizes and hashes alone, so that the one task
+    that fits never gathers more than the sample.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = bounded_batches(docs).select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    given = bounded_batches(docs).select(F.col("doc_id").cast("bigint"), text.alias("text"), F.xxhash64(text).alias("key"))
+    some = given.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "key").agg(F.first("y").alias("y"), F.first(F.octet_length("text")).alias("size"))
+    taken, left = [], size
+    for r in some.orderBy(F.xxhash64("doc_id"), "doc_id", "key").limit(sample).collect():
+        if r["size"] <= left:
+            taken.append((r.doc_id, r.key, r.y))
+            left -= r["size"]
+    picked = docs.sparkSession.createDataFrame(taken, "doc_id bigint, key bigint, y int")
+    rows = given.join(F.broadcast(picked), ["doc_id", "key"]).groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.first("y").alias("y"))
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in wk.portions(batches):
@@ -157,11 +172,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
             edges = np.searchsorted(s.sentence, s.first)
             words = pa.LargeListArray.from_arrays(pa.array(edges, pa.int64()), pa.array(s.word.view(np.int64)))
             sizes = pa.LargeListArray.from_arrays(pa.array(s.first, pa.int64()), pa.array(count))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("y"), words.cast(pa.list_(pa.int64())), sizes.cast(pa.list_(pa.int64()))],
-                                             ["doc_id", "y", "words", "sizes"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), part.column("y"), words.cast(pa.list_(pa.int64())), sizes.cast(pa.list_(pa.int64()))],
+                                             ["doc_id", "key", "y", "words", "sizes"])
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by("doc_id").slice(0, sample).combine_chunks()
+        table = table.sort_by([("doc_id", "ascending"), ("key", "ascending")]).combine_chunks()
         flat = lambda name: table.column(name).combine_chunks().flatten().to_numpy()
         size = flat("sizes")
         first = np.r_[0, np.cumsum(pa.compute.list_value_length(table.column("sizes")).to_numpy())]
@@ -169,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
         return pa.table({"word": pa.array(np.r_[model.words.view(np.int64), 0]), "weight": pa.array(np.r_[model.weights, model.bias]),
                          "bias": pa.array([False] * len(model.words) + [True])})
 
-    prepared = rows.mapInArrow(prepare, "doc_id bigint, y int, words array<bigint>, sizes array<bigint>")
+    prepared = rows.mapInArrow(prepare, "doc_id bigint, key bigint, y int, words array<bigint>, sizes array<bigint>")
     found = prepared.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(learn, "word bigint, weight double, bias boolean").collect()
     if not found:
         return fit(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0))

@@ -49,3 +49,18 @@ def test_without_labels_of_both_kinds(spark, frame, toxic, score):
     rows = noisy_or.scored(docs, noisy_or.train(docs, labels)).collect()
     assert len(rows) == 4 and {round(r.score, 6) for r in rows} == {score}
     assert noisy_or.scored(docs.where("false"), noisy_or.train(docs, labels)).count() == 0
+
+
+def test_sample_counts_repeated_rows_once_and_is_bounded_by_bytes(spark):
+    train = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"plain words {i}. scum here" if i % 3 == 0 else f"plain words {i}. calm here") for i in train]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in train], "doc_id bigint, toxic int")
+    schema = "doc_id bigint, text string"
+    model = noisy_or.train(spark.createDataFrame(rows, schema), labels)
+    again = noisy_or.train(spark.createDataFrame(rows + rows[:1] * 500, schema), labels)
+    assert np.array_equal(model.words, again.words) and np.allclose(model.weights, again.weights) and len(model.words)
+    # one id with a text beyond the budget is passed over, the others are taken
+    long = noisy_or.train(spark.createDataFrame(rows + [(train[0], "calm " * 100_000)], schema), labels, size=20_000)
+    assert np.array_equal(model.words, long.words) and np.allclose(model.weights, long.weights)
+    few = noisy_or.train(spark.createDataFrame(rows, schema), labels, size=60)
+    assert not len(few.words)
