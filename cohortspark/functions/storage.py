@@ -65,13 +65,24 @@ def materialize(df: DataFrame) -> DataFrame:
 def grid(left: DataFrame, right: DataFrame) -> DataFrame:
     """Every pair of a left and a right row, where the full grid is the asked-for result.
 
-    An equality join: each left row is repeated once per salt, each right row has one salt, so the pairs spread over
-    as many tasks as there are salts and neither side is gathered.
+    An equality join on two salts: left rows are repeated once per salt of the right side, of which there are no more than it
+    has rows, and right rows once per part of the left side, so that together they make about four tasks a partition. No row
+    is repeated more often than its pairs ask for, and neither side is gathered.
     """
-    salts = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = left.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = right.withColumn("__salt", F.pmod(F.xxhash64(*right.columns), F.lit(salts)).cast("int"))
-    return spread.join(salted, "__salt").drop("__salt")
+    most = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    right = reusable(right)
+    salts = max(1, min(most, right.limit(most).count()))
+    parts = -(-most // salts)
+
+    def number(df: DataFrame, count: int) -> Column:
+        return F.pmod(F.xxhash64(*df.columns), F.lit(count)).cast("int")
+
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+
+    spread = left.withColumns({"__part": number(left, parts), "__salt": every(salts)})
+    salted = right.withColumns({"__salt": number(right, salts), "__part": every(parts)})
+    return spread.join(salted, ["__salt", "__part"]).drop("__salt", "__part")
 
 
 def heavy(df: DataFrame) -> bool:

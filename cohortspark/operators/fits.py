@@ -3,8 +3,9 @@
 A SNP is one row with its donors' dosages as an array, so neither SNP x donor
 rows nor SNP pairs are ever shuffled. Screening is a matrix product of such rows,
 part by part of a gene, with all its targets and cell types at once. A gene's
-solver works on the array rows of its screened SNPs directly: at most
-``screen_to`` rows per phase, whatever the window holds.
+solver works on the array rows of its screened SNPs directly, one copy for all cell
+types and members: at most ``screen_to`` rows of each cell type and phase,
+whatever the window holds. See ``packed`` for designs that genes share.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ RIDGE_ALPHAS = np.logspace(-6, 6, 15)
 PRUNE_VARIANCE, PRUNE_R2 = 1e-8, 0.1
 PIP_MASK = 0.5
 TEST = -1
+#: Rows that pruning takes at a time.
+PRUNE_TILE = 512
 #: Parts, by hash of the SNP, in which a gene's window is screened.
 SCREEN_PARTS = 32
 
@@ -139,16 +142,26 @@ def ridge(x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
     return x @ np.linalg.solve(x.T @ x + alpha * np.eye(n), y)
 
 
-def prune(x: np.ndarray) -> np.ndarray:
-    """Rows kept by greedy pruning in order: enough variance, r squared below the limit to all kept."""
+def prune(x: np.ndarray, *, tile: int = PRUNE_TILE) -> np.ndarray:
+    """Rows kept by greedy pruning in order: enough variance, r squared below the limit to all kept.
+
+    Tile by tile: one product drops what is too close to a row kept earlier, one more settles the tile in itself.
+    """
     centred = x - x.mean(axis=1, keepdims=True)
     spread = (centred ** 2).mean(axis=1)
     usable = np.flatnonzero(spread > PRUNE_VARIANCE)
     unit = centred[usable] / np.sqrt(spread[usable] * x.shape[1])[:, None]
-    kept: list[int] = []
-    for row in range(len(usable)):
-        if len(usable) == 1 or not kept or np.all((unit[kept] @ unit[row]) ** 2 < PRUNE_R2):
-            kept.append(row)
+    kept = np.zeros(0, np.int64)
+    for lo in range(0, len(usable), tile):
+        rows = np.arange(lo, min(lo + tile, len(usable)))
+        for at in range(0, len(kept), tile):
+            rows = rows[((unit[rows] @ unit[kept[at:at + tile]].T) ** 2 < PRUNE_R2).all(axis=1)]
+        free = (unit[rows] @ unit[rows].T) ** 2 < PRUNE_R2
+        alive = np.ones(len(rows), bool)
+        for i in range(len(rows)):
+            if alive[i]:
+                alive[i + 1:] &= free[i, i + 1:]
+        kept = np.concatenate([kept, rows[alive]])
     return usable[kept]
 
 
@@ -236,54 +249,74 @@ def _screen_function(names: Sequence[str]):
     return screen
 
 
+def _phases(fold: np.ndarray) -> list[tuple[str, np.ndarray]]:
+    """Name and training donors of the held-out fit, if any donor is held out, and of the kept one."""
+    test = fold == TEST
+    held = [("heldout", ~test)] if test.any() and not test.all() else []
+    return [*held, ("kept", np.ones(len(fold), bool))]
+
+
+def _fit_targets(source, names: Sequence[str], design, model: str, l1: float, alpha: float | None, n_alphas: int) -> list[dict]:
+    """Rows of FIT_SCHEMA for the targets of one cell type. ``design(phase)`` gives the labels and dosages of its SNPs."""
+    fold = np.asarray(source["folds"])
+    test, rows = fold == TEST, []
+    for name in names:
+        row = {"cell_type": str(source["cell_type"]), "gene": str(source["gene"]), "target": name, "status": "ok"}
+        y = np.asarray(source[f"{name}s"], float)
+        try:
+            held_alpha = alpha
+            for phase, train in _phases(fold):
+                features, x = design(phase)
+                if model == "ridge":
+                    keep = prune(x[:, train])
+                    x, features = x[keep], features[keep]
+                w, mean, scale, my, sy, held_alpha = _solve(x[:, train], y[train], fold[train], model, l1, held_alpha, n_alphas)
+                raw = w * sy / scale
+                offset = float(my - raw @ mean)
+                if phase == "heldout" or not test.any():
+                    r2, r = quality(y[train], offset + raw @ x[:, train])
+                    row.update(insample_r2=r2, insample_r=r, n_train=int(train.sum()), n_test=int(test.sum()))
+                if phase == "heldout":
+                    r2, r = quality(y[test], offset + raw @ x[:, test])
+                    row.update(heldout_r2=r2, heldout_r=r, heldout_snps=features.tolist(), heldout_weights=raw.tolist(), heldout_offset=offset)
+                else:
+                    row.update(snps=features.tolist(), coefs=w.tolist(), x_mean=mean.tolist(), x_scale=scale.tolist(),
+                               intercept=0.0, y_mean=float(my), y_scale=float(sy), alpha=held_alpha)
+        except Exception as error:  # noqa: BLE001 - a failed gene must stay visible
+            row["status"] = f"{type(error).__name__}: {error}"[:200]
+        rows.append(row)
+    return rows
+
+
+def _fit_frame(rows: list[dict]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in FIT_SCHEMA.split(", ")])
+    for c in ("n_train", "n_test"):
+        out[c] = out[c].astype("Int64")
+    for c in ("snps", "coefs", "x_mean", "x_scale", "heldout_snps", "heldout_weights"):
+        out[c] = [v if isinstance(v, list) else None for v in out[c]]
+    return out
+
+
 def _fit_function(targets: Sequence[str], model: str, l1: float, alpha: float | None, n_alphas: int):
+    """All cell types of a gene over one copy of its SNPs; ``uses`` says which cell types and phases took a SNP."""
     names = list(targets)
 
     def fit(snps: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        columns = [c.split()[0] for c in FIT_SCHEMA.split(", ")]
         if not len(given) or not len(snps):
-            return pd.DataFrame(columns=columns)
-        source = given.iloc[0]
-        slots, fold = np.asarray(source["slots"], dtype=int), np.asarray(source["folds"])
+            return _fit_frame([])
         snps = snps.sort_values(["bp", "snp"], ignore_index=True)
-        every, labels = _matrix(snps, slots), snps["snp"].astype(str).to_numpy()
-        phases = {p: np.array([p in have for have in snps["phases"]], bool) for p in ("heldout", "kept")}
-        test = fold == TEST
-        rows = []
-        for name in names:
-            row = {"cell_type": str(source["cell_type"]), "gene": str(source["gene"]), "target": name, "status": "ok"}
-            y = np.asarray(source[f"{name}s"], float)
-            try:
-                held_alpha = alpha
-                for phase, train in (("heldout", ~test), ("kept", np.ones(len(fold), bool))):
-                    if phase == "heldout" and (not test.any() or not train.any()):
-                        continue
-                    x, features = every[phases[phase]], labels[phases[phase]]
-                    if model == "ridge":
-                        keep = prune(x[:, train])
-                        x, features = x[keep], features[keep]
-                    w, mean, scale, my, sy, held_alpha = _solve(x[:, train], y[train], fold[train], model, l1, held_alpha, n_alphas)
-                    raw = w * sy / scale
-                    offset = float(my - raw @ mean)
-                    if phase == "heldout" or not test.any():
-                        r2, r = quality(y[train], offset + raw @ x[:, train])
-                        row.update(insample_r2=r2, insample_r=r, n_train=int(train.sum()), n_test=int(test.sum()))
-                    if phase == "heldout":
-                        r2, r = quality(y[test], offset + raw @ x[:, test])
-                        row.update(heldout_r2=r2, heldout_r=r, heldout_snps=features.tolist(), heldout_weights=raw.tolist(),
-                                   heldout_offset=offset)
-                    else:
-                        row.update(snps=features.tolist(), coefs=w.tolist(), x_mean=mean.tolist(), x_scale=scale.tolist(),
-                                   intercept=0.0, y_mean=float(my), y_scale=float(sy), alpha=held_alpha)
-            except Exception as error:  # noqa: BLE001 - a failed gene must stay visible
-                row["status"] = f"{type(error).__name__}: {error}"[:200]
-            rows.append(row)
-        out = pd.DataFrame(rows).reindex(columns=columns)
-        for c in ("n_train", "n_test"):
-            out[c] = out[c].astype("Int64")
-        for c in ("snps", "coefs", "x_mean", "x_scale", "heldout_snps", "heldout_weights"):
-            out[c] = [v if isinstance(v, list) else None for v in out[c]]
-        return out
+        labels, rows = snps["snp"].astype(str).to_numpy(), []
+        uses = [set(u) for u in snps["uses"]]
+        for _, source in given.iterrows():
+            slots, own = np.asarray(source["slots"], dtype=int), {}
+            for phase in ("heldout", "kept"):
+                own[phase] = np.array([f"{phase}/{source['cell_type']}" in u for u in uses], bool)
+            either = own["heldout"] | own["kept"]
+            if not either.any():
+                continue
+            every, held = _matrix(snps[either], slots), {p: m[either] for p, m in own.items()}
+            rows += _fit_targets(source, names, lambda p: (labels[either][held[p]], every[held[p]]), model, l1, alpha, n_alphas)
+        return _fit_frame(rows)
 
     return fit
 
@@ -329,9 +362,8 @@ def fit_genes(design: DataFrame, targets: DataFrame, names: Sequence[str] = ("y"
     scored = arrays.withColumn("part", part).groupBy("gene", "part").cogroup(wanted.select("*", parts).groupBy("gene", "part")).applyInPandas(
         _screen_function(names), f"phase string, cell_type string, gene {kinds['gene']}, snp {kinds['snp']}, bp {kinds['bp']}, score double")
     best = top_k(scored, ["phase", "cell_type", "gene"], [F.col("score").desc(), F.col("snp")], screen_to)
-    chosen = best.groupBy("cell_type", "gene", "snp").agg(F.collect_set("phase").alias("phases"))
-    rows = arrays.join(chosen, ["gene", "snp"])
-    return rows.groupBy("cell_type", "gene").cogroup(wanted.groupBy("cell_type", "gene")).applyInPandas(
+    chosen = best.groupBy("gene", "snp").agg(F.collect_set(F.concat_ws("/", "phase", "cell_type")).alias("uses"))
+    return arrays.join(chosen, ["gene", "snp"]).groupBy("gene").cogroup(wanted.groupBy("gene")).applyInPandas(
         _fit_function(names, model, l1_ratio, alpha, n_alphas), FIT_SCHEMA)
 
 
@@ -428,27 +460,27 @@ def _member_screen(snps: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
 
 
 def _bootstrap_function(l1: float):
+    """All members of a gene over one copy of its SNPs."""
     def fit(snps: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        columns = ["gene", "member", "bootstrap", "snp", "weight", "intercept"]
-        if not len(snps) or not len(given):
-            return pd.DataFrame(columns=columns)
-        source = given.iloc[0]
+        out = []
         snps = snps.sort_values(["bp", "snp"], ignore_index=True)
-        x = _matrix(snps, np.asarray(source["slots"], dtype=int))
-        y, w = np.asarray(source["means"], float), np.asarray(source["ws"], float)
-        counts = np.stack([np.asarray(c, float) for c in source["countss"]], axis=1)
-        mean, scale = scaling(x)
-        z = (x - mean[:, None]) / scale[:, None]
-        out, start = [], None
-        for number, count in enumerate(counts):
-            share = w * count / (w * count).sum()
-            root = np.sqrt(share * len(y))
-            centre, middle = z @ share, share @ y
-            start = elastic_net((z - centre[:, None]) * root, (y - middle) * root, float(source["alpha"]), l1, start)
-            raw = start / scale
-            out.append(pd.DataFrame({"gene": str(source["gene"]), "member": str(source["member"]), "bootstrap": number,
-                                     "snp": snps["snp"].astype(str), "weight": raw, "intercept": middle - raw @ (mean + centre * scale)}))
-        return pd.concat(out, ignore_index=True)[columns]
+        for _, source in (given if len(snps) else given[:0]).iterrows():
+            x = _matrix(snps, np.asarray(source["slots"], dtype=int))
+            y, w = np.asarray(source["means"], float), np.asarray(source["ws"], float)
+            counts = np.stack([np.asarray(c, float) for c in source["countss"]], axis=1)
+            mean, scale = scaling(x)
+            z = (x - mean[:, None]) / scale[:, None]
+            start = None
+            for number, count in enumerate(counts):
+                share = w * count / (w * count).sum()
+                root = np.sqrt(share * len(y))
+                centre, middle = z @ share, share @ y
+                start = elastic_net((z - centre[:, None]) * root, (y - middle) * root, float(source["alpha"]), l1, start)
+                raw = start / scale
+                out.append(pd.DataFrame({"gene": str(source["gene"]), "member": str(source["member"]), "bootstrap": number,
+                                         "snp": snps["snp"].astype(str), "weight": raw, "intercept": middle - raw @ (mean + centre * scale)}))
+        columns = ["gene", "member", "bootstrap", "snp", "weight", "intercept"]
+        return pd.concat(out, ignore_index=True)[columns] if out else pd.DataFrame(columns=columns)
 
     return fit
 
@@ -485,8 +517,7 @@ def bootstrap_fits(design: DataFrame, members: DataFrame, alphas: DataFrame, *,
         wanted.select("gene", "slots", "means", "ws", parts).groupBy("gene", "part")).applyInPandas(
         _member_screen, f"gene {kinds['gene']}, snp {kinds['snp']}, score double")
     best = top_k(scored, ["gene"], [F.col("score").desc(), F.col("snp")], screen_to).select("gene", "snp")
-    chosen = best.join(wanted.select("gene", F.concat("member", F.lit("")).alias("member")), "gene")
-    return arrays.join(chosen, ["gene", "snp"]).groupBy("gene", "member").cogroup(wanted.groupBy("gene", "member")).applyInPandas(
+    return arrays.join(best, ["gene", "snp"]).groupBy("gene").cogroup(wanted.groupBy("gene")).applyInPandas(
         _bootstrap_function(l1_ratio), "gene string, member string, bootstrap int, snp string, weight double, intercept double")
 
 

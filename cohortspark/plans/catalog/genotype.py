@@ -8,7 +8,7 @@ from .. import fixtures as T
 from ..registry import query, sql_norm_ppf
 from ...functions.ordered import top_k
 from ...functions.storage import reusable
-from ...operators import evaluation as V, fits as M, genotype as G
+from ...operators import evaluation as V, fits as M, packed as PK, genotype as G
 
 
 @query("allele_frequencies", "F6 S3", """
@@ -257,6 +257,77 @@ def fit_fixed_ridge(spark, sf):
     return M.raw_weights(_fits(spark, sf, model="ridge", alpha=50.0, screen_to=1)).select("gene", "snp", "weight")
 
 
+# The one best SNP of each gene, screened on the training donors and on all; the penalty by the summed errors of three folds.
+_CHOICE = """WITH """ + _DESIGN + _FOLDS.replace("CASE WHEN rn <= ", "rn, CASE WHEN rn <= ") + """,
+u AS (SELECT r.gene, snp, donor, x, y, rn % 3 AS fold FROM r JOIN f USING (gene, donor) WHERE part = 'insample'),
+pick AS (SELECT gene, snp, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy, count(*) AS n FROM u GROUP BY gene, snp
+ QUALIFY row_number() OVER (PARTITION BY gene ORDER BY abs(covar_pop(x, y))/stddev_pop(x) DESC, snp) = 1),
+every AS (SELECT gene, snp, stddev_pop(x) AS sx, stddev_pop(y) AS sy, corr(x, y)*count(*) AS g, count(*) AS n FROM r GROUP BY gene, snp
+ QUALIFY row_number() OVER (PARTITION BY gene ORDER BY abs(covar_pop(x, y))/stddev_pop(x) DESC, snp) = 1),
+s AS (SELECT gene, fold, (x - mx)/sx AS z, (y - my)/sy AS t FROM u JOIN pick USING (gene, snp)),
+total AS (SELECT gene, sum(z*t) AS g, count(*) AS n FROM s GROUP BY gene),
+grid AS (SELECT gene, i, {grid} AS alpha FROM total, (SELECT unnest(range(15)) AS i)),
+parts AS (SELECT DISTINCT gene, fold AS part FROM s),
+c AS (SELECT s.gene, part, avg(z) AS cz, avg(t) AS ct FROM s JOIN parts USING (gene) WHERE fold <> part GROUP BY ALL),
+m AS (SELECT s.gene, part, sum((z - cz)*(z - cz)) AS zz, sum((z - cz)*(t - ct)) AS zt, count(*) AS k FROM s JOIN c USING (gene) WHERE fold <> part GROUP BY ALL),
+o AS (SELECT s.gene, part, avg((t - ct)*(t - ct)) AS tt, avg((t - ct)*(z - cz)) AS tz, avg((z - cz)*(z - cz)) AS oo FROM s JOIN c USING (gene) WHERE fold = part GROUP BY ALL),
+w AS (SELECT gene, part, i, alpha, {w_fold} AS w FROM m JOIN grid USING (gene)),
+loss AS (SELECT gene, i, alpha, sum(tt - 2*w*tz + w*w*oo) AS e FROM w JOIN o USING (gene, part) GROUP BY ALL),
+best AS (SELECT gene, alpha FROM loss QUALIFY row_number() OVER (PARTITION BY gene ORDER BY round(e, 11), i) = 1)
+SELECT CAST(gene AS VARCHAR) AS gene, alpha, CAST(p.snp AS VARCHAR) AS heldout_snp, {w_held}*p.sy/p.sx AS heldout_weight, CAST(v.snp AS VARCHAR) AS kept_snp, {w_kept}*v.sy/v.sx AS kept_weight
+FROM best JOIN pick p USING (gene) JOIN total t USING (gene) JOIN every v USING (gene)"""
+
+
+def _net(g: str, square: str, n: str) -> str:
+    """Optimum of an elastic net with one SNP."""
+    return f"(sign({g})*greatest(abs({g}) - {n}*alpha*0.5, 0)/({square} + {n}*alpha*0.5))"
+
+
+def _chosen(fits):
+    weight = lambda coefs, place: F.get(coefs, F.lit(place))
+    return fits.select("gene", "alpha", F.get("heldout_snps", F.lit(0)).alias("heldout_snp"), weight("heldout_weights", 0).alias("heldout_weight"),
+                       F.get("snps", F.lit(0)).alias("kept_snp"), (weight("coefs", 0) * F.col("y_scale") / weight("x_scale", 0)).alias("kept_weight"))
+
+
+@query("penalty_choice_net", "M4 M1 M2 M7", _CHOICE.format(
+    grid="abs(g)/(n*0.5)*pow(1e-3, i/14.0)", w_fold=_net("zt", "zz", "k"), w_held=_net("t.g", "t.n", "t.n"), w_kept=_net("v.g", "v.n", "v.n")),
+       ctes="genotypes", floats="alpha heldout_weight kept_weight", digits=8)
+def penalty_choice_net(spark, sf):
+    """Penalty, SNPs and weights of elastic nets over a shared design, one SNP each, as the closed form has them."""
+    g = T.genotypes(spark, sf)
+    _, targets = _design(spark, sf)
+    variants = g.select("snp").distinct().select(F.lit("1").alias("chrom"), "snp", (F.col("snp") * 100).alias("bp"))
+    genes = g.select("gene").distinct().select("gene", F.lit("1").alias("chrom"), (F.col("gene") * 800 + 350).alias("tss"))
+    shared = PK.design(genes, variants, g.select("snp", "donor", "dosage"), M.donor_places(g), window=350)
+    return _chosen(PK.fit_genes(shared, targets.withColumn("cell_type", F.lit("c")), screen_to=1))
+
+
+@query("penalty_choice_ridge", "M4 M2", _CHOICE.format(
+    grid="pow(10, -6 + 12*i/14.0)", w_fold="zt/(zz + alpha)", w_held="(t.g/(t.n + alpha))", w_kept="(v.g/(v.n + alpha))"),
+       ctes="genotypes", floats="alpha heldout_weight kept_weight", digits=8)
+def penalty_choice_ridge(spark, sf):
+    return _chosen(_fits(spark, sf, model="ridge", screen_to=1))
+
+
+@query("pruned_snps", "M3", """
+WITH RECURSIVE d AS (SELECT gene, snp, donor, coalesce(dosage, avg(dosage) OVER (PARTITION BY snp)) AS x FROM genotypes),
+h AS (SELECT a.gene, a.snp, a.donor, CASE WHEN a.snp % 2 = 1 AND a.donor % 4 > 0 THEN b.x ELSE a.x END AS x FROM d a JOIN d b ON b.gene = a.gene AND b.donor = a.donor AND b.snp = a.snp - a.snp % 2),
+near AS (SELECT a.gene, a.snp, [b.snp] AS bad FROM h a JOIN h b ON b.gene = a.gene AND b.donor = a.donor AND b.snp < a.snp GROUP BY a.gene, a.snp, b.snp HAVING pow(corr(a.x, b.x), 2) >= 0.1),
+lists AS (SELECT gene, snp, flatten(list(bad)) AS bad FROM near GROUP BY ALL),
+places AS (SELECT gene, snp, row_number() OVER (PARTITION BY gene ORDER BY snp) AS k FROM (SELECT DISTINCT gene, snp FROM h)),
+walk AS (SELECT gene, k, [snp] AS kept FROM places WHERE k = 1
+ UNION ALL SELECT p.gene, p.k, CASE WHEN len(list_intersect(w.kept, coalesce(l.bad, []))) = 0 THEN list_append(w.kept, p.snp) ELSE w.kept END
+ FROM walk w JOIN places p ON p.gene = w.gene AND p.k = w.k + 1 LEFT JOIN lists l ON l.gene = p.gene AND l.snp = p.snp)
+SELECT CAST(gene AS VARCHAR) AS gene, array_to_string(kept, ' ') AS snps FROM walk QUALIFY row_number() OVER (PARTITION BY gene ORDER BY k DESC) = 1""", ctes="genotypes")
+def pruned_snps(spark, sf):
+    """Every second SNP is its neighbour but for a quarter of the donors: ridge fits keep the first of such a pair."""
+    rows, targets = _design(spark, sf)
+    first = rows.filter("snp % 2 = 0").select("gene", F.col("snp").alias("pair"), "donor", F.col("x").alias("x0"))
+    mixed = rows.withColumn("pair", F.col("snp") - F.col("snp") % 2).join(first, ["gene", "pair", "donor"]).withColumn(
+        "x", F.when((F.col("snp") % 2 == 1) & (F.col("donor") % 4 > 0), F.col("x0")).otherwise(F.col("x"))).select(*rows.columns)
+    return M.fit_genes(mixed, targets.withColumn("cell_type", F.lit("c")), model="ridge", alpha=50.0).select("gene", F.array_join("snps", " ").alias("snps"))
+
+
 @query("fit_bootstrap_ensemble", "M6 A34", """
 SELECT CAST(gene AS VARCHAR) AS gene, member, bootstrap, true AS optimal, true AS centred, count(DISTINCT snp) AS n_snps
 FROM genotypes, (SELECT unnest(['m1', 'm2']) AS member), (SELECT unnest(range(3)) AS bootstrap) GROUP BY ALL""", ctes="genotypes", longs="bootstrap")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .. import fixtures as T
 from ..registry import query, sql_norm_ppf
@@ -361,16 +362,18 @@ def cohort_consistency(spark, sf):
 
 
 @query("running_correlation", "Z2", """
-SELECT event_type, count(*) AS n, covar_pop(value, user_id)/sqrt(var_pop(value)*var_pop(user_id)) AS r FROM events GROUP BY ALL""", floats="r")
+SELECT event_type, user_id % 50 AS part, count(*) AS n, covar_pop(value, user_id)/sqrt(nullif(var_pop(value)*var_pop(user_id), 0)) AS r FROM events GROUP BY ALL""", floats="r", digits=6)
 def running_correlation(spark, sf):
-    """The events table consumed as a file stream; correlation from the complete sums."""
+    """The events table consumed as a file stream in four arrivals, each after a restart; correlation from base and later batches."""
     schema = T.table(spark, sf, "events").schema
     work = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    source = spark.read.schema(schema).parquet(f"{sf}/events.parquet")
-    source.write.parquet(f"{work}/in")
-    Z.stream_sums(spark, f"{work}/in", schema, ["event_type"], "value", "user_id", output=f"{work}/out",
-                  checkpoint=f"{work}/checkpoint").awaitTermination()
-    return Z.correlation_from_sums(Z.latest_sums(spark, f"{work}/out"), ["event_type"])
+    source = spark.read.schema(schema).parquet(f"{sf}/events.parquet").withColumn("arrival", F.least(F.col("event_id") % 7, F.lit(3)))
+    keyed = StructType([*schema.fields, StructField("part", LongType())])
+    for arrival in range(4):
+        source.filter(F.col("arrival") == arrival).drop("arrival").withColumn("part", F.col("user_id") % 50).write.mode("append").parquet(f"{work}/in")
+        Z.stream_sums(spark, f"{work}/in", keyed, ["event_type", "part"], "value", "user_id", output=f"{work}/out",
+                      checkpoint=f"{work}/checkpoint").awaitTermination()
+    return Z.correlation_from_sums(Z.latest_sums(spark, f"{work}/out", ["event_type", "part"]), ["event_type", "part"])
 
 
 @query("resumed_batches", "Z1", "SELECT event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY ALL", floats="total", digits=4)

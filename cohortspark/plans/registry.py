@@ -37,8 +37,9 @@ def with_ctes(body: str, names: str) -> str:
         return body
     head = ",\n".join(f"{n} AS ({CTES[n][1].strip()})" for n in wanted)
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        return f"WITH {head},\n{body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return f"{start}{head},\n{body[len(start):]}"
     return f"WITH {head}\n{body}"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -41,22 +42,79 @@ def correlation_from_sums(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def stream_sums(spark: SparkSession, source: str, schema, keys: Sequence[str], x: str, y: str, *, output: str,
                 checkpoint: str, bytes_per_batch: int = 4 << 30) -> StreamingQuery:
-    """Consume every available file; each batch leaves the complete sums as a new version below ``output``.
+    """Consume every available file; each batch leaves the sums of the keys that it touches, and no others.
 
-    A version appears whole when its job commits; :func:`latest_sums` reads the newest.
+    A repeated batch replaces its own sums. :func:`compact_sums` folds them into a base from time to time, so what is
+    written follows the keys touched; :func:`latest_sums` reads base and later batches.
     """
     stream = spark.readStream.schema(schema).option("maxBytesPerTrigger", bytes_per_batch).parquet(source)
 
     def publish(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{output}/version={number}")
+        running_sums(batch, keys, x, y).write.mode("overwrite").parquet(f"{output}/deltas/batch={number}")
+        compact_sums(spark, output, keys)
 
-    return (running_sums(stream, keys, x, y).writeStream.outputMode("complete").foreachBatch(publish)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return (stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def _table(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _finished_bases(spark: SparkSession, output: str) -> list[int]:
+    """Last batches of the bases that have a commit record, newest first."""
+    commits = _table(spark, f"{output}/commits")
+    return [] if commits is None else [r[0] for r in commits.select("upto").distinct().orderBy(F.col("upto").desc()).limit(2).collect()]
 
 
-def latest_sums(spark: SparkSession, output: str) -> DataFrame:
-    versions = spark.read.parquet(output)
-    return versions.filter(F.col("version") == versions.select(F.max("version")).scalar()).drop("version")
+def _live(spark: SparkSession, output: str) -> tuple[DataFrame | None, DataFrame | None, list[int]]:
+    """Newest finished base, the batches after it, and the last batches of the newest bases."""
+    bases = _finished_bases(spark, output)
+    base = spark.read.parquet(f"{output}/bases/upto={bases[0]}") if bases else None
+    deltas = _table(spark, f"{output}/deltas")
+    if deltas is not None and bases:
+        deltas = deltas.filter(F.col("batch") > bases[0])
+    return base, deltas, bases
+
+
+def latest_sums(spark: SparkSession, output: str, keys: Sequence[str]) -> DataFrame:
+    """Sums of all batches so far."""
+    base, deltas, _ = _live(spark, output)
+    if deltas is None:
+        if base is None:
+            raise ValueError(f"no sums in {output}")
+        return base
+    late = deltas.drop("batch")
+    return merge_sums(late if base is None else base.unionByName(late), keys)
+
+
+def compact_sums(spark: SparkSession, output: str, keys: Sequence[str], *, ratio: float = 1.0) -> bool:
+    """Fold the batches into a new base once they hold as many rows as the base, times ``ratio``; whether it was done.
+
+    Each row is then rewritten a number of times that grows with the logarithm of the total. A base counts by its commit
+    record, written last. Batches and bases that the base before it had replaced are deleted; those that this one replaces
+    stay until the next, for readers at work.
+    """
+    base, deltas, bases = _live(spark, output)
+    if deltas is None:
+        return False
+    size = deltas.agg(F.count(F.lit(1)), F.max("batch")).first()
+    if not size[0] or (base is not None and size[0] < ratio * base.count()):
+        return False
+    folded = deltas.drop("batch") if base is None else base.unionByName(deltas.drop("batch"))
+    merge_sums(folded, keys).write.mode("overwrite").parquet(f"{output}/bases/upto={size[1]}")
+    spark.range(1).select(F.lit(size[1]).cast("bigint").alias("upto")).coalesce(1).write.mode("append").parquet(f"{output}/commits")
+    if bases:
+        gone = [f"{output}/deltas/batch={r.batch}" for r in spark.read.parquet(f"{output}/deltas").filter(F.col("batch") <= bases[0]).select("batch").distinct().collect()]
+        for path in [*gone, *(f"{output}/bases/upto={b}" for b in bases[1:])]:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    return True
 
 
 # ---- resumable work ------------------------------------------------------------------------

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortspark.operators import evaluation as V, fits as M, genotype as G
+from cohortspark.operators import evaluation as V, fits as M, genotype as G, packed as PK
 
 
 @pytest.fixture(scope="module")
@@ -217,3 +217,65 @@ def test_diverged_heads_have_no_metrics(spark):
     got = {r.gene: r for r in V.head_metrics(df, ["gene"]).collect()}
     assert got["g"].diverged and got["g"].w2 is None
     assert not got["h"].diverged and got["h"].w2 == pytest.approx(0.5) and got["h"].std_corr is None
+
+
+def _shared(spark, seed=11, n_donors=60, n_snps=90):
+    """Genes with overlapping windows, two cell types with different donors, missing and absent calls, a monomorphic SNP."""
+    r = np.random.default_rng(seed)
+    calls = r.integers(0, 3, (n_snps, n_donors))
+    calls[5] = 1
+    held = r.random((n_snps, n_donors))
+    rows = [(f"s{j}", i, None if held[j, i] < 0.05 else int(calls[j, i])) for j in range(n_snps) for i in range(n_donors) if held[j, i] < 0.97]
+    genotypes = spark.createDataFrame(rows, "snp string, donor long, dosage int")
+    variants = spark.createDataFrame([("1" if j < 70 else "2", f"s{j}", 100 * j) for j in range(n_snps)], "chrom string, snp string, bp long")
+    genes = spark.createDataFrame([(f"g{k}", "1", 700 * k) for k in range(10)] + [("h", "2", 8000), ("far", "2", 900000)], "gene string, chrom string, tss long")
+    targets = [(c, f"g{k}", i, float(calls[7 * k, i] - calls[7 * k + 3, i] + r.normal() / 4), float(calls[7 * k + 1, i] + r.normal() / 4))
+               for k in range(10) for c, part in (("a", range(n_donors)), ("b", range(5, n_donors, 2))) for i in part]
+    targets += [("a", "h", i, float(calls[80, i] + r.normal() / 4), float(r.normal())) for i in range(n_donors)]
+    return genes, variants, genotypes, spark.createDataFrame(targets, "cell_type string, gene string, donor long, y double, y2 double")
+
+
+def _comparable(fits):
+    plain = lambda v: round(v, 7) if isinstance(v, float) else tuple(map(plain, v)) if isinstance(v, list) else v
+    return sorted(tuple(plain(x) for x in r) for r in fits.collect())
+
+
+@pytest.mark.parametrize("options", [{"alpha": 0.03}, {"model": "ridge", "alpha": 20.0, "screen_to": 7}, {"screen_to": 4}])
+@pytest.mark.parametrize("genes_per_task", [2, 64])
+def test_shared_designs_fit_alike(spark, options, genes_per_task):
+    genes, variants, genotypes, targets = _shared(spark)
+    slots = M.donor_places(genotypes)
+    arrays = M.design_arrays(genes, variants, genotypes, slots, window=900, min_maf=0.05)
+    packed = PK.design(genes, variants, genotypes, slots, window=900, min_maf=0.05)
+    wanted = _comparable(M.fit_genes(arrays, targets, ("y", "y2"), slots=slots, **options))
+    assert len(wanted) == 42 and _comparable(PK.fit_genes(packed, targets, ("y", "y2"), genes_per_task=genes_per_task, **options)) == wanted
+
+
+def test_shared_designs_send_a_snp_to_two_regions_at_most(spark):
+    genes, variants, genotypes, _ = _shared(spark)
+    many = genes.unionByName(genes.withColumns({"gene": F.concat("gene", F.lit("x")), "tss": F.col("tss") + 30}))
+    sent = []
+    for table in (genes, many):
+        made = PK.design(table, variants, genotypes, M.donor_places(genotypes), window=900)
+        targets = table.select("gene")
+        _, snps = PK._parts(made, targets, PK.GENES)
+        sent.append({r.snp: r["count"] for r in snps.groupBy("snp").count().collect()})
+    assert sent[0] == sent[1] and max(sent[0].values()) == 2
+    with pytest.raises(Exception, match="whole numbers"):
+        PK.design(genes, variants, genotypes.withColumn("dosage", F.lit(-1)), M.donor_places(genotypes), window=900).snps.collect()
+
+
+@pytest.mark.parametrize("tile", [7, 512])
+def test_pruning_by_tiles_is_the_plain_rule(tile):
+    r = np.random.default_rng(2)
+    base = r.normal(size=(400, 40))
+    x = base[r.integers(0, 400, 5000)] + r.normal(size=(5000, 40)) * r.choice([0.0, 0.5, 2.0], (5000, 1))
+    x[17] = 3.0
+    unit = x - x.mean(1, keepdims=True)
+    unit[unit.std(1) <= 1e-4] = np.nan
+    unit /= np.sqrt((unit ** 2).sum(1, keepdims=True))
+    kept = []
+    for i in range(len(x) if tile > 7 else 600):
+        if not np.isnan(unit[i, 0]) and (not kept or ((unit[kept] @ unit[i]) ** 2 < 0.1).all()):
+            kept.append(i)
+    assert M.prune(x[:len(x) if tile > 7 else 600], tile=tile).tolist() == kept and 10 < len(kept) < 400

@@ -152,3 +152,13 @@ def test_digit_runs_of_any_length_sort_as_numbers(spark):
     df = spark.createDataFrame([(n,) for n in names], "n string").withColumn("k", X.natural_key(F.col("n")))
     assert [r.n for r in df.orderBy("k", "n").collect()] == ["x9", "x0010", "x10", "x1234567890123", "x1234567890124", "x123456789012345"]
     assert df.select("k").distinct().count() == 5
+
+
+@pytest.mark.parametrize("n_right", [0, 1, 3, 100])
+def test_grid_repeats_rows_no_more_than_needed(spark, n_right):
+    left, right = spark.range(50).withColumnRenamed("id", "a"), spark.range(n_right).withColumnRenamed("id", "b")
+    pairs = S.grid(left, right)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(a, b) for a in range(50) for b in range(n_right)]
+    plan = pairs._jdf.queryExecution().analyzed().toString()
+    salts = max(1, min(32, n_right))
+    assert f"sequence(0, {salts - 1}," in plan and f"sequence(0, {-(-32 // salts) - 1}," in plan

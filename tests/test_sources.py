@@ -228,12 +228,28 @@ def test_every_row_survives_however_files_are_split(spark, tmp_path, files):
     assert sorted((r.id, r.v) for r in spark.read.parquet(out).collect()) == rows
 
 
-def test_sums_are_published_by_version(spark, tmp_path):
+def test_sums_follow_the_keys_touched(spark, tmp_path):
     src, out, cp = (f"{tmp_path}/{n}" for n in ("in", "out", "cp"))
-    for x in (1.0, 3.0):
-        spark.createDataFrame([("k", x, 2 * x)], "k string, x double, y double").write.mode("append").parquet(src)
-        Z.stream_sums(spark, src, "k string, x double, y double", ["k"], "x", "y", output=out, checkpoint=cp).awaitTermination()
-    assert [(r.n, r.sum_x) for r in Z.latest_sums(spark, out).collect()] == [(2, 4.0)]
+    schema = "k string, x double, y double"
+    batches = [[("a", 1.0, 2.0), ("b", 1.0, 1.0), ("c", 0.0, 0.0), ("d", 5.0, 5.0)], [("a", 3.0, 6.0)], [("b", 2.0, None)], [("a", 1.0, 1.0), ("e", 1.0, 1.0)], [("e", 4.0, 1.0)]]
+    totals = {}
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        Z.stream_sums(spark, src, schema, ["k"], "x", "y", output=out, checkpoint=cp).awaitTermination()
+        for k, x, y in rows:
+            n, total = totals.get(k, (0, None))
+            totals[k] = (n + (y is not None), total if y is None else (total or 0.0) + x)
+        assert {r.k: (r.n, r.sum_x) for r in Z.latest_sums(spark, out, ["k"]).collect()} == totals
+    # the first batch became the base; four later rows made a second one, which let go of what the first had replaced
+    written = {r.batch: r["count"] for r in spark.read.parquet(f"{out}/deltas").groupBy("batch").count().collect()}
+    assert sorted(r.upto for r in spark.read.parquet(f"{out}/commits").collect()) == [0, 3] and written == {1: 1, 2: 1, 3: 2, 4: 1}
+    # a base without its record does not count, and a batch that comes again replaces its own sums
+    spark.read.parquet(f"{out}/bases/upto=3").withColumn("n", F.lit(99).cast("bigint")).write.parquet(f"{out}/bases/upto=4")
+    Z.running_sums(spark.createDataFrame(batches[4], schema), ["k"], "x", "y").write.mode("overwrite").parquet(f"{out}/deltas/batch=4")
+    assert {r.k: (r.n, r.sum_x) for r in Z.latest_sums(spark, out, ["k"]).collect()} == totals
+    with pytest.raises(ValueError, match="no sums"):
+        Z.latest_sums(spark, f"{tmp_path}/none", ["k"])
+
 
 
 def test_lists_and_signs(spark):
