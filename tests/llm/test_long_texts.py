@@ -9,7 +9,7 @@ from cohortspark.llm import (automaton_dedup, backoff_automaton, boosted_rules,
                              suffix_dedup, template_dedup)
 from tests.llm import brute
 
-WORDS = [f"w{i * 7919 % 600_011}" for i in range(400_000)]
+WORDS = [f"w{i * 7919 % 600_011}" for i in range(420_000)]
 LONG = " ".join(WORDS) + "."
 ITEM = " ".join(f"leaked{i}" for i in range(30))
 
@@ -71,9 +71,14 @@ def test_lines_and_encoding(docs):
 def test_pipeline_on_odd_rows(spark, tmp_path):
     import corpus_pipeline
 
-    good = "\n".join(f"This is sentence {w} of a plain text, which says number {w * 7} in its own words, line by line." for w in range(8))
+    def plain(seed):
+        """Eight lines of twelve words of letters."""
+        word = lambda i: "".join(chr(97 + (seed + i) * k % 26) for k in (3, 7, 11, 17, 5))
+        return "\n".join(" ".join(word(12 * line + i) + "abcdefgh"[line] for i in range(12)) for line in range(8))
+
+    good = plain(1)
     rows = [(1, good, "en", "s", len(good)), (1, good, "en", "s", len(good)), (2, good, None, None, None), (3, None, "en", "s", 0), (4, "", "en", "s", 0),
-            (None, good.replace("plain", "other"), "en", "s", 5), (5, good + "\n" + LONG, "en", "s", 9)]
+            (None, plain(9).upper(), "en", "s", 5), (5, good + "\n" + LONG, "en", "s", 9)]
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     labels = spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id bigint, quality int, toxic int")
     for name, some in (("odd", rows), ("none", [])):
