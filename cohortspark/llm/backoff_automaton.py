@@ -37,7 +37,7 @@ from cohortspark.llm.store import bounded_batches, stored
 #: Factor and exponent of the unseen successors of a word and of a pair.
 MASS, POWER = (20.0, 2.0), (0.7, 0.7)
 #: Text bytes of a block, and different codes that a bucket gets on average.
-BLOCK, BUCKET = 8 << 20, 2_000_000
+BLOCK, BUCKET = 4 << 20, 1_000_000
 #: Bits of the code of a pair or triple beyond those of the number of tokens.
 SPARE = 24
 END, START = np.uint64(0x9AE16A3B2F90404F), np.uint64(0xC949D7C7509E6557)
@@ -194,12 +194,12 @@ def answers(asked: DataFrame) -> DataFrame:
 
 class Automaton:
     """Part of the backoff automaton that the texts of a block walk through. totals: training counts of the block's different words,
-    pairs and triples, in the order of their codes."""
+    pairs and triples, in the order of their codes; they are used up."""
 
     def __init__(self, code: np.ndarray, first: np.ndarray, mask: np.uint64, totals: dict[int, np.ndarray], n: int, v: int, starts: int):
         self.first, counts = first, {}
         for kind, values in zip(KINDS, grams(code, first, mask)):
-            counts[kind] = totals[kind].astype(float)[np.unique(values, return_inverse=True)[1]]
+            counts[kind] = totals.pop(kind).astype(float)[np.unique(values, return_inverse=True)[1]]
         self.words, self.pairs = counts[WORD], counts[PAIR]
         self.later = np.ones(len(code), bool)
         self.later[first[:-1]] = False
