@@ -162,3 +162,27 @@ def test_grid_repeats_rows_no_more_than_needed(spark, n_right):
     plan = pairs._jdf.queryExecution().analyzed().toString()
     salts = max(1, min(32, n_right))
     assert f"sequence(0, {salts - 1}," in plan and f"sequence(0, {-(-32 // salts) - 1}," in plan
+
+
+def test_folder_of_a_cluster_is_judged_by_its_rows(spark, monkeypatch):
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    monkeypatch.setattr(S, "_TRIED", set())
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert ":" not in named and S.shared_dir(spark) == named
+    assert sorted(r.id for r in S.materialize(spark.range(20)).collect()) == list(range(20))
+    monkeypatch.setattr(S, "_TRIED", set())
+    monkeypatch.setattr(S, "_reached", lambda spark, folder: False)
+    with pytest.raises(RuntimeError, match="are lost"):
+        S.materialize(spark.range(20))
+
+
+def test_folder_without_the_setting(spark, monkeypatch, tmp_path):
+    made = []
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: str(tmp_path) if key == "spark.sql.warehouse.dir" else None)
+    monkeypatch.setattr(spark.sparkContext, "getCheckpointDir", lambda: made[-1] if made else None)
+    monkeypatch.setattr(spark.sparkContext, "setCheckpointDir", made.append)
+    private = S.shared_dir(spark)
+    assert [private] == made == [S.shared_dir(spark)]
+    made.clear()
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    assert S.shared_dir(spark) == f"{tmp_path}/cohortspark"
