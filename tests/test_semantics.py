@@ -243,3 +243,16 @@ def test_evaluation_paths_agree(spark, rows):
     ]
     for call in calls:
         assert rows(call(None)) == rows(call(0))
+
+
+def test_edits_cut_the_sequence_only_where_they_are(spark):
+    cases = [("ACGT", {0: "T", 2: "N"}), ("ACGT", {}), ("ACGT", None), (None, {0: "T"}), ("", {0: "T"}), ("", {1: "T"}), ("", {}), ("é漢A😀", {1: "T", 3: "G"}),
+             ("ACGT", {-1: "T", 4: "T", 9: "T", 3: "GG"}), ("ACGT", {1: None, 2: ""}), ("ACGT", {3: "a", 1: "b", 0: "c", 2: "d"})]
+    df = spark.createDataFrame(list(enumerate(cases)), "id int, c struct<s: string, e: map<int, string>>").select("id", G.apply_edits(F.col("c.s"), F.col("c.e")).alias("x"))
+
+    def plain(s, e):
+        return s if s is None else "".join((e or {}).get(i) if (e or {}).get(i) is not None else c for i, c in enumerate(s or [""]))
+
+    assert {r.id: r.x for r in df.collect()} == {i: plain(*c) for i, c in enumerate(cases)}
+    # no list of all bases is made
+    assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()
