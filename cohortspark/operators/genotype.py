@@ -6,7 +6,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.distributions import norm_ppf
 from ..functions.ordered import average_ranks, row_numbers, running
@@ -299,18 +300,77 @@ def window_sequences(windows: DataFrame, pieces: DataFrame, length: int) -> Data
     return glued.withColumn("sequence", padded).drop("parts")
 
 
+#: Code of each byte that begins a character, and the channels of each code.
+CODE = np.full(256, 4, np.int32)
+CODE[np.frombuffer((BASES + BASES.lower()).encode(), np.uint8)] = [0, 1, 2, 3, 4] * 2
+CHANNELS = np.eye(5, 4, dtype=np.int32)
+
+
+def _offsets(lists: pa.Array) -> np.ndarray:
+    return np.frombuffer(lists.buffers()[1], np.int32)[lists.offset:lists.offset + len(lists) + 1] if len(lists) else np.zeros(1, np.int32)
+
+
+def _lists(ends: np.ndarray, values: pa.Array, like: pa.Array) -> pa.Array:
+    """Lists of values that are null where those of ``like`` are."""
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), values, mask=like.is_null())
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _base_codes(text: pa.Array) -> pa.Array:
+    text = text.cast(pa.string())
+    at = _offsets(text)
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[at[0]:at[-1]]
+    begins = (data & 0xC0) != 0x80
+    codes, ends = CODE[data[begins]], np.r_[0, np.cumsum(begins)][at - at[0]]
+    # as where a sequence is split, an empty one is one empty base, found in front of the letters
+    empty = (np.diff(at) == 0) & text.is_valid().to_numpy(zero_copy_only=False)
+    return _lists(ends + np.r_[0, np.cumsum(empty)], pa.array(np.insert(codes, ends[:-1][empty], 0)), text)
+
+
 def base_codes(sequence: Column) -> Column:
     """0..4 for A, C, G, T, N; any other letter counts as N."""
-    place = lambda c: F.position(c, F.lit(BASES))
-    folded = F.translate(sequence, BASES.lower(), BASES)
-    return F.transform(F.split(folded, ""),
-                       lambda c: F.when(place(c) > 0, place(c) - 1).otherwise(4))
+    return _base_codes(sequence)
+
+
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _one_hot(codes: pa.Array) -> pa.Array:
+    at = _offsets(codes)
+    base = codes.values.slice(at[0], at[-1] - at[0])
+    known = base.fill_null(4).to_numpy(zero_copy_only=False)
+    rows = CHANNELS[np.where((known >= 0) & (known < 4), known, 4)].ravel()
+    unknown = np.repeat(base.is_null().to_numpy(zero_copy_only=False), 4) if base.null_count else None
+    inner = pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) + 1, 4, dtype=np.int32)), pa.array(rows, mask=unknown))
+    return _lists(at - at[0], inner, codes)
 
 
 def one_hot(codes: Column) -> Column:
     """Four channels per base; N is all zero."""
-    return F.transform(codes, lambda c: F.transform(F.array(*[F.lit(i) for i in range(4)]),
-                                                    lambda k: (k == c).cast("int")))
+    return _one_hot(codes)
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _channel_sums(hot: pa.Array) -> pa.Array:
+    at = _offsets(hot)
+    inner = hot.values.slice(at[0], at[-1] - at[0])
+    sums = [np.diff(np.r_[0, np.cumsum(inner.flatten().to_numpy(zero_copy_only=False)[k::4], dtype=np.int64)][at - at[0]]) for k in range(4)]
+    return _lists(np.arange(len(at)) * 4, pa.array(np.stack(sums, 1).ravel()), hot)
+
+
+def channel_sums(hot: Column) -> Column:
+    """Sum of each of the four channels of a sequence of known bases."""
+    return _channel_sums(hot)
+
+
+@F.arrow_udf(T.LongType())
+def _unknown_bases(codes: pa.Array) -> pa.Array:
+    at = _offsets(codes)
+    other = codes.values.slice(at[0], at[-1] - at[0]).to_numpy(zero_copy_only=False) == 4
+    return pa.array(np.diff(np.r_[0, np.cumsum(other)][at - at[0]]), mask=codes.is_null().to_numpy(zero_copy_only=False))
+
+
+def unknown_bases(codes: Column) -> Column:
+    """How many bases of a sequence are none of the four."""
+    return _unknown_bases(codes)
 
 
 def centre_crop(sequence: Column, width: int | Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as T
 from ..registry import query, sql_norm_ppf
 from ...functions.ordered import top_k
-from ...functions.storage import reusable
+from ...functions.storage import bounded_batches, reusable
 from ...operators import evaluation as V, fits as M, packed as PK, genotype as G
 
 
@@ -494,14 +494,10 @@ def personalised_sequences(spark, sf):
 WITH c AS (SELECT doc_id, upper(unnest(string_split(text, ''))) AS c FROM documents)
 SELECT doc_id, count_if(c = 'A') AS n_a, count_if(c = 'C') AS n_c, count_if(c = 'G') AS n_g, count_if(c = 'T') AS n_t, count_if(c NOT IN ('A','C','G','T')) AS n_other FROM c GROUP BY doc_id""")
 def sequence_codes(spark, sf):
-    d = T.table(spark, sf, "documents").select("doc_id", G.base_codes(F.col("text")).alias("codes"))
-    hot = d.select("doc_id", "codes", G.one_hot(F.col("codes")).alias("hot"))
-
-    def channel(k):
-        return F.aggregate("hot", F.lit(0).cast("bigint"), lambda a, h: a + h[k])
-
-    total = [channel(k).alias(n) for k, n in enumerate(("n_a", "n_c", "n_g", "n_t"))]
-    return hot.select("doc_id", *total, F.size(F.filter("codes", lambda c: c == 4)).cast("bigint").alias("n_other"))
+    codes = G.base_codes(F.col("text"))
+    d = bounded_batches(T.table(spark, sf, "documents")).select(
+        "doc_id", G.channel_sums(G.one_hot(codes)).alias("sums"), G.unknown_bases(codes).alias("n_other"))
+    return d.select("doc_id", *(F.col("sums")[k].alias(n) for k, n in enumerate(("n_a", "n_c", "n_g", "n_t"))), "n_other")
 
 
 @query("centre_crops", "X8", """

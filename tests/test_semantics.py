@@ -256,3 +256,21 @@ def test_edits_cut_the_sequence_only_where_they_are(spark):
     assert {r.id: r.x for r in df.collect()} == {i: plain(*c) for i, c in enumerate(cases)}
     # no list of all bases is made
     assert "split(" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_base_codes_and_channels_by_the_batch(spark):
+    texts = ["ACGTN", "acgtnX -", None, "", "é漢A😀t", "", "G" * 3000, None, "T"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, s string").coalesce(1)
+    codes = G.base_codes(F.col("s"))
+    d = df.select("id", codes.alias("codes"), G.one_hot(codes).alias("hot"), G.channel_sums(G.one_hot(codes)).alias("sums"), G.unknown_bases(codes).alias("n_other"))
+    got = {r.id: tuple(r[1:]) for r in d.collect()}
+    for i, text in enumerate(texts):
+        # an empty sequence has one empty base with code 0, as it had where sequences were split
+        want = None if text is None else ["ACGT".find(c.upper()) if c.upper() in "ACGT" else 4 for c in text or [""]]
+        hot = None if want is None else [[int(k == c) for k in range(4)] for c in want]
+        assert got[i] == (want, hot, hot and [sum(x) for x in zip(*hot)], want and want.count(4)), text
+    alone = spark.createDataFrame([([0, None, 3, 4, 7, -1],), ([],), (None,)], "c array<int>").coalesce(1).select(G.one_hot(F.col("c")))
+    zero = [0, 0, 0, 0]
+    assert [r[0] for r in alone.collect()] == [[[1, 0, 0, 0], [None] * 4, [0, 0, 0, 1], zero, zero, zero], [], None]
+    # batches of bases, not a function call for each
+    assert "lambda" not in d._jdf.queryExecution().optimizedPlan().toString()
