@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import exprs as X
 from ..functions.ordered import average_ranks, row_numbers, value_counts
-from ..functions.storage import reusable, grid
+from ..functions.storage import dealt, reusable, grid
 
 
 def clean_cells(cells: DataFrame, required: Sequence[str]) -> DataFrame:
@@ -279,12 +279,12 @@ def fill_with_mean(df: DataFrame, keys: Sequence[str], *, donor: str = "donor",
                          F.col("value").isNotNull().alias("observed"))
 
 
-def key_index(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """Distinct keys over several tables."""
+def key_index(tables: Sequence[DataFrame], keys: Sequence[str], *, parts: int | None = None) -> DataFrame:
+    """Distinct keys over several tables; ``parts``: in how many parts they are compared, Spark's choice if None."""
     out = tables[0].select(*keys)
     for t in tables[1:]:
         out = out.unionByName(t.select(*keys))
-    return out.distinct()
+    return dealt(out, keys, parts).distinct()
 
 
 def wide_by(df: DataFrame, index: Sequence[str], column: str, names: Sequence, value: str = "value", *,

@@ -9,6 +9,7 @@ from ..registry import query, sql_norm_ppf
 from ...functions import exprs as X
 from ...functions.distributions import norm_ppf
 from ...functions.ordered import average_ranks, first_by
+from ...functions.storage import parts_for
 from ...operators import expression as E
 
 _BULK = """
@@ -263,7 +264,8 @@ def fill_with_mean(spark, sf):
 @query("key_index", "U4", """
 SELECT DISTINCT gene, donor FROM expr UNION SELECT gene, donor FROM members""", ctes="expr members")
 def key_index(spark, sf):
-    return E.key_index([T.expr(spark, sf), T.members(spark, sf)], ["gene", "donor"])
+    parts = parts_for(T.table(spark, sf, "lineitem"))
+    return E.key_index([T.expr(spark, sf), T.members(spark, sf)], ["gene", "donor"], parts=parts)
 
 
 @query("wide_targets", "K1 K2", """

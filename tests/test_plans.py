@@ -1,5 +1,7 @@
 """Shape of physical plans that must hold at any size."""
 
+import re
+
 import pytest
 
 import __spark_entry__ as entry
@@ -70,3 +72,21 @@ def test_plain_scans_are_not_copied(spark):
     assert S.settled(df, 0) == (df, False)
     grown = df.selectExpr("explode(sequence(1, 5)) AS i")
     assert S.heavy(grown) and S.settled(grown)[0] is not grown
+
+
+def test_keys_are_dealt_by_counted_rows(spark, tmp_path, monkeypatch):
+    from cohortspark.functions import storage as S
+    from cohortspark.plans.registry import REGISTRY
+
+    rows = [(i % 700 if i % 13 else None, i % 9 if i % 17 else None, i % 3, "ANR"[i % 3], 100.0 + i, float(i % 50), 0.01 * (i % 7), 0.02) for i in range(500)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_extendedprice double, l_quantity double, "
+                                "l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    small = REGISTRY["key_index"].run(spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" not in small._jdf.queryExecution().toString()
+    monkeypatch.setattr(S, "TASK_ROWS", 20)
+    large = REGISTRY["key_index"].run(spark, str(tmp_path))
+    # both groupings and the comparison go to 500 / 20 parts, which are not merged by their shuffled size
+    assert re.findall(r"hashpartitioning\([^)]*, (\d+)\), REPARTITION_BY_NUM", large._jdf.queryExecution().executedPlan().toString()) == ["25"] * 3
+    got = [tuple(r) for r in large.collect()]
+    want = {(p if p is None else p % 300, s) for p, s, *_ in rows} | {(p, s) for p, s, *_ in rows}
+    assert len(got) == len(want) and set(got) == want == {tuple(r) for r in small.collect()}
