@@ -97,6 +97,14 @@ def bucket_keys(windows: np.ndarray, tables: int, sampled: int = PLACES) -> Iter
             yield key
 
 
+def blank_key(table: int, sampled: int) -> np.uint64:
+    """Bucket of a table where all places lie behind the ends of the walks, so that it holds any two windows."""
+    key = np.full(1, table, np.uint64)
+    for _ in range(sampled):
+        key = wk.mix(key * np.uint64(wk.BASE) + PAD)
+    return key[0]
+
+
 def edited(words: np.ndarray, edits: int, rng: np.random.Generator) -> np.ndarray:
     """The window of an item's length that begins where a copy with random edits begins."""
     copy = words.tolist()
@@ -112,7 +120,8 @@ def tables_for(items: np.ndarray, share: float, recall: float) -> tuple[int, int
     """Tables for items of one length, places that each samples, and the recall seen with them: the share of copies, edited at
     random as much as allowed, that meet their item's bucket in some table.
 
-    Equal runs meet in the first table. Fewer places serve a length that needs more than `TABLES` tables; should one place
+    Windows that only meet where all places lie behind their ends have nothing in common and do not count. Equal runs meet in
+    the first table. Fewer places serve a length that needs more than `TABLES` tables; should one place
     not do, which takes items that have next to nothing in common with their copies, a warning says so.
     """
     length = items.shape[1]
@@ -125,7 +134,7 @@ def tables_for(items: np.ndarray, share: float, recall: float) -> tuple[int, int
     for sampled in range(PLACES, 0, -1):
         met = np.zeros(len(some), bool)
         for table, (a, b) in enumerate(zip(bucket_keys(some, TABLES, sampled), bucket_keys(changed, TABLES, sampled)), 1):
-            met |= a == b
+            met |= (a == b) & (a != blank_key(table - 1, sampled))
             if not table % PER_WALK and met.mean() >= recall:
                 return table, sampled, float(met.mean())
     warnings.warn(f"recall {met.mean():.3f} at item length {length}, under {recall}", stacklevel=2)
