@@ -14,7 +14,7 @@ def folder(spark, frame, planted, tmp_path_factory):
     return top
 
 
-@pytest.mark.parametrize("name", ["op1_automaton_dedup"])
+@pytest.mark.parametrize("name", ["op1_automaton_dedup", "op3_kneser_ney"])
 def test_same_rows_on_a_cluster(spark, folder, rows, monkeypatch, name):
     alone = rows(QUERIES[name](spark, folder))
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
