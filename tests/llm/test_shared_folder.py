@@ -14,7 +14,8 @@ def folder(spark, frame, planted, tmp_path_factory):
     return top
 
 
-@pytest.mark.parametrize("name", ["op1_automaton_dedup", "op3_kneser_ney", "op4_shingle_join", "op7_suffix_dedup", "op8_backoff_automaton"])
+@pytest.mark.parametrize("name", ["op1_automaton_dedup", "op3_kneser_ney", "op4_shingle_join", "op7_suffix_dedup", "op8_backoff_automaton",
+                                  "op9_template_dedup"])
 def test_same_rows_on_a_cluster(spark, folder, rows, monkeypatch, name):
     alone = rows(QUERIES[name](spark, folder))
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
