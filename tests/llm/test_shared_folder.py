@@ -15,7 +15,7 @@ def folder(spark, frame, planted, tmp_path_factory):
 
 
 @pytest.mark.parametrize("name", ["op1_automaton_dedup", "op3_kneser_ney", "op4_shingle_join", "op7_suffix_dedup", "op8_backoff_automaton",
-                                  "op9_template_dedup", "op11_token_alignment"])
+                                  "op9_template_dedup", "op11_token_alignment", "op12_run_merge"])
 def test_same_rows_on_a_cluster(spark, folder, rows, monkeypatch, name):
     alone = rows(QUERIES[name](spark, folder))
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
