@@ -10,7 +10,7 @@ from cohortspark.functions import storage as S
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
-NAMES = """agreement_block_curve agreement_strata agreement_summary""".split()
+NAMES = """agreement_block_curve agreement_strata agreement_summary align_genes""".split()
 
 
 @pytest.fixture(scope="module")
