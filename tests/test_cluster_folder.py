@@ -11,7 +11,7 @@ from cohortspark.functions import storage as S
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
 NAMES = """agreement_block_curve agreement_strata agreement_summary align_genes arm_overlap association_run average_recovery backoff_base
-    binned_error_boxes block_recovery""".split()
+    binned_error_boxes block_recovery block_runs""".split()
 
 
 @pytest.fixture(scope="module")
