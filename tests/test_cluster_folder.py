@@ -11,8 +11,8 @@ from cohortspark.functions import storage as S
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not present")
 NAMES = """agreement_block_curve agreement_strata agreement_summary align_genes arm_overlap association_run average_recovery backoff_base
-    binned_error_boxes block_recovery block_runs block_file block_metrics bootstrap_inclusion bootstrap_counts collapse_groups
-    box_stats collapse_groups_by_draw covariance_genes call_status direction_bulk""".split()
+    binned_error_boxes block_recovery block_runs block_file block_metrics bootstrap_inclusion bootstrap_counts collapse_groups box_stats
+    collapse_groups_by_draw covariance_genes call_status direction_bulk difficulty_rho""".split()
 
 
 @pytest.fixture(scope="module")
