@@ -4,9 +4,12 @@ Equal sets are collapsed to one row of the matrix. Rows that can link are brough
 are sorted, and each two neighbours among its `SKETCH` smallest are a key. Of the union's smallest n-grams at least
 80 in 100 are common to two linked sets, so common neighbours exist: always in sets of up to `SKETCH` n-grams, and with
 a chance of a miss under 1e-18 in larger ones, less than that of two n-grams with one 64-bit hash. Components over
-shared keys are then independent blocks of the product. A block's product is taken tile by tile over column blocks; columns
-with one entry are left out, tiles and pairs whose sizes rule out the threshold are passed over, and overlap counts are
-compared with the exact bound. A component larger than a block is cut into parts, and each two parts are a block.
+shared keys are then independent blocks of the product. A common passage chains many sets, so a component larger than a
+block is taken apart by a second kind of key: of a set's rarest n-grams, as many as a link may leave out and one more. In one
+order for all sets, two linked sets have one of these in common, and few sets that do not link do. A block's product is
+taken tile by tile over column blocks; columns with one entry are left out, tiles and pairs whose sizes rule out the
+threshold are passed over, and overlap counts are compared with the exact bound. What is still larger than a block is cut
+into parts, and each two parts are a block.
 
 Edges: null, empty and wordless texts have no n-grams and link with nothing, themselves their component. Shorter texts are
 one n-gram. Rows that share an id are one vertex; rows without id take part, and get the component's smallest id or null.
@@ -85,6 +88,37 @@ def neighbours(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "pair bigint, s bigint")
 
 
+def together(keys: DataFrame) -> DataFrame:
+    """(s, near): sets that share a key with another, and the component over shared keys. keys: (pair, s)."""
+    shared = stored(keys.groupBy("pair").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("pair", "a"))
+    near = components(keys.join(shared, "pair").where("s <> a").select(F.col("s").alias("u"), F.col("a").alias("v")))
+    return near.select(F.col("u").alias("s"), F.col("v").alias("near")).unionByName(near.select(F.col("v").alias("s"), F.col("v").alias("near")).distinct())
+
+
+def entries(texts: DataFrame, size: int) -> DataFrame:
+    """(s, t, n, pair): the hashed n-grams of sets. texts: (s, t, n, packed)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, some in ps.unpacked(batches):
+            code, first = sets(*wk.text_bytes(pa.array(some, pa.large_binary())), size)
+            row = np.repeat(np.arange(len(some)), np.diff(first))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(row)) for c in ("s", "t", "n")), pa.array(code.view(np.int64))],
+                                             ["s", "t", "n", "pair"])
+
+    return texts.select("s", "t", "n", "packed").mapInArrow(run, "s bigint, t bigint, n bigint, pair bigint")
+
+
+def rarest(texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(pair, s): n-grams of which two linked sets share one: as many of a set's rarest as a link may leave out, and one more.
+
+    Those in one set are no keys, but the first in order."""
+    every = entries(texts, size)
+    held = stored(every.groupBy("pair").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    common = every.join(held, "pair").groupBy("s", "t", "n").agg(F.sort_array(F.collect_list(F.struct("df", "pair"))).alias("common"))
+    wanted = F.expr(f"cast(n - ceil({percent} * n / 100) + 1 - (n - size(common)) as int)")
+    return common.select("s", F.explode(F.slice("common", F.lit(1), F.greatest(wanted, F.lit(0)))).alias("c")).select(F.col("c.pair").alias("pair"), "s")
+
+
 def linked_tiles(code: np.ndarray, first: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int):
     """Links of the sets `left` with the sets `right` (indices): for each two tiles, their indices and the link matrix."""
     n = np.diff(first)
@@ -195,24 +229,26 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "do
     label = F.when(F.col("doc").isNull(), F.lit(1 << 62) + F.shiftrightunsigned(F.col("s"), 2)).otherwise(F.col("id"))
     classes = stored(full.withColumn("label", label).groupBy("s", "t").agg(
         F.min("label").alias("label"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.min(F.struct("id", "key")).alias("rep")))
-    pairs = neighbours(given, size)
-    shared = stored(pairs.groupBy("pair").agg(F.min("s").alias("a"), F.max("s").alias("b")).where("a <> b").select("pair", "a"))
-    stars = pairs.join(shared, "pair").where("s <> a").select(F.col("s").alias("u"), F.col("a").alias("v"))
-    near = components(stars)
-    names = near.select(F.col("u").alias("s"), F.col("v").alias("near")).unionByName(near.select(F.col("v").alias("s"), F.col("v").alias("near")).distinct())
-    members = classes.join(names, "s")
-    weight = members.groupBy("near").agg(F.sum("n").alias("entries"), F.count(F.lit(1)).alias("sets"))
-    half = F.greatest(F.ceil(F.col("entries") * 2 / block_entries), F.ceil(F.col("sets") * 2 / block_sets))
-    parts = F.when((F.col("entries") <= block_entries) & (F.col("sets") <= block_sets), F.lit(1)).otherwise(half).cast("int")
-    members = members.join(weight.select("near", parts.alias("parts")), "near")
+    members = classes.join(together(neighbours(given, size)), "s")
+
+    def cut(members: DataFrame) -> DataFrame:
+        weight = members.groupBy("near").agg(F.sum("n").alias("entries"), F.count(F.lit(1)).alias("sets"))
+        half = F.greatest(F.ceil(F.col("entries") * 2 / block_entries), F.ceil(F.col("sets") * 2 / block_sets))
+        parts = F.when((F.col("entries") <= block_entries) & (F.col("sets") <= block_sets), F.lit(1)).otherwise(half).cast("int")
+        return members.join(weight.select("near", parts.alias("parts")), "near")
+
+    squeezed = ps.packed(given).select("id", "key", "packed")
+    named = cut(members).select("rep.*", "s", "t", "n", "label", "copies", "near", "parts")
+    texts = stored(squeezed.join(named, ["id", "key"]).drop("id", "key"))
+    small, large = texts.where("parts = 1"), texts.where("parts > 1").drop("near", "parts")
+    if not large.isEmpty():
+        finer = cut(large.drop("packed").join(together(rarest(large, size, percent)), "s"))
+        small = small.unionByName(large.join(finer.select("s", "t", "near", "parts"), ["s", "t"]))
     own = F.pmod(F.col("t"), F.col("parts")).cast("int")
     places = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.struct(
         F.xxhash64("near", F.least(own, other), F.greatest(own, other)).alias("block"),
         F.when(own == other, 2).when(own < other, 0).otherwise(1).alias("side")))
-    members = members.select("s", "t", "label", "copies", "rep", F.explode(places).alias("p")).select("s", "t", "label", "copies", "rep", "p.*")
-    reps = members.groupBy("rep").agg(F.collect_list(F.struct("block", "side", "s", "t", "label", "copies")).alias("in"))
-    squeezed = ps.packed(given).select("id", "key", "packed")
-    filled = squeezed.join(reps.select("rep.*", "in"), ["id", "key"]).select("packed", F.explode("in").alias("m")).select("packed", "m.*")
+    filled = small.select("packed", "s", "t", "label", "copies", F.explode(places).alias("p")).select("packed", "s", "t", "label", "copies", "p.*")
     found = stored(product(filled, size, percent))
     final = components(found.where("root <> label").select(F.col("label").alias("u"), F.col("root").alias("v")))
     linked = found.groupBy("label").agg(F.sum("links").alias("links"))

@@ -76,3 +76,15 @@ def test_stars(spark):
         parent[y] = x
     got = {r.u: r.v for r in components.components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
     assert got == {x: root(x) for x in parent if root(x) != x}
+
+
+def test_common_passage_repeats_no_set(frame, monkeypatch):
+    r = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    docs = [(i, " ".join(passage + [f"o{r.randrange(10 ** 6)}" for _ in range(40)])) for i in range(60)]
+    docs += [(100 + i, t + " end") for i, t in docs[:3]]
+    given, product = [], shingle_join.product
+    monkeypatch.setattr(shingle_join, "product", lambda members, *rest: given.append(members.count()) or product(members, *rest))
+    got = shingle_join.join(frame(docs), block_sets=6).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.jaccard_components(docs)
+    assert given == [6]
