@@ -12,8 +12,9 @@ Very long texts are walked piece by piece. Repeated rows and ids are encoded ali
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,20 @@ def byte_characters() -> list[str]:
     return [chr(place[b]) for b in range(256)]
 
 
+class Known(dict):
+    """Ids of pieces as the bytes of an int32 array, worked out when first asked for."""
+
+    def __init__(self, ids):
+        super().__init__()
+        self.ids = ids
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[piece] = array("i", self.ids(piece)).tobytes()
+        return found
+
+
 class Encoder:
     """Remembers the ids of pieces, and on demand their character offsets."""
 
@@ -50,22 +65,19 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.model = Tokenizer.from_file(vocabulary).model
         self.stand_in = {b: c for b, c in enumerate(byte_characters())}
-        self.known: dict[str, list[int]] = {}
+        self.known = Known(lambda piece: [t.id for t in self.tokens(piece)])
         self.spans: dict[str, list[tuple[int, int]]] = {}
 
     def tokens(self, piece: str) -> list:
         """The library's tokens of one piece, whose bytes are written as the characters that stand for them."""
         return self.model.tokenize(piece.encode().decode("latin-1").translate(self.stand_in))
 
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as the bytes of an int32 array."""
+        return b"".join(map(self.known.__getitem__, self.split(text)))
+
     def encode(self, text: str) -> list[int]:
-        pieces = self.split(text)
-        missing = set(pieces).difference(self.known)
-        if len(self.known) + len(missing) > REMEMBERED:
-            self.known.clear()
-            missing = set(pieces)
-        for piece in missing:
-            self.known[piece] = [t.id for t in self.tokens(piece)]
-        return list(chain.from_iterable(map(self.known.__getitem__, pieces)))
+        return np.frombuffer(self.packed(text), np.int32).tolist()
 
     def offsets(self, text: str) -> np.ndarray:
         """First character and end of each token's characters; tokens that share a character both include it."""
@@ -105,7 +117,9 @@ def encoded(batches: Batches, vocabulary: str, pattern: str, offsets: bool) -> B
     encoder = encoder_of(vocabulary, pattern)
 
     def batch(keys: list, ids: list, spans: list) -> pa.RecordBatch:
-        columns, names = [pa.array(keys, pa.int64()), joined(ids, pa.int32())], ["id", "ids"]
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
+        flat = pa.array(np.frombuffer(b"".join(ids), np.int32))
+        columns, names = [pa.array(keys, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["id", "ids"]
         if offsets:
             columns += [joined([s[:, i] for s in spans], pa.int64()) for i in (0, 1)]
             names += ["starts", "ends"]
@@ -116,7 +130,7 @@ def encoded(batches: Batches, vocabulary: str, pattern: str, offsets: bool) -> B
         for key, text in zip(part.column(0), part.column(1)):
             text = text.as_py() or ""
             keys.append(key.as_py())
-            ids.append(np.array(encoder.encode(text), np.int32))
+            ids.append(encoder.packed(text))
             if offsets:
                 spans.append(encoder.offsets(text))
             size += len(text)
@@ -132,6 +146,17 @@ def joined(rows: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows), kind))
 
 
+def strung(table: pa.Array, column: pa.ListArray) -> tuple[np.ndarray, memoryview]:
+    """The table's entries at all listed places, strung together, and where each row's begin (one more at the end)."""
+    ends = np.cumsum([0, *pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy()])
+    if not ends[-1]:
+        return ends, memoryview(b"")
+    taken = table.take(column.flatten())
+    if taken.null_count:
+        raise KeyError("an id outside the vocabulary")
+    return np.frombuffer(taken.buffers()[1], np.int32)[taken.offset:][ends], memoryview(taken.buffers()[2])
+
+
 class Decoder:
     """Bytes of each token id, from the token strings through the reversed byte table."""
 
@@ -143,15 +168,11 @@ class Decoder:
         self.bytes_of = {i: t.encode() if i in special else bytes(map(back.__getitem__, t))
                          for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
+        self.table = pa.array(map(self.bytes_of.get, range(max(self.bytes_of) + 1)), pa.binary())
 
-def lists(column: pa.ListArray) -> Iterator[list[int]]:
-    """Rows of a list column as Python lists; null gives none."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    ends = np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy())
-    return (flat[lo:hi].tolist() for lo, hi in zip([0, *ends], ends))
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        first, data = strung(self.table, ids)
+        return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(first.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
 
 def decoded(batches: Batches, vocabulary: str) -> Batches:
@@ -162,19 +183,21 @@ def decoded(batches: Batches, vocabulary: str) -> Batches:
         step = max(1, STEP * part.num_rows // max(1, len(part.column(1).flatten())))
         for lo in range(0, part.num_rows, step):
             rows = part.slice(lo, step)
-            found = [decoder.decode(x) for x in lists(rows.column(1))]
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(found, pa.binary())], ["id", "ids", "bytes"])
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), decoder.decode(rows.column(1))], ["id", "ids", "bytes"])
 
 
 def digests(batches: Batches, with_ids: bool = False) -> Batches:
     """(id, ids, bytes) batches as the number of ids and the digests of both results, and the ids if wanted."""
-    decimal: dict[int, str] = {}
+    decimal = pa.array([], pa.binary())
     for part in batches:
-        decimal |= {i: str(i) for i in np.unique(part.column(1).flatten()).tolist() if i not in decimal}
-        ids = [hashlib.sha256(" ".join(map(decimal.__getitem__, x)).encode()).hexdigest() for x in lists(part.column(1))]
+        top = pa.compute.max(part.column(1).flatten()).as_py()
+        if top is not None and top >= len(decimal):
+            decimal = pa.array([b"%d " % i for i in range(2 * top + 1)], pa.binary())
+        first, data = strung(decimal, part.column(1))
+        ids = [hashlib.sha256(data[lo:max(lo, hi - 1)]).hexdigest() for lo, hi in zip(first, first[1:])]
         yield pa.RecordBatch.from_arrays([
             part.column(0), pa.compute.fill_null(pa.compute.list_value_length(part.column(1)), 0).cast(pa.int64()), pa.array(ids, pa.string()),
-            pa.array([hashlib.sha256(x.as_py()).hexdigest() for x in part.column(2)], pa.string()),
+            pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in part.column(2)], pa.string()),
             *([part.column(1)] if with_ids else []),
         ], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 

@@ -3,6 +3,8 @@
 import base64
 
 import public_tokenizers
+import pyarrow as pa
+import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -47,3 +49,20 @@ def test_offsets_and_decoding(frame):
     for r in byte_bpe.decode(encoded, VOCABULARY).collect():
         assert bytes(r.bytes) == (TEXTS[r.doc_id] or "").encode()
     assert byte_bpe.encode(frame([(1, "a")]).where("false"), VOCABULARY, PATTERN).count() == 0
+
+
+def test_remembered_pieces_are_bounded_within_a_text(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "REMEMBERED", 5)
+    encoder, text = byte_bpe.Encoder(VOCABULARY, PATTERN), " ".join(f"piece{i}" for i in range(50))
+    assert encoder.encode(text) == plain().encode_ordinary(text)
+    assert len(encoder.known) <= 5
+
+
+def test_rows_are_decoded_in_arrow():
+    texts = [b"\xc3\xa9 one", None, b"", b"two"]
+    ids = pa.array([t and plain().encode_ordinary(t.decode()) for t in texts], pa.list_(pa.int32())).slice(0, 4)
+    decoder = byte_bpe.Decoder(VOCABULARY)
+    assert decoder.decode(ids).to_pylist() == [t or b"" for t in texts] and decoder.decode(ids.slice(1)).to_pylist() == [b"", b"", b"two"]
+    for outside in (10 ** 6, -1, None):
+        with pytest.raises((KeyError, IndexError)):
+            decoder.decode(pa.array([[outside]], pa.list_(pa.int32())))
