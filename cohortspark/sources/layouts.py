@@ -50,6 +50,12 @@ def _folders(paths: DataFrame) -> DataFrame:
     return taken.filter(~F.exists("folders", lambda s: s.startswith(".")))
 
 
+def _sorted(df: DataFrame) -> DataFrame:
+    """``df`` as a side of joins that are sorted and merged. Path tables repeat themselves, so their files, and the tables that
+    they are made from, are a small part of their rows; by such sizes Spark would gather all rows on the driver."""
+    return df.hint("merge")
+
+
 def _is_table(file: Column) -> Column:
     return file.endswith(".csv")
 
@@ -107,34 +113,34 @@ def prediction_faults(paths: DataFrame, tables: DataFrame | None = None) -> Data
     uncertain = tables.filter("uncertain").select(*seed).distinct()
     wanted_kinds = uncertain.select(*seed, F.explode(F.array(*map(F.lit, KINDS))).alias("kind"))
     kinds = tables.select(*seed, "kind").distinct()
-    no_kind = fault(wanted_kinds.join(kinds, [*seed, "kind"], "left_anti"), "missing kind", F.col("kind"))
+    no_kind = fault(wanted_kinds.join(_sorted(kinds), [*seed, "kind"], "left_anti"), "missing kind", F.col("kind"))
 
     # Division: every kind at hand has the cell types of the predictions, and no other.
     held = tables.select(*seed, "kind", "cell_type").distinct()
     predicted = held.filter(F.col("kind") == PREDICTIONS).drop("kind")
     others = kinds.filter(F.col("kind") != PREDICTIONS)
-    lacking = others.join(predicted, seed).join(held, [*seed, "kind", "cell_type"], "left_anti")
-    more = held.filter(F.col("kind") != PREDICTIONS).join(predicted, [*seed, "cell_type"], "left_anti").join(
-        predicted.select(*seed).distinct(), seed, "left_semi")
+    lacking = others.join(_sorted(predicted), seed).join(_sorted(held), [*seed, "kind", "cell_type"], "left_anti")
+    more = held.filter(F.col("kind") != PREDICTIONS).join(_sorted(predicted), [*seed, "cell_type"], "left_anti").join(
+        _sorted(predicted.select(*seed).distinct()), seed, "left_semi")
 
     model = ["root", "model"]
     seeds = materialize(predicted.select(*seed).distinct())
     first = first_by(seeds, model, [X.natural_key(F.col("seed")), F.col("seed")]).withColumnRenamed("seed", "first")
-    later = seeds.join(first, model).filter("seed <> first")
-    reference = predicted.join(first, model).filter("seed = first").select(*model, "cell_type")
-    seed_lacks = later.select(*seed).join(reference, model).join(predicted, [*seed, "cell_type"], "left_anti")
-    seed_more = predicted.join(later.select(*seed), seed, "left_semi").join(reference, [*model, "cell_type"], "left_anti")
+    later = seeds.join(_sorted(first), model).filter("seed <> first")
+    reference = predicted.join(_sorted(first), model).filter("seed = first").select(*model, "cell_type")
+    seed_lacks = later.select(*seed).join(_sorted(reference), model).join(_sorted(predicted), [*seed, "cell_type"], "left_anti")
+    seed_more = predicted.join(_sorted(later.select(*seed)), seed, "left_semi").join(_sorted(reference), [*model, "cell_type"], "left_anti")
     mixed = tables.groupBy(*model).agg(F.bool_or("uncertain").alias("a"), F.bool_and("uncertain").alias("b")).filter("a and not b")
-    empty = paths.select("root").distinct().join(tables.select("root").distinct(), "root", "left_anti").select("root", none.alias("model"))
+    empty = paths.select("root").distinct().join(_sorted(tables.select("root").distinct()), "root", "left_anti").select("root", none.alias("model"))
     folders = _folders(paths)
-    opened = folders.join(tables.select("root", "layout").distinct(), "root").filter("layout <> 'seed'")
+    opened = folders.join(_sorted(tables.select("root", "layout").distinct()), "root").filter("layout <> 'seed'")
     top = F.get("folders", F.lit(0))
     # A model's folders are its seeds; those of a root of seeds lie one step higher.
     is_models = F.col("layout") == "models"
     owner = F.element_at(F.split(F.regexp_replace("root", "/+$", ""), "/"), -1)
     listed = opened.filter(F.size("folders") >= F.when(is_models, 2).otherwise(1)).select(
         "root", F.when(is_models, top).otherwise(owner).alias("model"), F.get("folders", F.when(is_models, 1).otherwise(0)).alias("seed")).distinct()
-    bare = listed.join(tables.select(*seed).distinct(), seed, "left_anti")
+    bare = listed.join(_sorted(tables.select(*seed).distinct()), seed, "left_anti")
     return (no_kind.unionByName(fault(lacking, "missing", F.col("kind"), F.col("cell_type")))
             .unionByName(fault(more, "extra", F.col("kind"), F.col("cell_type")))
             .unionByName(fault(seed_lacks, "missing", cell_type=F.col("cell_type")))
