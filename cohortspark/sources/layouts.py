@@ -77,7 +77,7 @@ def prediction_tables(paths: DataFrame) -> DataFrame:
             .groupBy("root").agg((F.bool_and("preds") | F.bool_and("tables")).alias("has_seeds")))
     names = F.split(F.regexp_replace("root", "/+$", ""), "/")
     layout = F.when(F.col("is_seed"), "seed").when(F.coalesce("has_seeds", F.lit(False)), "seeds").otherwise("models")
-    placed = apart.join(own, "root").join(tops, "root", "left").withColumn("layout", layout)
+    placed = apart.join(_sorted(own), "root").join(_sorted(tops), "root", "left").withColumn("layout", layout)
     level = F.when(F.col("layout") == "seed", 0).when(F.col("layout") == "seeds", 1).otherwise(2)
     model = (F.when(F.col("layout") == "seed", F.element_at(names, F.when(F.size(names) > 1, -2).otherwise(-1)))
              .when(F.col("layout") == "seeds", F.element_at(names, -1)).otherwise(folder(0)))
@@ -87,7 +87,7 @@ def prediction_tables(paths: DataFrame) -> DataFrame:
         "root", "layout", model.alias("model"), seed.alias("seed"), (depth - level).alias("below"),
         F.when(inner.isin(*KINDS), inner).alias("kind"), "file", F.array_join(F.concat("folders", F.array("file")), "/").alias("path"))
     uncertain = below.groupBy("root", "model", "seed").agg(F.max(F.col("kind").isNotNull()).alias("uncertain"))
-    rows = below.join(uncertain, ["root", "model", "seed"])
+    rows = below.join(_sorted(uncertain), ["root", "model", "seed"])
     in_place = F.when(F.col("uncertain"), (F.col("below") == 1) & F.col("kind").isNotNull()).otherwise(F.col("below") == 0)
     return rows.filter(in_place & _is_table(F.col("file"))).select(
         "root", "layout", "model", "seed", F.when(F.col("uncertain"), F.col("kind")).otherwise(PREDICTIONS).alias("kind"),

@@ -60,6 +60,11 @@ def test_faults_gather_no_paths_on_the_driver(spark):
     assert "SortMergeJoin" in joins(L.prediction_faults(p)) and "Broadcast" not in joins(L.prediction_faults(p))
 
 
+def test_tables_gather_no_paths_on_the_driver(spark):
+    p = paths(spark, ("/x/r", "s1/A.csv"))
+    assert "SortMergeJoin" in joins(L.prediction_tables(p)) and "Broadcast" not in joins(L.prediction_tables(p))
+
+
 def test_headers_are_reconciled(spark):
     lines = spark.createDataFrame([("a", 0, "﻿gene,p"), ("a", 1, "g1,0.5"), ("a", 2, ""), ("b", 0, "p,note,gene"), ("b", 1, '0.1,"x, ""y""",g2\r'), ("b", 2, "bad,,g3")],
                                   "file string, ordinal int, value string")
